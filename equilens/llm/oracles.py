@@ -23,4 +23,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1}
+_HOST = r"regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)"
+_HOST_KEY = "regexp_replace(host, ':[0-9]*$', '')"
+
+
+def _eb(child: str, parent: str, counts: str, rates: str) -> str:
+    """Posterior of each child under the beta prior of its parent."""
+    return f"""(
+  WITH j AS (SELECT c.*, p.rate AS r FROM {counts} c JOIN {rates} p ON c.{parent} = p.{parent}),
+  f AS (SELECT {parent}, sum(pow(k * 1.0 / n - r, 2) * n - r * (1 - r)) / sum(n) AS v, min(r) AS fr FROM j GROUP BY {parent}),
+  m AS (SELECT {parent}, least(1000.0, greatest(1.0, CASE WHEN v > 0 THEN fr * (1 - fr) / v - 1 ELSE 1000.0 END)) AS m FROM f)
+  SELECT j.{child}, m * r + k AS a, m * (1 - r) + n - k AS b, (m * r + k) / (m + n) AS rate FROM j JOIN m ON j.{parent} = m.{parent})"""
+
+
+OP9 = f"""
+WITH u AS (
+  SELECT page_id, translate(coalesce({_HOST}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+o AS (SELECT host, CAST(toxic = 1 OR quality = 0 AS INT) AS bad FROM u JOIN labels ON page_id = doc_id),
+h AS (SELECT host, array_to_string(list_slice(string_split({_HOST_KEY}, '.'), -2, -1), '.') AS domain, list_extract(string_split({_HOST_KEY}, '.'), -1) AS suffix,
+  count(*) AS n, sum(bad) AS k FROM o WHERE bad IS NOT NULL AND host <> '' GROUP BY host),
+d AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain),
+s AS (SELECT suffix, 0 AS root, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+r AS (SELECT root, (sum(k) + 1) / (sum(n) + 2) AS rate FROM s GROUP BY root),
+ps AS (SELECT * FROM {_eb('suffix', 'root', 's', 'r')}),
+pd AS (SELECT * FROM {_eb('domain', 'suffix', 'd', 'ps')}),
+ph AS (SELECT * FROM {_eb('host', 'domain', 'h', 'pd')}),
+l AS (SELECT host, rate - 1.6449 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM ph),
+e AS (SELECT u.*, lower,
+  CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u LEFT JOIN l USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM e
+"""
+
+OP10 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+  CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < kept THEN kept END AS refers_to
+FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND payload_bytes >= 1000
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op9_url_filter": OP9, "op10_warc": OP10}

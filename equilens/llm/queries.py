@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, warc
 from .decontaminate import contamination, find_overlaps
 from .language import identify, learn
-from .text import crc_mod
+from .mixing import mix_sources
+from .neardup import near_duplicates
+from .text import crc_mod, shared_folder
 from .tokens import count_tokens
+from .urls import Rule, host_of, judge_urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,9 +43,45 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document so that the sources come to their targets."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of each document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The query's rules, as given.
+RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of each page's url. Outcomes: a page is bad if the label of its number says toxic or low quality."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    outcomes = pages.join(labels, "page_id").select(host_of(F.col("url")).alias("host"), "bad")
+    return judge_urls(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, read back, in the order of their merged index."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)) % 31536000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    found = warc.archive(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}", at=at)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language": op2_language,
+    "op4_mixing": op4_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op9_url_filter": op9_url_filter,
+    "op10_warc": op10_warc,
 }
 ORACLES = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
