@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, warc
 from .decontaminate import contamination, find_overlaps
+from .imatch import fingerprints_with_edits
 from .language import identify, learn
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -55,6 +56,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of each document and its edited text, and their likeness."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints_with_edits(docs)
+
+
 #: The query's rules, as given.
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 
@@ -81,6 +88,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_imatch": op8_imatch,
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
 }
