@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, warc
+from . import oracles, toxicity, warc
 from .decontaminate import contamination, find_overlaps
 from .imatch import fingerprints_with_edits
 from .language import identify, learn
@@ -36,6 +36,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), samples).drop("phrases")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from the labels of the documents that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
+    labels = read(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.train(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs.select("doc_id", "held_out", "text"), model)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document by the SentencePiece model."""
     import public_tokenizers
@@ -86,6 +94,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language": op2_language,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_imatch": op8_imatch,

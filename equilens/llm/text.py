@@ -137,6 +137,41 @@ def hash_runs(packed: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(product, first) + length.astype(np.uint64))
 
 
+def word_features(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and 64-bit hash of each word, and of each word's first bytes, for each number in ``prefixes`` that is less than its length."""
+    begin, length, whole, before = words(data, offsets, table)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
+    rows, hashes = [row], [whole]
+    low = table[data[int(offsets[0]) : int(offsets[-1])]]
+    for n in prefixes:
+        at = np.flatnonzero(length > n)
+        total = np.zeros(len(at), np.uint64)
+        factors = multipliers(n)
+        for k in range(n):
+            total += factors[k] * (low[begin[at] + k].astype(np.uint64) + np.uint64(1))
+        rows.append(row[at])
+        hashes.append(mix64(total + np.uint64(n << 32)))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+class KnownHashes:
+    """Numbers of hashes in a sorted list; most strangers are told apart by one look at a bit map."""
+
+    def __init__(self, sorted_hashes: np.ndarray):
+        self.hashes = sorted_hashes
+        self.known = np.zeros(1 << 20, bool)
+        self.known[(sorted_hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` of those in the list, and their numbers."""
+        maybe = np.flatnonzero(self.known[(hashes >> np.uint64(44)).astype(np.int64)])
+        if not len(self.hashes):
+            return maybe[:0], maybe[:0]
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        same = self.hashes[at] == hashes[maybe]
+        return maybe[same], at[same]
+
+
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """A list column whose row i has the next counts[i] of ``values``."""
     offsets = np.zeros(len(counts) + 1, np.int32)
