@@ -11,6 +11,7 @@ from . import oracles, toxicity, warc
 from .decontaminate import contamination, find_overlaps
 from .imatch import fingerprints_with_edits
 from .language import identify, learn
+from .linededup import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .text import crc_mod, shared_folder
@@ -52,6 +53,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that an earlier line resembles, and the digest of what is left."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document so that the sources come to their targets."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -93,6 +100,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language": op2_language,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
