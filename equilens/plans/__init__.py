@@ -1,4 +1,5 @@
 """Queries over the driver tables, each with an SQL oracle where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import audit, fairness
+
+QUERIES, ORACLES = audit.QUERIES, audit.ORACLES
