@@ -1,5 +1,5 @@
 """Queries over the driver tables, each with an SQL oracle where SQL can express it."""
 
-from . import audit, fairness
+from . import audit, design, fairness, temporal  # noqa: F401
 
 QUERIES, ORACLES = audit.QUERIES, audit.ORACLES
