@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _each(f):
@@ -137,7 +138,7 @@ def arrow(f, arity: int):
     three = lambda a, b, c: of(a, b, c)
     typed = {1: one, 2: two, 3: three}[arity]
     typed.__annotations__ = {k: pd.Series for k in "abc"[:arity]} | {"return": pd.Series}
-    return pandas_udf(typed, "double")
+    return pandas_udf(typed, DoubleType())
 
 
 norm_p2_col, chi2_sf_col, t_p2_col, f_sf_col = arrow(norm_p2, 1), arrow(chi2_sf, 2), arrow(t_p2, 2), arrow(f_sf, 3)
