@@ -142,11 +142,11 @@ def agreement(df: DataFrame, keys: list[str], model: str = "model", label: str =
 
     Labels are counted by key and model before the join, so that repeated keys multiply counts and not rows.
     """
-    counted = _known(df, *keys, model, label).groupBy(*keys, model, label).agg(F.count("*").alias("k"))
-    a = counted.select(*keys, F.col(model).alias("model_a"), F.col(label).alias("a"), F.col("k").alias("ka"))
-    b = counted.select(*keys, F.col(model).alias("model_b"), F.col(label).alias("b"), F.col("k").alias("kb"))
-    cells = a.join(b, keys).where("model_a < model_b").groupBy("model_a", "model_b", "a", "b").agg(F.sum(F.col("ka") * F.col("kb")).alias("o"))
-    return inf.kappa_of_cells(cells, "a", "b", ["model_a", "model_b"])
+    counted = _known(df, *keys, model, label).groupBy(*keys, model, label).agg(F.count("*").alias("__k"))
+    a = counted.select(*keys, F.col(model).alias("model_a"), F.col(label).alias("__a"), F.col("__k").alias("__ka"))
+    b = counted.select(*keys, F.col(model).alias("model_b"), F.col(label).alias("__b"), F.col("__k").alias("__kb"))
+    cells = a.join(b, keys).where("model_a < model_b").groupBy("model_a", "model_b", "__a", "__b").agg(F.sum(F.col("__ka") * F.col("__kb")).alias("o"))
+    return inf.kappa_of_cells(cells, "__a", "__b", ["model_a", "model_b"])
 
 
 def profile(df: DataFrame, group: str, label: str = "pred_label", acc: str = "acc", least: int = 1) -> DataFrame:

@@ -33,28 +33,28 @@ def chi_square(df: DataFrame, row: str, col: str, by: list[str] | tuple = (), ya
     or columns have chi2 null. ``weight``: a column of counts, where df has cells already.
     """
     by = list(by)
-    cells = _present(df, [*by, row, col]).groupBy(*by, row, col).agg((F.sum(weight) if weight else F.count("*")).cast("double").alias("o"))
-    cells = cells.withColumn("r", F.sum("o").over(_over(by, row))).withColumn("c", F.sum("o").over(_over(by, col))).withColumn("n", F.sum("o").over(_over(by)))
-    e = F.col("r") * F.col("c") / F.col("n")
+    o, r, c, n = "__o", "__r", "__c", "__n"  # not names that df may have
+    cells = _present(df, [*by, row, col]).groupBy(*by, row, col).agg((F.sum(weight) if weight else F.count("*")).cast("double").alias(o))
+    cells = cells.withColumn(r, F.sum(o).over(_over(by, row))).withColumn(c, F.sum(o).over(_over(by, col))).withColumn(n, F.sum(o).over(_over(by)))
+    o, r, c, n = (F.col(x) for x in (o, r, c, n))
     out = cells.groupBy(*by).agg(
-        F.first("n").cast("bigint").alias("n"), F.countDistinct(row).alias("n_rows"), F.countDistinct(col).alias("n_cols"), F.count("*").alias("n_cells"),
-        (F.first("n") * F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))) - F.first("n")).alias("plain"),
-        F.max(F.abs(F.col("o") - e)).alias("d"), F.sum(F.col("o") / (F.col("r") * F.col("r"))).alias("sr"), F.sum(F.col("o") / (F.col("c") * F.col("c"))).alias("sc"),
+        F.first(n).cast("bigint").alias("n"), F.countDistinct(row).alias("n_rows"), F.countDistinct(col).alias("n_cols"), F.count("*").alias("n_cells"),
+        (F.first(n) * F.sum(o * o / (r * c)) - F.first(n)).alias("__plain"), F.max(F.abs(o - r * c / n)).alias("__d"), F.sum(o / (r * r)).alias("__sr"), F.sum(o / (c * c)).alias("__sc"),
     )
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
-    corrected = F.pow(F.col("d") - F.least(F.lit(0.5), F.col("d")), 2) * F.col("n") * F.col("sr") * F.col("sc")
-    chi2 = F.when(dof < 1, None).when((dof == 1) & F.lit(yates), corrected).otherwise(F.greatest(F.lit(0.0), F.col("plain")))
+    corrected = F.pow(F.col("__d") - F.least(F.lit(0.5), F.col("__d")), 2) * F.col("n") * F.col("__sr") * F.col("__sc")
+    chi2 = F.when(dof < 1, None).when((dof == 1) & F.lit(yates), corrected).otherwise(F.greatest(F.lit(0.0), F.col("__plain")))
     out = out.withColumn("dof", dof).withColumn("chi2", chi2)
     least = F.least("n_rows", "n_cols") - 1
-    return out.withColumn("cramers_v", F.when(least > 0, F.sqrt(F.col("chi2") / (F.col("n") * least)))).drop("plain", "d", "sr", "sc")
+    return out.withColumn("cramers_v", F.when(least > 0, F.sqrt(F.col("chi2") / (F.col("n") * least)))).drop("__plain", "__d", "__sr", "__sc")
 
 
 def _ranked(df: DataFrame, group: str, value: str, by: list[str]) -> DataFrame:
     """Cells by group and value: o rows each, t rows of the value, and the value's average rank."""
-    cells = _present(df, [*by, group, value]).groupBy(*by, group, value).agg(F.count("*").alias("o"))
-    ties = cells.groupBy(*by, value).agg(F.sum("o").alias("t"))
+    cells = _present(df, [*by, group, value]).groupBy(*by, group, value).agg(F.count("*").alias("__o"))
+    ties = cells.groupBy(*by, value).agg(F.sum("__o").alias("__t"))
     upto = _over(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ties.withColumn("rank", F.sum("t").over(upto) - (F.col("t") - 1) / 2.0)
+    ranks = ties.withColumn("__rank", F.sum("__t").over(upto) - (F.col("__t") - 1) / 2.0)
     return cells.join(ranks, [*by, value])
 
 
@@ -62,15 +62,15 @@ def kruskal(df: DataFrame, group: str, value: str, by: list[str] | tuple = ()) -
     """Kruskal-Wallis H with tie correction: by, n, n_groups, dof, h. All values equal: h is 0; fewer than two groups: null."""
     by = list(by)
     ranked = _ranked(df, group, value, by)
-    groups = ranked.groupBy(*by, group).agg(F.sum("o").alias("ng"), F.sum(F.col("o") * F.col("rank")).alias("rg"))
-    ties = ranked.select(*by, value, "t").distinct().groupBy(*by).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
-    out = groups.groupBy(*by).agg(F.sum("ng").alias("n"), F.count("*").alias("n_groups"), F.sum(F.col("rg") * F.col("rg") / F.col("ng")).alias("s"))
+    groups = ranked.groupBy(*by, group).agg(F.sum("__o").alias("__ng"), F.sum(F.col("__o") * F.col("__rank")).alias("__rg"))
+    ties = ranked.select(*by, value, "__t").distinct().groupBy(*by).agg(F.sum(F.pow("__t", 3) - F.col("__t")).alias("__ties"))
+    out = groups.groupBy(*by).agg(F.sum("__ng").alias("n"), F.count("*").alias("n_groups"), F.sum(F.col("__rg") * F.col("__rg") / F.col("__ng")).alias("__s"))
     out = out.join(ties, by) if by else out.crossJoin(ties)  # one row each
     n = F.col("n").cast("double")
-    factor = 1 - F.col("ties") / (n * n * n - n)
-    h = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
+    factor = 1 - F.col("__ties") / (n * n * n - n)
+    h = 12 / (n * (n + 1)) * F.col("__s") - 3 * (n + 1)
     value_ = F.when(F.col("n_groups") < 2, None).when(factor <= 1e-12, 0.0).otherwise(h / factor)
-    return out.withColumn("dof", F.col("n_groups") - 1).withColumn("h", value_).drop("s", "ties")
+    return out.withColumn("dof", F.col("n_groups") - 1).withColumn("h", value_).drop("__s", "__ties")
 
 
 def anova(df: DataFrame, group: str, value: str, by: list[str] | tuple = ()) -> DataFrame:

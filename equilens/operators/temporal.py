@@ -121,7 +121,7 @@ def drift(df: DataFrame, time: str, metric: str, by: list[str] | tuple = (), thr
     aggs = []
     for k, (most, first) in {"up": ("cusum_up", "first_up"), "down": ("cusum_down", "first_down"), "ph": ("ph_max", "first_ph")}.items():
         aggs += [F.max(f"__c{k}").alias(most), F.min(F.when(F.col(f"__c{k}") > limit[k], F.col("__i"))).alias(first)]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *aggs).where("n > 0")
 
 
 def rolling_mean(df: DataFrame, time: str, metric: str, by: list[str] | tuple = (), rows: int = 10) -> DataFrame:
