@@ -217,3 +217,19 @@ def test_empty_frames(spark):
     empty = spark.createDataFrame([], "model string, condition string, name_group string, city string, acc int, pred_label string, true_label string, ordinal_error int, proposed_growth double, true_growth double, subject_id int, run_idx int")
     for out in (fa.accuracy_by(empty, ["model"]), fa.condition_z(empty, ["model"]), fa.paired_mcnemar(empty, ["model"], ["subject_id", "run_idx"]), fa.demographic_parity(empty, "name_group", ["model"]), fa.one_vs_rest(empty, "name_group", list(ru.LABELS)), fa.calibration(empty, ["model"]), fa.ordinal_bias(empty, "name_group"), fa.verdict(empty, "name_group", 0.1, 0.2, ["model"]), fa.model_verdicts(empty), fa.profile(empty, "name_group")):
         assert out.count() == 0
+
+
+def test_narrative(spark):
+    from equilens.operators import narrative as na
+
+    spans = spark.createDataFrame([("demographic", 0.2), ("location", 0.01), ("accuracy", 0.5)], "kind string, range double")
+    got = {r["kind"]: r["action"] for r in na.interventions(spans).collect()}
+    assert got["location"] == "none" and got["demographic"] != "none" and got["accuracy"] != "none"
+    assert na.factors({"a": 0.5, "b": 0.05}, 50, "gpt") == ["a (0.50)", "model family gpt", "small sample"]
+    assert "collect at least 100 rows" in na.mitigations("low", 10)
+    text = na.report("T", {"S": spans, "W": "words"})
+    assert text.startswith("# T") and "| demographic | 0.2 |" in text
+    s = spark.createDataFrame([(0.2, 0.05), (0.25, 0.06), (0.1, 0.05)], "effect double, se double")
+    assert "Heterogeneity" in na.meta_report(s) and "tabular" in na.latex_table(spans)
+    demo = na.demo_rows(spark, 50)
+    assert demo.count() == 50 and demo.where("bias_score between 0 and 0.3 and accuracy between 0.6 and 1").count() == 50
