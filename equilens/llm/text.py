@@ -7,6 +7,7 @@ that it is the same in every process.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of stages that nothing refers to any more.
+
+    Its cleaner does so when the driver's JVM collects garbage, which a driver
+    with little to do puts off while the executors' disks fill.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def others(df: DataFrame, made: list[str]) -> list[str]:
     """Columns of ``df`` that a result with the columns ``made`` can carry along.
 
