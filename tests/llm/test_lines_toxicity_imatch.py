@@ -30,8 +30,10 @@ def brute_lines(rows, percent=80, least=5):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,first", [(1, 3), (2, 0)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, seed, first):
+    monkeypatch.setattr(linededup, "FIRST_CANDIDATES", first)  # 0: every pair is found among the rest
+    monkeypatch.setattr(linededup, "CHUNK_ROWS", 200)
     rng = random.Random(seed)
     common = ["the", "of", "and", "in", "to"]
     words = [f"w{i}" for i in range(300)]
@@ -53,9 +55,9 @@ def test_line_dedup_equals_brute_force(spark, seed):
         line[rng.randrange(len(line))] = f"m{k}"
         rows.append((1000 + k, " ".join(line)))
     rows.append(rows[20])
-    docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id bigint, text string, N_LINES int")
+    docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id bigint, text string, N_LINES int, k int, gone int")
     got = linededup.dedup_lines(docs)
-    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "k", "gone", "n_lines", "n_removed"]
     assert sorted(str((r["doc_id"], r["text"], r["n_lines"], r["n_removed"])) for r in got.collect()) == brute_lines(rows)
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
