@@ -220,16 +220,16 @@ def _candidates(percent: int, most: int | None, skip: int = 0, only: np.ndarray
             ok &= np.minimum(a - place[open_][:, None], b - place[other]) >= need  # from the first shared word on
             ok &= (a + b - np.bitwise_count(sig[open_][:, None] ^ sig[other])) // 2 >= need
             ok &= sets[open_][:, None] != sets[other]
-            if wide:  # on the pairs that are left
-                r, c = np.nonzero(ok)
-                off = sum(np.bitwise_count(w[open_[r]] ^ w[other[r, c]]).astype(np.int64) for w in wide)
-                ok[r, c] = (n[open_[r]] + n[other[r, c]] - off) // 2 >= need[r, c]
             order = np.cumsum(ok, 1) + found[open_][:, None]
             keep = ok & (order > skip)
             if most is not None:
                 keep &= order <= most
                 more[open_] |= (ok & (order > most)).any(1)
             r, c = np.nonzero(keep)
+            if wide:  # on the pairs that are left: order counts the same pairs with and without wide signatures
+                off = sum(np.bitwise_count(w[open_[r]] ^ w[other[r, c]]).astype(np.int64) for w in wide)
+                likely = (n[open_[r]] + n[other[r, c]] - off) // 2 >= need[r, c]
+                r, c = r[likely], c[likely]
             later.append(sets[open_[r]])
             earlier.append(sets[other[r, c]])
             found[open_] = order[:, -1]

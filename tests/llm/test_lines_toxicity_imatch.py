@@ -62,6 +62,21 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, seed, first):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_rest_pass_meets_all_that_the_first_pass_left(spark):
+    """Early unlike partners of long lines pass the 64-bit filter and fail the 256-bit one; the match comes behind them."""
+    rng = random.Random(5)
+    shared, pool = [f"p{i}" for i in range(41)], [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(shared + rng.sample(pool, 159))) for k in range(6)]
+    body = rng.sample(pool, 169)
+    rows += [(10, " ".join(shared + body[:159])), (11, " ".join(shared + body[10:]))]
+    rows += [(100 + k, " ".join(rng.sample(pool, 200))) for k in range(60)]  # make the words of the pool frequent
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(str((r["doc_id"], r["text"], r["n_lines"], r["n_removed"])) for r in linededup.dedup_lines(docs).collect())
+    want = brute_lines(rows)
+    assert sum(x.endswith(", 1)") for x in want) == 1
+    assert got == want
+
+
 def brute_terms(text):
     return {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", (text or "").lower())}
 
