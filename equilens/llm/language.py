@@ -132,22 +132,24 @@ def parser_of(samples: dict[str, bytes]) -> Parser:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 128, max_chars: int = 256, max_languages: int = 64) -> dict[str, bytes]:
-    """A sample of text for each language: of ``max_docs`` distinct texts each, chosen by hash, a piece of at most ``max_chars`` characters from the middle.
+    """A sample of text for each language: of ``max_docs`` texts each, chosen by hash, a piece of at most ``max_chars`` characters from the middle; equal pieces count once.
 
     These bounds (about 33,000 characters a language, and the
-    ``max_languages`` most frequent languages) are what this classifier is
-    fitted on; predictions read whole texts. Null languages and null texts are left out.
+    ``max_languages`` languages of the most rows, ties by name) are what this
+    classifier is fitted on; predictions read whole texts, and a text of a
+    language beyond the bound gets another. Null languages and null texts are left out.
     """
     pieces = (
         labelled.where(F.col(lang).isNotNull() & (F.trim(text) != ""))
         .select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(F.col(text), F.greatest(F.lit(1), (F.length(text) - max_chars) / 2).cast("int"), F.lit(max_chars)).alias("piece"))
     )
-    chosen = pieces.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= max_docs)
+    frequent = [r["lang"] for r in pieces.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    distinct = pieces.where(F.col("lang").isin(frequent)).groupBy("lang", "piece").agg(F.min("h").alias("h"))
+    chosen = distinct.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= max_docs)
     samples: dict[str, list[str]] = {}
     for r in chosen.orderBy("lang", "k").collect():
         samples.setdefault(r["lang"], []).append(r["piece"])
-    most = sorted(samples, key=lambda k: (-len(samples[k]), k))[:max_languages]
-    return {k: " ".join(dict.fromkeys(samples[k])).encode() for k in most}
+    return {k: " ".join(samples[k]).encode() for k in frequent}
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") -> DataFrame:

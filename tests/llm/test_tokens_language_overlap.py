@@ -138,6 +138,15 @@ def test_language_edges(spark):
     assert la.learn(docs.selectExpr("text", "cast(null as string) as lang")) == {}
 
 
+def test_language_samples_distinct_texts_of_the_most_frequent_languages(spark):
+    rows = [(f"text number {i}", "aa") for i in range(20) for _ in range(50)]
+    rows += [(f"{lang} {i}", lang) for lang, n in (("bb", 9), ("cc", 40), ("dd", 10)) for i in range(n)]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    got = la.learn(labelled, max_docs=8, max_languages=3)
+    assert sorted(got) == ["aa", "cc", "dd"]
+    assert len(set(got["aa"].decode().split("text number ")[1:])) == 8
+
+
 def test_language_held_out(spark):
     import os
 
