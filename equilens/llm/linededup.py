@@ -61,11 +61,15 @@ def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     _, _, hashes, before = tx.words(data, offsets, tx.ALNUM)
     lines = len(offsets) - 1
     line, hashes = _sorted_distinct(np.repeat(np.arange(lines), np.diff(before)), hashes >> np.uint64(64 - WORD_BITS), lines)
+    return line, hashes, counts, _set_hashes(line, hashes, lines)
+
+
+def _set_hashes(line: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
     total = np.zeros(lines, np.uint64)
     if len(line):
         first = np.flatnonzero(np.diff(line, prepend=-1))
         total[line[first]] = np.add.reduceat(tx.mix64(hashes + np.uint64(1)), first)
-    return line, hashes, counts, tx.mix64(total)
+    return tx.mix64(total)
 
 
 def _sorted_distinct(line: np.ndarray, value: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +85,26 @@ def _sorted_distinct(line: np.ndarray, value: np.ndarray, lines: int) -> tuple[n
     return line[new], value[new]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]):
+def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``line_sets``, with each whole row as one line and its shingles (runs of ``shingle`` words between white space; all words where there are fewer) as its words."""
+    _, _, words, before = tx.words(data, at, tx.SOLID)
+    rows = len(at) - 1
+    row = np.repeat(np.arange(rows), np.diff(before))
+    place, end = np.arange(len(words)), before[1:][row]
+    whole = np.zeros(len(words), np.uint64)
+    for i, m in enumerate(tx.multipliers(shingle)[:shingle]):
+        inside = np.flatnonzero(place + i < end)
+        whole[inside] += m * words[inside + i]
+    begins = (place + shingle <= end) | (place == before[row])
+    row, hashes = _sorted_distinct(row[begins], tx.mix64(whole[begins]) >> np.uint64(64 - WORD_BITS), rows)
+    return row, hashes, np.ones(rows, np.int64), _set_hashes(row, hashes, rows)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], sets_of):
     for batch in batches:
         data, at = tx.text_buffers(batch.column(batch.num_columns - 1))
         for a, b in tx.slices(at):
-            yield batch, a, b, line_sets(data, at[a : b + 1])
+            yield batch, a, b, sets_of(data, at[a : b + 1])
 
 
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -119,14 +138,14 @@ class _Prefixes:
         return size, signature, line[take], hashes[take], place[take]
 
 
-def lines_of(docs: DataFrame, row: list[str], text: str, least: int) -> DataFrame:
+def lines_of(docs: DataFrame, row: list[str], text: str, least: int, sets_of=line_sets) -> DataFrame:
     """(row columns, line, set, c, n): the lines of at least ``least`` distinct words with the hash of their set; and, as rows with a word class c, the number n of lines that have its words."""
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in row), "line int, set bigint, c int, n bigint"])
     names = [*row, "line", "set", "c", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kinds = np.zeros(RARITY, np.int64), None
-        for batch, a, b, (line, hashes, counts, sets) in _rows(batches):
+        for batch, a, b, (line, hashes, counts, sets) in _rows(batches, sets_of):
             total += np.bincount((hashes >> CLASS_SHIFT).astype(np.int64), minlength=RARITY)
             kinds = [c.type for c in batch.columns[: len(row)]]
             owner = np.repeat(np.arange(a, b), counts)
@@ -150,7 +169,7 @@ def rarity(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_entries(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, least: int, words: np.ndarray | None = None) -> DataFrame:
+def prefix_entries(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, least: int, words: np.ndarray | None = None, sets_of=line_sets) -> DataFrame:
     """(word, set, n, place, sig, k, line, and s0 to s3 if ``words`` is given): a row for each prefix word of each distinct set within a slice of rows, with its first line there.
 
     ``words``: a bit map of the words that are wanted (all where it isn't given).
@@ -160,7 +179,7 @@ def prefix_entries(docs: DataFrame, key: str, text: str, counts: np.ndarray, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, wanted = shared.value
         prefixes = _Prefixes(counts, percent, least)
-        for batch, a, b, (line, hashes, counts_, sets) in _rows(batches):
+        for batch, a, b, (line, hashes, counts_, sets) in _rows(batches, sets_of):
             owner = np.repeat(np.arange(a, b), counts_)
             number = np.arange(len(owner)) - np.repeat(np.cumsum(counts_) - counts_, counts_)
             k = batch.column(0).to_numpy(zero_copy_only=False)[owner]
@@ -178,11 +197,11 @@ def prefix_entries(docs: DataFrame, key: str, text: str, counts: np.ndarray, per
                 wide = wide_signatures(line[keep], hashes[keep], len(owner))[at].view(np.int64)
                 more = [pa.array(np.ascontiguousarray(wide[:, w])) for w in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((word >> np.uint64(WORD_BITS - 32)).astype(np.uint32).view(np.int32)), pa.array(sets[at].view(np.int64)), pa.array(size[at].astype(np.int32)), pa.array(place.astype(np.int16)), pa.array(sig[at].view(np.int64)), pa.array(k[at]), pa.array(number[at].astype(np.int32)), *more],
+                [pa.array((word >> np.uint64(WORD_BITS - 32)).astype(np.uint32).view(np.int32)), pa.array(sets[at].view(np.int64)), pa.array(size[at].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sig[at].view(np.int64)), pa.array(k[at]), pa.array(number[at].astype(np.int32)), *more],
                 names=["word", "set", "n", "place", "sig", "k", "line", *WIDE[: len(more)]],
             )
 
-    types = "word int, set bigint, n int, place smallint, sig bigint, k bigint, line int" + "".join(f", {w} bigint" for w in WIDE if words is not None)
+    types = "word int, set bigint, n int, place int, sig bigint, k bigint, line int" + "".join(f", {w} bigint" for w in WIDE if words is not None)
     return docs.select(F.col(key).alias("k"), F.col(text)).mapInArrow(run, types)
 
 
@@ -307,7 +326,7 @@ def wide_signatures(line: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndar
     return out
 
 
-def sets_among(docs: DataFrame, text: str, chosen: DataFrame, least: int) -> DataFrame:
+def sets_among(docs: DataFrame, text: str, chosen: DataFrame, least: int, sets_of=line_sets) -> DataFrame:
     """(set, n, s0 to s3, words): number, 256-bit signature and words of the sets in ``chosen`` (column set), one row each.
 
     A bit map of the chosen sets, of fixed size, goes to all tasks, so that few other lines are shuffled.
@@ -316,7 +335,7 @@ def sets_among(docs: DataFrame, text: str, chosen: DataFrame, least: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for _, _, _, (line, hashes, _, sets) in _rows(batches):
+        for _, _, _, (line, hashes, _, sets) in _rows(batches, sets_of):
             size = np.bincount(line, minlength=len(sets))
             once = np.zeros(len(sets), bool)
             once[np.unique(sets, return_index=True)[1]] = True
@@ -353,7 +372,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return tx.checkpointed(both.where(F.floor((n - F.col("off")) / 2) >= F.ceil(percent * n / (100 + percent))).select("later", "earlier", "off"))
 
 
-def matched_sets(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, least: int) -> DataFrame:
+def matched_sets(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, least: int, sets_of=line_sets) -> DataFrame:
     """The sets whose first line has an earlier line with another set of the needed similarity.
 
     In turn, on whole sets: of each set its likeliest candidate; of those
@@ -361,14 +380,14 @@ def matched_sets(docs: DataFrame, key: str, text: str, counts: np.ndarray, perce
     """
 
     def candidates(most: int | None, skip: int = 0, words: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
-        rows = prefix_entries(docs, key, text, counts, percent, least, words)
+        rows = prefix_entries(docs, key, text, counts, percent, least, words, sets_of)
         dealt = rows.repartition("word").sortWithinPartitions("word")
         found = dealt.mapInArrow(_candidates(percent, most, skip, only), "later bigint, earlier bigint, more boolean")
         return tx.checkpointed(found.distinct())
 
     def matched_of(pairs: DataFrame) -> DataFrame:
         tx.release(docs)
-        sets = tx.checkpointed(sets_among(docs, text, _sets_of(pairs), least))
+        sets = tx.checkpointed(sets_among(docs, text, _sets_of(pairs), least, sets_of))
         likely = _likely(pairs, sets, percent)
         tx.release(docs)
         best = tx.checkpointed(likely.groupBy("later").agg(F.min_by("earlier", F.struct("off", "earlier")).alias("earlier")))
@@ -390,15 +409,16 @@ def matched_sets(docs: DataFrame, key: str, text: str, counts: np.ndarray, perce
     return matched
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, sets_of=line_sets) -> DataFrame:
     """(k, h, gone): for each row of which lines go, its key, the hash of its text, and the numbers of those lines (from 0).
 
     The order of lines: by key (null first), then by number. Lines of rows with
     the same key and number are at the same place: none is earlier.
+    ``sets_of``: what a row's lines and their words are.
     """
     body = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t is not null")
-    found = tx.checkpointed(lines_of(body, ["k", "h"], "t", min_words))
-    matched = matched_sets(body, "k", "t", rarity(found), percent, min_words)
+    found = tx.checkpointed(lines_of(body, ["k", "h"], "t", min_words, sets_of))
+    matched = matched_sets(body, "k", "t", rarity(found), percent, min_words, sets_of)
     lines = found.where("c is null").select("k", "h", "line", "set")
     firsts = lines.groupBy("set").agg(F.min(F.struct("k", "line")).alias("first"), F.count("*").alias("n"))
     later = firsts.join(matched.withColumn("also", F.lit(True)), "set", "left").where("n > 1 or also")

@@ -48,6 +48,30 @@ def test_near_duplicate_stage_equals_brute_force(stages):
     assert sorted(k for (k, _), c in zip(rows, parts) if k == c) == sorted(r["doc_id"] for r in stages[3].collect())
 
 
+def test_near_duplicate_stage_drops_all_of_similarity(spark):
+    import random
+
+    rng = random.Random(8)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    rows = [(1, ""), (2, "One two"), (3, "one  TWO"), (4, "two one")]
+    for k in range(60):
+        base = [f"b{rng.randrange(5000)}" for _ in range(rng.randrange(20, 300))]
+        for j in range(3):
+            text = list(base)
+            for _ in range(rng.choice([1, 2, 3, 5]) * j):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(5000)}"
+            rows.append((10 + rng.randrange(10**6), " ".join(text)))
+    sets = {k: shingles(t) for k, t in rows if t}
+    near = {k for k, s in sets.items() if any(j < k and 10 * len(s & o) >= 8 * len(s | o) for j, o in sets.items())}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    from equilens.llm.neardup import keep_one
+
+    simhash = {r["doc_id"] for r in keep_one(docs, shingle=5).select("doc_id").collect()}
+    assert simhash & near  # those that 3 bits leave
+    got = [r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got) == sorted(simhash - near)
+
+
 def test_decontamination_stage_equals_brute_force(spark, stages):
     from test_tokens_language_overlap import brute
 
