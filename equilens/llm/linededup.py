@@ -3,7 +3,9 @@
 A line is the set of its words (runs of digits, letters A-Z lower-cased, and
 characters beyond ASCII). A line is removed if an earlier line, in this or an
 earlier document, has a set whose Jaccard similarity with it is at least the
-threshold; lines of fewer than ``min_words`` distinct words stay.
+threshold. Lines of fewer than ``min_words`` distinct words only go if the sets
+are equal and the line's words have ``min_bytes`` bytes or more: in scripts
+without spaces a long line is one word.
 
 Equal sets are one class. Classes are joined by prefix filtering: words are
 ordered by rarity (a table of counts over all lines, by hash class of words,
@@ -55,13 +57,15 @@ def _line_offsets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([begins, at[-1:]]), counts
 
 
-def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line: line of each word, its hash (of WORD_BITS; sorted by line and hash), lines per row, and the sets' hashes by line."""
+def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each line: line of each word, its hash (of WORD_BITS; sorted by line and hash), lines per row, and by line the sets' hashes and the bytes of all words."""
     offsets, counts = _line_offsets(data, at)
-    _, _, hashes, before = tx.words(data, offsets, tx.ALNUM)
+    _, length, hashes, before = tx.words(data, offsets, tx.ALNUM)
     lines = len(offsets) - 1
-    line, hashes = _sorted_distinct(np.repeat(np.arange(lines), np.diff(before)), hashes >> np.uint64(64 - WORD_BITS), lines)
-    return line, hashes, counts, _set_hashes(line, hashes, lines)
+    line = np.repeat(np.arange(lines), np.diff(before))
+    size = np.bincount(line, weights=length, minlength=lines)
+    line, hashes = _sorted_distinct(line, hashes >> np.uint64(64 - WORD_BITS), lines)
+    return line, hashes, counts, _set_hashes(line, hashes, lines), size
 
 
 def _set_hashes(line: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
@@ -85,11 +89,12 @@ def _sorted_distinct(line: np.ndarray, value: np.ndarray, lines: int) -> tuple[n
     return line[new], value[new]
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``line_sets``, with each whole row as one line and its shingles (runs of ``shingle`` words between white space; all words where there are fewer) as its words."""
-    _, _, words, before = tx.words(data, at, tx.SOLID)
+    _, length, words, before = tx.words(data, at, tx.SOLID)
     rows = len(at) - 1
     row = np.repeat(np.arange(rows), np.diff(before))
+    size = np.bincount(row, weights=length, minlength=rows)
     place, end = np.arange(len(words)), before[1:][row]
     whole = np.zeros(len(words), np.uint64)
     for i, m in enumerate(tx.multipliers(shingle)[:shingle]):
@@ -97,7 +102,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = 5) -> tuple[np
         whole[inside] += m * words[inside + i]
     begins = (place + shingle <= end) | (place == before[row])
     row, hashes = _sorted_distinct(row[begins], tx.mix64(whole[begins]) >> np.uint64(64 - WORD_BITS), rows)
-    return row, hashes, np.ones(rows, np.int64), _set_hashes(row, hashes, rows)
+    return row, hashes, np.ones(rows, np.int64), _set_hashes(row, hashes, rows), size
 
 
 def _rows(batches: Iterator[pa.RecordBatch], sets_of):
@@ -138,19 +143,19 @@ class _Prefixes:
         return size, signature, line[take], hashes[take], place[take]
 
 
-def lines_of(docs: DataFrame, row: list[str], text: str, least: int, sets_of=line_sets) -> DataFrame:
-    """(row columns, line, set, c, n): the lines of at least ``least`` distinct words with the hash of their set; and, as rows with a word class c, the number n of lines that have its words."""
+def lines_of(docs: DataFrame, row: list[str], text: str, least: int, min_bytes: int, sets_of=line_sets) -> DataFrame:
+    """(row columns, line, set, c, n): the lines of at least ``least`` distinct words, or of ``min_bytes`` bytes of words, with the hash of their set; and, as rows with a word class c, the number n of lines that have its words."""
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in row), "line int, set bigint, c int, n bigint"])
     names = [*row, "line", "set", "c", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kinds = np.zeros(RARITY, np.int64), None
-        for batch, a, b, (line, hashes, counts, sets) in _rows(batches, sets_of):
+        for batch, a, b, (line, hashes, counts, sets, size) in _rows(batches, sets_of):
             total += np.bincount((hashes >> CLASS_SHIFT).astype(np.int64), minlength=RARITY)
             kinds = [c.type for c in batch.columns[: len(row)]]
             owner = np.repeat(np.arange(a, b), counts)
             number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = np.flatnonzero(np.bincount(line, minlength=len(owner)) >= least)
+            keep = np.flatnonzero((np.bincount(line, minlength=len(owner)) >= least) | (size >= min_bytes))
             of = pa.array(owner[keep])
             own = [*(batch.column(i).take(of) for i in range(len(row))), pa.array(number[keep].astype(np.int32)), pa.array(sets[keep].view(np.int64))]
             yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(keep), pa.int32()), pa.nulls(len(keep), pa.int64())], names=names)
@@ -179,7 +184,7 @@ def prefix_entries(docs: DataFrame, key: str, text: str, counts: np.ndarray, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, wanted = shared.value
         prefixes = _Prefixes(counts, percent, least)
-        for batch, a, b, (line, hashes, counts_, sets) in _rows(batches, sets_of):
+        for batch, a, b, (line, hashes, counts_, sets, _) in _rows(batches, sets_of):
             owner = np.repeat(np.arange(a, b), counts_)
             number = np.arange(len(owner)) - np.repeat(np.cumsum(counts_) - counts_, counts_)
             k = batch.column(0).to_numpy(zero_copy_only=False)[owner]
@@ -335,7 +340,7 @@ def sets_among(docs: DataFrame, text: str, chosen: DataFrame, least: int, sets_o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for _, _, _, (line, hashes, _, sets) in _rows(batches, sets_of):
+        for _, _, _, (line, hashes, _, sets, _) in _rows(batches, sets_of):
             size = np.bincount(line, minlength=len(sets))
             once = np.zeros(len(sets), bool)
             once[np.unique(sets, return_index=True)[1]] = True
@@ -409,7 +414,7 @@ def matched_sets(docs: DataFrame, key: str, text: str, counts: np.ndarray, perce
     return matched
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, sets_of=line_sets) -> DataFrame:
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, min_bytes: int = 30, sets_of=line_sets) -> DataFrame:
     """(k, h, gone): for each row of which lines go, its key, the hash of its text, and the numbers of those lines (from 0).
 
     The order of lines: by key (null first), then by number. Lines of rows with
@@ -417,7 +422,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     ``sets_of``: what a row's lines and their words are.
     """
     body = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t is not null")
-    found = tx.checkpointed(lines_of(body, ["k", "h"], "t", min_words, sets_of))
+    found = tx.checkpointed(lines_of(body, ["k", "h"], "t", min_words, min_bytes, sets_of))
     matched = matched_sets(body, "k", "t", rarity(found), percent, min_words, sets_of)
     lines = found.where("c is null").select("k", "h", "line", "set")
     firsts = lines.groupBy("set").agg(F.min(F.struct("k", "line")).alias("first"), F.count("*").alias("n"))
@@ -426,16 +431,18 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     return gone.select("k", "h", "line").distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, min_bytes: int = 30) -> DataFrame:
     """``docs`` with each text less the lines that an earlier line resembles, and n_lines and n_removed.
 
     ``percent``: the Jaccard similarity of word sets, in percent, from which
     lines match. A line goes if any earlier line matches it, whether or not
-    that one goes as well. Null texts stay null (0 lines); an empty text has
+    that one goes as well. A line of fewer than ``min_words`` distinct words only
+    matches a line of the same words, both with ``min_bytes`` (1 or more) bytes
+    of words; without any word it stays. Null texts stay null (0 lines); an empty text has
     one line, which stays. The kept lines are joined by line feeds as before.
     Columns of ``docs`` named like a result column are replaced.
     """
-    gone = removals(docs, key, text, percent, min_words).select(F.col("k").alias("__gk"), F.col("h").alias("__gh"), F.col("gone").alias("__gone"))
+    gone = removals(docs, key, text, percent, min_words, min_bytes).select(F.col("k").alias("__gk"), F.col("h").alias("__gh"), F.col("gone").alias("__gone"))
     kept = tx.others(docs, ["n_lines", "n_removed"])
     marked = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__k", F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))).withColumn("__h", F.xxhash64(text))
     joined = marked.join(gone, (F.col("__k") == F.col("__gk")) & (F.col("__h") == F.col("__gh")), "left")

@@ -77,6 +77,14 @@ def test_rest_pass_meets_all_that_the_first_pass_left(spark):
     assert got == want
 
 
+def test_equal_lines_of_few_words_go(spark):
+    chinese, thai, few = "本网站所有内容版权归本公司所有，未经许可不得转载", "สงวนลิขสิทธิ์ตามกฎหมายห้ามทำซ้ำ", "Alpha_bravo charlie delta " * 4
+    rows = [(1, f"{chinese}\nhome\n{few}"), (2, f"x\n{chinese}\n{thai}"), (3, f"{thai}\nhome\n{few.lower()}.\n{chinese[1:]}"), (4, "-" * 80 + "\n" + "-" * 80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (f"x\n{thai}", 1), 3: (f"home\n{chinese[1:]}", 2), 4: (rows[3][1], 0)}
+
+
 def brute_terms(text):
     return {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", (text or "").lower())}
 
