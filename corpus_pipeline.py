@@ -43,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group (five-word shingles, at most 3 differing bits) the document of the smallest id stays, unless a document of a smaller id has shingles of Jaccard similarity 0.8 or more (an exact join)."""
-    near = removals(docs.where("doc_id is not null").select("doc_id", "text"), min_words=1, sets_of=shingle_sets).select(F.col("k").alias("doc_id"), F.col("h").alias("__near"))
+    near = removals(docs.where("doc_id is not null").select("doc_id", "text"), min_words=1, sets_of=shingle_sets, seldom=2).select(F.col("k").alias("doc_id"), F.col("h").alias("__near"))
     kept = keep_one(docs.select(*COLUMNS), shingle=5).withColumn("__near", F.xxhash64("text"))
     return kept.join(near, ["doc_id", "__near"], "left_anti").select(*COLUMNS)
 

@@ -7,14 +7,22 @@ threshold. Lines of fewer than ``min_words`` distinct words only go if the sets
 are equal and the line's words have ``min_bytes`` bytes or more: in scripts
 without spaces a long line is one word.
 
-Equal sets are one class. Classes are joined by prefix filtering: words are
-ordered by rarity (a table of counts over all lines, by hash class of words,
-gives the order; ties by hash), two sets of the needed similarity share a word
-among their first n - ceil(t n) + 1, and the length filter, the positional
-filter, and a bound on the overlap from 64-bit signatures of the sets leave few
-pairs. These are verified on the whole sets. As a line only needs one earlier
-match, each class first meets its few earliest candidates of every shared word;
-the rest of its candidates are only looked at where none of those matches.
+Equal sets (by two 64-bit hashes) are one class. Classes are joined by prefix
+filtering. Words are ordered by rarity: every word's lines are counted, the
+KNOWN_WORDS most frequent words are broadcast in the order of their counts, and
+all others, which are rarer, come before them in the order of their hashes. Of
+two sets of the needed similarity the larger one has a shared word among its
+first n - ceil(t n) + 1 (probe), the smaller one among its first
+n - ceil(2 t / (1 + t) n) + 1 (index). The rows of these words are dealt out by
+word; a word of more than HOT_ROWS lines is split into a grid of cells, in one of
+which each pair meets. Where sets meet, the length filter, the positional filter
+and a bound on the overlap from 128-bit signatures leave few pairs; a set leaves
+with its first few candidates only, as it needs one match. These are verified on
+the whole sets. Sets without a match that have more candidates meet all of them
+in a second round.
+
+Words are 43-bit hashes, within a word's rows told apart by 32 bits (a clash only
+costs a comparison).
 """
 
 from __future__ import annotations
@@ -28,23 +36,32 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-#: Hash classes of words in the table of counts that orders words by rarity.
-RARITY = 1 << 16
-#: Earliest candidates of each shared word that a class meets first.
-FIRST_CANDIDATES = 3
-#: Pairs of an overlong list of lines that are compared at once.
+#: The most frequent words, whose order is broadcast (a bound on the table, not on the words that are joined).
+KNOWN_WORDS = 1 << 18
+#: Candidates by each shared word with which a class leaves the first round.
+FIRST_CANDIDATES = 6
+#: Lines of a word from which its rows are split into cells of about that many.
+HOT_ROWS = 1 << 17
+#: Rows of words that are looked at together, about.
+BUCKET_ROWS = 1 << 17
+#: Pairs that are compared at once.
 PAIR_BLOCK = 1 << 17
-#: Rows of words that are looked at together.
-CHUNK_ROWS = 300_000
-#: Slots of the bit map that tells which classes are candidates (a bound on what is broadcast, not on them).
-CANDIDATE_BITS = 1 << 23
-
-#: Columns of a 256-bit signature.
-WIDE = ("s0", "s1", "s2", "s3")
-#: A word's hash within a line's set: so many bits, as lines of a slice and words are sorted together in 64 bits.
-WORD_BITS = 44
+#: Rows of words, and distinct words, that a task gathers before it passes them on.
+GATHER = 1 << 19
+#: Slots of the bit maps that tell which classes, words and rows are wanted (a bound on what is broadcast, not on them).
+MAP_BITS = 1 << 23
+#: Classes of the most lines that are broadcast, so that no task gets all lines of one.
+HOT_CLASSES = 1 << 16
+
+#: Bits of a word's hash within a line's set: lines of a slice, words and their ranks are sorted together in 64 bits.
+WORD_BITS = 43
 LOW = np.uint64((1 << WORD_BITS) - 1)
-CLASS_SHIFT = np.uint64(WORD_BITS - 16)
+KEY_BITS = np.uint64(WORD_BITS + 1)
+#: Parts that counted words are dealt into, as bits of the hash.
+PART_BITS = 12
+PROBE, INDEX = 1, 2
+#: Columns of a word's rows as they are shipped.
+ENTRY = {"word": "u4", "set": "u8", "n": "u4", "place": "u4", "role": "u1", "k": "i8", "line": "i4", "s0": "u8", "s1": "u8"}
 
 
 def _line_offsets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +75,7 @@ def _line_offsets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line: line of each word, its hash (of WORD_BITS; sorted by line and hash), lines per row, and by line the sets' hashes and the bytes of all words."""
+    """Distinct words of each line: line of each word, its hash (of WORD_BITS; sorted by line and hash), lines per row, and by line the sets' two hashes and the bytes of all words."""
     offsets, counts = _line_offsets(data, at)
     _, length, hashes, before = tx.words(data, offsets, tx.ALNUM)
     lines = len(offsets) - 1
@@ -69,19 +86,21 @@ def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _set_hashes(line: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
-    total = np.zeros(lines, np.uint64)
+    """Two hashes (lines x 2) of each line's set."""
+    total = np.zeros((lines, 2), np.uint64)
     if len(line):
         first = np.flatnonzero(np.diff(line, prepend=-1))
-        total[line[first]] = np.add.reduceat(tx.mix64(hashes + np.uint64(1)), first)
+        for way, turn in enumerate((1, 1 << 50)):
+            total[line[first], way] = np.add.reduceat(tx.mix64(hashes + np.uint64(turn)), first)
     return tx.mix64(total)
 
 
 def _sorted_distinct(line: np.ndarray, value: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of line and value (below 2 ** WORD_BITS), sorted."""
-    if lines < 1 << (63 - WORD_BITS):
-        key = np.sort((line.astype(np.uint64) << np.uint64(WORD_BITS)) | value)
+    """Distinct pairs of line and value (below 2 ** (WORD_BITS + 1)), sorted."""
+    if lines < 1 << (63 - int(KEY_BITS)):
+        key = np.sort((line.astype(np.uint64) << KEY_BITS) | value)
         key = key[np.diff(key, prepend=~key[:1]) != 0]
-        return (key >> np.uint64(WORD_BITS)).astype(np.int64), key & LOW
+        return (key >> KEY_BITS).astype(np.int64), key & np.uint64((1 << int(KEY_BITS)) - 1)
     order = np.lexsort((value, line))  # a single text of very many lines
     line, value = line[order], value[order]
     new = np.ones(len(line), bool)
@@ -112,323 +131,483 @@ def _rows(batches: Iterator[pa.RecordBatch], sets_of):
             yield batch, a, b, sets_of(data, at[a : b + 1])
 
 
+def _owners(a: int, b: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each line, and its number within the row."""
+    owner = np.repeat(np.arange(a, b), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of sets of a and b words: the least o with o / (a + b - o) >= percent / 100."""
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-class _Prefixes:
-    """Prefix entries of lines. Words are ordered by the rank of their class by count, then by hash."""
+def _probe_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - (-(-percent * n // 100)) + 1
 
-    def __init__(self, counts: np.ndarray, percent: int, least: int):
-        self.by_rank = np.argsort(counts, kind="stable").astype(np.uint64)
-        self.rank = np.zeros(RARITY, np.uint64)
-        self.rank[self.by_rank.astype(np.int64)] = np.arange(RARITY, dtype=np.uint64)
-        self.percent, self.least = percent, least
 
-    def of(self, line: np.ndarray, hashes: np.ndarray, lines: int):
-        """Size and signature of each line's set; line, hash and position of the prefixes' words."""
-        size = np.bincount(line, minlength=lines)
-        signature = np.zeros(lines, np.uint64)
-        if len(line):
-            first = np.flatnonzero(np.diff(line, prepend=-1))
-            signature[line[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), first)
-        rest = np.uint64((1 << int(CLASS_SHIFT)) - 1)
-        ranked = (self.rank[(hashes >> CLASS_SHIFT).astype(np.int64)] << CLASS_SHIFT) | (hashes & rest)
-        line, ranked = _sorted_distinct(line, ranked, lines)
-        hashes = (self.by_rank[(ranked >> CLASS_SHIFT).astype(np.int64)] << CLASS_SHIFT) | (ranked & rest)
-        place = np.arange(len(line)) - np.searchsorted(line, np.arange(lines))[line]
-        length = size - (-(-self.percent * size // 100)) + 1
-        take = (place < length[line]) & (size[line] >= self.least)
-        return size, signature, line[take], hashes[take], place[take]
+def _index_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - (-(-2 * percent * n // (100 + percent))) + 1
 
 
-def lines_of(docs: DataFrame, row: list[str], text: str, least: int, min_bytes: int, sets_of=line_sets) -> DataFrame:
-    """(row columns, line, set, c, n): the lines of at least ``least`` distinct words, or of ``min_bytes`` bytes of words, with the hash of their set; and, as rows with a word class c, the number n of lines that have its words."""
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in row), "line int, set bigint, c int, n bigint"])
-    names = [*row, "line", "set", "c", "n"]
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length, byte by byte (all first bytes, all second bytes, and so on): what hardly varies compresses well."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, kinds = np.zeros(RARITY, np.int64), None
-        for batch, a, b, (line, hashes, counts, sets, size) in _rows(batches, sets_of):
-            total += np.bincount((hashes >> CLASS_SHIFT).astype(np.int64), minlength=RARITY)
-            kinds = [c.type for c in batch.columns[: len(row)]]
-            owner = np.repeat(np.arange(a, b), counts)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = np.flatnonzero((np.bincount(line, minlength=len(owner)) >= least) | (size >= min_bytes))
-            of = pa.array(owner[keep])
-            own = [*(batch.column(i).take(of) for i in range(len(row))), pa.array(number[keep].astype(np.int32)), pa.array(sets[keep].view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(keep), pa.int32()), pa.nulls(len(keep), pa.int64())], names=names)
-        if kinds is not None:
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), t) for t in (*kinds, pa.int32(), pa.int64())), pa.array(used.astype(np.int32)), pa.array(total[used])], names=names)
 
-    return docs.select(*row, F.col(text)).mapInArrow(run, fields)
+def unpack(blobs: list[bytes], types: list[str]) -> list[np.ndarray]:
+    kinds = [np.dtype(t) for t in types]
+    width = sum(t.itemsize for t in kinds)
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in blobs:
+        planes, at = np.frombuffer(blob, np.uint8), 0
+        n = len(planes) // width
+        for kind, to in zip(kinds, out):
+            to.append(np.ascontiguousarray(planes[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).reshape(n))
+            at += n * kind.itemsize
+    return [np.concatenate(x) for x in out]
 
 
-def rarity(lines: DataFrame) -> np.ndarray:
-    """Lines by word class, from the rows of ``lines_of`` that have one."""
-    out = np.zeros(RARITY, np.int64)
-    got = lines.where("c is not null").groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most RARITY rows
-    out[got["c"]] = got["n"]
-    return out
+def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    word, n = np.concatenate(words), np.concatenate(counts)
+    order = np.argsort(word, kind="stable")
+    word, n = word[order], n[order]
+    first = np.flatnonzero(np.diff(word, prepend=~word[:1]))
+    return word[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def prefix_entries(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, least: int, words: np.ndarray | None = None, sets_of=line_sets) -> DataFrame:
-    """(word, set, n, place, sig, k, line, and s0 to s3 if ``words`` is given): a row for each prefix word of each distinct set within a slice of rows, with its first line there.
+def lines_of(docs: DataFrame, least: int, min_bytes: int, percent: int, sets_of=line_sets, seldom: int = 1) -> DataFrame:
+    """The lines that can go, as rows with a set; and, as rows with a part, how many lines have each word.
 
-    ``words``: a bit map of the words that are wanted (all where it isn't given).
+    Lines: (k, h, line, set, set2), of at least ``least`` distinct words or of
+    ``min_bytes`` bytes of words. Parts: (part, words: their hashes and counts, packed,
+    and entries: the number of rows of prefix words to come). Words of which
+    a task has fewer than ``seldom`` lines aren't counted.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((counts, words))  # RARITY counts, CANDIDATE_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, wanted = shared.value
-        prefixes = _Prefixes(counts, percent, least)
-        for batch, a, b, (line, hashes, counts_, sets, _) in _rows(batches, sets_of):
-            owner = np.repeat(np.arange(a, b), counts_)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(counts_) - counts_, counts_)
-            k = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            # equal sets of a slice: the first line by key and line speaks for all
-            order = np.lexsort((number, k, sets))
-            first = np.zeros(len(owner), bool)
-            first[order[np.diff(sets[order], prepend=~sets[order[:1]]) != 0]] = True
-            keep = first[line]
-            size, sig, at, word, place = prefixes.of(line[keep], hashes[keep], len(owner))
-            if wanted is not None:
-                hit = in_bitmap(wanted, word >> np.uint64(WORD_BITS - 32))
-                at, word, place = at[hit], word[hit], place[hit]
-            more = []
-            if wanted is not None:
-                wide = wide_signatures(line[keep], hashes[keep], len(owner))[at].view(np.int64)
-                more = [pa.array(np.ascontiguousarray(wide[:, w])) for w in range(4)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((word >> np.uint64(WORD_BITS - 32)).astype(np.uint32).view(np.int32)), pa.array(sets[at].view(np.int64)), pa.array(size[at].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sig[at].view(np.int64)), pa.array(k[at]), pa.array(number[at].astype(np.int32)), *more],
-                names=["word", "set", "n", "place", "sig", "k", "line", *WIDE[: len(more)]],
-            )
+        held, counts, size, entries = [], [], 0, 0
+
+        def counted():
+            word, n = _summed(held, counts)
+            often = n >= seldom
+            word, n = word[often], n[often]
+            edge = np.searchsorted(word, np.arange((1 << PART_BITS) + 1, dtype=np.uint64) << np.uint64(WORD_BITS - PART_BITS))
+            parts = np.flatnonzero(np.diff(edge))
+            blobs = [pack([word[a:b], n[a:b].astype(np.uint32)]) for a, b in zip(edge[parts], edge[parts + 1])]
+            none = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(parts.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(parts), pa.int64())], names=names)
+
+        names = ["k", "h", "line", "set", "set2", "part", "words", "entries"]
+        for batch, a, b, (line, hashes, per_row, sets, bytes_) in _rows(batches, sets_of):
+            owner, number = _owners(a, b, per_row)
+            n = np.bincount(line, minlength=len(owner))
+            entries += int(_probe_length(n[n >= least], percent).sum())
+            word, times = np.unique(hashes, return_counts=True)
+            held.append(word)
+            counts.append(times)
+            size += len(word)
+            if size > 8 * GATHER:
+                one = _summed(held, counts)
+                held, counts, size = [one[0]], [one[1]], len(one[0])
+                if size > 4 * GATHER:
+                    yield counted()
+                    held, counts, size = [], [], 0
+            keep = np.flatnonzero((n >= least) | (bytes_ >= min_bytes))
+            of = pa.array(owner[keep])
+            own = [batch.column(0).take(of), batch.column(1).take(of), pa.array(number[keep].astype(np.int32)), *(pa.array(np.ascontiguousarray(sets[keep, w]).view(np.int64)) for w in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(keep), t) for t in (pa.int32(), pa.binary(), pa.int64()))], names=names)
+        if held:
+            yield counted()
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([entries], pa.int64())], names=names)
 
-    types = "word int, set bigint, n int, place int, sig bigint, k bigint, line int" + "".join(f", {w} bigint" for w in WIDE if words is not None)
-    return docs.select(F.col(key).alias("k"), F.col(text)).mapInArrow(run, types)
+    return docs.select("k", "h", "t").mapInArrow(run, "k bigint, h bigint, line int, set bigint, set2 bigint, part int, words binary, entries bigint")
 
 
-def _candidates(percent: int, most: int | None, skip: int = 0, only: np.ndarray | None = None):
-    """Pairs (later, earlier) of the sets that share a prefix word and pass the filters: of each later set its ``most`` earliest partners by that word, or all but the ``skip`` earliest.
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The packed rows (second column) of each run of equal keys (first column)."""
+    key, blobs = None, []
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if k != key and blobs:
+                yield blobs
+                blobs = []
+            key = k
+            blobs.append(blob.as_py())
+    if blobs:
+        yield blobs
 
-    Where a set has more partners by a word than ``most``, a row of the set and the word says so (more).
 
-    Rows come sorted by word; CHUNK_ROWS or more are taken at a time, up to the
-    last word that is complete, and put in the order of their lines.
-    ``only``: a bit map of the later sets that are wanted.
-    """
-
-    def pairs_of(word, sets, n, place, sig, wide):
-        """Within runs of equal words, all filtered pairs by distance, until each row has its candidates."""
-        later, earlier = [], []
-        rows = len(word)
-        begin = np.flatnonzero(np.diff(word.astype(np.int64), prepend=np.int64(-(1 << 40))))
-        start = np.repeat(begin, np.diff(np.append(begin, rows)))
-        found = np.zeros(rows, np.int64)
-        more = np.zeros(rows, bool)
-        # partners in order: the e-th row of the run, for e = 0, 1, ...
-        open_ = np.flatnonzero(np.arange(rows) > start)
-        if only is not None:
-            open_ = open_[in_bitmap(only, sets[open_].view(np.uint64))]
-        e = 0
-        while len(open_):
-            width = max(1, min(int((open_ - start[open_]).max()) - e, PAIR_BLOCK // len(open_)))
-            other = start[open_][:, None] + e + np.arange(width)[None, :]
-            real = other < open_[:, None]
-            other = np.where(real, other, 0)
-            a, b = n[open_][:, None], n[other]
-            need = _needed(a, b, percent)
-            ok = real & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            ok &= np.minimum(a - place[open_][:, None], b - place[other]) >= need  # from the first shared word on
-            ok &= (a + b - np.bitwise_count(sig[open_][:, None] ^ sig[other])) // 2 >= need
-            ok &= sets[open_][:, None] != sets[other]
-            order = np.cumsum(ok, 1) + found[open_][:, None]
-            keep = ok & (order > skip)
-            if most is not None:
-                keep &= order <= most
-                more[open_] |= (ok & (order > most)).any(1)
-            r, c = np.nonzero(keep)
-            if wide:  # on the pairs that are left: order counts the same pairs with and without wide signatures
-                off = sum(np.bitwise_count(w[open_[r]] ^ w[other[r, c]]).astype(np.int64) for w in wide)
-                likely = (n[open_[r]] + n[other[r, c]] - off) // 2 >= need[r, c]
-                r, c = r[likely], c[likely]
-            later.append(sets[open_[r]])
-            earlier.append(sets[other[r, c]])
-            found[open_] = order[:, -1]
-            e += width
-            open_ = open_[open_ - start[open_] > e]
-            if most is not None:
-                open_ = open_[~more[open_]]
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *later]), np.concatenate([none, *earlier]), sets[more], word[more]
-
-    def emit(cols):
-        word, sets, n, place, sig, k, line, *wide = cols
-        # words of a single row have no pairs
-        same = word[1:] == word[:-1]
-        shared = np.zeros(len(word), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        at = np.flatnonzero(shared)
-        at = at[np.lexsort((sets[at], line[at], k[at], word[at]))]
-        # of equal sets of a word the first row speaks for all
-        at = at[np.sort(np.unique(sets[at].view(np.uint64) ^ tx.mix64(word[at].astype(np.int64).view(np.uint64)), return_index=True)[1])]
-        word, sets, n, place, sig = (x[at] for x in (word, sets, n, place, sig))
-        later, earlier, more, by = pairs_of(word, sets, n.astype(np.int64), place.astype(np.int64), sig.view(np.uint64), [w[at].view(np.uint64) for w in wide])
-        both = np.concatenate([later, more]), np.concatenate([earlier, by.view(np.uint32).astype(np.int64)])
-        flag = np.arange(len(both[0])) >= len(later)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(flag)], names=["later", "earlier", "more"])
+def word_counts(found: DataFrame) -> DataFrame:
+    """(word, n): the words of two lines or more, and their lines, from the parts of ``lines_of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            size += batch.num_rows
-            if size >= CHUNK_ROWS:
-                cols = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-                held, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
-                if cut:
-                    yield emit([c[:cut] for c in cols])
-        if size:
-            yield emit([np.concatenate(x) for x in zip(*held)])
+        for blobs in _grouped(batches):
+            word, n = unpack(blobs, ["u8", "u4"])
+            word, n = _summed([word], [n.astype(np.int64)])
+            often = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], names=["word", "n"])
 
-    return run
+    parts = found.where("part is not null").select("part", "words")
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "word bigint, n bigint")
 
 
-def bitmap(values: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the slots of unsigned values of ``bits`` bits (the one column of ``values``, as long): CANDIDATE_BITS wide, whatever their number."""
-    down = np.uint64(bits - (CANDIDATE_BITS.bit_length() - 1))
+def _highest(table: DataFrame, most: int) -> float:
+    """The least of a scale of values of n (16 a power of two) at or above which the table has at most ``most`` rows."""
+    level = F.floor(F.log2("n") * 16).alias("level")
+    rows, limit = 0, 1 << 10
+    for r in sorted(table.groupBy(level).count().collect(), reverse=True):  # at most 1,024 rows
+        if rows + r["count"] > most:
+            break
+        rows, limit = rows + r["count"], r["level"]
+    return limit
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = np.unique(batch.column(0).to_numpy().view(np.uint64) >> down)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["w", "b"])
 
-    got = values.mapInArrow(slots, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most CANDIDATE_BITS / 64 rows
-    table = np.zeros(CANDIDATE_BITS // 64 + 1, np.uint64)
-    table[got["w"]] = got["b"].to_numpy(np.int64).view(np.uint64)
-    table[-1] = bits
-    return table
+def known_words(counts: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words by rising count (ties by hash), and into how many cells a side each is split."""
+    least = _highest(counts, KNOWN_WORDS)
+    got = counts.where(F.floor(F.log2("n") * 16) >= least).toPandas()  # at most KNOWN_WORDS rows
+    word, n = got["word"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.lexsort((word, n))
+    return word[order], np.maximum(1, -(-n[order] // hot)).astype(np.int32)
 
 
-def in_bitmap(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values >> np.uint64(int(table[-1]) - (CANDIDATE_BITS.bit_length() - 1))
-    return ((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+class _Prefixes:
+    """Prefix words of lines. Words are ordered by rank, those without one before them by hash."""
+
+    def __init__(self, ranked: np.ndarray, cells: np.ndarray, percent: int):
+        self.ranked, self.cells, self.percent = ranked, cells, percent
+        self.rank = np.argsort(ranked)
+        self.hashes = ranked[self.rank]
+        self.start = np.searchsorted(self.hashes, np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(WORD_BITS - 20))
+
+    def _ranks(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes >> np.uint64(WORD_BITS - 20)).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        out = np.full(len(hashes), -1)
+        todo = np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            same = self.hashes[at] == hashes[todo]
+            out[todo[same]] = self.rank[at[same]]
+            go = ~same & (at + 1 < end)
+            todo, at, end = todo[go], at[go] + 1, end[go]
+        return out
 
+    def of(self, line: np.ndarray, hashes: np.ndarray, lines: int):
+        """Sizes of the lines' sets; line, hash, position and rank (-1 for none) of their probe words."""
+        size = np.bincount(line, minlength=lines)
+        rank = self._ranks(hashes)
+        line, key = _sorted_distinct(line, np.where(rank >= 0, np.uint64(1 << WORD_BITS) + rank.astype(np.uint64), hashes), lines)
+        place = np.arange(len(line)) - np.searchsorted(line, np.arange(lines))[line]
+        take = place < _probe_length(size, self.percent)[line]
+        line, key, place = line[take], key[take], place[take]
+        rank = np.where(key >> np.uint64(WORD_BITS), key & LOW, 0).astype(np.int64) - (key >> np.uint64(WORD_BITS) == 0)
+        hashes = key.copy()
+        hashes[rank >= 0] = self.ranked[rank[rank >= 0]]
+        return size, line, hashes, place, rank
 
-def wide_signatures(line: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
-    """256-bit signatures (lines x 4) of lines: the parity of their words by hash."""
-    out = np.zeros((lines, 4), np.uint64)
+
+def signatures(line: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
+    """128-bit signatures (lines x 2): the parity of a line's words by hash. Sets differ in at least as many words as their signatures in bits."""
+    out = np.zeros((lines, 2), np.uint64)
     if len(line):
         first = np.flatnonzero(np.diff(line, prepend=-1))
-        slot = (hashes >> np.uint64(8)) & np.uint64(255)
+        slot = hashes & np.uint64(127)
         bit = np.uint64(1) << (slot & np.uint64(63))
-        for w in range(4):
+        for w in (0, 1):
             out[line[first], w] = np.bitwise_xor.reduceat(np.where((slot >> np.uint64(6)) == w, bit, np.uint64(0)), first)
     return out
 
 
-def sets_among(docs: DataFrame, text: str, chosen: DataFrame, least: int, sets_of=line_sets) -> DataFrame:
-    """(set, n, s0 to s3, words): number, 256-bit signature and words of the sets in ``chosen`` (column set), one row each.
+def in_bitmap(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the values' slots are set in a map that ``bitmap`` made."""
+    slot = tx.mix64(values) >> np.uint64(64 - (MAP_BITS.bit_length() - 1))
+    return ((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def bitmap(values: DataFrame) -> np.ndarray:
+    """A bit map of the hashed values of the one column of ``values`` (long): MAP_BITS wide, whatever their number. Where it is full, it tells nothing apart, and more rows are looked at."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(tx.mix64(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - (MAP_BITS.bit_length() - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["w", "b"])
+
+    got = values.mapInArrow(slots, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most MAP_BITS / 64 rows
+    table = np.zeros(MAP_BITS // 64, np.uint64)
+    table[got["w"]] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return table
 
-    A bit map of the chosen sets, of fixed size, goes to all tasks, so that few other lines are shuffled.
+
+def entries_of(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int, least: int, buckets: int, sets_of=line_sets, wanted: np.ndarray | None = None) -> DataFrame:
+    """(bucket, rows): for each prefix word of each distinct set within a slice of rows a row (ENTRY), packed by bucket of words.
+
+    ``wanted``: a bit map of the words that are wanted (all where it isn't given).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(chosen.select("set"), 64))
+    shared = docs.sparkSession.sparkContext.broadcast((*known, wanted))  # KNOWN_WORDS ranks, MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for _, _, _, (line, hashes, _, sets, _) in _rows(batches, sets_of):
-            size = np.bincount(line, minlength=len(sets))
-            once = np.zeros(len(sets), bool)
-            once[np.unique(sets, return_index=True)[1]] = True
-            hit = in_bitmap(table, sets) & (size >= least) & once
-            keep = hit[line]
-            wide = wide_signatures(line[keep], hashes[keep], len(sets))[hit].view(np.int64)
+        ranked, cells, wanted = shared.value
+        prefixes = _Prefixes(ranked, cells, percent)
+        held, size = [], 0
+
+        def packed():
+            cols = {c: np.concatenate([h[c] for h in held]) for c in ENTRY}
+            order = np.argsort(cols["word"], kind="stable")
+            cols = [cols[c][order] for c in ENTRY]
+            bucket = (cols[0].astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
+            at = np.append(np.flatnonzero(np.diff(bucket.view(np.int64), prepend=-1)), len(bucket))
+            blobs = [pack([c[a:b] for c in cols]) for a, b in zip(at, at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].view(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
+        for batch, a, b, (line, hashes, per_row, sets, _) in _rows(batches, sets_of):
+            owner, number = _owners(a, b, per_row)
+            k = batch.column(0).to_numpy(zero_copy_only=False)[owner]
+            # equal sets of a slice: the first line by key and number speaks for all
+            order = np.lexsort((number, k, sets[:, 1], sets[:, 0]))
+            some = sets[order]
+            first = np.zeros(len(owner), bool)
+            first[order[np.append(True, (some[1:] != some[:-1]).any(1))[: len(order)]]] = True
+            chosen = np.flatnonzero(first & (np.bincount(line, minlength=len(owner)) >= least))
+            new = np.full(len(owner), -1)
+            new[chosen] = np.arange(len(chosen))
+            keep = new[line] >= 0
+            line, hashes = new[line[keep]], hashes[keep]
+            n, at, word, place, rank = prefixes.of(line, hashes, len(chosen))
+            sig = signatures(line, hashes, len(chosen))
+            role = np.where(place < _index_length(n, percent)[at], PROBE | INDEX, PROBE).astype(np.uint8)
+            word = (word >> np.uint64(WORD_BITS - 32)).astype(np.uint32)
+            hot = np.flatnonzero((rank >= 0) & (cells[rank] > 1)) if len(cells) else np.zeros(0, np.int64)
+            if len(hot):
+                at, word, place, role = _dealt(hot, cells[rank[hot]], at, word, place, role, sets[chosen, 0])
+            if wanted is not None:
+                hit = in_bitmap(wanted, word.astype(np.uint64))
+                at, word, place, role = at[hit], word[hit], place[hit], role[hit]
+            of = chosen[at]
+            held.append({"word": word, "set": sets[of, 0], "n": n[at].astype(np.uint32), "place": place.astype(np.uint32), "role": role, "k": k[of], "line": number[of].astype(np.int32), "s0": sig[at, 0], "s1": sig[at, 1]})
+            size += len(word)
+            if size >= GATHER:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    return docs.select("k", "t").mapInArrow(run, "bucket bigint, rows binary")
+
+
+def _dealt(hot: np.ndarray, side: np.ndarray, at: np.ndarray, word: np.ndarray, place: np.ndarray, role: np.ndarray, sets: np.ndarray) -> tuple:
+    """Rows of hot words dealt into side x side cells: as an index row to a line of cells, as a probe row to a column, so that two rows meet in one cell."""
+    mine = tx.mix64(sets[at[hot]] ^ np.uint64(0x5851F42D4C957F2D))
+    out = []
+    for kind in (INDEX, PROBE):
+        of = np.flatnonzero(role[hot] & kind)
+        times = side[of].astype(np.int64)
+        row = np.repeat(of, times)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        own = (mine[row] % side[row].astype(np.uint64)).astype(np.int64)
+        cell = np.where(kind == INDEX, own * side[row] + turn, turn * side[row] + own)
+        mixed = tx.mix64((word[hot[row]].astype(np.uint64) << np.uint64(32)) + cell.astype(np.uint64) + np.uint64(1))
+        out.append((at[hot[row]], (mixed >> np.uint64(32)).astype(np.uint32), place[hot[row]], np.full(len(row), kind, np.uint8)))
+    rest = np.ones(len(at), bool)
+    rest[hot] = False
+    return tuple(np.concatenate([x[rest], *more]) for x, *more in zip((at, word, place, role), *out))
+
+
+def _meet(cols: list[np.ndarray], percent: int, most: int | None, only: np.ndarray | None):
+    """Candidates among the rows of a bucket: later and earlier row of pairs (numbers), the bits in which they differ, rows that have more candidates, and the rows' columns.
+
+    Of each later row the first ``most`` earlier ones that pass (None: all).
+    Rows are grouped by word and by band of sizes, so that similar sets are in the same
+    or in neighbouring bands, and sorted by their lines within a group.
+    """
+    none = np.zeros(0, np.int64)
+
+    def shared(word):
+        same = word[1:] == word[:-1]
+        return np.append(same, False) | np.insert(same, 0, False)
+
+    order = np.argsort(cols[0], kind="stable")
+    order = order[shared(cols[0][order])] if len(order) else order
+    word, sets, k, line = (cols[i][order] for i in (0, 1, 5, 6))
+    order = order[np.lexsort((line, k, sets, word))]
+    if not len(order):
+        return none, none, none, none, cols
+    word, sets = cols[0][order], cols[1][order]
+    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (sets[1:] != sets[:-1])))
+    role = np.bitwise_or.reduceat(cols[4][order], first)  # of equal sets the earliest speaks for all
+    word, sets, n, place, _, k, line, s0, s1 = (c[order[first]] for c in cols)
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    by_time = np.lexsort((line, k))
+    time = np.zeros(len(k), np.int64)
+    time[by_time] = np.cumsum(np.append(False, (k[by_time][1:] != k[by_time][:-1]) | (line[by_time][1:] != line[by_time][:-1])))
+    band = np.floor(np.log(n) / (1.0001 * np.log(100 / percent))).astype(np.int64) + 1 if percent < 100 else n + 1
+    group = (word.astype(np.int64) << 24) + band
+    order = np.lexsort((time, group))
+    word, sets, n, place, role, k, line, s0, s1, time, group = (x[order] for x in (word, sets, n, place, role, k, line, s0, s1, time, group))
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    kinds = group[begin]
+    dense = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(group))))
+    placed = (dense << 32) + time
+    found, more = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+    mine = np.ones(len(n), bool) if only is None else in_bitmap(only, sets)
+    probe, index = (role & PROBE) > 0, (role & INDEX) > 0
+    later, earlier, off = [none], [none], [none]
+    for step in (0, -1, 1):  # partners in the same band, in the one of smaller sets, in the one of larger sets
+        able = mine & ~more & (probe if step < 0 else index if step > 0 else True)
+        row = np.flatnonzero(able)
+        target = group[row] + step
+        at = np.minimum(np.searchsorted(kinds, target), len(kinds) - 1)
+        row, at = row[kinds[at] == target], at[kinds[at] == target]
+        low, high = begin[at], np.searchsorted(placed, (at << 32) + time[row])
+        row, low, high = (x[low < high] for x in (row, low, high))
+        if most == 0:
+            more[row] = True
+            continue
+        width = 8
+        while len(row):
+            count = np.minimum(width, high - low)
+            edge = np.append(0, np.cumsum(count))
+            c = 0
+            while c < len(row):  # the pairs of some rows at a time
+                to = max(c + 1, int(np.searchsorted(edge, edge[c] + PAIR_BLOCK, "right")) - 1)
+                i = np.repeat(np.arange(c, to), count[c:to])
+                j = low[i] + np.arange(edge[c], edge[to]) - edge[i]
+                i = row[i]
+                good = (index[j] & probe[i] & (n[j] <= n[i])) | (index[i] & probe[j] & (n[i] <= n[j]))
+                i, j = i[good], j[good]
+                need = _needed(n[i], n[j], percent)
+                good = np.minimum(n[i] - place[i], n[j] - place[j]) >= need  # from the first shared word on
+                good &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                i, j, need = i[good], j[good], need[good]
+                bits = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+                good = ((n[i] + n[j] - bits) // 2 >= need) & (sets[i] != sets[j])
+                i, j, bits = i[good], j[good], bits[good]
+                if most is not None and len(i):
+                    start = np.flatnonzero(np.diff(i, prepend=-1))
+                    nth = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) + found[i]
+                    found[i[start]] += np.diff(np.append(start, len(i)))
+                    i, j, bits = i[nth < most], j[nth < most], bits[nth < most]
+                later.append(i)
+                earlier.append(j)
+                off.append(bits)
+                c = to
+            low = low + count
+            if most is not None:
+                more[row[found[row] >= most]] = True
+            go = (low < high) & ~more[row]
+            row, low, high = row[go], low[go], high[go]
+            width = min(2 * width, PAIR_BLOCK)
+    return np.concatenate(later), np.concatenate(earlier), np.concatenate(off), np.flatnonzero(more), (word, sets, k)
+
+
+def candidates(entries: DataFrame, percent: int, most: int | None, only: np.ndarray | None = None) -> DataFrame:
+    """(later, earlier, later_k, earlier_k, off): candidate pairs of sets, with the keys of rows that have them; and rows with a word, for sets with more candidates by it than ``most``."""
+    shared = entries.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _grouped(batches):
+            i, j, off, more, (word, sets, k) = _meet(unpack(blobs, list(ENTRY.values())), percent, most, shared.value)
+            some = np.unique(sets[i] ^ tx.mix64(sets[j]), return_index=True)[1]
+            i, j, off = i[some], j[some], off[some]
+            own = np.concatenate([i, more])
+            nulls = len(more)
+            pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(nulls, t)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets[hit].view(np.int64)), pa.array(size[hit].astype(np.int32)), *(pa.array(np.ascontiguousarray(wide[:, w])) for w in range(4)), tx.list_array(pa.array(hashes[keep].view(np.int64)), size[hit])],
-                names=["set", "n", *WIDE, "words"],
+                [pa.array(sets[own].view(np.int64)), pad(sets[j].view(np.int64), pa.int64()), pa.array(k[own]), pad(k[j], pa.int64()), pad(off.astype(np.int32), pa.int32()), pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(word[more].astype(np.int64))])],
+                names=["later", "earlier", "later_k", "earlier_k", "off", "word"],
             )
 
-    found = docs.select(F.col(text)).mapInArrow(run, "set bigint, n int, " + ", ".join(f"{w} bigint" for w in WIDE) + ", words array<bigint>")
-    return found.join(chosen.select("set"), "set", "left_semi").groupBy("set").agg(*[F.first(c).alias(c) for c in found.columns[1:]])
+    dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "later bigint, earlier bigint, later_k bigint, earlier_k bigint, off int, word bigint")
 
 
-def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
-    """The pairs' later sets that have a verified earlier match, distinct."""
-    both = pairs.join(words.select(F.col("set").alias("later"), F.col("words").alias("a")), "later").join(words.select(F.col("set").alias("earlier"), F.col("words").alias("b")), "earlier")
-    overlap = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * overlap >= percent * (F.size("a") + F.size("b") - overlap)).select(F.col("later").alias("set")).distinct()
+def sets_among(docs: DataFrame, pairs: DataFrame, sets_of=line_sets) -> DataFrame:
+    """(set, set2, words): the words of the sets in ``pairs``, one row each.
 
+    Bit maps of the sets and of the rows that have them, of fixed size, go to
+    all tasks, so that few texts are cut into lines and few lines are shuffled.
+    """
+    chosen = pairs.select(F.explode(F.array(F.struct(F.col("later").alias("set"), F.col("later_k").alias("k")), F.struct(F.col("earlier").alias("set"), F.col("earlier_k").alias("k"))))).select("col.*").distinct()
+    chosen = tx.stored(chosen)
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(chosen.select("set")), bitmap(chosen.select("k"))))
 
-def _sets_of(pairs: DataFrame) -> DataFrame:
-    return tx.checkpointed(pairs.select(F.col("later").alias("set")).unionByName(pairs.select(F.col("earlier").alias("set"))).distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, rows = shared.value
+        some = (b.filter(pa.array(in_bitmap(rows, b.column(0).to_numpy().view(np.uint64)))) for b in batches)
+        for _, _, _, (line, hashes, _, sets, _) in _rows(some, sets_of):
+            size = np.bincount(line, minlength=len(sets))
+            once = np.zeros(len(sets), bool)
+            once[np.unique(sets, axis=0, return_index=True)[1]] = True
+            hit = in_bitmap(table, sets[:, 0]) & once
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(sets[hit, w]).view(np.int64)) for w in (0, 1)), tx.list_array(pa.array(hashes[hit[line]].view(np.int64)), size[hit])], names=["set", "set2", "words"])
 
+    found = docs.select("k", "t").mapInArrow(run, "set bigint, set2 bigint, words array<bigint>")
+    return found.join(chosen.select("set").distinct(), "set", "left_semi").groupBy("set", "set2").agg(F.first("words").alias("words"))
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose 256-bit signatures don't rule out the similarity, with off (bits that differ)."""
-    a = sets.select(F.col("set").alias("later"), F.col("n").alias("na"), *[F.col(w).alias(f"{w}a") for w in WIDE])
-    b = sets.select(F.col("set").alias("earlier"), F.col("n").alias("nb"), *[F.col(w).alias(f"{w}b") for w in WIDE])
-    off = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in WIDE[1:]), F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
-    n = F.col("na") + F.col("nb")
-    both = pairs.select("later", "earlier").join(a, "later").join(b, "earlier").withColumn("off", off)
-    return tx.checkpointed(both.where(F.floor((n - F.col("off")) / 2) >= F.ceil(percent * n / (100 + percent))).select("later", "earlier", "off"))
 
+def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """The pairs' later sets that have a verified earlier match: (set, set2), distinct."""
+    a = words.select(F.col("set").alias("later"), "set2", F.col("words").alias("a"))
+    b = words.select(F.col("set").alias("earlier"), F.col("words").alias("b"))
+    overlap = F.size(F.array_intersect("a", "b"))
+    both = pairs.select("later", "earlier").join(a, "later").join(b, "earlier")
+    return both.where(100 * overlap >= percent * (F.size("a") + F.size("b") - overlap)).select(F.col("later").alias("set"), "set2").distinct()
 
-def matched_sets(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, least: int, sets_of=line_sets) -> DataFrame:
-    """The sets whose first line has an earlier line with another set of the needed similarity.
+
+def matched_sets(docs: DataFrame, found: DataFrame, percent: int, least: int, sets_of=line_sets) -> DataFrame:
+    """(set, set2): the sets whose first line has an earlier line with another set of the needed similarity.
 
     In turn, on whole sets: of each set its likeliest candidate; of those
     without a match, their other first candidates; of those still without, all the rest.
     """
-
-    def candidates(most: int | None, skip: int = 0, words: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
-        rows = prefix_entries(docs, key, text, counts, percent, least, words, sets_of)
-        dealt = rows.repartition("word").sortWithinPartitions("word")
-        found = dealt.mapInArrow(_candidates(percent, most, skip, only), "later bigint, earlier bigint, more boolean")
-        return tx.checkpointed(found.distinct())
+    known = known_words(tx.stored(word_counts(found)), HOT_ROWS)
+    entries = found.agg(F.sum("entries")).first()[0] or 0
+    buckets = max(1, -(-int(entries) // BUCKET_ROWS))
 
     def matched_of(pairs: DataFrame) -> DataFrame:
-        tx.release(docs)
-        sets = tx.checkpointed(sets_among(docs, text, _sets_of(pairs), least, sets_of))
-        likely = _likely(pairs, sets, percent)
-        tx.release(docs)
-        best = tx.checkpointed(likely.groupBy("later").agg(F.min_by("earlier", F.struct("off", "earlier")).alias("earlier")))
-        matched = tx.checkpointed(_verified(best, sets, percent))
-        others = tx.checkpointed(likely.join(matched.select(F.col("set").alias("later")), "later", "left_anti").join(best, ["later", "earlier"], "left_anti").select("later", "earlier"))
-        return matched if others.isEmpty() else tx.checkpointed(matched.unionByName(_verified(others, sets, percent)))
-
-    first = candidates(FIRST_CANDIDATES)
-    matched = matched_of(first.where("not more"))
-    tx.release(docs)
+        sets = tx.stored(sets_among(docs, pairs, sets_of))
+        best = pairs.groupBy("later").agg(F.min_by("earlier", F.struct("off", "earlier")).alias("earlier"))
+        matched = tx.stored(_verified(best, sets, percent))
+        others = tx.stored(pairs.join(matched.select(F.col("set").alias("later")), "later", "left_anti").select("later", "earlier").distinct())
+        return matched if others.isEmpty() else tx.stored(matched.unionByName(_verified(others, sets, percent)).distinct())
+
+    first = tx.stored(candidates(entries_of(docs, known, percent, least, buckets, sets_of), percent, FIRST_CANDIDATES))
+    tx.release(docs)  # the words' rows, by far the largest shuffle
+    matched = matched_of(first.where("word is null"))
     # those that have more candidates and no match yet meet all of them; only their words' rows are dealt out again
-    rest = tx.checkpointed(first.where("more").select(F.col("later").alias("set")).distinct().join(matched, "set", "left_anti"))
-    if not rest.isEmpty():
-        words = first.where("more").select(F.col("later").alias("set"), F.col("earlier").alias("w")).join(rest, "set", "left_semi").select("w").distinct()
-        more = candidates(None, FIRST_CANDIDATES, bitmap(words, 32), bitmap(rest, 64)).where("not more")
-        wanted = tx.checkpointed(more.join(rest.select(F.col("set").alias("later")), "later", "left_semi"))
-        matched = tx.checkpointed(matched.unionByName(matched_of(wanted)).distinct())
-    tx.release(docs)
-    return matched
+    rest = tx.stored(first.where("word is not null").select(F.col("later").alias("set"), "word").join(matched, "set", "left_anti").distinct())
+    if rest.isEmpty():
+        return matched
+    again = entries_of(docs, known, percent, least, buckets, sets_of, bitmap(rest.select("word")))
+    more = candidates(again, percent, None, bitmap(rest.select("set"))).join(rest.select(F.col("set").alias("later")).distinct(), "later", "left_semi")
+    return tx.stored(matched.unionByName(matched_of(tx.stored(more))).distinct())
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, min_bytes: int = 30, sets_of=line_sets) -> DataFrame:
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, min_bytes: int = 30, sets_of=line_sets, seldom: int = 1) -> DataFrame:
     """(k, h, gone): for each row of which lines go, its key, the hash of its text, and the numbers of those lines (from 0).
 
     The order of lines: by key (null first), then by number. Lines of rows with
     the same key and number are at the same place: none is earlier.
-    ``sets_of``: what a row's lines and their words are.
+    ``sets_of``: what a row's lines and their words are; ``seldom``: the lines
+    of a task from which a word counts (above 1 where nearly all words are
+    unique, so that counting doesn't ship them all; the order is then less exact, the result isn't).
     """
     body = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t is not null")
-    found = tx.checkpointed(lines_of(body, ["k", "h"], "t", min_words, min_bytes, sets_of))
-    matched = matched_sets(body, "k", "t", rarity(found), percent, min_words, sets_of)
-    lines = found.where("c is null").select("k", "h", "line", "set")
-    firsts = lines.groupBy("set").agg(F.min(F.struct("k", "line")).alias("first"), F.count("*").alias("n"))
-    later = firsts.join(matched.withColumn("also", F.lit(True)), "set", "left").where("n > 1 or also")
-    gone = lines.join(later, "set").where(F.col("also") | (F.struct("k", "line") > F.col("first")))
-    return gone.select("k", "h", "line").distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    found = tx.stored(lines_of(body, min_words, min_bytes, percent, sets_of, seldom))
+    matched = matched_sets(body, found, percent, min_words, sets_of)
+    lines = found.where("set is not null").select("k", "h", "line", "set", "set2")
+    firsts = lines.groupBy("set", "set2").agg(F.min(F.struct("k", "line")).alias("first"), F.count("*").alias("n"))
+    later = tx.stored(firsts.join(matched.withColumn("also", F.lit(True)), ["set", "set2"], "left").where("n > 1 or also"))
+    # the classes of the most lines are broadcast: what is left has few lines a class
+    level = F.floor(F.log2("n") * 16)
+    least = _highest(later, HOT_CLASSES)
+    hot = F.broadcast(later.where(level >= least).select("set", "set2", F.col("first").alias("hot_first"), F.coalesce("also", F.lit(False)).alias("hot_also")))
+    marked = lines.join(hot, ["set", "set2"], "left")
+    one = marked.where(F.col("hot_first").isNotNull() & (F.col("hot_also") | (F.struct("k", "line") > F.col("hot_first"))))
+    other = marked.where("hot_first is null").join(later.where(level < least), ["set", "set2"]).where(F.coalesce("also", F.lit(False)) | (F.struct("k", "line") > F.col("first")))
+    gone = one.select("k", "h", "line").unionByName(other.select("k", "h", "line"))
+    return gone.distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, min_bytes: int = 30) -> DataFrame:

@@ -8,6 +8,7 @@ that it is the same in every process.
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a Parquet table in the shared folder of the session."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def release(df: DataFrame) -> None:
     """Let Spark remove the shuffle files of stages that nothing refers to any more.
 

@@ -33,7 +33,9 @@ def brute_lines(rows, percent=80, least=5):
 @pytest.mark.parametrize("seed,first", [(1, 3), (2, 0)])
 def test_line_dedup_equals_brute_force(spark, monkeypatch, seed, first):
     monkeypatch.setattr(linededup, "FIRST_CANDIDATES", first)  # 0: every pair is found among the rest
-    monkeypatch.setattr(linededup, "CHUNK_ROWS", 200)
+    monkeypatch.setattr(linededup, "BUCKET_ROWS", 200)
+    monkeypatch.setattr(linededup, "HOT_ROWS", 15)  # many words are split into cells
+    monkeypatch.setattr(linededup, "HOT_CLASSES", 3)
     rng = random.Random(seed)
     common = ["the", "of", "and", "in", "to"]
     words = [f"w{i}" for i in range(300)]
