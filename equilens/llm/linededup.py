@@ -432,7 +432,7 @@ def _meet(cols: list[np.ndarray], percent: int, most: int | None, only: np.ndarr
     word, sets, k, line = (cols[i][order] for i in (0, 1, 5, 6))
     order = order[np.lexsort((line, k, sets, word))]
     if not len(order):
-        return none, none, none, none, cols
+        return none, none, none, none, (cols[0], cols[1], cols[5])
     word, sets = cols[0][order], cols[1][order]
     first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (sets[1:] != sets[:-1])))
     role = np.bitwise_or.reduceat(cols[4][order], first)  # of equal sets the earliest speaks for all
