@@ -3,13 +3,17 @@
 For each language a suffix automaton of labelled text is built. A text is
 parsed against it: from each phrase's start the automaton follows the text as
 far as the text's characters occur together in the language's sample (the
-longest match), then the next phrase starts. The language that needs the
-fewest phrases, per byte of text, wins.
+longest match), then the next phrase starts. A longest match against a sample of
+N bytes is log(N) / entropy bytes long, so that phrases times log2(N), per byte
+of text, estimate the cross entropy whatever the sample's size. The language
+that needs the fewest phrases, so normalised, wins.
 
 The automaton is used as one flat table of transitions: where a state has no
 transition by a byte, the entry holds the transition from the root, marked with
 the sign bit as the start of a phrase. Texts are parsed in many lanes at once,
-a lane for each segment of a text.
+a lane for each segment of a text. A segment's parse starts afresh; then the
+parse of the segment before it is continued across the border until both are
+in the same state, and the phrases are counted as in one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-#: Bytes that a lane parses; a longer text is parsed in segments, whose phrases are added.
+#: Bytes that a lane parses; a longer text is parsed in segments, joined at their borders.
 SEGMENT = 1024
 UNDETERMINED = "und"
 
@@ -92,6 +96,18 @@ class Parser:
             self.start.append(first + dead * width)
             first += table.size
         self.table = np.concatenate(tables)
+        # bits of a phrase: the logarithm of the sample's size
+        self.bits = np.log2([max(2, len(samples[k])) for k in self.languages])
+
+    def _follow(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Phrases that start in each lane, by language; ``state`` (languages x lanes) moves on to the lanes' ends. Lanes are sorted by falling size."""
+        count = np.zeros(state.shape, np.int32)
+        active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")
+        for step, n in enumerate(active):
+            got = self.table[state[:, :n] + symbols[begin[:n] + step]]
+            count[:, :n] -= got >> 31  # the sign bit, as -1
+            state[:, :n] = got & 0x7FFFFFFF
+        return count
 
     def phrases(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases of the rows within ``at``, by row and language."""
@@ -100,21 +116,44 @@ class Parser:
         length = np.diff(at)
         parts = -(-length // SEGMENT)
         row = np.repeat(np.arange(len(length)), parts)
-        part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(np.cumsum(parts) - parts, parts)
+        part = np.arange(len(row)) - first
         begin = at[row] + part * SEGMENT
         size = np.minimum(SEGMENT, at[row + 1] - begin)
         order = np.argsort(-size, kind="stable")
-        row, begin, size = row[order], begin[order], size[order]
-        lanes, many = len(row), len(self.languages)
-        active = np.searchsorted(-size, -np.arange(size[0] if lanes else 0), "left")
-        state = np.repeat(np.array(self.start, np.int32)[:, None], lanes, 1)
-        count = np.zeros((many, lanes), np.int32)
-        for step, n in enumerate(active):
-            got = self.table[state[:, :n] + symbols[begin[:n] + step]]
-            count[:, :n] -= got >> 31  # the sign bit, as -1
-            state[:, :n] = got & 0x7FFFFFFF
-        out = np.zeros((len(length), many))
-        for k in range(many):
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        row, begin, size, part = row[order], begin[order], size[order], part[order]
+        before = place[np.maximum(order - 1, 0)]  # the lane of the segment before
+        after = np.full(len(order), -1)
+        after[before[part > 0]] = np.flatnonzero(part > 0)
+        fresh = np.array(self.start, np.int32)[:, None]
+        state = np.repeat(fresh, len(row), 1)
+        count = self._follow(symbols, begin, size, state)
+        alone = state.copy()
+        extra = np.zeros(count.shape, np.int32)  # phrases of the continued parse less those of the fresh one
+        todo = np.flatnonzero(part > 0)
+        while len(todo):
+            extra[:, todo] = 0
+            one, two = state[:, before[todo]], np.repeat(fresh, len(todo), 1)
+            lane, step, changed = todo, 0, []
+            while len(lane):
+                symbol = symbols[begin[lane] + step]
+                one, two = self.table[one + symbol], self.table[two + symbol]
+                extra[:, lane] += (two >> 31) - (one >> 31)
+                one, two = one & 0x7FFFFFFF, two & 0x7FFFFFFF
+                step += 1
+                go = (one != two).any(0) & (size[lane] > step)
+                end = np.where((one != two).any(0), one, alone[:, lane])
+                moved = ~go & (state[:, lane] != end).any(0)  # the next border has another start than it was followed from
+                state[:, lane[moved]] = end[:, moved]
+                changed.append(lane[moved])
+                lane, one, two = lane[go], one[:, go], two[:, go]
+            follow = after[np.concatenate(changed)]
+            todo = follow[follow >= 0]
+        count += extra
+        out = np.zeros((len(length), len(self.languages)))
+        for k in range(out.shape[1]):
             out[:, k] = np.bincount(row, weights=count[k], minlength=len(length))
         return out
 
@@ -131,35 +170,39 @@ def parser_of(samples: dict[str, bytes]) -> Parser:
     return _parsers[key]
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 128, max_chars: int = 256, max_languages: int = 64) -> dict[str, bytes]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 128, max_chars: int = 256, max_total: int = 1 << 18) -> dict[str, bytes]:
     """A sample of text for each language: of ``max_docs`` texts each, chosen by hash, a piece of at most ``max_chars`` characters from the middle; equal pieces count once.
 
-    These bounds (about 33,000 characters a language, and the
-    ``max_languages`` languages of the most rows, ties by name) are what this
-    classifier is fitted on; predictions read whole texts, and a text of a
-    language beyond the bound gets another. Null languages and null texts are left out.
+    These bounds are what this classifier is fitted on; predictions read whole
+    texts. Every language is learned: where ``max_docs`` pieces of each would come to more than
+    ``max_total`` characters, each language has fewer pieces (one at least), as
+    the automata of all languages are in memory together. Null languages and null texts are left out.
     """
     pieces = (
         labelled.where(F.col(lang).isNotNull() & (F.trim(text) != ""))
         .select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(F.col(text), F.greatest(F.lit(1), (F.length(text) - max_chars) / 2).cast("int"), F.lit(max_chars)).alias("piece"))
     )
-    frequent = [r["lang"] for r in pieces.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    distinct = pieces.where(F.col("lang").isin(frequent)).groupBy("lang", "piece").agg(F.min("h").alias("h"))
+    distinct = pieces.groupBy("lang", "piece").agg(F.min("h").alias("h"))
     chosen = distinct.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= max_docs)
+    got = chosen.orderBy("lang", "k").collect()  # max_docs pieces a language
+    languages = {r["lang"] for r in got}
+    most = max(1, min(max_docs, max_total // (max_chars * max(1, len(languages)))))
     samples: dict[str, list[str]] = {}
-    for r in chosen.orderBy("lang", "k").collect():
-        samples.setdefault(r["lang"], []).append(r["piece"])
-    return {k: " ".join(samples[k]).encode() for k in frequent}
+    for r in got:
+        if r["k"] <= most:
+            samples.setdefault(r["lang"], []).append(r["piece"])
+    return {k: " ".join(v).encode() for k, v in samples.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") -> DataFrame:
     """``docs`` without its text, with lang_pred, score and phrases (per language, in the languages' order).
 
-    score: 1 less the winner's share of the runner-up's phrases, between 0 (a
-    tie) and 1; 1 where only one language was learned. Ties go to the first
+    phrases are counts; the language with the least phrases times log2 of its
+    sample's bytes wins. score: 1 less the winner's share of the runner-up's,
+    between 0 (a tie) and 1; 1 where only one language was learned. Ties go to the first
     language by name. A text that is null or has no letter is ``und`` with
-    score 0, as is every text when no language was learned. Rows are
-    independent. Columns of ``docs`` named like a result column are replaced.
+    score 0, as is every text when no language was learned. A text of any length
+    is parsed whole. Rows are independent: repeated rows get equal results. Columns of ``docs`` named like a result column are replaced.
     """
     made = ["lang_pred", "score", "phrases"]
     kept = [c for c in tx.others(docs, made) if c != text]
@@ -175,13 +218,14 @@ def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") ->
                 continue
             counts = np.concatenate([parser.phrases(data, at[a : b + 1]) for a, b in tx.slices(at, 8 << 20)]) if parser else np.zeros((n, 0))
             letter = np.asarray(batch.column(len(kept) + 1).to_numpy(zero_copy_only=False), bool)
+            entropy = counts * parser.bits if parser else counts
             if counts.shape[1] > 1:
-                two = np.partition(counts, 1, 1)[:, :2]
+                two = np.partition(entropy, 1, 1)[:, :2]
                 score = 1 - two[:, 0] / np.maximum(two[:, 1], 1)
             else:
                 score = np.ones(n)
             known = letter & (counts.shape[1] > 0)
-            best = np.where(known, counts.argmin(1) if counts.shape[1] else 0, len(names) - 1)
+            best = np.where(known, entropy.argmin(1) if counts.shape[1] else 0, len(names) - 1)
             phrases = tx.list_array(pa.array(counts.reshape(-1).astype(np.int64)), np.full(n, counts.shape[1]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names[best], pa.string()), pa.array(np.where(known, score, 0.0)), phrases], names=[*kept, *made])
 

@@ -6,8 +6,12 @@ with byte fallback and no normalisation, at a single space between two other
 characters, provided that no piece of the vocabulary holds a space mark behind
 another character (this is read from the model; where it doesn't hold, texts
 are encoded whole). The space goes: the encoder puts one before every call's
-text. As such parts are independent, equal parts are encoded once per batch,
-and their lengths are kept in a bounded memo.
+text. A space mark (U+2581) in a text is a space to such a model, and is
+treated as one. A part that is still longer than a call is split before
+characters that no piece of several characters has: there the space that the
+encoder puts in front stays a token of its own, which is taken off again. As
+parts are independent, equal parts are encoded once per batch, and their
+lengths are kept in a bounded memo.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ def _sentencepiece(path: str) -> Callable[[list[str]], list[int]]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
-    probe = " ① é  x "
+    probe = " ① é  x "
     apart = (
         not any(MARK in p.lstrip(MARK) for p in pieces)
         and any(model.is_byte(i) for i in range(len(pieces)))
@@ -40,17 +44,23 @@ def _sentencepiece(path: str) -> Callable[[list[str]], list[int]]:
         and model.encode("x", out_type=str)[0].startswith(MARK)
     )
     encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    return _by_parts(encode) if apart else lambda texts: _by_bytes(texts, encode)
+    joined = {c for p in pieces if len(p) > 1 for c in p} | {MARK, " "}
+    return _by_parts(encode, joined) if apart else lambda texts: _by_bytes(texts, encode)
+
+
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
 
 
 def _by_bytes(texts: list[str], encode: Callable) -> list[int]:
     out, call, size = [], [], 0
     for t in texts:
-        if call and size + len(t) > CALL_BYTES:
+        n = n_bytes(t)
+        if call and size + n > CALL_BYTES:
             out += encode(call)
             call, size = [], 0
         call.append(t)
-        size += len(t)
+        size += n
     return out + (encode(call) if call else [])
 
 
@@ -71,18 +81,39 @@ def split_safely(text: str) -> list[str]:
     return [*out, held]
 
 
-def _by_parts(encode: Callable) -> Callable[[list[str]], list[int]]:
+def split_long(part: str, joined: set[str], most: int) -> list[str]:
+    """Pieces of about ``most`` characters; each but the first begins with a character that isn't in ``joined``. A part without such a character stays whole."""
+    out, begin = [], 0
+    while len(part) - begin > most:
+        cut = begin + most
+        while cut < len(part) and part[cut] in joined:
+            cut += 1
+        if cut == len(part):
+            break
+        out.append(part[begin:cut])
+        begin = cut
+    return [*out, part[begin:]]
+
+
+def _by_parts(encode: Callable, joined: set[str]) -> Callable[[list[str]], list[int]]:
     memo: dict[str, int] = {"": 0}
 
+    def length_of_long(part: str) -> int:
+        some = split_long(part, joined, CALL_BYTES)
+        return sum(_by_bytes(some, encode)) - (len(some) - 1)
+
     def count(texts: list[str]) -> list[int]:
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
             memo[""] = 0
-        parts = [split_safely(t) for t in texts]
-        fresh = list({p for some in parts for p in some if p not in memo})
-        memo.update(zip(fresh, _by_bytes(fresh, encode)))
+        parts = [split_safely(t.replace(MARK, " ")) for t in texts]
+        fresh = {p for some in parts for p in some if p not in memo}
+        long = {p for p in fresh if len(p) > CALL_BYTES}
+        short = list(fresh - long)
+        lengths = dict(zip(long, map(length_of_long, long)))  # long parts aren't remembered
+        memo.update(zip(short, _by_bytes(short, encode)))
         get = memo.__getitem__
-        return [sum(map(get, some)) for some in parts]
+        return [sum(lengths[p] if p in lengths else get(p) for p in some) for some in parts] if long else [sum(map(get, some)) for some in parts]
 
     return count
 
@@ -102,6 +133,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
 
     ``model_path``: a ``.model`` (SentencePiece) or ``.json`` (tokenizers) file
     that every executor has. Null and empty texts have no bytes and no tokens.
+    A text of any length is counted whole; without any safe boundary it is one call.
     Rows are independent: repeated rows and ties need no rule. Columns of
     ``docs`` named like a result column are replaced by it.
     """
@@ -121,7 +153,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
                     size += len(column[end].as_buffer() or b"") if column[end].is_valid else 0
                     end += 1
                 texts = [t or "" for t in column.slice(at, end - at).to_pylist()]
-                sizes += [len(t.encode()) for t in texts]
+                sizes += map(n_bytes, texts)
                 lengths += count(texts)
                 at = end
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64())], names=[*kept, "n_bytes", "n_tokens"])

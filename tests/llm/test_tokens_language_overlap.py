@@ -41,6 +41,20 @@ def test_json_tokenizers(spark):
     assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("call", [1 << 18, 20])
+def test_random_strings_equal_the_library(monkeypatch, call):
+    import sentencepiece
+
+    monkeypatch.setattr(tk, "CALL_BYTES", call)  # 20: nearly every part is split before a character that joins nothing
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    count, rng = tk._sentencepiece(model_path()), random.Random(7)
+    for alphabet in ("abcTh <s>   ▁▁\n\t中国文é①", "abcdeh▁\n\n中国é①"):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(1500)] + ["▁ ▁", "▁", " ▁ ", "a▁ ▁b"]
+        assert count(texts) == [len(sp.encode(t)) for t in texts]
+    long = "中\nab" * 200_000
+    assert count([long]) == [len(sp.encode(long))]
+
+
 def test_split_safely_keeps_text():
     for t in ["a b", " a", "a ", "a  b c", "", "  ", "a b  c d ", " a b"]:
         parts = tk.split_safely(t)
@@ -103,29 +117,46 @@ def test_suffix_automaton_accepts_substrings():
     assert not accepts(bytes([3, 3])) and not accepts(bytes([1, 3]))
 
 
-def test_phrases_equal_greedy_parse():
+def greedy(text, sample):
+    """Phrases of one parse of the whole text: each as long as it occurs in the sample, one byte at least."""
     import numpy as np
 
-    samples = {"a": b"the cat sat on the mat", "b": b"der hund und die katze"}
+    folded, sample = (bytes(la.FOLD[np.frombuffer(x, np.uint8)]) for x in (text, sample))
+    count = at = 0
+    while at < len(folded):
+        n = 1
+        while at + n <= len(folded) and folded[at : at + n] in sample:
+            n += 1
+        count += 1
+        at += max(1, n - 1)
+    return count
+
+
+@pytest.mark.parametrize("segment", [1024, 7, 1])
+def test_phrases_equal_greedy_parse(monkeypatch, segment):
+    import numpy as np
+
+    monkeypatch.setattr(la, "SEGMENT", segment)
+    samples = {"a": b"the cat sat on the mat", "b": b"der hund und die katze", "c": b"zzzzzzzzzzzzzzzzzzzzzzzzz"}
     parser = la.Parser(samples)
     rng = random.Random(1)
-    texts = ["".join(rng.choice("the cats und!Z ") for _ in range(rng.randrange(0, 90))).encode() for _ in range(40)] + [b"", b"x" * 2500]
+    words = ["the cat ", "sat on the mat", "der hund ", "und die ", "zzz", "!", "q", "at", "nd"]
+    texts = ["".join(rng.choice("the cats und!Z ") for _ in range(rng.randrange(0, 90))).encode() for _ in range(40)] + [b"", b"x" * 2500, b"z" * 3000, b"the cat sat on the mat" * 300]
+    texts += ["".join(rng.choice(words) for _ in range(rng.randrange(600, 900))).encode() for _ in range(3)]
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = parser.phrases(data, at)
     for t, row in zip(texts, got):
-        for k, lang in enumerate(parser.languages):
-            count = 0
-            for s in range(0, len(t), la.SEGMENT):
-                folded = bytes(la.FOLD[np.frombuffer(t[s : s + la.SEGMENT], np.uint8)])
-                at_ = 0
-                while at_ < len(folded):
-                    n = 1
-                    while at_ + n <= len(folded) and folded[at_ : at_ + n] in bytes(la.FOLD[np.frombuffer(samples[lang], np.uint8)]):
-                        n += 1
-                    count += 1
-                    at_ += max(1, n - 1)
-            assert row[k] == count, (t, lang)
+        assert list(row) == [greedy(t, samples[k]) for k in parser.languages]
+
+
+def test_a_long_text_is_parsed_whole(spark):
+    rng = random.Random(2)
+    samples = {"en": b"the cat sat on the mat and the dog", "de": b"der hund und die katze"}
+    text = " ".join(rng.choice(["the", "cat", "sat", "hund", "und", "xq"]) for _ in range(250_000))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 300_000)], "doc_id bigint, text string")
+    for r in la.identify(docs.withColumn("t", docs["text"]), samples).collect():
+        assert r["phrases"] == [greedy(r["t"].encode(), samples[k]) for k in sorted(samples)]
 
 
 def test_language_edges(spark):
@@ -138,13 +169,36 @@ def test_language_edges(spark):
     assert la.learn(docs.selectExpr("text", "cast(null as string) as lang")) == {}
 
 
-def test_language_samples_distinct_texts_of_the_most_frequent_languages(spark):
-    rows = [(f"text number {i}", "aa") for i in range(20) for _ in range(50)]
+def test_language_samples_distinct_texts_of_all_languages(spark):
+    rows = [(f"text number {i}", "aa") for i in range(20) for _ in range(50)] + [("copy", "aa")] * 5000
     rows += [(f"{lang} {i}", lang) for lang, n in (("bb", 9), ("cc", 40), ("dd", 10)) for i in range(n)]
     labelled = spark.createDataFrame(rows, "text string, lang string")
-    got = la.learn(labelled, max_docs=8, max_languages=3)
-    assert sorted(got) == ["aa", "cc", "dd"]
-    assert len(set(got["aa"].decode().split("text number ")[1:])) == 8
+    got = la.learn(labelled, max_docs=8)
+    assert sorted(got) == ["aa", "bb", "cc", "dd"]
+    assert len(set(got["aa"].decode().replace("copy", "text number copy").split("text number ")[1:])) == 8
+    many = spark.createDataFrame([(f"word{k} {i}" * 9, f"l{k:03}") for k in range(70) for i in range(6)], "text string, lang string")
+    got = la.learn(many, max_total=70 * 256 * 2)
+    assert len(got) == 70 and all(len(v) <= 2 * 257 for v in got.values())
+
+
+def test_samples_of_unequal_size(spark):
+    """A language with a small sample isn't at a loss against one with a large sample."""
+    rng = random.Random(6)
+    vocabulary = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for k, letters in (("big", "abcdefghij"), ("few", "efghijklmn"))}
+    write = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    samples = {"big": write("big", 8000).encode(), "few": write("few", 250).encode()}
+    docs = spark.createDataFrame([(i, write(k, 60), k) for i, k in enumerate(["big", "few"] * 100)], "doc_id bigint, text string, LANG_PRED string").withColumnRenamed("LANG_PRED", "truth")
+    got = la.identify(docs, samples).collect()
+    assert sum(r["lang_pred"] == r["truth"] for r in got) >= 195
+
+
+def test_language_empty_clashing_and_ties(spark):
+    docs = spark.createDataFrame([(1, "zz", "x", 5)], "doc_id bigint, text string, Lang_Pred string, SCORE int")
+    got = la.identify(docs, {"b": b"the cat", "a": b"the cat"})
+    assert got.columns == ["doc_id", "lang_pred", "score", "phrases"]
+    assert [(r["lang_pred"], r["score"]) for r in got.collect()] == [("a", 0.0)]
+    assert la.identify(docs.limit(0), {"a": b"the cat"}).count() == 0
+    assert la.learn(docs.limit(0), lang="Lang_Pred") == {}
 
 
 def test_language_held_out(spark):
