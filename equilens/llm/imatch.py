@@ -1,15 +1,17 @@
 """I-Match fingerprints in DataFrame operations only.
 
 A document's terms are its distinct words (runs of letters and digits, lower
-case). Terms are counted by document frequency over all documents, in
-``CLASSES`` hash classes of terms: a class's count is the number of documents
-that have one of its terms. Terms whose class lies within a band of inverse
-document frequency make up the lexicon, which therefore has a fixed size (a bit
-for each class) however large the vocabulary is. REPEATS chains of randomised
-subsets of the lexicon are drawn by hash: the whole lexicon, a quarter of it, a
-quarter of that, and so on, so that long and short documents have some in which
-few of their terms fall. For each subset the document's terms in it, distinct
-and sorted, are hashed: one part of the fingerprint each.
+case), as 64-bit hashes. Every term is counted by document frequency over all
+documents. The lexicon is the terms whose inverse document frequency is at least a
+share ``low`` of the highest there is (a term of one document). The terms
+outside it are few: there are at most (terms a document) x documents ** low of them.
+They are told by a bit map of fixed size, at two places each, so that a term is
+also left out where frequent ones share both its places: the same rule for every
+document. REPEATS chains of randomised subsets of the lexicon are drawn by hash: the
+whole lexicon, a quarter of it, a quarter of that, and so on, so that long and
+short documents have some in which few of their terms fall. For each subset the
+document's terms in it, distinct and sorted, are hashed: one part of the
+fingerprint each.
 
 The likeness of two fingerprints is the share of chains whose smallest subset
 with a term of either document has the same hash for both.
@@ -20,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash classes of terms.
-CLASSES = 1 << 16
+#: Bits of the map of terms outside the lexicon.
+MAP_BITS = 1 << 18
 #: Chains of subsets of the lexicon, and subsets in each besides the whole.
 REPEATS, LEVELS = 6, 6
 
@@ -32,40 +34,47 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(parts, ""), lambda t: F.xxhash64(t)))
 
 
-def term_class(term: Column) -> Column:
-    return F.pmod(term, F.lit(CLASSES)).cast("int")
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Documents by term (term, df), over all of ``docs``."""
+    return docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents by term class (cls, df), over all of ``docs``; a class's terms within a document count once."""
-    classes = F.array_distinct(F.transform(terms(F.col(text)), term_class))
-    return docs.select(F.explode(classes).alias("cls")).groupBy("cls").agg(F.count("*").alias("df"))
-
-
-def lexicon(frequencies: DataFrame, n_docs: int, low: float, high: float) -> list[int]:
-    """The classes whose inverse document frequency ln(n_docs / df), as a share of ln(n_docs), lies within [low, high], as 64-bit words of a bit map."""
-    band = F.log(F.lit(float(max(2, n_docs))) / F.col("df")) / F.log(F.lit(float(max(2, n_docs))))
-    chosen = frequencies.where((band >= low) & (band <= high))
-    bits = chosen.groupBy(F.floor(F.col("cls") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("cls") % 64).cast("int"))).alias("bits"))
-    words = [0] * (CLASSES // 64)
-    for r in bits.collect():  # at most CLASSES / 64 rows
+def _places(term: Column) -> list[Column]:
+    """Two places of a term in the map."""
+    return [F.shiftright(term, by).bitwiseAND(F.lit(MAP_BITS - 1).cast("bigint")).cast("int") for by in (0, 24)]
+
+
+def frequent_terms(frequencies: DataFrame, n_docs: int, low: float) -> list[int]:
+    """The terms whose inverse document frequency ln(n_docs / df) is below a share ``low`` of ln(n_docs), as 64-bit words of a bit map."""
+    whole = F.log(F.lit(float(max(2, n_docs))))
+    frequent = frequencies.where(F.log(F.lit(float(max(2, n_docs))) / F.col("df")) / whole < low)
+    place = frequent.select(F.explode(F.array(*_places(F.col("term")))).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(63))
+    bits = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = [0] * (MAP_BITS // 64)
+    for r in bits.collect():  # at most MAP_BITS / 64 rows
         words[r["word"]] = r["bits"]
     return words
 
 
-def fingerprint(text: Column, band: Column) -> Column:
-    """Parts of the fingerprint, chains apart by spaces and subsets by commas: a 16-bit hash (hex) of the text's sorted terms in the subset, or '-' if it has none.
+def as_array(words: list[int]) -> Column:
+    """The map's words as one literal (folded once, instead of a node for each)."""
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
 
-    ``band``: array of the bit map's words.
+def fingerprint(text: Column, frequent: Column) -> Column:
+    """Parts of the fingerprint, chains apart by spaces and subsets by commas: a 64-bit hash (hex) of the text's sorted terms in the subset, or '-' if it has none.
+
+    ``frequent``: array of the bit map's words.
     """
     one = F.lit(1).cast("bigint")
 
     def known(t: Column) -> Column:
-        c = term_class(t)
-        return F.call_function("shiftright", F.get(band, F.shiftright(c, 6)), c.bitwiseAND(63)).bitwiseAND(one) == 1
+        a, b = (F.call_function("shiftright", F.get(frequent, F.shiftright(p, 6)), p.bitwiseAND(63)).bitwiseAND(one) == 1 for p in _places(t))
+        return ~(a & b)
 
     def part(kept: Column) -> Column:
-        return F.when(F.size(kept) == 0, "-").otherwise(F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(kept), 48))), 4, "0"))
+        return F.when(F.size(kept) == 0, "-").otherwise(F.lpad(F.lower(F.hex(F.xxhash64(kept))), 16, "0"))
 
     def chain(own: Column, turn: Column) -> Column:
         shape = "struct<kept:array<bigint>,out:string>"
@@ -99,17 +108,33 @@ def likeness(a: Column, b: Column) -> Column:
 MOST_RANGES, RANGE_CHARS = 1024, 6_000_000
 
 
-def with_next(docs: DataFrame, starts: list, key: str, text: str, columns: list[str]) -> DataFrame:
+def ranges(cuts: list, nulls: int) -> list[tuple]:
+    """(first key, parts) of ranges by ascending ``cuts``: a key that is cut at several times has as many parts; null keys, first, have ``nulls``."""
+    return [(None, max(1, nulls)), *((k, cuts.count(k)) for k in sorted(set(cuts)))]
+
+
+def with_next(docs: DataFrame, starts: list[tuple], key: str, text: str, columns: list[str]) -> DataFrame:
     """Each row with ``next``: the ``columns`` of the row that follows by key; the first follows the last.
 
-    ``starts``: ascending first keys of ranges that the rows are dealt into.
+    ``starts``: ranges that the rows are dealt into, as ``ranges`` gives them.
+    Rows of a key with several parts are dealt out by their texts' hashes.
     Rows with equal keys follow each other by their texts' hashes (equal rows
     in any order); null keys come first. A single row is followed by itself.
     Rows are dealt out once; the first row of a range also goes to the range
     before it, so that no range needs another.
     """
-    bucket = F.greatest(F.lit(0), F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col(key))) - 1) if starts else F.lit(0)
-    dealt = docs.withColumn("h", F.xxhash64(text)).withColumn("bucket", F.coalesce(bucket, F.lit(0)))
+    keys, parts = [k for k, _ in starts[1:]], [n for _, n in starts]
+    # a range's numbers: one for each part of its first key, and one for the keys behind it
+    base = [sum(n + 1 for n in parts[:i]) for i in range(len(parts))]
+    literal = lambda x: F.array(*[F.lit(v) for v in x])
+    place = F.coalesce(F.greatest(F.lit(1), F.size(F.filter(literal(keys), lambda s: s <= F.col(key)))), F.lit(0)) if keys else F.lit(0)
+    place = F.when(F.col(key).isNull(), 0).otherwise(place)
+    of = F.get(literal(parts), place)
+    share = F.least(of - 1, F.floor((F.xxhash64(text) / float(1 << 64) + 0.5) * of)).cast("int")
+    here = F.col(key).isNull() | (F.col(key) == F.get(literal(keys), place - 1)) if keys else F.col(key).isNull()
+    behind = F.when(F.col(key) < F.get(literal(keys), F.lit(0)), 0).otherwise(of) if keys else of
+    bucket = F.get(literal(base), place) + F.when(here, share).otherwise(behind)
+    dealt = docs.withColumn("h", F.xxhash64(text)).withColumn("bucket", bucket)
     marks = {r["bucket"]: r["m"] for r in dealt.groupBy("bucket").agg(F.min(F.struct(F.col(key).alias("k"), "h")).alias("m")).collect()}  # a row for each range
     used = sorted(marks)
     kind = docs.schema[key].dataType.simpleString()
@@ -121,30 +146,30 @@ def with_next(docs: DataFrame, starts: list, key: str, text: str, columns: list[
     return together.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("place.guest = 0").drop("place", "h")
 
 
-def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", low: float = 0.25, high: float = 1.0) -> DataFrame:
+def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", low: float = 0.25) -> DataFrame:
     """The key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row.
 
     The edited text is the text with its last floor(n_chars / 2) characters
     replaced by the first as many (or all) of the next row's text, by key.
-    Null texts are empty. Equal texts have equal fingerprints. ``low`` and
-    ``high``: the band of inverse document frequency, as a share of the highest.
+    Null texts are empty. Equal texts have equal fingerprints. The key is a
+    number; repeated keys and null keys (first) follow each other by their texts.
+    A text of any length is one row, whole. ``low``: the least inverse document
+    frequency of the lexicon's terms, as a share of the highest.
     """
     body = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     many = [k / MOST_RANGES for k in range(MOST_RANGES)]
-    n_docs, chars, cuts = body.agg(F.count("*"), F.sum(F.length("text")), F.percentile_approx("key", many, 10_000)).first()
-    step = -(-MOST_RANGES // max(1, min(MOST_RANGES, (chars or 0) // RANGE_CHARS)))
-    starts = sorted({*(cuts or [])[::step]})
-    words = lexicon(document_frequencies(body), n_docs, low, high)
-    band = F.array(*[F.lit(w) for w in words])
-    printed = body.withColumn("fingerprint", fingerprint(F.col("text"), band))
+    n_docs, n_keys, chars, cuts = body.agg(F.count("*"), F.count("key"), F.sum(F.length("text")), F.percentile_approx("key", many, 10_000)).first()
+    wanted = max(1, min(MOST_RANGES, (chars or 0) // RANGE_CHARS))
+    step = -(-MOST_RANGES // wanted)
+    starts = ranges((cuts or [])[::step], (n_docs - n_keys) * wanted // max(1, n_docs))
+    frequent = as_array(frequent_terms(document_frequencies(body), n_docs, low))
+    printed = body.withColumn("fingerprint", fingerprint(F.col("text"), frequent))
     follow = with_next(printed, starts, "key", "text", ["fingerprint", "text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
     made = follow.select("key", n.cast("bigint").alias("n_chars"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"), edited.alias("edited"))
-    return made.select(
-        F.col("key").alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited"), band).alias("edited_fingerprint"), "next_fingerprint"
-    ).select(
-        key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
-    )
-
+    printed = made.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited"), frequent).alias("edited_fingerprint"), "next_fingerprint")
+    own = F.col("fingerprint")
+    near = [likeness(own, F.col(other)).alias(name) for other, name in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
+    return printed.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)

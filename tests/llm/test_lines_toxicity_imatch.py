@@ -121,30 +121,99 @@ def test_imatch_edges_and_edits(spark):
     assert one[0]["near_next"] == 1.0
 
 
-def test_imatch_ranges_follow_each_other(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "RANGE_CHARS", 50)
+@pytest.mark.parametrize("cuts,nulls", [([], 0), ([0, 10, 20, 21, 50], 0), ([5, 10, 30, 30, 30, 30, 41], 3)])
+def test_imatch_ranges_follow_each_other(spark, cuts, nulls):
     rng = random.Random(9)
-    rows = [(rng.randrange(60), "".join(rng.choice("ab ") for _ in range(rng.randrange(20)))) for _ in range(80)] + [(None, "x"), (None, "y")]
+    rows = [(rng.choice([30, rng.randrange(60)]), "".join(rng.choice("ab ") for _ in range(rng.randrange(20)))) for _ in range(120)] + [(None, f"x{i}") for i in range(9)]
     docs = spark.createDataFrame(rows, "key bigint, text string")
-    got = imatch.with_next(docs, [0, 10, 20, 21, 50], "key", "text", ["text"]).collect()
+    got = imatch.with_next(docs, imatch.ranges(cuts, nulls), "key", "text", ["text"]).collect()
     h = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
     order = sorted(((-1 if k is None else k), h(t), t) for k, t in rows)
     want = sorted((a[0], a[2], order[(i + 1) % len(order)][2]) for i, a in enumerate(order))
     assert sorted(((-1 if r["key"] is None else r["key"]), r["text"], r["next"]["text"]) for r in got) == want
 
 
+def brute_frequent(texts, low):
+    df = {}
+    for t in texts:
+        for x in brute_terms(t):
+            df[x] = df.get(x, 0) + 1
+    n = max(2, len(texts))
+    places = lambda x: [x % imatch.MAP_BITS, (x >> 24) % imatch.MAP_BITS]
+    full = {p for x, c in df.items() if np.log(n / c) / np.log(n) < low for p in places(x)}
+    return lambda x: all(p in full for p in places(x))
+
+
+def brute_fingerprint(text, frequent):
+    def long_hash(x, seed):
+        return xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+
+    def part(kept):
+        seed = 42
+        for x in kept:
+            seed = long_hash(x, seed)
+        return f"{seed:016x}" if kept else "-"
+
+    own = sorted(signed(x) for x in brute_terms(text) if not frequent(x))
+    chains = []
+    for turn in range(imatch.REPEATS):
+        kept, parts = own, [part(own)]
+        for level in range(imatch.LEVELS):
+            kept = [x for x in kept if xxhash.xxh64_intdigest(turn.to_bytes(4, "little"), long_hash(x, 42)) >> 2 * level & 3 == 0]
+            parts.append(part(kept))
+        chains.append(",".join(parts))
+    return " ".join(chains)
+
+
+def brute_likeness(a, b):
+    same = 0
+    for x, y in zip(a.split(" "), b.split(" ")):
+        pairs = [(p, q) for p, q in zip(x.split(","), y.split(",")) if p != "-" or q != "-"]
+        same += not pairs or pairs[-1][0] == pairs[-1][1]
+    return same / imatch.REPEATS
+
+
+def test_imatch_fingerprints_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(400)]
+    texts = [None, "", "the", "!!"] + [" ".join(rng.choice(words) if rng.random() < 0.6 else rng.choice(["the", "of"]) for _ in range(rng.randrange(1, 300))) for _ in range(80)]
+    texts += [texts[9], texts[9] + " more", "w" * 300_000, "long " + " ".join(f"t{i}" for i in range(60_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in imatch.fingerprints_with_edits(docs, low=0.3).collect()}
+    frequent = brute_frequent(texts, 0.3)
+    assert frequent(xxhash.xxh64_intdigest(b"the", 42)) and not frequent(xxhash.xxh64_intdigest(b"v1", 42))
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, own_edited, own_next = (brute_fingerprint(x, frequent) for x in (t, edited, after))
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own, own_edited)
+        assert abs(got[i]["near_edited"] - brute_likeness(own, own_edited)) < 1e-9
+        assert abs(got[i]["near_next"] - brute_likeness(own, own_next)) < 1e-9
+
+
+def test_imatch_keeps_documents_apart_with_a_large_vocabulary(spark):
+    """Many more terms than the map has bits: the lexicon stays full."""
+    n, terms = 4000, 120
+    docs = spark.range(n).selectExpr("id as doc_id", f"concat('the of and ', array_join(transform(sequence(1, {terms}), x -> concat('t', id * {terms} + x)), ' ')) as text")
+    got = imatch.fingerprints_with_edits(docs).select("fingerprint", "near_next").collect()
+    assert len({r["fingerprint"] for r in got}) == n
+    assert max(r["near_next"] for r in got) < 0.5
+
+
 def test_imatch_terms_and_lexicon(spark):
     texts = ["The cat, the DOG", "cat mouse", "cat house", "dog"] + ["filler"] * 10
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    df = {r["cls"]: r["df"] for r in imatch.document_frequencies(docs).collect()}
+    df = {r["term"] % (1 << 64): r["df"] for r in imatch.document_frequencies(docs).collect()}
     want = {}
     for t in texts:
-        for c in {signed(x) % imatch.CLASSES for x in brute_terms(t)}:
-            want[c] = want.get(c, 0) + 1
+        for x in brute_terms(t):
+            want[x] = want.get(x, 0) + 1
     assert df == want
-    lex = imatch.lexicon(imatch.document_frequencies(docs), len(texts), 0.3, 1.0)
-    inside = {c for c in want if np.log(len(texts) / want[c]) / np.log(len(texts)) >= 0.3}
-    assert {w * 64 + b for w in range(len(lex)) for b in range(64) if lex[w] >> b & 1} == inside
+    words = imatch.frequent_terms(imatch.document_frequencies(docs), len(texts), 0.3)
+    outside = brute_frequent(texts, 0.3)
+    in_map = lambda p: words[p // 64] >> p % 64 & 1
+    assert all((in_map(x % imatch.MAP_BITS) and in_map((x >> 24) % imatch.MAP_BITS)) == outside(x) for x in want)
 
 
 def test_label_model_discounts_copies():
