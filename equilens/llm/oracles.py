@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL expresses on whole tables."""
 
+from .urls import LONG_SUFFIXES
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER.format("coalesce({0}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -24,7 +26,8 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 _HOST = r"regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)"
-_HOST_KEY = "regexp_replace(host, ':[0-9]*$', '')"
+_LONG = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
+_BARE = "regexp_replace(regexp_replace(host, '^(?s:.*)@', ''), ':[0-9]*$', '')"
 
 
 def _eb(child: str, parent: str, counts: str, rates: str) -> str:
@@ -41,8 +44,11 @@ WITH u AS (
   SELECT page_id, translate(coalesce({_HOST}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 o AS (SELECT host, CAST(toxic = 1 OR quality = 0 AS INT) AS bad FROM u JOIN labels ON page_id = doc_id),
-h AS (SELECT host, array_to_string(list_slice(string_split({_HOST_KEY}, '.'), -2, -1), '.') AS domain, list_extract(string_split({_HOST_KEY}, '.'), -1) AS suffix,
-  count(*) AS n, sum(bad) AS k FROM o WHERE bad IS NOT NULL AND host <> '' GROUP BY host),
+g AS (SELECT host, {_BARE} AS bare, string_split({_BARE}, '.') AS l, count(*) AS n, sum(bad) AS k FROM o WHERE bad IS NOT NULL AND host <> '' GROUP BY host),
+g2 AS (SELECT *, regexp_matches(bare, '^([0-9]+(\\.[0-9]+){{3}}|\\[.*)$') AS ip, array_to_string(list_slice(l, -2, -1), '.') AS two FROM g),
+h AS (SELECT host, n, k,
+  CASE WHEN ip THEN bare WHEN two IN ({_LONG}) THEN array_to_string(list_slice(l, -3, -1), '.') ELSE two END AS domain,
+  CASE WHEN ip THEN 'ip' WHEN two IN ({_LONG}) THEN two ELSE list_extract(l, -1) END AS suffix FROM g2),
 d AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain),
 s AS (SELECT suffix, 0 AS root, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 r AS (SELECT root, (sum(k) + 1) / (sum(n) + 2) AS rate FROM s GROUP BY root),
@@ -61,11 +67,15 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 """
 
 OP10 = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
-  CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < kept THEN kept END AS refers_to
-FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND payload_bytes >= 1000
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest),
+u AS (SELECT p.*, CASE WHEN url LIKE '%://%' THEN
+  array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)), '.')), ',') || ')' || regexp_extract(url, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1)
+  ELSE coalesce(url, '') END AS urlkey FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, u.payload_digest,
+  CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < kept THEN kept END AS refers_to, urlkey,
+  row_number() OVER (ORDER BY urlkey, page_id % 31536000, page_id) - 1 AS place, row_number() OVER (PARTITION BY urlkey ORDER BY page_id % 31536000, page_id) AS capture
+FROM u LEFT JOIN k ON u.payload_digest = k.payload_digest AND payload_bytes >= 1000
 """
 
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op9_url_filter": OP9, "op10_warc": OP10}

@@ -94,7 +94,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)) % 31536000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     found = warc.archive(pages, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}", at=at)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "place", "capture")
 
 
 QUERIES = {

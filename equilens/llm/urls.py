@@ -49,14 +49,34 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+#: Common public suffixes of two labels. Any other suffix is one label.
+LONG_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "me.uk", "net.uk", "org.uk", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "com.au", "edu.au", "gov.au", "net.au", "org.au", "ac.nz", "co.nz", "govt.nz", "org.nz",
+    "com.br", "gov.br", "net.br", "org.br", "ac.in", "co.in", "gov.in", "net.in", "org.in", "ac.kr", "co.kr", "go.kr", "or.kr", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.tw", "org.tw", "com.hk", "org.hk",
+    "com.mx", "org.mx", "com.ar", "com.co", "com.pe", "com.tr", "org.tr", "co.za", "org.za", "co.il", "org.il", "com.sg", "com.my", "co.th", "co.id", "com.ph", "com.vn", "com.ua", "com.pl", "com.es", "com.pt", "com.gr",
+)
+
+
+def _bare(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+
+
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*)$")
+
+
 def registered_domain(host: Column) -> Column:
-    """The last two labels of a host without its port (the whole of it if it has fewer)."""
-    return F.substring_index(F.regexp_replace(host, r":[0-9]*$", ""), ".", -2)
+    """The label before the public suffix with it, of a host without user and port (the whole of it if it has fewer labels, or is an address)."""
+    bare = _bare(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(_is_address(bare), bare).when(two.isin(*LONG_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def suffix(host: Column) -> Column:
-    """The last label of a host without its port."""
-    return F.substring_index(F.regexp_replace(host, r":[0-9]*$", ""), ".", -1)
+    """The public suffix of a host: the last label, or the last two where they are in LONG_SUFFIXES; ``ip`` for addresses."""
+    bare = _bare(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(_is_address(bare), "ip").when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
 
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -68,25 +88,31 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Col
     return name, verdict
 
 
-def _level(counts: DataFrame, child: str, parent: str, parent_rates: DataFrame) -> DataFrame:
-    """Posterior (a, b) and rate of each ``child`` under a beta prior around its parent's rate.
+def _summed(children: DataFrame, parent: str, *firsts: str) -> DataFrame:
+    """Of each ``parent``: n and k of its children, their number, and q (the sum of k * k / n), which is all that the spread of their rates needs."""
+    return children.groupBy(parent).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("c"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("q"), *[F.first(c).alias(c) for c in firsts])
 
-    counts: child, parent, n, k. The prior's strength m, one for each parent,
-    is from the moments of the children's rates p with sizes n around the
-    parent's rate r: the variance that binomial noise doesn't explain, v = mean
-    of (p - r)^2 - r (1 - r) / n weighted by n, gives m = r (1 - r) / v - 1,
-    held between 1 and 1000.
+
+def _strength(r: Column, n: Column, k: Column, c: Column, q: Column) -> Column:
+    """Strength m of the beta prior of a parent's children around its rate r.
+
+    From the moments of the children's rates p with sizes n: the variance that
+    binomial noise doesn't explain, v = mean of (p - r)^2 - r (1 - r) / n
+    weighted by n, gives m = r (1 - r) / v - 1, held between 1 and 1000.
     """
-    joined = counts.join(parent_rates.select(F.col(parent), F.col("rate").alias("r")), parent)
-    noise = F.col("r") * (1 - F.col("r"))
-    fit = joined.groupBy(parent).agg(
-        (F.sum(F.pow(F.col("k") / F.col("n") - F.col("r"), 2) * F.col("n") - noise) / F.sum("n")).alias("v"), F.first("r").alias("fr")
-    )
-    m = F.when(F.col("v") > 0, F.col("fr") * (1 - F.col("fr")) / F.col("v") - 1).otherwise(1000.0)
-    strength = fit.select(parent, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m)).alias("m"))
-    out = joined.join(strength, parent)
-    a, b = F.col("m") * F.col("r") + F.col("k"), F.col("m") * (1 - F.col("r")) + F.col("n") - F.col("k")
-    return out.select(child, parent, "n", "k", a.alias("a"), b.alias("b")).withColumn("rate", F.col("a") / (F.col("a") + F.col("b")))
+    v = F.try_divide(q - 2 * r * k + r * r * n - c * r * (1 - r), n)
+    return F.when(v > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.try_divide(r * (1 - r), v) - 1))).otherwise(1000.0)
+
+
+def _posterior(table: DataFrame, r: Column, m: Column) -> DataFrame:
+    """``table`` with a, b and rate of its rows' posteriors under beta priors of rate r and strength m."""
+    a, b = m * r + F.col("k"), m * (1 - r) + F.col("n") - F.col("k")
+    return table.withColumns({"a": a, "b": b, "rate": a / (a + b)})
+
+
+def _below(table: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
+    prior = parents.select(F.col(parent), F.col("rate").alias("__r"), _strength(F.col("rate"), F.col("n"), F.col("k"), F.col("c"), F.col("q")).alias("__m"))
+    return _posterior(table.join(prior, parent), F.col("__r"), F.col("__m")).drop("__r", "__m")
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -95,17 +121,18 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     ``outcomes``: host and bad (0/1; null outcomes and empty hosts are left out).
     """
     seen = outcomes.where("bad is not null and host <> ''")
-    hosts = seen.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k")).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("suffix").alias("suffix"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("root", F.lit(0))
+    hosts = tx.stored(seen.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k")).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))))
+    domains = tx.stored(_summed(hosts, "domain", "suffix"))
+    suffixes = tx.stored(_summed(domains, "suffix"))
+    n, k, c, q = suffixes.agg(F.sum("n"), F.sum("k"), F.count("*"), F.sum(F.col("k") * F.col("k") / F.col("n"))).first()
     # one success and one failure beforehand keep the root's rate off 0 and 1
-    root = suffixes.groupBy("root").agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("rate"))
-    by_suffix = _level(suffixes, "suffix", "root", root)
-    by_domain = _level(domains, "domain", "suffix", by_suffix)
-    by_host = _level(hosts.select("host", "domain", "n", "k"), "host", "domain", by_domain)
+    rate = F.lit(((k or 0) + 1) / ((n or 0) + 2))
+    by_suffix = _posterior(suffixes, rate, _strength(rate, *(F.lit(float(x or 0)) for x in (n, k, c, q))))
+    by_domain = _below(domains, by_suffix, "suffix")
+    by_host = _below(hosts, by_domain.drop("suffix"), "domain")
     total = F.col("a") + F.col("b")
     deviation = F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return by_host.withColumn("lower", F.greatest(F.lit(0.0), F.col("rate") - 1.6449 * deviation)).withColumn("suffix", suffix(F.col("host")))
+    return by_host.withColumn("lower", F.greatest(F.lit(0.0), F.col("rate") - 1.6449 * deviation)).select("host", "domain", "suffix", "n", "k", "a", "b", "rate", "lower")
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], url: str = "url", limit: float = 0.5) -> DataFrame:

@@ -3,16 +3,17 @@
 Writing: every row becomes one WARC record (response, or revisit where an equal
 payload of some size is kept by another record). Spark's text writer writes the
 records: the end of a line is the end of a WARC record (two CRLFs), so that a
-part file is a WARC file. Files are bounded by ``records_per_file``.
+part file is a WARC file. Files hold about ``file_bytes`` of records.
 
-Reading: part files are read whole (they are bounded) and cut into records by
-Content-Length.
+Reading: gzipped files are read as a stream of lines that are put together by
+Content-Length, so that a task holds one record at a time, however large the file is.
 
 Index: each archive gives a locally sorted run of (url key, timestamp, ...).
 Runs are merged externally: the key space is cut into ranges at sampled keys,
 every run's slice of a range goes to the same task, and a loser tree merges the
 slices of the k runs there. Ranges follow each other, so that range and place
-order all captures globally.
+order all captures globally, and the captures of a url are numbered across
+the ranges that they span.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -30,7 +31,7 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 LEAST_REVISIT_BYTES = 1000
 
-RECORD = "record_type string, id string, uri string, at string, digest string, refers_to string, length bigint, payload binary, file string, start bigint"
+RECORD = "record_type string, id string, uri string, at string, digest string, refers_to string, length bigint, payload binary, own string, file string, start bigint"
 
 
 def with_revisits(pages: DataFrame, key: str, payload: str, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
@@ -68,65 +69,99 @@ def record_text(key: Column, uri: Column, at: Column, payload: Column) -> Column
     return F.concat(header, F.when(revisit, F.lit("")).otherwise(F.coalesce(payload, F.lit(""))))
 
 
-def write_warc(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", at: Column | None = None, records_per_file: int = 5000, gzip: bool = True) -> None:
+def write_warc(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", at: Column | None = None, file_bytes: int = 64 << 20, gzip: bool = True) -> None:
     """Write a record for each row of ``pages`` under ``folder`` (any file system that Spark writes; part files are WARC files, gzipped as a whole).
 
     ``at``: the capture's time as WARC text; the same fixed date for all rows where it isn't given.
+    ``file_bytes``: a file ends behind as many records as have that size on average.
     """
+    n, size = pages.agg(F.count("*"), F.sum(F.octet_length(payload).cast("bigint"))).first()
+    per_file = max(1, file_bytes * n // ((size or 0) + 500 * max(1, n)))  # headers have about 500 bytes
     records = with_revisits(pages.select(key, uri, payload), key, payload)
     body = record_text(F.col(key), F.col(uri), at if at is not None else F.lit(DATE), F.col(payload))
     (
-        records.select(body.alias("value")).write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", records_per_file)
+        records.select(body.alias("value")).write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", int(per_file))
         .option("compression", "gzip" if gzip else "none").text(folder)
     )
 
 
+class RecordStream:
+    """Cuts a WARC file that comes in chunks into records: headers (names in lower case), payload, and where the record starts."""
+
+    def __init__(self):
+        self.chunks: list[bytes] = []
+        self.size, self.begin, self.need = 0, 0, 4
+
+    def feed(self, chunk: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
+        self.chunks.append(chunk)
+        self.size += len(chunk)
+        while self.size >= self.need:
+            data = self.chunks[0] if len(self.chunks) == 1 else b"".join(self.chunks)
+            self.chunks = [data]
+            head = data.find(b"\r\n\r\n")
+            if head < 0:
+                self.need = self.size + 1
+                return
+            if data[:5] != b"WARC/":
+                raise ValueError(f"no WARC record at byte {self.begin}")
+            lines = data[:head].decode("utf-8", "replace").split(CRLF)[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            end = head + 4 + int(headers["content-length"])
+            self.need = end + 4
+            if self.size < self.need:
+                return
+            yield headers, data[head + 4 : end], self.begin
+            self.begin += end + 4
+            self.chunks, self.size, self.need = [data[end + 4 :]], self.size - end - 4, 4
+
+    def close(self) -> None:
+        if self.size:
+            raise ValueError(f"a WARC record that starts at byte {self.begin} isn't complete")
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """Records of a WARC file: headers (names in lower case), payload, and where the record starts."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        begin = head + 4
-        end = begin + int(headers["content-length"])
-        yield headers, data[begin:end], at
-        at = end + 4
-
-
-def read_warc(spark, folder: str) -> DataFrame:
-    """Records of the WARC files in ``folder``: record_type, id, uri, at, digest, refers_to, length, payload, file and start (of the record in the unpacked file)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        names = [f.split()[0] for f in RECORD.split(", ")]
-        types = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.split()[1]] for f in RECORD.split(", ")]
-        plain = lambda x: x.removeprefix("<urn:row:").removesuffix(">") if x is not None else None
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = content.as_buffer().to_pybytes()
-                if data[:2] == b"\x1f\x8b":
-                    packed, data = data, b""
-                    while packed:  # one member, or one for each record
-                        one = zlib.decompressobj(31)
-                        data += one.decompress(packed) + one.flush()
-                        packed = one.unused_data
-                rows, size = [], 0
-                for h, body, start in parse(data):
-                    rows.append((h["warc-type"], plain(h["warc-record-id"]), h["warc-target-uri"], h["warc-date"], h["warc-payload-digest"].removeprefix("sha1:"), plain(h.get("warc-refers-to")), len(body), body, path, start))
-                    size += len(body)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    # one file a batch: files are bounded, batches of many of them are not
-    return files.mapInArrow(run, RECORD)
+    """Records of a whole WARC file."""
+    stream = RecordStream()
+    yield from stream.feed(data)
+    stream.close()
+
+
+def read_warc(spark, folder: str, payloads: bool = True) -> DataFrame:
+    """Records of the WARC files in ``folder``: record_type, id, uri, at, digest, refers_to, length, payload (null without ``payloads``), own (the SHA-1 of the payload of a response), file and start (of the record in the unpacked file).
+
+    Files whose name ends in .gz are streamed; others are taken as they are, each whole.
+    """
+    import hashlib
+
+    names = [f.split()[0] for f in RECORD.split(", ")]
+    types = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.split()[1]] for f in RECORD.split(", ")]
+    plain = lambda x: x.removeprefix("<urn:row:").removesuffix(">") if x is not None else None
+
+    def reader(between: bytes):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stream, last, rows, size = RecordStream(), None, [], 0
+            for batch in batches:
+                paths, values = batch.column(0).to_pylist(), batch.column(1)
+                for path, value in zip(paths, values):
+                    if path != last:
+                        stream.close()
+                        stream, last = RecordStream(), path
+                    for h, body, start in stream.feed(value.as_buffer().to_pybytes() + between):
+                        own = hashlib.sha1(body).hexdigest() if h["warc-type"] == "response" else None
+                        rows.append((h["warc-type"], plain(h["warc-record-id"]), h["warc-target-uri"], h["warc-date"], h["warc-payload-digest"].removeprefix("sha1:"), plain(h.get("warc-refers-to")), len(body), body if payloads else None, own, path, start))
+                        size += len(body) if payloads else 500
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                            rows, size = [], 0
+            stream.close()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        return run
+
+    packed = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(folder).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "part-*[!z]").load(folder).select("path", "content")
+    return packed.mapInArrow(reader(b"\n"), RECORD).unionByName(whole.mapInArrow(reader(b""), RECORD))
 
 
 def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
@@ -168,70 +203,77 @@ def url_key(uri: Column) -> Column:
     return F.when(F.instr(uri, "://") > 0, F.concat(F.concat_ws(",", F.reverse(F.split(host, r"\."))), F.lit(")"), rest)).otherwise(F.coalesce(uri, F.lit("")))
 
 
-INDEX = "range bigint, place bigint, urlkey string, at string, id string, file string, start bigint, digest string, record_type string, capture bigint"
+INDEX = "range bigint, place bigint, urlkey string, at string, id string, file string, start bigint, digest string, record_type string, refers_to string, length bigint, own string, capture bigint, edge boolean"
 
 
 def merge_indexes(records: DataFrame, per_range: int = 20_000) -> DataFrame:
-    """All captures in global order: range, place (within the range), urlkey, at, id, file, start, digest, record_type and capture (its number among those of the url within the range).
+    """All captures in global order: place (from 0), urlkey, at, id, file, start, digest, record_type, refers_to, length, own, capture (its number among those of the url, from 1) and range.
 
     ``records``: rows as ``read_warc`` gives them. A file's captures, sorted,
     are a run. Ranges hold about ``per_range`` captures: they are cut by url
     key, time, file and start together, so that one url's captures can span
     ranges. Equal captures keep the order of file and start.
     """
-    run = records.select(url_key(F.col("uri")).alias("urlkey"), "at", "id", "file", "start", "digest", "record_type")
-    n = run.count()
-    ranges = max(1, -(-n // per_range))
     order = ["urlkey", "at", "file", "start"]
-    # repartitionByRange samples keys and cuts; the sort within is that of each run's slice
-    dealt = run.repartitionByRange(ranges, *order).sortWithinPartitions("file", "urlkey", "at", "start")
+    fields = ["id", "digest", "record_type", "refers_to", "length", "own"]
+    runs = tx.stored(records.select(url_key(F.col("uri")).alias("urlkey"), "at", "file", "start", *fields).sortWithinPartitions("file", *order))
+    ranges = max(1, -(-runs.count() // per_range))
+    # repartitionByRange samples keys and cuts; sorting by file puts each run's slice together again
+    dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", *order)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        runs: dict[str, list[tuple]] = {}
+        slices: dict[str, list[tuple]] = {}
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for urlkey, at, id_, file, start, digest, kind in zip(*cols):
-                runs.setdefault(file, []).append((urlkey, at, file, start, id_ or "", digest, kind))
-        rows, last, capture, place = [], None, 0, 0
-        number = TaskContext.get().partitionId()
-        for urlkey, at, file, start, id_, digest, kind in loser_tree([runs[f] for f in sorted(runs)]):
-            capture = capture + 1 if urlkey == last else 1
-            rows.append((number, place, urlkey, at, id_, file, start, digest, kind, capture))
-            last, place = urlkey, place + 1
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                slices.setdefault(row[2], []).append(row)
+        number, rows = TaskContext.get().partitionId(), []
+        for urlkey, at, file, start, id_, *rest in loser_tree([slices[f] for f in sorted(slices)]):
+            capture = rows[-1][12] + 1 if rows and rows[-1][2] == urlkey else 1
+            rows.append((number, len(rows), urlkey, at, id_, file, start, *rest, capture))
         names = [f.split()[0] for f in INDEX.split(", ")]
-        types = [pa.int64() if f.endswith("bigint") else pa.string() for f in INDEX.split(", ")]
+        types = [pa.int64() if f.endswith("bigint") else pa.bool_() if f.endswith("boolean") else pa.string() for f in INDEX.split(", ")]
+        # the last captures of the range's first and last url tell how many of them the range has
+        edge = [b is None or (a[2] != b[2] and a[2] == rows[0][2]) for a, b in zip(rows, [*rows[1:], None])]
         for k in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 10_000]), types)], names=names)
-
-    return dealt.mapInArrow(merge, INDEX)
-
+            some = [*zip(*rows[k : k + 10_000]), edge[k : k + 10_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, types)], names=names)
 
-def without_payload(records: DataFrame) -> DataFrame:
-    """``records`` with own (the SHA-1 of the payload that a response has) in place of the payload."""
-    return records.withColumn("own", F.when(F.col("record_type") == "response", F.sha1("payload"))).drop("payload")
+    merged = tx.stored(dealt.mapInArrow(merge, INDEX))
+    # one row a range: how many captures come before it; two at most: how many of its first url's do
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = merged.groupBy("range").agg(F.count("*").alias("n")).select(F.col("range").alias("__r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    same = Window.partitionBy("urlkey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = merged.where("edge").select(F.col("range").alias("__cr"), F.col("urlkey").alias("__u"), F.sum("capture").over(same).alias("__carried")).where("__carried is not null")
+    numbered = merged.join(offset, F.col("range") == F.col("__r")).join(carried, (F.col("range") == F.col("__cr")) & (F.col("urlkey") == F.col("__u")), "left")
+    return numbered.select("range", (F.col("place") + F.col("__before")).alias("place"), "urlkey", "at", "id", "file", "start", *fields[1:], (F.col("capture") + F.coalesce("__carried", F.lit(0))).alias("capture"))
 
 
-def captures(records: DataFrame, index: DataFrame, key: str = "page_id", kind: str = "bigint") -> DataFrame:
+def captures(index: DataFrame, key: str = "page_id", kind: str = "bigint") -> DataFrame:
     """One row per capture of the merged index, with what the archives say of it.
 
-    ``records``: as ``without_payload`` gives them. Key, payload_bytes and
-    payload_digest (of the full payload: a revisit's are those of the response
-    with that digest that it refers to; a response's digest is that of the
-    payload read), record_type, refers_to, urlkey, range and place.
+    Key, payload_bytes and payload_digest (of the full payload: a revisit's are
+    those of the response with that digest that it refers to; a response's
+    digest is that of the payload read), record_type, refers_to, urlkey, place and capture.
     """
-    read = records.select(F.col("file").alias("f"), F.col("start").alias("s"), "id", F.col("refers_to").alias("to"), F.col("digest").alias("said"), "length", "own")
-    own = index.select("range", "place", "urlkey", "file", "start", "record_type").join(read, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
-    kept = read.where(F.col("own").isNotNull() & (F.col("length") >= LEAST_REVISIT_BYTES) & (F.col("id") != "")).groupBy(F.col("id").alias("kept"), F.col("own").alias("full_digest")).agg(F.max("length").alias("full"))
-    joined = own.join(kept, (F.col("to") == F.col("kept")) & (F.col("said") == F.col("full_digest")), "left")
+    whole = F.col("own").isNotNull() & (F.col("length") >= LEAST_REVISIT_BYTES) & (F.col("id") != "")
+    kept = index.where(whole).groupBy(F.col("id").alias("kept"), F.col("own").alias("full_digest")).agg(F.max("length").alias("full"))
+    joined = index.join(kept, (F.col("refers_to") == F.col("kept")) & (F.col("digest") == F.col("full_digest")), "left")
     return joined.select(
-        F.when(F.col("id") != "", F.col("id")).cast(kind).alias(key), F.coalesce("full", "length").alias("payload_bytes"), F.coalesce("full_digest", "own").alias("payload_digest"), "record_type", F.col("to").cast(kind).alias("refers_to"), "urlkey", "range", "place",
+        F.when(F.col("id") != "", F.col("id")).cast(kind).alias(key), F.coalesce("full", "length").alias("payload_bytes"), F.coalesce("full_digest", "own").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"),
+        "urlkey", "place", "capture",
     )
 
 
 def archive(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", at: Column | None = None) -> DataFrame:
-    """Write ``pages`` as WARC files, read them back, merge their indexes, and return the captures."""
+    """Write ``pages`` as WARC files, read them back, merge their indexes, and return the captures.
+
+    Null payloads are empty, null urls have an empty uri, null keys an empty id
+    (read back as null). Repeated rows are a record each. An empty table gives
+    no captures. A payload of any length is one record. Of the columns of
+    ``pages`` only the three named are archived.
+    """
     write_warc(pages, folder, key, uri, payload, at)
-    records = tx.checkpointed(without_payload(read_warc(pages.sparkSession, folder)))
-    return captures(records, merge_indexes(records), key, pages.schema[key].dataType.simpleString())
+    records = read_warc(pages.sparkSession, folder, payloads=False)
+    return captures(merge_indexes(records), key, pages.schema[key].dataType.simpleString())

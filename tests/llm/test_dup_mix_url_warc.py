@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from equilens.llm import mixing, neardup, urls, warc
 
@@ -169,14 +170,19 @@ def test_warc_round_trip(spark, tmp_path, gzip):
     long = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 80
     rows = [(1, "http://b.x/1", long), (2, "http://a.x/\r\n2", long), (3, None, None), (4, "u", ""), (5, "http://a.x/2", "short"), (6, "http://a.x/2", "short"), (None, "n", "q"), (None, "n", long), (7, "http://a.x/2", long + " "), (7, "http://a.x/2", long + " ")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    warc.write_warc(pages, str(tmp_path / "w"), gzip=gzip, records_per_file=3)
+    warc.write_warc(pages, str(tmp_path / "w"), gzip=gzip, file_bytes=5000)  # about three records
     records = warc.read_warc(spark, str(tmp_path / "w"))
     said = sorted((r["id"], r["record_type"], bytes(r["payload"]).decode()) for r in records.collect())
     assert said == sorted((str(k) if k is not None else "", "revisit" if h == long and k != 2 else "response", "" if h is None or (h == long and k != 2) else h) for k, _, h in rows)
-    merged = warc.merge_indexes(warc.without_payload(records), per_range=4).collect()
-    ordered = sorted(merged, key=lambda r: (r["range"], r["place"]))
+    merged = warc.merge_indexes(records, per_range=4).collect()
+    ordered = sorted(merged, key=lambda r: r["place"])
     keys = [(r["urlkey"], r["at"]) for r in ordered]
     assert keys == sorted(keys) and len(keys) == len(rows) and len({r["range"] for r in merged}) > 1
+    assert [r["place"] for r in ordered] == list(range(len(rows))) and [r["range"] for r in ordered] == sorted(r["range"] for r in merged)
+    seen = defaultdict(int)
+    for r in ordered:  # numbers of captures go on across ranges
+        seen[r["urlkey"]] += 1
+        assert r["capture"] == seen[r["urlkey"]]
     got = warc.archive(pages, str(tmp_path / "v")).collect()
     import hashlib
 
@@ -187,3 +193,62 @@ def test_warc_round_trip(spark, tmp_path, gzip):
         want.append((k or -1, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None))
     assert sorted(map(str, want)) == sorted(str((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got)
     assert warc.archive(pages.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_warc_one_url_over_many_ranges_and_large_payloads(spark, tmp_path):
+    ends = ["\r\n", "\r\n\r", "\r", "\r\n\r\n", "\r\n\r\n\r\n\r\n", "\n\r\n\r", "\r\r\n\r\n\r", "x"]
+    rows = [(k, "http://hot.example/", ends[k % 8] * (1 + k % 5) + "é" * (k % 7) + ends[(k + 3) % 8]) for k in range(200)] + [(1000 + k, f"http://b.example/{k % 3}", "p" * 3_000_000 + str(k)) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "7 as payload_bytes", "'x' as Place")
+    at = F.date_format(F.timestamp_seconds(F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    warc.write_warc(pages, str(tmp_path / "w"), at=at, file_bytes=200_000)
+    records = warc.read_warc(spark, str(tmp_path / "w"))
+    assert {int(r["id"]): bytes(r["payload"]).decode() for r in records.collect()} == {k: h for k, _, h in rows}
+    merged = warc.merge_indexes(records.drop("payload"), per_range=16)
+    hot = sorted((r["place"], r["range"], r["capture"]) for r in merged.where("urlkey like 'example,hot%'").collect())
+    assert len({r for _, r, _ in hot}) > 4 and [c for _, _, c in hot] == list(range(1, 201))
+    assert warc.archive(pages, str(tmp_path / "v")).columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "place", "capture"]
+
+
+def test_record_stream_in_any_chunks():
+    data = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(p), p) for p in (b"", b"\r\n\r\n", b"abc", b"\r\n"))
+    for n in (1, 3, 7, 1000):
+        stream, got = warc.RecordStream(), []
+        for k in range(0, len(data), n):
+            got += [(body, start) for _, body, start in stream.feed(data[k : k + n])]
+        stream.close()
+        assert [b for b, _ in got] == [b"", b"\r\n\r\n", b"abc", b"\r\n"] and all(data[s : s + 5] == b"WARC/" for _, s in got)
+    with pytest.raises(ValueError):
+        list(warc.parse(data[:-2]))
+
+
+def test_registered_domains(spark):
+    hosts = ["www.a.co.uk", "a.co.uk", "co.uk", "x.y.example.com:80", "10.0.0.1:8080", "[::1]:80", "u:p@h.example.org", "localhost"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.registered_domain(F.col("h")).alias("d"), urls.suffix(F.col("h")).alias("s"))
+    assert {r["h"]: (r["d"], r["s"]) for r in df.collect()} == {
+        "www.a.co.uk": ("a.co.uk", "co.uk"), "a.co.uk": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.com:80": ("example.com", "com"), "10.0.0.1:8080": ("10.0.0.1", "ip"), "[::1]:80": ("[::1]", "ip"),
+        "u:p@h.example.org": ("example.org", "org"), "localhost": ("localhost", "localhost"),
+    }
+
+
+def test_reputation_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(f"h{rng.randrange(4)}.d{rng.randrange(6)}.{rng.choice(['com', 'org', 'co.uk'])}", int(rng.random() < 0.4)) for _ in range(400)]
+    got = {r["host"]: r for r in urls.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    suffix_of = lambda h: "co.uk" if h.endswith("co.uk") else h.split(".")[-1]
+    domain_of = lambda h: h.split(".", 1)[1]
+    count = lambda f: {x: (sum(f(h) == x for h, _ in rows), sum(b for h, b in rows if f(h) == x)) for x in {f(h) for h, _ in rows}}
+
+    def level(children, parent_of, rates):
+        out = {}
+        for p, r in rates.items():
+            own = {c: nk for c, nk in children.items() if parent_of(c) == p}
+            v = sum((k / n - r) ** 2 * n - r * (1 - r) for n, k in own.values()) / sum(n for n, _ in own.values())
+            m = min(1000.0, max(1.0, r * (1 - r) / v - 1)) if v > 0 else 1000.0
+            out |= {c: (m * r + k) / (m + n) for c, (n, k) in own.items()}
+        return out
+
+    root = {0: (sum(b for _, b in rows) + 1) / (len(rows) + 2)}
+    by_domain = level(count(domain_of), suffix_of, level(count(suffix_of), lambda _: 0, root))
+    want = level(count(lambda h: h), domain_of, by_domain)
+    assert set(want) == set(got) and all(abs(got[h]["rate"] - want[h]) < 1e-9 for h in want)
+    assert urls.judge_urls(spark.createDataFrame([], "page_id bigint, url string"), spark.createDataFrame(rows, "host string, bad int"), []).count() == 0
