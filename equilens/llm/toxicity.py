@@ -8,11 +8,12 @@ The patterns are fixed forms of address and emphasis. A voter says toxic (1),
 not toxic (-1), or abstains (0).
 
 A generative label model (two classes, accuracies per voter and class) is
-fitted on the votes by EM; the labels of the documents that didn't make the
-lexicons hold their classes. Correlations: the residual agreement of each pair
-of voters beyond what the classes explain; a voter's evidence is divided by one
-plus its residual correlations, so that copies of one voter count about once. A
-linear classifier on the chosen words and beginnings is trained on the
+fitted on the votes by EM. The given label is one more voter, of unknown accuracy.
+Accuracies are estimated on the documents that didn't make the lexicons.
+Correlations: the residual agreement of each pair of voters beyond what the
+classes explain, estimated anew in each round; a voter's evidence is divided by
+one plus its residual correlations, so that copies of one voter count about
+once. A linear classifier on the chosen words and beginnings is trained on the
 posterior labels.
 
 Predictions read whole texts: words and beginnings are hashed and looked up
@@ -33,6 +34,8 @@ from . import text as tx
 
 #: Log odds of a feature's toxic use, at their lower end, from which the classifier reads it.
 LEAST_ODDS = 0.8
+#: Lower ends of the lexicons' slices of odds.
+ODDS = (0.7, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
 #: Beginnings of words, in bytes, that are features besides whole words.
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -67,14 +70,11 @@ def distinct_pairs(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
     return row[new], value[new]
 
 
-def lexicon_voters(low: np.ndarray, high: np.ndarray, n_bad: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Lexicons as (feature numbers, vote), from the ends of the features' odds (log) and their toxic documents."""
-    strong = np.flatnonzero(low > 0.7)
-    order = strong[np.argsort(-low[strong], kind="stable")]
-    common = strong[np.argsort(-n_bad[strong], kind="stable")]
-    slices = [order[:16], order[16:64], order[64:256], order[:256:2], order[1:256:2], common[:32], common[32:200]]
-    against = np.flatnonzero(high < -0.7)
-    return [(s, 1) for s in slices if len(s)] + ([(against, -1)] if len(against) else [])
+def lexicon_voters(low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Lexicons as (feature numbers, vote): slices by the nearer end of the features' odds (log), so that a voter's entries are about equally telling."""
+    edges = [*ODDS, np.inf]
+    slices = [(np.flatnonzero((side >= a) & (side < b)), vote) for side, vote in ((low, 1), (-high, -1)) for a, b in zip(edges, edges[1:])]
+    return [(s, vote) for s, vote in slices if len(s)]
 
 
 def lexicon_votes(row: np.ndarray, number: np.ndarray, n: int, features: int, voters: list[tuple[np.ndarray, int]]) -> np.ndarray:
@@ -86,35 +86,41 @@ def lexicon_votes(row: np.ndarray, number: np.ndarray, n: int, features: int, vo
     return out
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row, accuracies (voter x class x vote), and residual correlations of the voters.
+def posteriors(votes: np.ndarray, prior: float, table: np.ndarray, correlations: np.ndarray) -> np.ndarray:
+    """Chance of toxic for each row: the evidence of the voters that don't abstain, each divided by one plus its residual correlations with others."""
+    discount = 1 / (1 + np.maximum(correlations - np.eye(len(correlations)), 0).sum(1))
+    weigh = (np.log(table[:, 1]) - np.log(table[:, 0])) * discount[:, None] * np.array([1, 0, 1])
+    logit = np.full(len(votes), np.log(prior / (1 - prior)))
+    for k, own in enumerate(weigh):
+        logit += own[votes[:, k] + 1]
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Posterior of toxic for each row, accuracies (voter x class x vote), residual correlations of the voters, and the prior.
 
     ``labels``: 1, 0, or -1 for unknown. Labelled rows hold their class in
-    each step of EM; the others take their posterior.
+    each step of EM; the others take their posterior, from ``start`` on (the prior where it isn't given).
     """
     n, m = votes.shape
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # n x m x 3
     known = labels >= 0
-    prior = (labels[known].sum() + 1) / (known.sum() + 2) if known.any() else 0.1
-    q = np.where(known, labels, prior).astype(float)
-    discount = np.ones(m)
-    table = np.zeros((m, 2, 3))
+    p = (labels[known].sum() + 1) / (known.sum() + 2) if known.any() else 0.1
+    q = np.where(known, labels, p if start is None else start).astype(float)
+    table, corr = np.zeros((m, 2, 3)), np.eye(m)
     for step in range(rounds):
         for c, w in enumerate((1 - q, q)):
             table[:, c] = (np.einsum("n,nmv->mv", w, onehot) + 0.5) / (w.sum() + 1.5)
-        p = min(max(q.mean(), 1e-4), 1 - 1e-4)
-        if step == 2 and m:
+        p = float(min(max(q.mean(), 1e-4), 1 - 1e-4))
+        if step >= 2 and m:
             # residual agreement: votes less what the classes expect of them
             expect = q[:, None] * (table[:, 1, 2] - table[:, 1, 0]) + (1 - q)[:, None] * (table[:, 0, 2] - table[:, 0, 0])
             rest = votes - expect
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
             corr = np.clip((rest / scale).T @ (rest / scale) / max(1, n), -1, 1)
-            discount = 1 / (1 + np.maximum(corr - np.eye(m), 0).sum(1))
-        logit = np.log(p / (1 - p)) + np.einsum("nmv,mv,m->n", onehot, np.log(table[:, 1]) - np.log(table[:, 0]), discount)
-        q = np.where(known, labels, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-    posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) if m else np.full(n, prior)
-    correlations = corr if m and rounds > 2 else np.eye(m)
-    return posterior, table, correlations
+        posterior = posteriors(votes, p, table, corr)
+        q = np.where(known, labels, posterior)
+    return posterior, table, corr, p
 
 
 def train_linear(row: np.ndarray, number: np.ndarray, n: int, target: np.ndarray, weight: np.ndarray, features: int, epochs: int = 600, rate: float = 0.4, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -137,40 +143,23 @@ def train_linear(row: np.ndarray, number: np.ndarray, n: int, target: np.ndarray
     return w, b
 
 
-def thinned(row: np.ndarray, number: np.ndarray, n: int, target: np.ndarray, weight: np.ndarray, copies: int = 3, share: float = 0.3) -> tuple:
-    """The training rows, and of each toxic row ``copies`` with a random ``share`` of its features, so that few of them suffice.
+def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_rows: int = 8_000, max_features: int = 10_000) -> Model:
+    """Fit voters, label model and classifier on a bounded sample of labelled texts.
 
-    The copies weigh as much as one row; those that lose all features are left out.
-    """
-    rows, numbers, targets, weights = [row], [number], [target], [weight]
-    bad = target > 0.5
-    for c in range(copies):
-        chance = tx.mix64((row.astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) * np.uint64(8) + np.uint64(c)) >> np.uint64(40)
-        take = bad[row] & (chance < share * (1 << 24))
-        left = np.bincount(row[take], minlength=n) > 0
-        rows.append(row[take] + n * (c + 1))
-        numbers.append(number[take])
-        targets.append(target)
-        weights.append(np.where(left, weight / copies, 0.0))
-    return np.concatenate(rows), np.concatenate(numbers), n * (copies + 1), np.concatenate(targets), np.concatenate(weights)
-
-
-def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_rows: int = 8_000, max_chars: int = 20_000, max_features: int = 10_000) -> Model:
-    """Fit voters, label model and classifier on a bounded sample of labelled rows.
-
-    The sample: about ``max_rows`` rows with a label, by hash of the text, of
-    each at most ``max_chars`` characters; predictions read whole texts. Rows
-    without label or text are left out. Without labels of both kinds the model
-    is a constant (0 without any label).
+    The sample: about ``max_rows`` distinct texts with a label, by hash, read
+    whole; copies of a text with one label are one row of it. Rows without
+    label or text are left out. Without labels of both kinds the model is a
+    constant (0 without any label).
     """
     usable = labelled.where(F.col(toxic).isNotNull() & F.col(text).isNotNull())
-    n_rows, n_bad = usable.agg(F.count("*"), F.sum((F.col(toxic) == 1).cast("int"))).first()
-    if not n_rows or not n_bad or n_bad == n_rows:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 4.0 if n_rows and n_bad else -4.0)
-    chance = min(1.0, max_rows / n_rows)
-    hits = F.array(*[F.coalesce(F.col("t").rlike(p), F.lit(False)) for p, _ in PATTERNS])
     h = F.pmod(F.xxhash64(text), F.lit(1 << 30))
-    sample = usable.where(h < int(chance * (1 << 30)) + 1).select(F.substring(F.col(text), 1, max_chars).alias("t"), (F.col(toxic) == 1).cast("int").alias("y"), (h % 2 == 0).cast("int").alias("half"), h.alias("h"))
+    n_texts, n_bad, n_good = usable.agg(F.approx_count_distinct(h), *[F.sum((F.col(toxic) == 1).cast("int") if y else (F.col(toxic) != 1).cast("int")) for y in (1, 0)]).first()
+    if not n_bad or not n_good:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 4.0 if n_bad else -4.0)
+    chance = min(1.0, max_rows / max(1, n_texts))
+    hits = F.array(*[F.coalesce(F.col("t").rlike(p), F.lit(False)) for p, _ in PATTERNS])
+    distinct = usable.where(h < int(chance * (1 << 30)) + 1).groupBy(h.alias("h"), (F.col(toxic) == 1).cast("int").alias("y")).agg(F.min(text).alias("t"))
+    sample = tx.stored(distinct.select("t", "y", (F.col("h") % 2 == 0).cast("int").alias("half"), "h"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,13 +180,13 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_row
 
     def ends(bad, good, all_bad: int, all_good: int):
         odds = F.log((bad + 0.5) / (all_bad + 1)) - F.log((good + 0.5) / (all_good + 1))
-        spread = 1.64 * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        spread = 3.0 * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
         return odds - spread, odds + spread
 
     every = lambda y: sum(n for (_, k), n in totals.items() if k == y)
     low, high = ends(F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2"), every(1), every(0))
     own_low, own_high = ends(mine(1), mine(0), of(1), of(0))
-    chosen = table.select("f", low.alias("low"), high.alias("high"), own_low.alias("own_low"), own_high.alias("own_high"), mine(1).alias("bad")).where(f"low > {LEAST_ODDS} or high < -0.7").orderBy(F.greatest("low", -F.col("high")).desc(), "f").limit(max_features).toPandas()
+    chosen = table.select("f", low.alias("low"), high.alias("high"), own_low.alias("own_low"), own_high.alias("own_high")).where(f"low > {LEAST_ODDS} or high < -0.7").orderBy(F.greatest("low", -F.col("high")).desc(), "f").limit(max_features).toPandas()
     hashes = chosen["f"].to_numpy(np.int64).view(np.uint64)
     chosen, hashes = chosen.iloc[np.argsort(hashes)], np.sort(hashes)
     known = tx.KnownHashes(hashes)
@@ -216,17 +205,25 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_row
     y, half = got["y"].to_numpy(), got["half"].to_numpy()
     row = np.repeat(np.arange(len(got)), [len(s) for s in got["found"]])
     number = np.concatenate([np.zeros(0, np.int64), *got["found"]]).astype(np.int64)
-    voters = lexicon_voters(chosen["own_low"].to_numpy(), chosen["own_high"].to_numpy(), chosen["bad"].to_numpy())
+    voters = lexicon_voters(chosen["own_low"].to_numpy(), chosen["own_high"].to_numpy())
     fixed = np.array([[v if hit else 0 for hit, (_, v) in zip(hits_, PATTERNS)] for hits_ in got["hits"]], np.int8)
     votes = np.concatenate([lexicon_votes(row, number, len(got), len(hashes), voters), fixed], 1)
-    # the half that made the lexicons takes part without its labels: its votes would look better than they are
-    posterior, accuracies, correlations = label_model(votes, np.where(half == 0, -1, y) if split else y)
-    # a given label is the most accurate voter of all: the posterior moves it by a tenth at most
-    target = 0.1 * posterior + 0.9 * y
+    # accuracies are estimated on the half that didn't make the lexicons: on their own half, votes look better than they are
+    judge = half == 1 if split else np.ones(len(y), bool)
+    posterior, accuracies, correlations, prior = label_model(votes[judge], y[judge])
+    # the given label is one more voter, as accurate as the posterior finds it: where the others speak against it, the target does
+    given = np.stack([y == 0, np.zeros(len(y), bool), y == 1], 1).astype(float)
+    votes, correlations = np.concatenate([votes, (2 * y - 1)[:, None]], 1), np.pad(correlations, (0, 1))
+    correlations[-1, -1] = 1
+    for _ in range(3):
+        own = np.stack([(w @ given[judge] + 0.5) / (w.sum() + 1.5) for w in (1 - posterior, posterior)])
+        target = posteriors(votes, prior, np.concatenate([accuracies, own[None]]), correlations)
+        posterior = target[judge]
+    accuracies = np.concatenate([accuracies, own[None]])
     weight = np.abs(2 * target - 1)
     # words against toxicity only vote: in a long text there are always many of them
     speaks = (chosen["low"] > LEAST_ODDS).to_numpy()[number]
-    w, b = train_linear(*thinned(row[speaks], number[speaks], len(got), target, weight), len(hashes))
+    w, b = train_linear(row[speaks], number[speaks], len(got), target, weight, len(hashes))
     return Model(hashes, w, b, accuracies, correlations)
 
 

@@ -223,12 +223,51 @@ def test_label_model_discounts_copies():
     weak = np.where(rng.random(4000) < 0.6, np.where(y, 1, -1), np.where(y, -1, 1))
     votes = np.stack([good, weak, weak, weak, weak], 1).astype(np.int8)
     labels = np.where(np.arange(4000) < 1500, y, -1).astype(int)
-    posterior, table, corr = toxicity.label_model(votes, labels)
+    posterior, table, corr, prior = toxicity.label_model(votes, labels)
+    assert abs(prior - 0.3) < 0.05
     assert corr[1, 2] > 0.9 > 0.3 > abs(corr[0, 1])
     assert ((posterior > 0.5) == y)[1500:].mean() > 0.88
     assert abs(table[0, 1, 2] - 0.9) < 0.05
 
 
+def test_label_model_equals_brute_force():
+    """One voter at a time, one row at a time: EM with abstentions as no evidence and shared evidence divided."""
+    import math
+
+    rng = np.random.default_rng(4)
+    votes = rng.choice([-1, 0, 1], (60, 3)).astype(np.int8)
+    votes[:, 2] = np.where(rng.random(60) < 0.8, votes[:, 1], votes[:, 2])
+    labels = rng.choice([-1, 0, 1], 60)
+    n, m = votes.shape
+    known = [y for y in labels if y >= 0]
+    p = (sum(known) + 1) / (len(known) + 2)
+    q = [p if y < 0 else float(y) for y in labels]
+    corr = [[float(i == j) for j in range(m)] for i in range(m)]
+    for step in range(6):
+        table = [[[(sum((q[r] if c else 1 - q[r]) for r in range(n) if votes[r][k] == v) + 0.5) / (sum(q[r] if c else 1 - q[r] for r in range(n)) + 1.5) for v in (-1, 0, 1)] for c in (0, 1)] for k in range(m)]
+        p = sum(q) / n
+        if step >= 2:
+            mean = lambda k, r: q[r] * (table[k][1][2] - table[k][1][0]) + (1 - q[r]) * (table[k][0][2] - table[k][0][0])
+            rest = [[votes[r][k] - mean(k, r) for k in range(m)] for r in range(n)]
+            size = [math.sqrt(sum(x[k] ** 2 for x in rest) / n) + 1e-9 for k in range(m)]
+            corr = [[sum(x[i] * x[j] for x in rest) / size[i] / size[j] / n for j in range(m)] for i in range(m)]
+        share = [1 / (1 + sum(max(0, corr[k][j] - (k == j)) for j in range(m))) for k in range(m)]
+        logit = [math.log(p / (1 - p)) + sum(share[k] * math.log(table[k][1][votes[r][k] + 1] / table[k][0][votes[r][k] + 1]) for k in range(m) if votes[r][k]) for r in range(n)]
+        posterior = [1 / (1 + math.exp(-x)) for x in logit]
+        q = [posterior[r] if labels[r] < 0 else float(labels[r]) for r in range(n)]
+    got, got_table, got_corr, got_p = toxicity.label_model(votes, labels, rounds=6)
+    assert np.allclose(got, posterior) and np.allclose(got_table, table) and np.allclose(got_corr, corr, atol=1e-6) and abs(got_p - p) < 1e-9
+
+
+def test_toxicity_sample_is_of_distinct_whole_texts(spark):
+    rows = [(i, f"tree river stone {i} " + "cloud " * 6000 + ("scum" if i % 3 == 0 else "bird"), int(i % 3 == 0)) for i in range(600)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    copies = labelled.unionByName(spark.range(3000).selectExpr("id + 1000 as doc_id", "'one text copied often' as text", "0 as toxic"))
+    model = toxicity.train(copies, max_rows=300)
+    got = toxicity.score(spark.createDataFrame([(1, "cloud " * 9000 + " scum"), (2, "cloud bird"), (3, "one text copied often"), (4, "x" * 2_000_000)], "doc_id bigint, text string"), model).collect()
+    assert [r["predicted"] for r in sorted(got)] == [1, 0, 0, 0]  # the word stands behind 30,000 characters
+
+
 def test_toxicity_edges(spark):
     rng = random.Random(4)
     clean = ["sun", "tree", "river", "stone", "cloud", "bird"]
