@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 #: Log odds of a feature's toxic use, at their lower end, from which the classifier reads it.
-LEAST_ODDS = 0.8
+LEAST_ODDS = 0.7
 #: Lower ends of the lexicons' slices of odds.
 ODDS = (0.7, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
 #: Beginnings of words, in bytes, that are features besides whole words.
@@ -179,8 +179,8 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_row
     table = sample.select("t", "y", "half").mapInArrow(count, "f bigint, k bigint, n bigint").groupBy("f").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
 
     def ends(bad, good, all_bad: int, all_good: int):
-        odds = F.log((bad + 0.5) / (all_bad + 1)) - F.log((good + 0.5) / (all_good + 1))
-        spread = 3.0 * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        odds = F.log((bad + 1) / (all_bad + 2)) - F.log((good + 1) / (all_good + 2))
+        spread = 3 * F.sqrt(1 / (bad + 1) + 1 / (good + 1))  # there are many features: few may pass by chance
         return odds - spread, odds + spread
 
     every = lambda y: sum(n for (_, k), n in totals.items() if k == y)
