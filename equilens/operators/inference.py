@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from equilens.functions import dist
 
+from . import ordered as od
+
 
 def _present(df: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
@@ -52,9 +54,8 @@ def chi_square(df: DataFrame, row: str, col: str, by: list[str] | tuple = (), ya
 def _ranked(df: DataFrame, group: str, value: str, by: list[str]) -> DataFrame:
     """Cells by group and value: o rows each, t rows of the value, and the value's average rank."""
     cells = _present(df, [*by, group, value]).groupBy(*by, group, value).agg(F.count("*").alias("__o"))
-    ties = cells.groupBy(*by, value).agg(F.sum("__o").alias("__t"))
-    upto = _over(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ties.withColumn("__rank", F.sum("__t").over(upto) - (F.col("__t") - 1) / 2.0)
+    ties = od.cumulated(cells.groupBy(*by, value).agg(F.sum("__o").alias("__t")), by, value, ["__t"])
+    ranks = ties.withColumn("__rank", F.col("__t_before") + (F.col("__t") + 1) / 2.0).drop("__t_before")
     return cells.join(ranks, [*by, value])
 
 
@@ -142,12 +143,12 @@ def kappa_of_cells(cells: DataFrame, a: str, b: str, by: list[str] | tuple = ())
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | tuple = ()) -> DataFrame:
     """Spearman's correlation (average ranks): by, n, rho."""
     by = list(by)
-    rows = _present(df, [*by, x, y])
-
-    def rank(c: str) -> Column:
-        return F.rank().over(_over(by).orderBy(c)) + (F.count("*").over(_over(by, c)) - 1) / 2.0
-
-    return rows.select(*by, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    rows = _present(df, [*by, x, y]).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    for c in ("__x", "__y"):
+        ties = od.cumulated(rows.groupBy(*by, c).agg(F.count("*").alias("__t")), by, c, ["__t"])
+        rank = ties.select(*by, c, (F.col("__t_before") + (F.col("__t") + 1) / 2.0).alias(f"{c}r"))
+        rows = rows.join(rank, [*by, c])
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__xr", "__yr").alias("rho"))
 
 
 def adjust(df: DataFrame, p: str, key: str, family: list[str] | tuple = (), alpha: float = 0.05) -> DataFrame:

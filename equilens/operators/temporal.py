@@ -1,8 +1,9 @@
 """Trend, drift, stability, version and season operators over a time column and a metric.
 
-Series operators take ``by`` columns: each series is one window partition. The
-cumulative sums of CUSUM and Page-Hinkley are prefix sums less their running
-minimum, so no row-by-row state is needed.
+Series operators take ``by`` columns. Rows get their position within the series
+first (see ``ordered``); windows then reach over chunks of a series, so that no
+task holds a whole one. The cumulative sums of CUSUM and Page-Hinkley are prefix
+sums less their running minimum, which chunks pass on as two numbers each.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import inference as inf
+from . import ordered as od
 
 
 def _w(by: list[str], *order):
@@ -72,26 +74,19 @@ def stability(df: DataFrame, time: str, metric: str, by: list[str] | tuple = ())
     The rolling window: min(10, n div 3) rows, full windows only, from n = 10 on.
     """
     by = list(by)
-    rows = df.where(F.col(metric).isNotNull())
-    n = F.count("*").over(_w(by))
-    order = _w(by, time, metric)
-    rows = rows.withColumn("__n", n).withColumn("__i", F.row_number().over(order)).withColumn("__w", F.least(F.lit(10), F.floor(F.col("__n") / 3)))
-    x = F.col(metric).cast("double")
-    cum = order.rowsBetween(Window.unboundedPreceding, 0)
-    # windows differ by series: moments from prefix sums, w rows apart (values are centred first to keep them small)
-    rows = rows.withColumn("__c", x - F.avg(x).over(_w(by))).withColumn("__s", F.sum("__c").over(cum)).withColumn("__q", F.sum(F.col("__c") * F.col("__c")).over(cum))
-    windows = rows
-    for k in range(3, 11):
-        windows = windows.withColumn(f"__s{k}", F.coalesce(F.lag("__s", k).over(order), F.lit(0.0))).withColumn(f"__q{k}", F.coalesce(F.lag("__q", k).over(order), F.lit(0.0)))
-    s = q = F.lit(None).cast("double")
-    for k in range(3, 11):
-        s, q = F.when(F.col("__w") == k, F.col("__s") - F.col(f"__s{k}")).otherwise(s), F.when(F.col("__w") == k, F.col("__q") - F.col(f"__q{k}")).otherwise(q)
-    full = (F.col("__n") >= 10) & (F.col("__i") >= F.col("__w"))
-    rolling = F.when(full, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / F.col("__w")) / (F.col("__w") - 1))))
-    out = windows.withColumn("__r", rolling).groupBy(*by).agg(
-        F.count("*").alias("n"), F.stddev_pop(metric).alias("std"), F.avg(metric).alias("mean"), (F.max(metric) - F.min(metric)).alias("range"),
-        F.percentile(metric, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg("__r").alias("rolling_mean"), F.stddev_samp("__r").alias("rolling_std"),
-    )
+    rows = df.where(F.col(metric).isNotNull()).select(*by, time, F.col(metric).cast("double").alias("__x"))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("__x").alias("std"), F.avg("__x").alias("mean"), (F.max("__x") - F.min("__x")).alias("range"))
+    placed = od.joined(od.indexed(rows, by, [time, "__x"]), whole.select(*by, F.col("n").alias("__n")), by).where("__n >= 10")
+    near = od.with_neighbours(placed, 9, 0)
+    last = od.over(by, "__c").orderBy("__i").rowsBetween(-9, 0)
+    width = F.least(F.lit(10), F.floor(F.col("__n") / 3)).cast("int")
+    window = near.withColumn("__w", width).withColumn("__v", F.collect_list("__x").over(last)).where("not __guest and __i >= __w - 1")
+    own = F.slice(F.col("__v"), -F.col("__w"), F.col("__w"))
+    mean = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.col("__w")
+    around = window.withColumn("__own", own).withColumn("__m", mean)
+    square = F.aggregate(F.transform("__own", lambda x: (x - F.col("__m")) * (x - F.col("__m"))), F.lit(0.0), lambda s, x: s + x)
+    rolling = around.withColumn("__r", F.sqrt(square / (F.col("__w") - 1))).groupBy(*by).agg(F.avg("__r").alias("rolling_mean"), F.stddev_samp("__r").alias("rolling_std"))
+    out = od.joined(od.joined(whole, od.quantiles(rows, "__x", [0.25, 0.75], by).drop("n"), by), rolling, by, "left") if by else whole.crossJoin(od.quantiles(rows, "__x", [0.25, 0.75]).drop("n")).crossJoin(rolling)  # one row each
     cv = F.try_divide(F.col("std"), F.col("mean"))
     return out.select(*by, "n", "std", cv.alias("cv"), F.try_divide(F.lit(1.0), cv).alias("stability"), "range", (F.col("q")[1] - F.col("q")[0]).alias("iqr"), "rolling_mean", "rolling_std")
 
@@ -106,27 +101,41 @@ def drift(df: DataFrame, time: str, metric: str, by: list[str] | tuple = (), thr
     allowance. Series whose baseline doesn't vary are left out.
     """
     by = list(by)
-    order = _w(by, time, metric)
-    rows = df.where(F.col(metric).isNotNull()).withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(_w(by)))
-    base = F.when(F.col("__i") < F.floor(F.col("__n") / 3), F.col(metric).cast("double"))
-    rows = rows.withColumn("__m", F.avg(base).over(_w(by))).withColumn("__sd", F.stddev_pop(base).over(_w(by))).where(F.col("__sd") > 0)
-    x, allow = F.col(metric).cast("double") - F.col("__m"), 0.5 * threshold * F.col("__sd")
-    steps = {"up": x - allow, "down": -x - allow, "ph": x - F.col("__sd")}
-    cum = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.where(F.col(metric).isNotNull()).select(*by, time, F.col(metric).cast("double").alias("__x"))
+    placed = od.joined(od.indexed(rows, by, [time, "__x"]), rows.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    base = placed.where(F.col("__i") < F.floor(F.col("__n") / 3)).groupBy(*by).agg(F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__sd")).where("__sd > 0")
+    x, sd = F.col("__x") - F.col("__m"), F.col("__sd")
+    steps = {"up": x - 0.5 * threshold * sd, "down": -x - 0.5 * threshold * sd, "ph": x - sd}
+    chunked = od.with_neighbours(od.joined(placed, base, by), 0, 0)
     for k, d in steps.items():  # the sum starts at row 1, from 0
-        rows = rows.withColumn(f"__p{k}", F.sum(F.when(F.col("__i") > 0, d).otherwise(0.0)).over(cum))
+        chunked = chunked.withColumn(f"__d{k}", F.when(F.col("__i") > 0, d).otherwise(0.0))
+    own = od.over(by, "__c").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     for k in steps:
-        rows = rows.withColumn(f"__c{k}", F.col(f"__p{k}") - F.least(F.lit(0.0), F.min(f"__p{k}").over(cum)))
-    limit = {"up": threshold * F.col("__sd"), "down": threshold * F.col("__sd"), "ph": F.lit(ph_threshold)}
+        chunked = chunked.withColumn(f"__p{k}", F.sum(f"__d{k}").over(own))
+    for k in steps:
+        chunked = chunked.withColumn(f"__l{k}", F.min(f"__p{k}").over(own))
+    # of each chunk its sum and its least running sum: what the chunks behind it start from
+    chunks = chunked.groupBy(*by, "__c").agg(*[e for k in steps for e in (F.sum(f"__d{k}").alias(f"__s{k}"), F.min(f"__p{k}").alias(f"__m{k}"))])
+    ahead = od.over(by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    for k in steps:
+        chunks = chunks.withColumn(f"__o{k}", F.coalesce(F.sum(f"__s{k}").over(ahead), F.lit(0.0)))
+    for k in steps:
+        chunks = chunks.withColumn(f"__a{k}", F.coalesce(F.min(F.col(f"__o{k}") + F.col(f"__m{k}")).over(ahead), F.lit(0.0)))
+    rows = od.joined(chunked, chunks.select(*by, "__c", *[f"__{z}{k}" for k in steps for z in "oa"]), [*by, "__c"])
+    limit = {"up": threshold * sd, "down": threshold * sd, "ph": F.lit(ph_threshold)}
     aggs = []
     for k, (most, first) in {"up": ("cusum_up", "first_up"), "down": ("cusum_down", "first_down"), "ph": ("ph_max", "first_ph")}.items():
-        aggs += [F.max(f"__c{k}").alias(most), F.min(F.when(F.col(f"__c{k}") > limit[k], F.col("__i"))).alias(first)]
+        at = F.col(f"__p{k}") + F.col(f"__o{k}") - F.least(F.lit(0.0), F.col(f"__a{k}"), F.col(f"__l{k}") + F.col(f"__o{k}"))
+        aggs += [F.max(at).alias(most), F.min(F.when(at > limit[k], F.col("__i"))).alias(first)]
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *aggs).where("n > 0")
 
 
 def rolling_mean(df: DataFrame, time: str, metric: str, by: list[str] | tuple = (), rows: int = 10) -> DataFrame:
     """Adds rolling: the mean of the last ``rows`` rows (fewer at the start)."""
-    return df.withColumn("rolling", F.avg(metric).over(_w(list(by), time).rowsBetween(-(rows - 1), 0)))
+    by = list(by)
+    near = od.with_neighbours(od.indexed(df, by, [time]), rows - 1, 0)
+    last = od.over(by, "__c").orderBy("__i").rowsBetween(-(rows - 1), 0)
+    return near.withColumn("rolling", F.avg(metric).over(last)).where("not __guest").drop("__i", "__c", "__guest")
 
 
 def hour_crosstab(df: DataFrame, time: str, label: str, labels: list[str]) -> DataFrame:
@@ -138,9 +147,10 @@ def mean_by_time(df: DataFrame, time: str, metric: str) -> DataFrame:
 
 
 def frames(df: DataFrame, time: str) -> DataFrame:
-    """Adds frame: the number of the row's distinct time. A cumulative frame t is the rows with frame <= t."""
-    times = df.select(time).distinct().withColumn("frame", F.dense_rank().over(Window.orderBy(time)))
-    return df.join(times, time)
+    """Adds frame: the number of the row's distinct time, from 1. A cumulative frame t is the rows with frame <= t."""
+    times = df.where(F.col(time).isNotNull()).groupBy(time).agg(F.lit(1).alias("__one"))
+    numbered = od.cumulated(times, [], time, ["__one"]).select(time, (F.col("__one_before") + 1).cast("int").alias("frame"))
+    return df.join(numbered, time)
 
 
 def histogram(df: DataFrame, metric: str, low: float, high: float, bins: int) -> DataFrame:
@@ -157,28 +167,48 @@ def seasonal(df: DataFrame, time: str, metric: str, period: int, by: list[str] |
     remains, centred.
     """
     by = list(by)
-    order = _w(by, time)
     half = period // 2
-    rows = df.where(F.col(metric).isNotNull()).withColumn("__i", F.row_number().over(order) - 1)
+    near = od.with_neighbours(od.indexed(df.where(F.col(metric).isNotNull()), by, [time]), half, half)
+    order = od.over(by, "__c").orderBy("__i")
     span = order.rowsBetween(-half, half)
     inner = F.sum(metric).over(span)
     if period % 2 == 0:
         inner = inner - (F.lag(metric, half).over(order) + F.lead(metric, half).over(order)) / 2
     full = F.count(metric).over(span) == 2 * half + 1
-    rows = rows.withColumn("__t", F.when(full, inner / period))
-    near = F.coalesce("__t", F.first("__t", True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.last("__t", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("trend", near).withColumn("__d", F.col(metric) - F.col("trend")).withColumn("__ph", F.col("__i") % period)
-    phase = Window.partitionBy(*by, "__ph")
-    rows = rows.withColumn("__s", F.avg(F.when(F.col("__t").isNotNull(), F.col("__d"))).over(phase))
-    phases = rows.select(*by, "__ph", "__s").distinct().groupBy(*by).agg(F.avg("__s").alias("__mean"))
-    rows = rows.join(phases, by) if by else rows.crossJoin(phases)  # one row
-    return rows.withColumn("season", F.col("__s") - F.col("__mean")).withColumn("rest", F.col(metric) - F.col("trend") - F.col("season")).drop("__i", "__t", "__d", "__ph", "__s", "__mean")
+    rows = near.withColumn("__t", F.when(full, inner / period)).where("not __guest").drop("__c", "__guest")
+    # only the first and last rows of a series have no full window: they take the nearest one's mean
+    ends = rows.where("__t is not null").groupBy(*by).agg(F.min_by("__t", "__i").alias("__first"), F.max_by("__t", "__i").alias("__last"))
+    rows = od.joined(rows, ends, by, "left") if by else rows.crossJoin(ends)  # one row
+    trend = F.coalesce("__t", F.when(F.col("__i") < half, F.col("__first")).otherwise(F.col("__last")))
+    rows = rows.withColumn("trend", trend).withColumn("__d", F.col(metric) - F.col("trend")).withColumn("__ph", F.col("__i") % period)
+    phases = rows.groupBy(*by, "__ph").agg(F.avg(F.when(F.col("__t").isNotNull(), F.col("__d"))).alias("__s"))
+    phases = phases.withColumn("season", F.col("__s") - F.avg("__s").over(od.over(by))).drop("__s")  # ``period`` rows a series
+    rows = od.joined(rows, phases, [*by, "__ph"])
+    return rows.withColumn("rest", F.col(metric) - F.col("trend") - F.col("season")).select(*df.columns, "trend", "season", "rest")
+
+
+def seasonal_strength(parts: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+    """by and strength: 1 less the variance of the rest over that of rest and season together, 0 at least; from ``seasonal``."""
+    both = F.var_pop(F.col("rest") + F.col("season"))
+    return parts.groupBy(*by).agg(F.greatest(F.lit(0.0), F.coalesce(1 - F.try_divide(F.var_pop("rest"), both), F.lit(0.0))).alias("strength"))
+
+
+def infer_period(df: DataFrame, time: str, by: list[str] | tuple = ()) -> DataFrame:
+    """by, n, step (median distance of neighbouring times, in seconds) and period: 24 for hourly steps, 7 for daily ones, 12 for longer ones, else n div 4; at most n div 2, 2 at least."""
+    by = list(by)
+    near = od.with_neighbours(od.indexed(df.where(F.col(time).isNotNull()).select(*by, time), by, [time]), 1, 0)
+    gap = (od.as_number(df, time) - F.lag(od.as_number(df, time)).over(od.over(by, "__c").orderBy("__i"))) / 1e6
+    gaps = near.withColumn("__gap", gap).where("not __guest and __gap is not null")
+    found = od.quantiles(gaps, "__gap", [0.5], by).select(*by, (F.col("n") + 1).alias("n"), F.col("q")[0].alias("step"))
+    hour, day = 3600.0, 86400.0
+    usual = F.when(F.col("step") <= hour, 24).when(F.col("step") <= day, 7).when(F.col("step") > day, 12).otherwise(F.floor(F.col("n") / 4))
+    return found.withColumn("period", F.greatest(F.lit(2), F.least(usual, F.floor(F.col("n") / 2))).cast("int"))
 
 
 def ks_drift(df: DataFrame, metric: str, side: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples (side true and false): n1, n2, d."""
     rows = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
-    return rows.withColumn("g", gap).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.max("g").alias("d"))
+    total = rows.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    upto = od.cumulated(rows, [], "x", ["a", "b"]).crossJoin(F.broadcast(total))  # one row
+    gap = F.abs(F.try_divide(F.col("a_before") + F.col("a"), F.col("n1")) - F.try_divide(F.col("b_before") + F.col("b"), F.col("n2")))
+    return upto.agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("d"))
