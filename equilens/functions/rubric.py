@@ -10,19 +10,42 @@ LABELS = ("Cash", "Capital Stable", "Balanced", "Balanced Growth", "Growth", "Hi
 GROWTH_PCT = (0, 35, 52, 70, 82, 93)
 #: Names of the cuts between labels.
 CUTS = ("cash_max", "capstable_max", "balanced_max", "balgrowth_max", "growth_max")
-#: The rule behind the cuts: at time horizon th, cut k (from 0) is FIRST_CUT - th + CUT_STEP * k. Horizons and investor totals within these ranges.
-FIRST_CUT, CUT_STEP = 20, 4
+#: The cuts by time horizon. A label holds up to its cut; beyond the last cut is the last label.
+CUT_TABLE = {
+    2: (18, 22, 26, 30, 34),
+    3: (17, 21, 25, 29, 33),
+    4: (16, 20, 24, 28, 32),
+    5: (15, 19, 23, 27, 31),
+    6: (14, 18, 22, 26, 30),
+    7: (13, 17, 21, 25, 29),
+    8: (12, 16, 20, 24, 28),
+    9: (11, 15, 19, 23, 27),
+    10: (10, 14, 18, 22, 26),
+}
+#: Ranges of time horizons and investor totals.
 TH_RANGE, TOI_RANGE = (2, 10), (8, 40)
 
 
 def cut(th: int, k: int) -> int:
-    return FIRST_CUT - th + CUT_STEP * k
+    return CUT_TABLE[th][k]
 
 
-def label_ord(toi: Column, th: Column) -> Column:
-    """Place of the label (0 to 5) for an investor total and a time horizon; null for horizons outside the rubric."""
-    place = F.ceil((toi - FIRST_CUT + th) / CUT_STEP)
-    return F.when(th.between(*TH_RANGE), F.greatest(F.lit(0), F.least(F.lit(len(LABELS) - 1), place)).cast("int"))
+def cuts_at(th: Column, table: dict[int, tuple[int, ...]] | None = None) -> Column:
+    """The cuts of a horizon, as an array; null for horizons outside the rubric."""
+    rows = table or CUT_TABLE
+    return F.create_map(*[x for h, cuts in rows.items() for x in (F.lit(h), F.array(*map(F.lit, cuts)))])[th.cast("int")]
+
+
+def label_ord(toi: Column, th: Column, table: dict[int, tuple[int, ...]] | None = None) -> Column:
+    """Place of the label (0 to 5) for an investor total and a time horizon: the cuts that the total exceeds; null for horizons outside the rubric.
+
+    ``table``: other cuts than the rubric's. A join-free expression: the table is a literal.
+    """
+    rows = table or CUT_TABLE
+    place = F.lit(None).cast("int")
+    for h, cuts in rows.items():
+        place = F.when(th == h, sum(((toi > c).cast("int") for c in cuts[1:]), (toi > cuts[0]).cast("int"))).otherwise(place)
+    return place
 
 
 def label_of(ordinal: Column) -> Column:
@@ -52,8 +75,8 @@ def band_dim(spark: SparkSession) -> DataFrame:
     top = len(LABELS) - 1
     return th.crossJoin(label_dim(spark)).select(
         "th", "label_ord", "label",
-        F.when(F.col("label_ord") == 0, F.lit(TOI_RANGE[0])).otherwise(F.lit(FIRST_CUT + 1) - F.col("th") + CUT_STEP * (F.col("label_ord") - 1)).alias("toi_from"),
-        F.when(F.col("label_ord") == top, F.lit(TOI_RANGE[1])).otherwise(F.lit(FIRST_CUT) - F.col("th") + CUT_STEP * F.col("label_ord")).alias("toi_to"),
+        F.when(F.col("label_ord") == 0, F.lit(TOI_RANGE[0])).otherwise(F.get(cuts_at(F.col("th")), F.col("label_ord") - 1) + 1).alias("toi_from"),
+        F.when(F.col("label_ord") == top, F.lit(TOI_RANGE[1])).otherwise(F.get(cuts_at(F.col("th")), F.col("label_ord"))).alias("toi_to"),
         "growth_pct", "income_pct",
     )
 

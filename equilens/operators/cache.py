@@ -44,19 +44,47 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(queries: DataFrame, entries: DataFrame, k: int = 5, query_key: str = "query", entry_key: str = "entry", vector: str = "vector", blocks: int = 8, extra: list[str] | tuple = ()) -> DataFrame:
+def top_k(queries: DataFrame, entries: DataFrame, k: int = 5, query_key: str = "query", entry_key: str = "entry", vector: str = "vector", extra: list[str] | tuple = (), query_block: int = 1024, entry_block: int = 20_000) -> DataFrame:
     """The ``k`` entries of greatest inner product with each query (unit vectors): query, entry, similarity, rank and the entries' ``extra`` columns.
 
-    The queries are a stated set held against all entries: entries are dealt
-    into blocks, each query meets a block at a time, and only a block's best k go on.
+    The queries are a stated set held against all entries. Both are dealt into
+    blocks by their numbers of rows; a cell of a block of queries and one of entries is
+    one matrix product, of which each query's best ``k`` go on. Null vectors
+    are left out; similarities equal to twelve places are ordered by entry.
     """
-    q = queries.select(query_key, F.col(vector).alias("__q")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    e = entries.select(entry_key, F.col(vector).alias("__e"), *extra).withColumn("__b", F.pmod(F.xxhash64(entry_key), F.lit(blocks)).cast("int"))
-    pairs = q.join(e, "__b").select(query_key, "__b", entry_key, *extra, dot(F.col("__q"), F.col("__e")).alias("similarity"))
-    order = [F.col("similarity").desc(), F.col(entry_key)]
-    best = pairs.withColumn("__r", F.row_number().over(Window.partitionBy(query_key, "__b").orderBy(*order))).where(F.col("__r") <= k)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).drop("__b", "__r")
+    n, m = max(1, -(-queries.count() // query_block)), max(1, -(-entries.count() // entry_block))
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        kept = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("__v"), *(extra if key == entry_key else ()))
+        return kept.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    q, e = dealt(queries, query_key, "__q", n, "__e", m), dealt(entries, entry_key, "__e", m, "__q", n)
+    out = [query_key, entry_key, *extra, "similarity"]
+    kinds = {**dict(q.dtypes), **dict(e.dtypes), "similarity": "double"}
+
+    def best(left, right):
+        import numpy as np
+        import pandas as pd
+
+        if left.empty or right.empty:
+            return pd.DataFrame({c: [] for c in out})
+        vectors, found = np.stack(right["__v"].to_numpy()), []
+        right = right.drop(columns=["__v", "__q", "__e"])
+        for a in range(0, len(left), 64):
+            some = left.iloc[a : a + 64]
+            scores = np.stack(some["__v"].to_numpy()) @ vectors.T
+            for key, own in zip(some[query_key], scores):
+                rough = np.round(own, 12)
+                least = np.partition(rough, len(rough) - min(k, len(rough)))[-min(k, len(rough))]
+                at = np.flatnonzero(rough >= least)
+                top = right.iloc[at].assign(similarity=own[at], __r=-rough[at]).sort_values(["__r", entry_key], kind="stable").head(k)
+                found.append(top.drop(columns="__r").assign(**{query_key: key}))
+        return pd.concat(found)[out]
+
+    cells = q.groupBy("__q", "__e").cogroup(e.groupBy("__q", "__e")).applyInPandas(best, ", ".join(f"`{c}` {kinds[c]}" for c in out))
+    order = [F.round("similarity", 12).desc(), F.col(entry_key)]
+    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
+    return ranked.where(F.col("rank") <= k)
 
 
 def semantic_probe(queries: DataFrame, entries: DataFrame, model: str = "model", threshold: float = 0.85, k: int = 5, **keys: str) -> DataFrame:
@@ -67,15 +95,31 @@ def semantic_probe(queries: DataFrame, entries: DataFrame, model: str = "model",
     return ok.groupBy(qk).agg(F.min_by(ek, "rank").alias(ek), F.max("similarity").alias("similarity"))
 
 
-def layered(requests: DataFrame, layers: dict[str, DataFrame], key: str = "key", payload: str = "response") -> DataFrame:
-    """Probe layers in order: the payload of the first that has the key, and hit_kind (its name, or miss)."""
+def layered(requests: DataFrame, layers: dict[str, DataFrame], key: str = "key", payload: str = "response", similar: DataFrame | None = None, request: str = "query") -> DataFrame:
+    """Probe layers in order: the payload of the first that has the key, and hit_kind (its name, or miss).
+
+    ``similar``: what a semantic probe found (``request``, payload), for the requests that no layer has: hit_kind is semantic.
+    """
     out = requests
     for i, (_, layer) in enumerate(layers.items()):
         out = out.join(layer.select(F.col(key), F.col(payload).alias(f"__p{i}"), F.lit(True).alias(f"__h{i}")), key, "left")
     kind, value = F.lit("miss"), F.lit(None).cast("string")
+    if similar is not None:
+        out = out.join(similar.select(F.col(request), F.col(payload).alias("__ps"), F.lit(True).alias("__hs")), request, "left")
+        kind, value = F.when(F.col("__hs"), "semantic").otherwise(kind), F.when(F.col("__hs"), F.col("__ps")).otherwise(value)
     for i, name in reversed(list(enumerate(layers))):
         kind, value = F.when(F.col(f"__h{i}"), name).otherwise(kind), F.when(F.col(f"__h{i}"), F.col(f"__p{i}")).otherwise(value)
-    return out.withColumn("hit_kind", kind).withColumn(payload, value).drop(*[f"__{x}{i}" for i in range(len(layers)) for x in "ph"])
+    return out.withColumn("hit_kind", kind).withColumn(payload, value).drop(*[f"__{x}{i}" for i in (*range(len(layers)), "s") for x in "ph"])
+
+
+def stored_locally(local: DataFrame, remote_hits: DataFrame, key: str = "key") -> DataFrame:
+    """The local layer with the entries that a remote one had for keys that were asked for."""
+    return upsert(local, remote_hits.select(*local.columns).dropDuplicates([key]), key)
+
+
+def rebuilt(entries: DataFrame, key: str = "key", payload: str = "response", at: str = "timestamp") -> DataFrame:
+    """An index rebuilt from stored entries: the newest row of each key that has a payload, with its size in bytes (file_size)."""
+    return latest(entries.where(F.col(payload).isNotNull()), key, at).withColumn("file_size", F.octet_length(F.col(payload).cast("string")).cast("bigint"))
 
 
 def warm(entries: DataFrame, n: int, at: str = "last_accessed", key: str = "key") -> DataFrame:
@@ -98,10 +142,10 @@ def size_report(entries: DataFrame, size: str = "file_size") -> DataFrame:
     return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
 
 
-def hit_rates(counts: DataFrame) -> DataFrame:
-    """From hits, misses, semantic_hits and distributed_hits: three rates over hits and misses (semantic hits aren't in the denominator)."""
+def hit_rates(counts: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+    """From hits, misses, semantic_hits and distributed_hits: ``by`` and three rates over hits and misses (semantic hits aren't in the denominator)."""
     total = F.greatest(F.lit(1), F.col("hits") + F.col("misses"))
-    return counts.select((F.col("hits") / total).alias("hit_rate"), (F.col("semantic_hits") / total).alias("semantic_rate"), (F.col("distributed_hits") / total).alias("distributed_rate"))
+    return counts.select(*by, (F.col("hits") / total).alias("hit_rate"), (F.col("semantic_hits") / total).alias("semantic_rate"), (F.col("distributed_hits") / total).alias("distributed_rate"))
 
 
 def usage_profile(entries: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilens.session import stored
+
 from . import inference as inf
+from . import ordered as od
 
 
 def _known(df: DataFrame, *cols: str) -> DataFrame:
@@ -92,14 +95,11 @@ def calibration(df: DataFrame, by: list[str], x: str = "proposed_growth", y: str
     equal edges merged, closed on the right, the least included. Slope,
     intercept and ece are null for n < 3 or constant x.
     """
-    rows = _known(df, *by, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    many = {b: F.percentile("x", F.array(*[F.lit(i / b) for i in range(b + 1)])).alias(f"q{b}") for b in range(2, 11)}
-    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("x") - F.col("y")).alias("bias"), F.stddev_pop("x").alias("sd"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), *many.values())
+    rows = stored(_known(df, *by, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("x") - F.col("y")).alias("bias"), F.stddev_pop("x").alias("sd"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
     b = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("n") / 10)))
-    edges = F.lit(None).cast("array<double>")
-    for k in many:
-        edges = F.when(b == k, F.array_distinct(F.col(f"q{k}"))).otherwise(edges)
-    stats = stats.withColumn("edges", edges).drop(*[f"q{k}" for k in many])
+    edges = od.quantiles(rows, "x", [F.when(b >= i, F.lit(float(i)) / b) for i in range(11)], by, "edges").drop("n")
+    stats = stats.join(edges, by).withColumn("edges", F.array_distinct(F.array_compact("edges")))
     binned = rows.join(stats.select(*by, "edges"), by).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x")))))
     bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("k"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     ece = bins.groupBy(*by).agg((F.sum(F.col("k") * F.abs(F.col("mx") - F.col("my"))) / F.sum("k")).alias("ece"))
@@ -142,10 +142,12 @@ def agreement(df: DataFrame, keys: list[str], model: str = "model", label: str =
 
     Labels are counted by key and model before the join, so that repeated keys multiply counts and not rows.
     """
-    counted = _known(df, *keys, model, label).groupBy(*keys, model, label).agg(F.count("*").alias("__k"))
-    a = counted.select(*keys, F.col(model).alias("model_a"), F.col(label).alias("__a"), F.col("__k").alias("__ka"))
-    b = counted.select(*keys, F.col(model).alias("model_b"), F.col(label).alias("__b"), F.col("__k").alias("__kb"))
-    cells = a.join(b, keys).where("model_a < model_b").groupBy("model_a", "model_b", "__a", "__b").agg(F.sum(F.col("__ka") * F.col("__kb")).alias("o"))
+    counted = _known(df, *keys, model, label).groupBy(*keys, model, label).agg(F.count("*").alias("n"))
+    # the models of a key stand in one row, which gives their pairs: the input is read once, and few rows leave a key
+    of_key = counted.groupBy(*keys).agg(F.collect_list(F.struct(F.col(model).alias("m"), F.col(label).alias("l"), "n")).alias("own"))
+    one = of_key.select("own", F.explode("own").alias("one"))
+    two = one.select("one", F.explode(F.filter("own", lambda x: x["m"] > F.col("one.m"))).alias("two"))
+    cells = two.groupBy(F.col("one.m").alias("model_a"), F.col("two.m").alias("model_b"), F.col("one.l").alias("__a"), F.col("two.l").alias("__b")).agg(F.sum(F.col("one.n") * F.col("two.n")).alias("o"))
     return inf.kappa_of_cells(cells, "__a", "__b", ["model_a", "model_b"])
 
 
@@ -249,3 +251,40 @@ def basic_statistics(df: DataFrame, ok: str = "ok", model: str = "model", condit
 def confusion(df: DataFrame, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
     """Counts by true and predicted label, in long form."""
     return _known(df, true, pred).groupBy(true, pred).agg(F.count("*").alias("n"))
+
+
+def stats_report(df: DataFrame, positive: str, by: tuple[str, ...] = ("provider", "model"), keys: tuple[str, ...] = ("subject_id", "run_idx"), alpha: float = 0.05) -> DataFrame:
+    """Tests of each provider, model and condition in long form, with corrected p-values: by, condition, test, statistic, dof, p, p_* and reject_*.
+
+    Of a condition against ND: two_proportion and mcnemar. Of groups within a
+    condition (name groups in N and NL, cities in L): parity, kruskal and
+    direction, for cities under the names parity_by_city and so on. Tests that
+    can't be made have null statistics. All p-values but those by city are
+    one family, as in the surveyed report.
+    """
+    by = list(by)
+    parts = []
+
+    def add(table: DataFrame, test: str, statistic: str, kind: str, *columns: str, condition: str | None = None) -> None:
+        named = table.withColumn("condition", F.lit(condition)) if condition else table
+        tested = inf.with_p(named.withColumn("__one", F.lit(1)), kind, *columns, name="p")
+        dof = F.col(columns[1]) if len(columns) > 1 else F.lit(None)
+        parts.append(tested.select(*by, "condition", F.lit(test).alias("test"), F.col(statistic).cast("double").alias("statistic"), dof.cast("bigint").alias("dof"), "p"))
+
+    add(condition_z(df, by), "two_proportion", "z", "z", "z")
+    add(paired_mcnemar(df, by, list(keys)), "mcnemar", "chi2", "chi2", "chi2", "__one")
+    for condition, group, suffix in (("N", "name_group", ""), ("NL", "name_group", ""), ("L", "city", "_by_city")):
+        rows = df.where(F.col("condition") == condition)
+        add(demographic_parity(rows, group, by, positive=positive), f"parity{suffix}", "chi2", "chi2", "chi2", "dof", condition=condition)
+        add(inf.kruskal(rows, group, "ordinal_error", by), f"kruskal{suffix}", "h", "chi2", "h", "dof", condition=condition)
+        add(direction_test(rows, group, by), f"direction{suffix}", "chi2", "chi2", "chi2", "dof", condition=condition)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.withColumn("__key", F.concat_ws("/", *by, "condition", "test")).withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
+    city = F.endswith(F.col("test"), F.lit("_by_city"))
+    mine = inf.adjust(whole.where(~city), "p", "__key", alpha=alpha)
+    others = whole.where(city)
+    for k in ("bonferroni", "holm", "bh", "by"):
+        others = others.withColumn(f"p_{k}", F.lit(None).cast("double")).withColumn(f"reject_{k}", F.lit(False))
+    return mine.unionByName(others).drop("__key")

@@ -70,8 +70,10 @@ def stratified_subjects(spark: SparkSession, n: int, seed: int = 42) -> DataFram
     labels = spark.createDataFrame([(i, x, n // k + (i < n % k), *TARGET_HORIZONS[i]) for i, x in enumerate(ru.LABELS)], "label_ord int, true_label string, many int, th_from int, th_to int")
     rows = labels.where("many > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("many"))))
     th = (F.col("th_from") + F.pmod(F.xxhash64("label_ord", "j", F.lit(seed)), F.col("th_to") - F.col("th_from") + 1)).cast("int")
-    middle = ru.FIRST_CUT - F.col("th") + ru.CUT_STEP * F.col("label_ord") - 2
-    base = F.when(F.col("label_ord") == 0, F.greatest(F.lit(ru.TOI_RANGE[0]), F.lit(ru.FIRST_CUT) - F.col("th") - 4)).when(F.col("label_ord") == k - 1, F.least(F.lit(ru.TOI_RANGE[1]), ru.FIRST_CUT - F.col("th") + ru.CUT_STEP * (k - 1))).otherwise(middle)
+    cuts = ru.cuts_at(F.col("th"))
+    middle = F.get(cuts, F.col("label_ord")) - 2
+    lowest, highest = F.greatest(F.lit(ru.TOI_RANGE[0]), F.get(cuts, F.lit(0)) - 4), F.least(F.lit(ru.TOI_RANGE[1]), F.get(cuts, F.lit(k - 2)) + 4)
+    base = F.when(F.col("label_ord") == 0, lowest).when(F.col("label_ord") == k - 1, highest).otherwise(middle)
     moved = F.greatest(F.lit(ru.TOI_RANGE[0]), F.least(F.lit(ru.TOI_RANGE[1]), F.col("base") + F.pmod(F.xxhash64("j", "label_ord", F.lit(seed + 1)), F.lit(3)) - 1)).cast("int")
     toi = F.when(ru.label_ord(moved, F.col("th")) == F.col("label_ord"), moved).otherwise(F.col("base"))
     out = rows.withColumn("th", th).withColumn("base", base.cast("int")).withColumn("toi", toi)
@@ -115,7 +117,7 @@ def boundary_probes(spark: SparkSession) -> DataFrame:
     cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("cut"), F.lit(ru.LABELS[k]).alias("label")) for k, c in enumerate(ru.CUTS)])
     steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(x).alias("place")) for d, x in ((0, "at"), (-1, "below"), (1, "above"))])
     at = th.withColumn("c", F.explode(cuts)).withColumn("s", F.explode(steps)).select(
-        (ru.FIRST_CUT - F.col("th_score") + ru.CUT_STEP * F.col("c.k") + F.col("s.d")).cast("int").alias("toi_score"), "th_score", F.concat("c.cut", F.lit("_"), "s.place", F.lit("_threshold")).alias("probe_type"),
+        (F.get(ru.cuts_at(F.col("th_score")), F.col("c.k")) + F.col("s.d")).cast("int").alias("toi_score"), "th_score", F.concat("c.cut", F.lit("_"), "s.place", F.lit("_threshold")).alias("probe_type"),
         F.when(F.col("s.d") == 0, F.col("c.label")).alias("expected_label"), F.when(F.col("s.d") != 0, F.col("c.label")).alias("expected_different_from"), F.col("c.cut").alias("threshold_tested"),
     )
     grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (20, 25, 30, 35)))).alias("toi_score")).withColumn("th_score", F.explode(F.array(*map(F.lit, (2, 5, 8, 10))))).select(
@@ -151,6 +153,11 @@ def mapping_prompt(toi: Column, th: Column, rubric_text: Column) -> Column:
     return F.format_string("TOI: %s, TH: %s\n\n%s\n\nRisk label?", toi.cast("string"), th.cast("string"), rubric_text)
 
 
+def minimal_prompt(toi: Column, th: Column) -> Column:
+    """The shortest prompt: totals, and what is asked for."""
+    return F.format_string("TOI=%s TH=%s. Answer with the risk label only.", toi.cast("string"), th.cast("string"))
+
+
 def batches(df: DataFrame, order: list[str], size: int = 10) -> DataFrame:
     """Adds batch_id (batch_0001, ...) by rank in ``order``, from ranks within ranges: no single task orders all rows."""
     from pyspark.sql import Window

@@ -1,7 +1,7 @@
 """Hypothesis tests as aggregations. Each returns one row per ``by`` (all rows are one group where it is empty).
 
 All tests read their input once, with map-side partial aggregation to a table
-of cells; everything after that runs on cells. Null groups, categories and
+of cells; everything after that runs on cells (rank tests write them down first). Null groups, categories and
 values are left out. Statistics come with what their p-values need; p-values
 are added by ``with_p`` on the final, small frame.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilens.functions import dist
+from equilens.session import stored
 
 from . import ordered as od
 
@@ -53,7 +54,7 @@ def chi_square(df: DataFrame, row: str, col: str, by: list[str] | tuple = (), ya
 
 def _ranked(df: DataFrame, group: str, value: str, by: list[str]) -> DataFrame:
     """Cells by group and value: o rows each, t rows of the value, and the value's average rank."""
-    cells = _present(df, [*by, group, value]).groupBy(*by, group, value).agg(F.count("*").alias("__o"))
+    cells = stored(_present(df, [*by, group, value]).groupBy(*by, group, value).agg(F.count("*").alias("__o")))
     ties = od.cumulated(cells.groupBy(*by, value).agg(F.sum("__o").alias("__t")), by, value, ["__t"])
     ranks = ties.withColumn("__rank", F.col("__t_before") + (F.col("__t") + 1) / 2.0).drop("__t_before")
     return cells.join(ranks, [*by, value])
@@ -143,7 +144,7 @@ def kappa_of_cells(cells: DataFrame, a: str, b: str, by: list[str] | tuple = ())
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | tuple = ()) -> DataFrame:
     """Spearman's correlation (average ranks): by, n, rho."""
     by = list(by)
-    rows = _present(df, [*by, x, y]).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    rows = stored(_present(df, [*by, x, y]).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")))
     for c in ("__x", "__y"):
         ties = od.cumulated(rows.groupBy(*by, c).agg(F.count("*").alias("__t")), by, c, ["__t"])
         rank = ties.select(*by, c, (F.col("__t_before") + (F.col("__t") + 1) / 2.0).alias(f"{c}r"))

@@ -59,9 +59,10 @@ def meta_report(studies: DataFrame, effect: str = "effect", se: str = "se") -> s
 
 
 def latex_table(df: DataFrame, most: int = 50) -> str:
-    """A small frame as a LaTeX tabular."""
+    """A small frame as a LaTeX tabular; a report shows at most ``most`` rows and says so."""
     esc = lambda v: ("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
-    body = "\n".join(" & ".join(esc(v) for v in r) + r" \\" for r in df.limit(most).collect())
+    rows = df.limit(most + 1).collect()
+    body = "\n".join([*(" & ".join(esc(v) for v in r) + r" \\" for r in rows[:most]), *([f"% first {most} rows"] if len(rows) > most else [])])
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", " & ".join(esc(c) for c in df.columns) + r" \\ \hline", body, r"\end{tabular}"])
 
 

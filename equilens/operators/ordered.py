@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, about, and blocks at most (their bounds are part of the plan).
-BLOCK_ROWS, MOST_BLOCKS = 250_000, 4096
+BLOCK_ROWS, MOST_BLOCKS = 250_000, 1024
 
 
 def over(by: list[str], *more: str):
@@ -34,9 +34,9 @@ def in_blocks(df: DataFrame, column: str, name: str = "__b") -> DataFrame:
     from pyspark.ml.feature import Bucketizer
 
     value = as_number(df, column)
-    n, cuts = df.agg(F.count(column), F.percentile_approx(value, [k / MOST_BLOCKS for k in range(1, MOST_BLOCKS)], 40 * MOST_BLOCKS)).first()
-    wanted = max(1, min(MOST_BLOCKS, -(-(n or 0) // BLOCK_ROWS)))
-    inner = sorted({c for c in (cuts or [])[MOST_BLOCKS // wanted - 1 :: MOST_BLOCKS // wanted] if math.isfinite(c)}) if wanted > 1 else []
+    wanted = max(1, min(MOST_BLOCKS, -(-df.count() // BLOCK_ROWS)))
+    cuts = df.agg(F.percentile_approx(value, [k / wanted for k in range(1, wanted)], 20 * MOST_BLOCKS)).first()[0] if wanted > 1 else []
+    inner = sorted({c for c in cuts or [] if math.isfinite(c)})
     if not inner:
         return df.withColumn(name, F.when(F.col(column).isNull(), -1).otherwise(0))
     cut = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=f"{name}v", outputCol=f"{name}d", handleInvalid="keep")
@@ -86,8 +86,11 @@ def cumulated(cells: DataFrame, by: list[str], value: str, amounts: list[str]) -
     return joined(here, total, [*by, "__b"]).select(*cells.columns, *[(F.col(f"{a}_before") + F.col(f"__sum_{a}")).alias(f"{a}_before") for a in amounts])
 
 
-def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | tuple = (), name: str = "q") -> DataFrame:
-    """by, n and an array of exact quantiles (between two values, in proportion), from counts of distinct values."""
+def quantiles(df: DataFrame, value: str, probabilities: list[float | Column], by: list[str] | tuple = (), name: str = "q") -> DataFrame:
+    """by, n and an array of exact quantiles (between two values, in proportion), from counts of distinct values.
+
+    A probability may be an expression of a group's n; where that is null, so is the quantile.
+    """
     by = list(by)
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__t"))
     ranked = cumulated(cells, by, value, ["__t"])
@@ -102,3 +105,13 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[st
     found = placed.groupBy(*by).agg(F.max("n").alias("n"), *[e for i, s in enumerate(spots) for e in (at(F.floor(s)).alias(f"__l{i}"), at(F.ceil(s)).alias(f"__h{i}"))])
     between = [F.col(f"__l{i}") + (s - F.floor(s)) * (F.col(f"__h{i}") - F.col(f"__l{i}")) for i, s in enumerate(spots)]
     return found.select(*by, "n", F.array(*between).alias(name))
+
+
+def running_sum(df: DataFrame, by: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """Adds the sum of ``amount`` up to and with the row, in ``order`` (the first column is a number or a time; rows equal in it have the same sum)."""
+    dealt = in_blocks(df, order[0])
+    before = over(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    total = dealt.groupBy(*by, "__b").agg(F.sum(amount).alias("__sum"))
+    total = total.select(*by, "__b", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__ahead"))
+    own = dealt.withColumn("__own", F.sum(amount).over(over(by, "__b").orderBy(*order)))
+    return joined(own, total, [*by, "__b"]).withColumn(name, F.col("__own") + F.col("__ahead")).drop("__b", "__own", "__ahead")

@@ -119,11 +119,35 @@ def projection(df: DataFrame, columns: list[str], k: int = 2):
 
 
 def correlations(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """a, b, n and r of every two metrics, on the rows that have both: one pass."""
+    """a, b, n and r of every two metrics, on the rows that have both.
+
+    A first pass finds the means (so that sums of squares stay small), a second
+    one the sums of products of all pairs, in Arrow batches; a task passes on one matrix.
+    """
+    import numpy as np
+    import pyarrow as pa
+
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    one = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), F.corr(a, b).alias("r")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(pairs))])).alias("z")).select("z.*")
+    means = [m or 0.0 for m in df.agg(*[F.avg(F.col(m).cast("double")) for m in metrics]).first()]
+
+    def moments(batches):
+        total = np.zeros((6, len(metrics), len(metrics)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1) - means
+            known = (~np.isnan(x)).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            total += np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
+        at = [(i, j) for i in range(len(metrics)) for j in range(i + 1, len(metrics))]
+        cols = [pa.array([metrics[i] for i, _ in at]), pa.array([metrics[j] for _, j in at]), *(pa.array([t[i, j] for i, j in at]) for t in total)]
+        yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    numbers = df.select(*[F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias(f"m{i}") for i, m in enumerate(metrics)])
+    parts = numbers.mapInArrow(moments, "a string, b string, n double, x double, y double, xx double, yy double, xy double")
+    s = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    c = {k: F.col(k) for k in ("n", "x", "y", "xx", "yy", "xy")}
+    spread = (c["xx"] - F.try_divide(c["x"] * c["x"], c["n"])) * (c["yy"] - F.try_divide(c["y"] * c["y"], c["n"]))
+    r = F.when(spread > 0, (c["xy"] - F.try_divide(c["x"] * c["y"], c["n"])) / F.sqrt(spread))
+    return s.select("a", "b", c["n"].cast("bigint").alias("n"), r.alias("r"))
 
 
 def network(df: DataFrame, metrics: list[str], least: float = 0.3) -> DataFrame:
@@ -139,7 +163,7 @@ def influence(df: DataFrame, demographics: list[str], metrics: list[str], least:
     coded = df
     for d in demographics:
         codes = df.select(d).distinct().where(F.col(d).isNotNull()).withColumn(f"__{d}", F.dense_rank().over(Window.orderBy(d)) - 1)  # one row for each value
-        coded = coded.join(F.broadcast(codes.withColumnRenamed(d, f"__k{d}")), F.col(d) == F.col(f"__k{d}"), "left").withColumn(f"__{d}", F.coalesce(f"__{d}", F.lit(-1)))
+        coded = coded.join(codes.withColumnRenamed(d, f"__k{d}"), F.col(d) == F.col(f"__k{d}"), "left").withColumn(f"__{d}", F.coalesce(f"__{d}", F.lit(-1)))
     pairs = [(d, m) for d in demographics for m in metrics]
     one = coded.agg(*[F.struct(F.lit(d).alias("demographic"), F.lit(m).alias("metric"), F.count(m).alias("n"), F.corr(F.when(F.col(m).isNotNull(), F.col(f"__{d}")), m).alias("r")).alias(f"c{i}") for i, (d, m) in enumerate(pairs)])
     out = one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(pairs))])).alias("z")).select("z.*").where(F.abs("r") > least)

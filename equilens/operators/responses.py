@@ -34,3 +34,12 @@ def mode_summary(df: DataFrame, by: list[str], ok: Column, seconds: Column, corr
     """by, attempts, success_rate, and means over successes: seconds, accuracy, calibration_error and refusal_rate."""
     of = lambda x: F.avg(F.when(ok, x.cast("double")))
     return df.groupBy(*by).agg(F.count("*").alias("attempts"), F.avg(ok.cast("double")).alias("success_rate"), of(seconds).alias("seconds"), of(correct).alias("accuracy"), of(error).alias("calibration_error"), of(refused).alias("refusal_rate"))
+
+
+def ablation(prompts: DataFrame, responses: DataFrame, key: str, label: str = "risk_label", growth: str = "growth_pct", income: str = "income_pct", text: str = "text", error: str = "error") -> DataFrame:
+    """Runs of an ablation, a row for each prompt: the prompt's columns (with toi and th), the response's, ok, the checks against the rubric, and refusals. Prompts without a response failed."""
+    from equilens.functions import rubric as ru
+
+    answered = responses.withColumn("__found", F.lit(True))
+    both = prompts.join(answered, key, "left").withColumn("ok", F.coalesce(F.col("__found"), F.lit(False)) & F.col(error).isNull()).drop("__found")
+    return refusal(ru.validate_truth(ru.ground_truth(both), label, growth, income), text)

@@ -11,19 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilens.session import stored
+
 from . import inference as inf
 from . import ordered as od
 
 
-def _w(by: list[str], *order):
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return w.orderBy(*order) if order else w
-
-
 def day_offset(df: DataFrame, time: str, by: list[str] | tuple = ()) -> DataFrame:
     """Adds day: whole days since the series' first time."""
+    by = list(by)
     at = F.unix_micros(F.col(time).cast("timestamp"))  # without a zone: in the session's
-    return df.withColumn("day", F.floor((at - F.min(at).over(_w(list(by)))) / 86_400_000_000).cast("bigint"))
+    first = df.groupBy(*by).agg(F.min(at).alias("__first"))
+    return od.joined(df, first, by).withColumn("day", F.floor((at - F.col("__first")) / 86_400_000_000).cast("bigint")).drop("__first")
 
 
 def linear_trend(df: DataFrame, metric: str, x: str = "day", by: list[str] | tuple = (), alpha: float = 0.05) -> DataFrame:
@@ -76,6 +75,7 @@ def stability(df: DataFrame, time: str, metric: str, by: list[str] | tuple = ())
     by = list(by)
     rows = df.where(F.col(metric).isNotNull()).select(*by, time, F.col(metric).cast("double").alias("__x"))
     whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("__x").alias("std"), F.avg("__x").alias("mean"), (F.max("__x") - F.min("__x")).alias("range"))
+    rows = stored(rows)
     placed = od.joined(od.indexed(rows, by, [time, "__x"]), whole.select(*by, F.col("n").alias("__n")), by).where("__n >= 10")
     near = od.with_neighbours(placed, 9, 0)
     last = od.over(by, "__c").orderBy("__i").rowsBetween(-9, 0)
@@ -102,7 +102,7 @@ def drift(df: DataFrame, time: str, metric: str, by: list[str] | tuple = (), thr
     """
     by = list(by)
     rows = df.where(F.col(metric).isNotNull()).select(*by, time, F.col(metric).cast("double").alias("__x"))
-    placed = od.joined(od.indexed(rows, by, [time, "__x"]), rows.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    placed = stored(od.joined(od.indexed(rows, by, [time, "__x"]), rows.groupBy(*by).agg(F.count("*").alias("__n")), by))
     base = placed.where(F.col("__i") < F.floor(F.col("__n") / 3)).groupBy(*by).agg(F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__sd")).where("__sd > 0")
     x, sd = F.col("__x") - F.col("__m"), F.col("__sd")
     steps = {"up": x - 0.5 * threshold * sd, "down": -x - 0.5 * threshold * sd, "ph": x - sd}
@@ -207,8 +207,18 @@ def infer_period(df: DataFrame, time: str, by: list[str] | tuple = ()) -> DataFr
 
 def ks_drift(df: DataFrame, metric: str, side: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples (side true and false): n1, n2, d."""
-    rows = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
+    rows = stored(df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b")))
     total = rows.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     upto = od.cumulated(rows, [], "x", ["a", "b"]).crossJoin(F.broadcast(total))  # one row
     gap = F.abs(F.try_divide(F.col("a_before") + F.col("a"), F.col("n1")) - F.try_divide(F.col("b_before") + F.col("b"), F.col("n2")))
     return upto.agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(gap).alias("d"))
+
+
+def analysis(df: DataFrame, time: str, metric: str, groups: list[str] | tuple = (), version: str | None = None, least: int = 3) -> dict[str, DataFrame]:
+    """The parts of a time analysis: the overall trend, trends by each group column (groups of ``least`` rows or more), stability, drift, the inferred period and, with a version column, versions and their changes."""
+    out = {"trend": linear_trend(day_offset(df, time), metric), "stability": stability(df, time, metric), "drift": drift(df, time, metric), "period": infer_period(df, time)}
+    for g in groups:
+        out[f"trend_by_{g}"] = linear_trend(day_offset(df.where(F.col(g).isNotNull()), time, [g]), metric, by=[g]).where(F.col("n") >= least)
+    if version:
+        out |= {"versions": versions(df, version, metric), "version_changes": version_changes(df, version, metric)}
+    return out

@@ -77,20 +77,48 @@ def isotonic(df: DataFrame, p: str, y: str):
     return IsotonicRegression(featuresCol=p, labelCol="__y").fit(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("__y", F.col(y).cast("double")))
 
 
-def individual_fairness(df: DataFrame, key: str, vector: str, prediction: str, group: str, blocks: int = 8) -> DataFrame:
+def individual_fairness(df: DataFrame, key: str, vector: str, prediction: str, group: str, distance: str = "euclidean", block: int = 4096) -> DataFrame:
     """Per row: lipschitz (greatest |difference of predictions| / distance; 0 at distance 0), disparity (mean difference to its own group, itself included, by 1 / (distance + 1e-8)) and consistency (1 - disparity).
 
-    Every row against every row, as the measure asks: the rows are dealt into
-    blocks, and a row meets one block at a time; partial results per row
-    combine by maximum and sums, so the work is split ``blocks`` ways each side.
+    ``distance``: euclidean, manhattan or cosine. Every row against every row,
+    as the measure asks: rows are dealt into blocks by their number, and each two
+    blocks are compared in a task of their own; what leaves it is a maximum and two sums a row.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(prediction).cast("double").alias("p"), F.col(group).alias("g")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
-    left = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("p").alias("p2"), F.col("g").alias("g2"), F.col("b").alias("c"))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x * x))
-    pairs = left.join(right, "c").select("k", "g", "g2", F.abs(F.col("p") - F.col("p2")).alias("dp"), d.alias("d"))
-    w = F.when(F.col("g") == F.col("g2"), 1 / (F.col("d") + 1e-8))
-    out = pairs.groupBy("k").agg(F.max(F.when(F.col("d") > 0, F.col("dp") / F.col("d")).otherwise(0.0)).alias("lipschitz"), (F.sum(w * F.col("dp")) / F.sum(w)).alias("disparity"))
+    n = max(1, -(-df.count() // block))
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(prediction).cast("double").alias("p"), F.col(group).cast("string").alias("g"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = rows.withColumnRenamed("b", "x").withColumn("y", every), rows.withColumnRenamed("b", "y").withColumn("x", every)
+
+    def compare(one, two):
+        import numpy as np
+        import pandas as pd
+
+        out: dict[str, list] = {"k": [], "lipschitz": [], "sw": [], "swd": []}
+        if not one.empty and not two.empty:
+            w, q, g = np.stack(two["v"].to_numpy()), two["p"].to_numpy(), two["g"].to_numpy()
+            size = np.sqrt((w * w).sum(1))
+            for k, v, p, own in zip(one["k"], one["v"], one["p"], one["g"]):
+                if distance == "euclidean":
+                    d = np.sqrt(((w - v) ** 2).sum(1))
+                elif distance == "manhattan":
+                    d = np.abs(w - v).sum(1)
+                else:
+                    d = np.maximum(0.0, 1 - w @ v / np.maximum(size * np.sqrt(v @ v), 1e-300))
+                gap = np.abs(q - p)
+                weight = np.where(g == own, 1 / (d + 1e-8), 0.0) if own is not None else np.zeros(len(d))
+                apart = d > 0
+                out["k"].append(k)
+                out["lipschitz"].append(float((gap[apart] / d[apart]).max(initial=0.0)))
+                out["sw"].append(float(weight.sum()))
+                out["swd"].append(float(weight @ gap))
+        return pd.DataFrame(out)
+
+    if distance not in ("euclidean", "manhattan", "cosine"):
+        raise ValueError(f"unknown distance {distance}")
+    kind = df.schema[key].dataType.simpleString()
+    parts = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(compare, f"k {kind}, lipschitz double, sw double, swd double")
+    out = parts.groupBy("k").agg(F.max("lipschitz").alias("lipschitz"), F.try_divide(F.sum("swd"), F.sum("sw")).alias("disparity"))
     return out.withColumn("consistency", 1 - F.col("disparity")).withColumnRenamed("k", key)
 
 

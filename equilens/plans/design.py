@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from equilens.functions import rubric as ru
+from equilens.operators import classify as cl
 from equilens.operators import generate as ge
 
 from .audit import AUDIT, audit, query, r6, table
@@ -71,14 +72,14 @@ def p09(spark, sf):
     return a.select(F.array_join(ru.schema_violations(*c), ",").alias("broken"), ru.lenient_valid(*c).alias("lenient")).groupBy("broken", "lenient").agg(F.count("*").alias("n"))
 
 
-@query("p07_prompts", f"""SELECT subject_id, run_idx, condition, 'base' || CASE condition WHEN 'N' THEN chr(10) || 'The person''s name is ''' || name_group || '''.' WHEN 'L' THEN chr(10) || 'The person lives in ' || city || '.' WHEN 'NL' THEN chr(10) || 'The person''s name is ''' || name_group || '''. The person lives in ' || city || '.' ELSE '' END AS prompt FROM {A} WHERE subject_id % 20 = 1""")
+@query("p07_prompts", f"""SELECT subject_id, run_idx, condition, 'base' || CASE condition WHEN 'N' THEN chr(10) || 'The person''s name is ''' || name_group || '''.' WHEN 'L' THEN chr(10) || 'The person lives in ' || city || '.' WHEN 'NL' THEN chr(10) || 'The person''s name is ''' || name_group || '''. The person lives in ' || city || '.' ELSE '' END AS prompt FROM {A}""")
 def p07(spark, sf):
-    a = audit(spark, sf).where("subject_id % 20 = 1")
+    a = audit(spark, sf)
     return a.select("subject_id", "run_idx", "condition", ge.prompt(F.lit("base"), F.col("condition"), F.col("name_group"), F.col("city")).alias("prompt"))
 
 
-#: Prices per thousand tokens (input, output) by model of the cost query; other models cost the last.
-PRICES = {"1-URGENT": (0.005, 0.015), "2-HIGH": (0.003, 0.015), "3-MEDIUM": (0.00015, 0.0006), "": (0.005, 0.015)}
+#: Prices per thousand tokens (input, output) by model of the cost query; other models cost the default.
+PRICES = {"1-URGENT": (0.005, 0.015), "2-HIGH": (0.003, 0.015), "3-MEDIUM": (0.00015, 0.0006)}
 
 
 @query("p11_p13_cost_guard", """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE 'other' END AS model, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents),
@@ -86,14 +87,12 @@ c AS (SELECT *, tokens/1000.0 * CASE model WHEN '1-URGENT' THEN 0.005 WHEN '2-HI
 r AS (SELECT *, sum(cost) OVER (PARTITION BY model ORDER BY doc_id) AS running FROM c)
 SELECT model, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost),6) AS cost, CAST(count_if(cost > 0.05) AS BIGINT) AS over_call, CAST(count_if(running > 1.0) AS BIGINT) AS over_total FROM r GROUP BY 1""")
 def p11(spark, sf):
-    from pyspark.sql import Window
-
-    d = table(spark, sf, "documents")
-    t = d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "1-URGENT").when(F.col("doc_id") % 4 == 1, "2-HIGH").when(F.col("doc_id") % 4 == 2, "3-MEDIUM").otherwise("other").alias("model"), F.floor(F.length("text") / 4).cast("bigint").alias("tokens"))
-    price = F.create_map(*[x for k, (a, b) in PRICES.items() for x in (F.lit(k), F.lit(a + b))])
-    c = t.withColumn("cost", F.col("tokens") / 1000.0 * F.coalesce(price[F.col("model")], price[F.lit("")]))
-    r = c.withColumn("running", F.sum("cost").over(Window.partitionBy("model").orderBy("doc_id")))
-    return r.groupBy("model").agg(F.sum("tokens").alias("tokens"), r6(F.sum("cost")).alias("cost"), F.count_if(F.col("cost") > 0.05).alias("over_call"), F.count_if(F.col("running") > 1.0).alias("over_total"))
+    k = F.col("doc_id") % 4
+    model = F.when(k == 0, "1-URGENT").when(k == 1, "2-HIGH").when(k == 2, "3-MEDIUM").otherwise("other")
+    t = table(spark, sf, "documents").select("doc_id", model.alias("model"), cl.token_estimate(F.col("text")).alias("tokens"))
+    priced = t.withColumn("cost", cl.call_cost(F.col("model"), F.col("tokens"), F.col("tokens"), PRICES))
+    r = cl.budget_guard(priced, "cost", "doc_id", ["model"], 0.05, 1.0)
+    return r.groupBy("model").agg(F.sum("tokens").alias("tokens"), r6(F.sum("cost")).alias("cost"), F.count_if("over_call").alias("over_call"), F.count_if("over_total").alias("over_total"))
 
 
 @query("p15_p18_model_classes", f"""WITH m AS (SELECT unnest(['gpt-5-mini','gpt-4o','claude-3.5-haiku','claude-opus-4.1','gemini-2.5-flash','gemini-1.5-pro','llama']) AS m)
@@ -101,13 +100,15 @@ SELECT m AS model, CASE WHEN contains(m,'gpt') THEN 'gpt' WHEN contains(m,'claud
  CASE WHEN contains(m,'gpt') THEN 'openai' WHEN contains(m,'claude') THEN 'anthropic' WHEN contains(m,'gemini') THEN 'google' ELSE 'unknown' END AS vendor,
  CASE WHEN contains(m,'mini') AND contains(m,'gpt') THEN 'mini' WHEN contains(m,'gpt') THEN 'full' WHEN contains(m,'haiku') THEN 'haiku' WHEN contains(m,'flash') THEN 'flash' WHEN contains(m,'gemini') THEN 'pro' ELSE 'unknown' END AS size FROM m""")
 def p15(spark, sf):
-    m = F.lower("model")
     df = spark.createDataFrame([(x,) for x in ("gpt-5-mini", "gpt-4o", "claude-3.5-haiku", "claude-opus-4.1", "gemini-2.5-flash", "gemini-1.5-pro", "llama")], "model string")
-    has = lambda x: m.contains(x)
-    family = F.when(has("gpt"), "gpt").when(has("claude"), "claude").when(has("gemini"), "gemini").otherwise("other")
-    vendor = F.when(has("gpt"), "openai").when(has("claude"), "anthropic").when(has("gemini"), "google").otherwise("unknown")
-    size = F.when(has("gpt") & has("mini"), "mini").when(has("gpt"), "full").when(has("haiku"), "haiku").when(has("flash"), "flash").when(has("gemini"), "pro").otherwise("unknown")
-    return df.select("model", family.alias("family"), vendor.alias("vendor"), size.alias("size"))
+    m = F.col("model")
+    return df.select("model", cl.model_family(m).alias("family"), cl.vendor(m).alias("vendor"), cl.model_size(m).alias("size"))
+
+
+@query("p17_tiers", "SELECT model, CASE WHEN model IN ('1-URGENT','2-HIGH') THEN 'flagship' WHEN model = '3-MEDIUM' THEN 'standard' ELSE 'unknown' END AS tier, count(*) AS n FROM " + A + " GROUP BY 1")
+def p17(spark, sf):
+    tiers = {"flagship": ["1-URGENT", "2-HIGH"], "standard": ["3-MEDIUM"]}
+    return audit(spark, sf).groupBy("model").agg(F.count("*").alias("n")).withColumn("tier", cl.tier(F.col("model"), tiers))
 
 
 @query("p19_p21_features", f"SELECT month(ts) AS month, (dayofweek(ts)+6)%7 AS weekday, hour(ts) AS hour, count(*) AS n, round(avg(ln(1+toi)),6) AS log_n, CAST(sum(toi*toi) AS BIGINT) AS n_sq FROM {A} GROUP BY ALL")
@@ -115,31 +116,43 @@ def p19(spark, sf):
     return audit(spark, sf).groupBy(F.month("ts").cast("bigint").alias("month"), F.weekday("ts").cast("bigint").alias("weekday"), F.hour("ts").cast("bigint").alias("hour")).agg(F.count("*").alias("n"), r6(F.avg(F.log1p("toi"))).alias("log_n"), F.sum(F.col("toi") * F.col("toi")).alias("n_sq"))
 
 
-@query("p22_pair_features", f"SELECT gender, age_group, count(*) AS n, gender || '_' || age_group AS feature FROM {A} GROUP BY ALL")
+_PAIRS = [(g, a) for g in ("Female", "Male") for a in ("young", "middle", "older")]
+
+
+@query("p22_pair_features", "SELECT model, " + ", ".join(f"CAST(count_if(gender='{g}' AND age_group='{a}') AS BIGINT) AS {g}_{a}" for g, a in _PAIRS) + f" FROM {A} GROUP BY 1")
 def p22(spark, sf):
-    return audit(spark, sf).groupBy("gender", "age_group").agg(F.count("*").alias("n")).withColumn("feature", F.concat_ws("_", "gender", "age_group"))
+    marked = cl.pair_indicators(audit(spark, sf), "gender", ["Female", "Male"], "age_group", ["young", "middle", "older"])
+    return marked.groupBy("model").agg(*[F.sum(f"{g}_{a}").alias(f"{g}_{a}") for g, a in _PAIRS])
 
 
 @query("p23_age_bands", f"SELECT CASE WHEN age>20 AND age<=35 THEN '(20,35]' WHEN age>35 AND age<=50 THEN '(35,50]' WHEN age>50 AND age<=70 THEN '(50,70]' END AS band, count(*) AS n FROM {A} GROUP BY 1")
 def p23(spark, sf):
-    a = F.col("age")
-    band = F.when((a > 20) & (a <= 35), "(20,35]").when((a > 35) & (a <= 50), "(35,50]").when((a > 50) & (a <= 70), "(50,70]")
-    return audit(spark, sf).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    return audit(spark, sf).groupBy(cl.band(F.col("age"), [20, 35, 50, 70]).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query("p26_category_codes", f"SELECT city, CAST(CASE WHEN city IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY city NULLS LAST) - 1 END AS BIGINT) AS code, n FROM (SELECT city, count(*) AS n FROM {A} GROUP BY 1) z")
 def p26(spark, sf):
-    from pyspark.sql import Window
+    return cl.category_codes(audit(spark, sf), "city").groupBy("city", "code").agg(F.count("*").alias("n"))
+
+
+@query("p31_mentions", "SELECT doc_id, n AS name FROM documents, (SELECT unnest(['the', 'Und']) AS n) WHERE contains(lower(text), lower(n))")
+def p31(spark, sf):
+    return cl.mentions(table(spark, sf, "documents").select("doc_id", "text"), ["text"], ["the", "Und"]).select("doc_id", "name")
+
 
-    g = audit(spark, sf).groupBy("city").agg(F.count("*").alias("n"))
-    code = F.when(F.col("city").isNull(), -1).otherwise(F.dense_rank().over(Window.orderBy(F.col("city").asc_nulls_last())) - 1)
-    return g.select("city", code.cast("bigint").alias("code"), "n")
+@query("j02_zipped", "WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i FROM part), b AS (SELECT p_partkey AS p_partkey_2, row_number() OVER (ORDER BY -p_partkey) AS i FROM part) SELECT p_partkey, p_partkey_2 FROM a JOIN b USING (i)")
+def j02(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey")
+    turned = p.withColumn("down", -F.col("p_partkey"))
+    return cl.zipped(p, turned, "p_partkey", "down").select("p_partkey", "p_partkey_2")
 
 
 @query("p33_p34_keys", """SELECT doc_id, sha256('openai|gpt|sys|' || text || '|0.0') AS call_key, md5(text || '|gpt|0.0') AS prompt_key, sha256('{"model": "gpt", "prompt": "' || md5(text) || '", "temperature": 0.0}') AS json_key FROM documents""")
 def p33(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.lit("openai"), F.lit("gpt"), F.lit("sys"), t, F.lit("0.0")), 256).alias("call_key"), F.md5(F.concat_ws("|", t, F.lit("gpt"), F.lit("0.0"))).alias("prompt_key"), F.sha2(F.format_string('{"model": "gpt", "prompt": "%s", "temperature": 0.0}', F.md5(t)), 256).alias("json_key"))
+    t, model, zero = F.col("text"), F.lit("gpt"), F.lit("0.0")
+    return table(spark, sf, "documents").select(
+        "doc_id", cl.call_key(F.lit("openai"), model, F.lit("sys"), t, zero).alias("call_key"), cl.prompt_key(t, model, zero).alias("prompt_key"), cl.request_key(model, F.md5(t), zero).alias("json_key")
+    )
 
 
 @query("s01_random_subjects")

@@ -327,3 +327,8 @@ def a38(spark, sf):
 @query("x_flip_rate", f"""WITH a AS (SELECT * FROM {A} WHERE pred_label IS NOT NULL) SELECT t.model, t.condition, count(*) AS n_pairs, round(avg(CAST(t.pred_label<>r.pred_label AS INT)),6) AS flip_rate FROM a t JOIN a r ON r.condition='ND' AND t.condition<>'ND' AND t.model=r.model AND t.subject_id=r.subject_id AND t.run_idx=r.run_idx GROUP BY ALL""")
 def flips(spark, sf):
     return rounded(fa.flip_rate(audit(spark, sf), ["model"], ["subject_id", "run_idx"]), "flip_rate")
+
+
+@query("a14_stats_report")
+def a14(spark, sf):
+    return fa.stats_report(audit(spark, sf), "High Growth")

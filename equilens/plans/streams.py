@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from equilens.streaming import monitor as mo
 
 from .audit import query
+from .tables import scratch
 
 
 def _run(spark, sf, make, mode: str):
-    """Run a stream over ``events`` to its end and return what it wrote (complete or append)."""
+    """Run a stream over ``events`` to its end and return what it wrote (its last state in complete mode), from Parquet in the shared folder."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("acc", (F.col("value") > 250).cast("int"))
-    name = f"s_{uuid.uuid4().hex}"
-    q = make(rows).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder, out = scratch(spark), make(rows)
+    sink = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(mo.append_into(f"{folder}/out"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    if mode != "complete":
+        return kept
+    batch = F.regexp_extract(F.col("_metadata.file_path"), "batch=([0-9]+)", 1)
+    last = kept.select(F.max(batch)).first()[0]
+    return kept.where(batch == last).select(*out.columns)
 
 
 @query("s_windowed_accuracy", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS begin, event_type, count(*) AS n, round(avg(CAST(value>250 AS INT)),6) AS accuracy FROM events GROUP BY ALL")

@@ -48,9 +48,8 @@ def s15(spark, sf):
     path = scratch(spark)
     for p in ("F", "O", "P"):
         records.append_calls(_calls(spark, sf).where(F.col("provider") == p), f"{path}/run_{p}/results.jsonl")
-    lines = spark.read.text(f"{path}/*/results.jsonl/*").select("value", F.element_at(F.split("_metadata.file_path", "/"), -3).alias("run"))
-    z = lines.withColumn("z", F.from_json("value", "ok boolean, model string"))
-    return z.groupBy("run").agg(F.count("*").alias("n"), F.count_if("z.ok").alias("n_ok"), F.countDistinct("z.model").alias("n_models")).select("run", "n", "n_ok", F.round(100 * F.col("n_ok") / F.col("n"), 6).alias("success_pct"), "n_models")
+    runs = records.catalogue(spark, path)
+    return runs.select("run", "n", "n_ok", F.round("success_pct", 6).alias("success_pct"), F.size("models").cast("bigint").alias("n_models"))
 
 
 @query("s18_version_log", "SELECT 'v' || (user_id % 4) AS version_id, count(*) AS n FROM events GROUP BY 1")

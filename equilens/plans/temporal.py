@@ -113,3 +113,17 @@ def ks(spark, sf):
     e = events(spark, sf).withColumn("u", F.unix_micros(F.col("ts").cast("timestamp")))
     cut = e.agg(F.percentile("u", F.lit(0.5))).first()[0]
     return rounded(te.ks_drift(e, "value", F.col("u") <= F.lit(cut)), "d")
+
+
+@query("t09_period", f"""WITH g AS (SELECT event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1e6 AS gap FROM {E} e),
+s AS (SELECT event_type, count(*) AS n, quantile_cont(gap, 0.5) AS step FROM g GROUP BY 1)
+SELECT event_type, n, round(step,6) AS step, CAST(greatest(2, least(CASE WHEN step <= 3600 THEN 24 WHEN step <= 86400 THEN 7 ELSE 12 END, n // 2)) AS INT) AS period FROM s""")
+def t09p(spark, sf):
+    return rounded(te.infer_period(events(spark, sf), "ts", ["event_type"]), "step")
+
+
+@query("t01_group_trends", f"""WITH d AS (SELECT version, value AS y, CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY version)) / 86400000000.0) AS DOUBLE) AS x FROM {E} e)
+SELECT version, count(*) AS n, round(regr_slope(y,x),6) AS slope, round(regr_intercept(y,x),6) AS intercept, round(regr_r2(y,x),6) AS r2 FROM d GROUP BY 1""")
+def t01(spark, sf):
+    parts = te.analysis(events(spark, sf), "ts", "value", groups=["version"])
+    return rounded(parts["trend_by_version"], "slope", "intercept", "r2").select("version", "n", "slope", "intercept", "r2")

@@ -130,10 +130,13 @@ def c04(spark, sf):
     return rounded(out, "similarity").select("query", "entry", "similarity", "rank")
 
 
-@query("c05_semantic_probe")
+@query("c05_semantic_probe", """WITH n AS (SELECT vec_id, label % 2 AS model, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, model, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y*y)))) AS v FROM n),
+s AS (SELECT q.vec_id AS query, q.model AS own, e.vec_id AS entry, e.model, list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1]*z[2])) AS sim FROM u q, u e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim,12) DESC, entry) AS rank FROM s)
+SELECT query, arg_min(entry, rank) AS entry, round(max(sim),6) AS similarity FROM r WHERE rank <= 5 AND model = own AND sim >= 0.85 GROUP BY query""")
 def c05(spark, sf):
     u = table(spark, sf, "embeddings").select("vec_id", ca.normalised(F.col("embedding")).alias("vector"), (F.col("label") % 2).alias("model"))
-    return ca.semantic_probe(u.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), u.withColumnRenamed("vec_id", "entry"))
+    return rounded(ca.semantic_probe(u.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), u.withColumnRenamed("vec_id", "entry")), "similarity")
 
 
 @query("c06_layered", f"""WITH r AS (SELECT doc_id, sha256(text) AS key FROM documents), a AS (SELECT DISTINCT key FROM {EN} e WHERE doc_id % 3 = 0), b AS (SELECT DISTINCT key FROM {EN} e WHERE doc_id % 3 = 1)
@@ -169,9 +172,12 @@ def c10(spark, sf):
     return ca.size_report(ca.evicted(e, F.lit(now)))
 
 
-@query("c12_hit_rates", "SELECT 0.6 AS hit_rate, 0.2 AS semantic_rate, 0.1 AS distributed_rate".replace("0.6", "CAST(0.6 AS DOUBLE)").replace("0.2", "CAST(0.2 AS DOUBLE)").replace("0.1", "CAST(0.1 AS DOUBLE)"))
+@query("c12_hit_rates", """WITH c AS (SELECT event_type, count_if(value >= 200) AS h, count_if(value < 200) AS m, count_if(value >= 400) AS s, count_if(value >= 450) AS d FROM events GROUP BY 1)
+SELECT event_type, round(h*1.0/greatest(1,h+m),6) AS hit_rate, round(s*1.0/greatest(1,h+m),6) AS semantic_rate, round(d*1.0/greatest(1,h+m),6) AS distributed_rate FROM c""")
 def c12(spark, sf):
-    return ca.hit_rates(spark.createDataFrame([(6, 4, 2, 1)], "hits int, misses int, semantic_hits int, distributed_hits int"))
+    many = lambda least: F.count_if(F.col("value") >= least)
+    counts = table(spark, sf, "events").groupBy("event_type").agg(many(200).alias("hits"), F.count_if(F.col("value") < 200).alias("misses"), many(400).alias("semantic_hits"), many(450).alias("distributed_hits"))
+    return rounded(ca.hit_rates(counts, ["event_type"]), "hit_rate", "semantic_rate", "distributed_rate")
 
 
 @query("c13_usage", f"SELECT access_count, count(*) AS entries FROM {EN} e GROUP BY 1")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "equilens", cores: int | None = None, **conf: str) -> SparkSession:
@@ -26,3 +27,15 @@ def build_session(app: str = "equilens", cores: int | None = None, **conf: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: that in spark.checkpoint.dir, or one under the warehouse where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, and read from there: what is used several times isn't computed several times."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -44,18 +44,31 @@ def cusum(rows: DataFrame, key: str, time: str, value: str, mean: float, sd: flo
     return rows.select(key, time, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint, s double, alarm boolean", "n bigint, s double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_into(path: str, keys: list[str]):
-    """A foreachBatch sink that keeps the newest row of each key under ``path``, one folder for each batch (so that a batch that is repeated replaces itself)."""
+def _newest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    g = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("z"))
+    return g.select(*keys, "z.*")
+
+
+def upsert_into(path: str, keys: list[str], time: str = "ts"):
+    """A foreachBatch sink that keeps the newest row of each key by ``time`` under ``path``, one folder for each batch (so that a batch that is repeated replaces itself)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        _newest(batch, keys, time).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+
+    return write
+
+
+def append_into(path: str):
+    """A foreachBatch sink that keeps all rows under ``path``, one folder for each batch: the last one is the newest state of a query in complete mode."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
 
     return write
 
 
-def latest(spark, path: str, keys: list[str]) -> DataFrame:
-    """What ``upsert_into`` has kept: of each key the row of its last batch."""
+def latest(spark, path: str, keys: list[str], time: str = "ts") -> DataFrame:
+    """What ``upsert_into`` has kept: of each key the newest row by ``time``, of equal times that of the later batch."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/*")
-    rest = [c for c in rows.columns if c not in keys]
-    g = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("z"))
-    return g.select(*keys, "z.*")
+    return _newest(rows, keys, time, "batch")
