@@ -16,9 +16,9 @@ from equilens.llm import toxicity
 from equilens.llm.decontaminate import contamination, find_overlaps
 from equilens.llm.linededup import dedup_lines, removals, shingle_sets
 from equilens.llm.mixing import mix_sources
-from equilens.llm.neardup import keep_one
+from equilens.llm.neardup import losers, without
 from equilens.llm.queries import read
-from equilens.llm.text import crc_mod, shared_folder
+from equilens.llm.text import crc_mod, digest_of, shared_folder
 
 #: Columns of documents, and of what all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,7 +27,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go. The classifier learns from the labelled documents that op5 doesn't hold out."""
     labels = read(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.train(docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False))).select("doc_id", "text").join(labels, "doc_id"))
+    mine = docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False))).select("doc_id", "text", digest_of("text").alias("digest"))
+    model = toxicity.train(mine.join(labels, "doc_id"), digest="digest")
     scored = toxicity.score(docs.select(*COLUMNS, F.col("text").alias("scored_text")), model, text="scored_text")
     return scored.where("predicted = 0").select(*COLUMNS)
 
@@ -43,9 +44,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group (five-word shingles, at most 3 differing bits) the document of the smallest id stays, unless a document of a smaller id has shingles of Jaccard similarity 0.8 or more (an exact join)."""
-    near = removals(docs.where("doc_id is not null").select("doc_id", "text"), min_words=1, sets_of=shingle_sets, seldom=2).select(F.col("k").alias("doc_id"), F.col("h").alias("__near"))
-    kept = keep_one(docs.select(*COLUMNS), shingle=5).withColumn("__near", F.xxhash64("text"))
-    return kept.join(near, ["doc_id", "__near"], "left_anti").select(*COLUMNS)
+    alike = removals(docs.where("doc_id is not null").select("doc_id", "text"), min_words=1, sets_of=shingle_sets, seldom=2).select("k", "h")
+    return without(docs.select(*COLUMNS), losers(docs.select("doc_id", "text"), shingle=5).unionByName(alike).distinct())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -607,7 +607,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     one = marked.where(F.col("hot_first").isNotNull() & (F.col("hot_also") | (F.struct("k", "line") > F.col("hot_first"))))
     other = marked.where("hot_first is null").join(later.where(level < least), ["set", "set2"]).where(F.coalesce("also", F.lit(False)) | (F.struct("k", "line") > F.col("first")))
     gone = one.select("k", "h", "line").unionByName(other.select("k", "h", "line"))
-    return gone.distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    # written down: a join with it knows its size, and shuffles whole texts only where it is too large to be broadcast
+    return tx.stored(gone.distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("line")).alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, min_bytes: int = 30) -> DataFrame:

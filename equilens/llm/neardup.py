@@ -201,7 +201,7 @@ def links(nodes: DataFrame, threshold: int = 3) -> DataFrame:
     return dealt.mapInArrow(_compare(threshold), "u bigint, v bigint").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over ``edges`` (u, v), for every node with an edge.
 
     Rounds: each node looks at its least neighbour or itself; roots are
@@ -211,9 +211,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = tx.checkpointed(edges.where("u <> v"))
     mapping = None
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():  # every round merges each node that has an edge
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root"))
         # roots point to smaller nodes only: follow them until all have arrived
@@ -251,10 +249,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return marked.join(of, "fp")
 
 
+def losers(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 3) -> DataFrame:
+    """(k, h): key and xxhash64 of the text of the rows that aren't the one of the smallest key in their near-duplicate group."""
+    keyed = docs.select(key, F.xxhash64(text).alias("__h"), text)
+    found = near_duplicates(keyed, key, text, shingle, threshold)
+    return found.where(F.col(key).isNotNull() & (F.col(key) > F.col("component_id"))).select(F.col(key).alias("k"), F.col("__h").alias("h")).distinct()
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows of the keys and texts in ``gone`` (k, h). That table is written down first: Spark broadcasts it if it is small, and shuffles both sides otherwise."""
+    rows = tx.stored(gone).select(F.col("k").alias("__k"), F.col("h").alias("__lh"))
+    return docs.withColumn("__h", F.xxhash64(text)).join(rows, (F.col(key) == F.col("__k")) & (F.col("__h") == F.col("__lh")), "left_anti").drop("__h")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest key (of repeated keys, each text once; of groups without a key, each row)."""
-    keyed = docs.withColumn("__h", F.xxhash64(text))
-    found = near_duplicates(keyed.select(key, "__h", text), key, text, shingle, threshold)
-    losers = found.where(F.col(key).isNotNull() & (F.col(key) > F.col("component_id"))).select(F.col(key).alias("__k"), F.col("__h").alias("__lh")).distinct()
-    return keyed.join(losers, (F.col(key) == F.col("__k")) & (F.col("__h") == F.col("__lh")), "left_anti").drop("__h")
+    return without(docs, losers(docs, key, text, shingle, threshold), key, text)
 

@@ -8,7 +8,6 @@ that it is the same in every process.
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equilens.session import shared_folder, stored  # noqa: F401 (the modules here take them from this one)
+
 #: Bytes of text that one numpy pass holds at once (a longer text is a pass of its own).
 SLICE_BYTES = 1 << 20
 
 
-def shared_folder(spark) -> str:
-    """The folder that the driver and all executors share: that in spark.checkpoint.dir, or one under the warehouse where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint in the shared folder of the session.
 
@@ -39,13 +35,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a Parquet table in the shared folder of the session."""
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def release(df: DataFrame) -> None:
     """Let Spark remove the shuffle files of stages that nothing refers to any more.
 
@@ -201,3 +190,8 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
 def crc_mod(key: str, n: int):
     """crc32 of the key as text, modulo ``n``; of a null key, null."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
+
+
+def digest_of(text: str):
+    """xxhash64 of a text; null for none."""
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))

@@ -143,16 +143,18 @@ def train_linear(row: np.ndarray, number: np.ndarray, n: int, target: np.ndarray
     return w, b
 
 
-def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_rows: int = 8_000, max_features: int = 10_000) -> Model:
+def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_rows: int = 8_000, max_features: int = 10_000, digest: str | None = None) -> Model:
     """Fit voters, label model and classifier on a bounded sample of labelled texts.
 
     The sample: about ``max_rows`` distinct texts with a label, by hash, read
     whole; copies of a text with one label are one row of it. Rows without
     label or text are left out. Without labels of both kinds the model is a
-    constant (0 without any label).
+    constant (0 without any label). ``digest``: a column with the xxhash64 of the
+    text (null for no text). Where ``labelled`` is a join, one made before it
+    lets the texts be counted and sampled without all of them being shuffled.
     """
-    usable = labelled.where(F.col(toxic).isNotNull() & F.col(text).isNotNull())
-    h = F.pmod(F.xxhash64(text), F.lit(1 << 30))
+    h = F.pmod(F.col(digest) if digest else F.xxhash64(text), F.lit(1 << 30))
+    usable = labelled.where(F.col(toxic).isNotNull() & F.col(digest or text).isNotNull())
     n_texts, n_bad, n_good = usable.agg(F.approx_count_distinct(h), *[F.sum((F.col(toxic) == 1).cast("int") if y else (F.col(toxic) != 1).cast("int")) for y in (1, 0)]).first()
     if not n_bad or not n_good:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 4.0 if n_bad else -4.0)
