@@ -14,6 +14,10 @@ has one: a reduction tree of depth log(documents) / log(fan_in). The last
 residual of a source is rounded by its own chance, so that the taken mass of a
 source is off its target by less than one document.
 
+Rows of the same key, source and size are interchangeable: of m of them, the whole
+part of m times their fraction is taken, and one of them stands for the rest, so
+that however often a row repeats, cells stay small.
+
 All chances are hashes of what is paired, so that reruns agree.
 """
 
@@ -26,6 +30,8 @@ from . import text as tx
 
 #: Below this distance from an integer a fractional count is integral.
 CLOSE = 1e-9
+#: Equal rows that are written out at once.
+RUN = 100_000
 
 
 def word_count(text: str) -> Column:
@@ -100,19 +106,22 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     A document's expected copies are its source's target over its source's
     size; its copies are that number rounded down or up. Texts that are null or
     empty have size 0 and are taken as often as the whole part says. Null is a
-    source of its own. Repeated rows are rounded each by itself; equal rows
-    are interchangeable. An empty table gives an empty result.
+    source of its own. Repeated rows come back as often as they are; equal rows
+    are interchangeable. A text of any length is one row, whole. An empty table gives an empty result.
     """
     sizes = tx.checkpointed(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), word_count(text).alias("size")))
     goals = tx.checkpointed(targets(sizes.select("source", "size"), weights, share, most))
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(want + CLOSE)
-    wanted = sizes.join(goals.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).select(
-        "source", "source_size", "target", "n_docs", F.col("key"), "size", whole.alias("base"), F.when(F.col("size") > 0, F.greatest(F.lit(0.0), want - whole)).otherwise(0.0).alias("x")
+    equal = sizes.groupBy("key", "source", "size").agg(F.count("*").alias("many"))
+    each = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), want - whole)).otherwise(0.0)
+    sure = F.floor(F.col("many") * each + CLOSE)
+    wanted = equal.join(goals.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).select(
+        "source", "source_size", "target", "n_docs", F.col("key"), "size", "many", whole.alias("base"), sure.alias("more"), F.greatest(F.lit(0.0), F.col("many") * each - sure).alias("x")
     )
     kind = docs.schema[key].dataType.simpleString()
-    item = f"struct<id:bigint,key:{kind},size:bigint,base:bigint,source_size:bigint,target:double,n:bigint,x:double>"
-    doc = F.struct(F.xxhash64("key", "size", F.lit(seed)).alias("id"), F.col("key").alias("key"), "size", F.col("base").cast("bigint").alias("base"), "source_size", "target", F.col("n_docs").alias("n"), "x").cast(item)
+    item = f"struct<id:bigint,key:{kind},size:bigint,many:bigint,base:bigint,more:bigint,source_size:bigint,target:double,n:bigint,x:double>"
+    doc = F.struct(F.xxhash64("key", "size", F.lit(seed)).alias("id"), F.col("key").alias("key"), "size", "many", F.col("base").cast("bigint").alias("base"), F.col("more").cast("bigint").alias("more"), "source_size", "target", F.col("n_docs").alias("n"), "x").cast(item)
     level, n_left, parts = wanted.select("source", doc.alias("doc")), None, []
     depth = 0
     while True:
@@ -130,5 +139,11 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     out = last
     for part in parts:
         out = out.unionByName(part)
-    copies = (F.col("doc.base") + F.col("doc.x").cast("bigint")).cast("bigint")
-    return out.select(F.col("doc.key").alias(key), "source", F.col("doc.size").alias("size"), F.col("doc.source_size").alias("source_size"), F.col("doc.target").alias("target"), copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    # equal rows again: so many with one copy more, the others without
+    up = F.col("doc.more") + F.col("doc.x").cast("bigint")
+    both = F.array(F.struct(up.alias("n"), F.lit(1).cast("bigint").alias("more")), F.struct((F.col("doc.many") - up).alias("n"), F.lit(0).cast("bigint").alias("more")))
+    kinds = out.select("source", "doc", F.explode(F.filter(both, lambda b: b["n"] > 0)).alias("of"))
+    runs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("of.n") - 1) / RUN)), lambda k: F.least(F.lit(RUN), F.col("of.n") - k * RUN).cast("int"))
+    rows = kinds.withColumn("run", F.explode(runs)).withColumn("one", F.explode(F.array_repeat(F.lit(True), F.col("run"))))
+    copies = F.col("doc.base") + F.col("of.more")
+    return rows.select(F.col("doc.key").alias(key), "source", F.col("doc.size").alias("size"), F.col("doc.source_size").alias("source_size"), F.col("doc.target").alias("target"), copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

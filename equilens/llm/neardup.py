@@ -167,24 +167,25 @@ def _forest(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _compare(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; the last anchor of a batch waits for the next one."""
-        held_a, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        """Rows come sorted by anchor; the last anchor of a batch waits for the next one, in parts that are joined once."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit(a, f):
             x, y = _links(a, f, threshold)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x.view(np.int64), y.view(np.int64))), pa.array(np.maximum(x.view(np.int64), y.view(np.int64)))], names=["u", "v"])
 
         for batch in batches:
-            a = np.concatenate([held_a, batch.column(0).to_numpy()])
-            f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
+            a, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if not len(a):
                 continue
             cut = int(np.searchsorted(a, a[-1], "left"))
-            held_a, held_f = a[cut:], f[cut:]
-            if cut:
-                yield emit(a[:cut], f[:cut])
-        if len(held_a):
-            yield emit(held_a, held_f)
+            if cut or (held and held[0][0][0] != a[-1]):
+                held.append((a[:cut], f[:cut]))
+                yield emit(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+            held.append((a[cut:], f[cut:]))
+        if held:
+            yield emit(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 

@@ -142,6 +142,30 @@ def test_mixing(spark):
     assert mixed(spark, []) == [] if False else mixing.mix_sources(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Thousands of equal rows, and of rows without a key, are rounded together: their sum is within one document of what they are wanted."""
+    rows = [(1, "a", "w w w", "x")] * 3000 + [(None, "a", "v v", "x")] * 2000 + [(k, "a", "u " * (k % 9), "x") for k in range(10, 400)] + [(k, "b", "z " * 40, "x") for k in range(500, 700)]
+    got = mixed(spark, rows)
+    assert len(got) == len(rows)
+    target, size = next((r["target"], r["source_size"]) for r in got if r["source"] == "a")
+    assert abs(sum(r["taken"] for r in got if r["source"] == "a") - target) <= 9
+    equal = [r["copies"] for r in got if r["doc_id"] == 1]
+    assert len(equal) == 3000 and abs(sum(equal) - 3000 * target / size) <= 1
+    assert sum(r["doc_id"] is None for r in got) == 2000
+
+
+def test_pivots_keep_expectations(spark):
+    """Over many seeds, each document is taken about as often as its fraction says."""
+    rows = [(k, "a", "w " * (1 + k % 5), "x") for k in range(12)] + [(k, "b", "w " * 30, "x") for k in range(20, 22)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, size string")
+    total, want = defaultdict(int), {}
+    for seed in range(12):
+        for r in mixing.mix_sources(docs, seed=seed, fan_in=4).where("source = 'b'").collect():
+            total[r["doc_id"]] += r["copies"]
+            want[r["doc_id"]] = r["target"] / r["source_size"]
+    assert all(abs(total[k] / 12 - want[k]) < 0.5 for k in want)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.net/en/x?q"), (2, "https://example.net/fr/"), (3, "x://example.net"), (4, None), (5, "no scheme"), (6, "http://blog.example.com/de/1#a"), (7, "http://z.org/fr/"), (8, "http://z.org/x"), (9, "http://notexample.net/en/"), (9, "http://bad.site/"), (10, "http://u:p@H:80/?a://b"), (11, "x\ny://h\n/p")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string").selectExpr("*", "1 as HOST")

@@ -88,3 +88,17 @@ def test_run_equals_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, got.collect())) == sorted(map(str, stages[-1].collect()))
     assert got.agg(F.sum("taken")).first()[0] > 0
+
+
+def test_stages_take_empty_tables_nulls_and_clashing_columns(spark):
+    if not os.path.exists(SF):
+        pytest.skip("no tables")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, N_LINES int, fp string, score double, Copies int, __h int"
+    rows = [(1, None, None, None, None, 1, "a", 0.1, 1, 1), (2, "", "en", None, 0, 1, "a", 0.1, 1, 1), (None, "one\ntwo", "en", "s", 7, 1, "a", 0.1, 1, 1), (3, "x" * 300_000, "en", "s", 300_000, 1, "a", 0.1, 1, 1), (3, "x" * 300_000, "en", "s", 300_000, 1, "a", 0.1, 1, 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            got = stage(spark, some, SF)
+            n = len(got.collect())
+            assert n <= len(rows) and (name == "mixing" or got.columns == corpus_pipeline.COLUMNS)
+            assert n == 0 if some is not docs else n >= 2
