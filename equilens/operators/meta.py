@@ -141,11 +141,11 @@ def leave_one_out(df: DataFrame, study: str, effect: str = "effect", se: str = "
     return out.withColumn("influential", F.col("influence") > 2 * F.stddev_pop("influence").over(all_)).select(F.col("study").alias(study), "estimate", "influence", "influential")
 
 
-def outliers(df: DataFrame, study: str, effect: str = "effect", se: str = "se") -> DataFrame:
-    """study and z of studies more than 2.58 standard errors off the random-effects estimate."""
+def outliers(df: DataFrame, study: str, effect: str = "effect", se: str = "se", limit: float = Z99) -> DataFrame:
+    """study and z of studies more than ``limit`` (2.58) standard errors off the random-effects estimate."""
     full = random_effects(df, (), effect, se).select(F.col("estimate").alias("__all"))
     z = (F.col(effect) - F.col("__all")) / F.col(se)
-    return df.crossJoin(full).select(study, z.alias("z")).where(F.abs("z") > Z99)  # one row
+    return df.crossJoin(full).select(study, z.alias("z")).where(F.abs("z") > limit)  # one row
 
 
 def forest(df: DataFrame, study: str, effect: str = "effect", se: str = "se") -> DataFrame:

@@ -58,6 +58,14 @@ def meta_report(studies: DataFrame, effect: str = "effect", se: str = "se") -> s
     })
 
 
+def forecast_report(scores: Mapping[str, Mapping[str, float]], importances: Mapping[str, Mapping[str, float]]) -> str:
+    """Trained models as Markdown: each one's scores and its five most important features."""
+    if not scores:
+        return report("Bias forecast", {"Models": "No trained models."})
+    top = lambda kind: sorted(importances.get(kind, {}).items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+    return report("Bias forecast", {kind: "\n".join([*(f"* {m}: {v:.3f}" for m, v in own.items()), *(f"* feature {k}: {v:.3f}" for k, v in top(kind))]) for kind, own in scores.items()})
+
+
 def latex_table(df: DataFrame, most: int = 50) -> str:
     """A small frame as a LaTeX tabular; a report shows at most ``most`` rows and says so."""
     esc = lambda v: ("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")

@@ -104,9 +104,9 @@ def m13(spark, sf):
     return rounded(me.leave_one_out(studies(spark, sf), "study"), "estimate", "influence")
 
 
-@query("m14_outliers", f"SELECT study, round((effect-est)/s.se,5) AS z FROM {ST} s, {_re('')} r WHERE abs((effect-est)/s.se) > 2.58")
+@query("m14_outliers", f"SELECT study, round((effect-est)/s.se,5) AS z FROM {ST} s, {_re('')} r WHERE abs((effect-est)/s.se) > 0.5")
 def m14(spark, sf):
-    return me.outliers(studies(spark, sf), "study").withColumn("z", F.round("z", 5))
+    return me.outliers(studies(spark, sf), "study", limit=0.5).withColumn("z", F.round("z", 5))
 
 
 @query("m15_forest", f"SELECT study, round(effect,6) AS effect, round(effect-1.96*se,6) AS ci_low, round(effect+1.96*se,6) AS ci_high, round(w,4) AS weight, round(50+200*w/max(w) OVER (),5) AS size FROM {ST} s")
