@@ -99,7 +99,7 @@ def calibration(df: DataFrame, by: list[str], x: str = "proposed_growth", y: str
     stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("x") - F.col("y")).alias("bias"), F.stddev_pop("x").alias("sd"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
     b = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("n") / 10)))
     edges = od.quantiles(rows, "x", [F.when(b >= i, F.lit(float(i)) / b) for i in range(11)], by, "edges").drop("n")
-    stats = stats.join(edges, by).withColumn("edges", F.array_distinct(F.array_compact("edges")))
+    stats = stats.join(edges, by).withColumn("edges", F.array_distinct("edges"))
     binned = rows.join(stats.select(*by, "edges"), by).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x")))))
     bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("k"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     ece = bins.groupBy(*by).agg((F.sum(F.col("k") * F.abs(F.col("mx") - F.col("my"))) / F.sum("k")).alias("ece"))

@@ -89,22 +89,21 @@ def cumulated(cells: DataFrame, by: list[str], value: str, amounts: list[str]) -
 def quantiles(df: DataFrame, value: str, probabilities: list[float | Column], by: list[str] | tuple = (), name: str = "q") -> DataFrame:
     """by, n and an array of exact quantiles (between two values, in proportion), from counts of distinct values.
 
-    A probability may be an expression of a group's n; where that is null, so is the quantile.
+    A probability may be an expression of a group's n; where that is null, the quantile is left out.
     """
     by = list(by)
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__t"))
     ranked = cumulated(cells, by, value, ["__t"])
-    n = ranked.groupBy(*by).agg(F.sum("__t").alias("n"))
-    placed = joined(ranked, n, by)
-    x = F.col(value).cast("double")
-
-    def at(place: Column) -> Column:
-        return F.max(F.when((place >= F.col("__t_before")) & (place < F.col("__t_before") + F.col("__t")), x))
-
-    spots = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
-    found = placed.groupBy(*by).agg(F.max("n").alias("n"), *[e for i, s in enumerate(spots) for e in (at(F.floor(s)).alias(f"__l{i}"), at(F.ceil(s)).alias(f"__h{i}"))])
-    between = [F.col(f"__l{i}") + (s - F.floor(s)) * (F.col(f"__h{i}") - F.col(f"__l{i}")) for i, s in enumerate(spots)]
-    return found.select(*by, "n", F.array(*between).alias(name))
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p).cast("double") * (F.col("n") - 1)).alias("p")) for i, p in enumerate(probabilities)])
+    groups = ranked.groupBy(*by).agg(F.sum("__t").alias("n")).withColumn("__spots", spots)
+    inside = lambda place: (place >= F.col("__t_before")) & (place < F.col("__t_before") + F.col("__t"))
+    hit = F.filter("__spots", lambda s: inside(F.floor(s["p"])) | inside(F.ceil(s["p"])))
+    met = joined(ranked, groups, by).select(*by, "n", "__t", "__t_before", F.col(value).cast("double").alias("__x"), F.explode(hit).alias("__s"))
+    low, high = (F.max(F.when(inside(f("__s.p")), F.col("__x"))) for f in (F.floor, F.ceil))
+    found = met.groupBy(*by, "n", "__s").agg(low.alias("__l"), high.alias("__h"))
+    between = F.col("__l") + (F.col("__s.p") - F.floor("__s.p")) * (F.col("__h") - F.col("__l"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__s.i").alias("i"), between.alias("q"))))
+    return found.groupBy(*by, "n").agg(F.transform(listed, lambda r: r["q"]).alias(name))
 
 
 def running_sum(df: DataFrame, by: list[str], order: list[str], amount: str, name: str) -> DataFrame:
