@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, toxicity, warc
 from .decontaminate import contamination, find_overlaps
+from .fim import fill_in_middle, restore
 from .imatch import fingerprints_with_edits
 from .language import identify, learn
 from .linededup import dedup_lines
@@ -97,6 +98,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "place", "capture")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of each document, the digest of its output, and of the text rebuilt from that."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    return restore(fill_in_middle(docs)).select(*made, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language": op2_language,
@@ -108,5 +116,6 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
