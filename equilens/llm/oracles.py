@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL expresses on whole tables."""
 
+from .licenses import GRAM, TEMPLATES, pieces
 from .urls import LONG_SUFFIXES
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,6 +79,34 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, u.payload_digest
 FROM u LEFT JOIN k ON u.payload_digest = k.payload_digest AND payload_bytes >= 1000
 """
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', {base}, '{' '.join(w)}')" for i, (label, base, w) in enumerate(pieces(TEMPLATES)))
+_LEADS = ", ".join(f"lead(w0, {i}) OVER p AS w{i}" for i in range(1, GRAM))
+_ROLLED = " UNION ALL ".join(
+    f"SELECT rid, pos, {k}, concat_ws(' ', {', '.join(f'w{i}' for i in range(k))}) FROM v WHERE w{k - 1} IS NOT NULL" for k in range(2, GRAM + 1)
+)
+OP12 = f"""
+WITH t AS (SELECT *, string_split(words, ' ') AS tw, len(string_split(words, ' ')) AS m, least({GRAM}, len(string_split(words, ' '))) AS k
+  FROM (VALUES {_TEMPLATES}) v(tid, label, base, words)),
+tg AS (SELECT tid, k, tpos, array_to_string(list_slice(tw, tpos + 1, tpos + k), ' ') AS gram FROM (SELECT *, unnest(range(0, m - k + 1)) AS tpos FROM t)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format('text')} AS w FROM documents),
+u AS (SELECT rid, unnest(range(0, len(w))) AS pos, unnest(w) AS w0 FROM d),
+v AS (SELECT rid, pos, w0, {_LEADS} FROM u WINDOW p AS (PARTITION BY rid ORDER BY pos)),
+g AS (SELECT rid, pos, 1 AS k, w0 AS gram FROM v UNION ALL {_ROLLED}),
+h AS (SELECT rid, tid, pos - tpos AS diagonal, tpos FROM g JOIN tg ON g.k = tg.k AND g.gram = tg.gram),
+b AS (SELECT rid, label, diagonal FROM h JOIN t USING (tid) WHERE base GROUP BY rid, tid, label, diagonal, m, k HAVING count(DISTINCT tpos) = m - k + 1),
+c AS (SELECT DISTINCT rid, tid, diagonal FROM h JOIN t USING (tid) WHERE NOT base),
+x AS (SELECT rid, tid, label, mid, count(DISTINCT p) / any_value(m) AS share
+  FROM (SELECT c.rid, c.tid, label, c.diagonal AS mid, m, unnest(range(h.tpos, h.tpos + k)) AS p
+    FROM c JOIN t USING (tid) JOIN h ON h.rid = c.rid AND h.tid = c.tid AND abs(h.diagonal - c.diagonal) <= 2)
+  GROUP BY rid, tid, label, mid HAVING count(DISTINCT p) >= 0.9 * any_value(m)),
+bd AS (SELECT rid, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY rid),
+ld AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM (SELECT rid, label, 1.0 AS share FROM b UNION ALL SELECT rid, label, share FROM x) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(CAST(score AS DOUBLE), 0.0) AS score
+FROM d LEFT JOIN bd USING (rid) LEFT JOIN ld USING (rid)
+"""
+
 OP13 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
 h AS (SELECT *, length(t) AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2,
@@ -92,4 +121,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op9_url_filter": OP9, "op10_warc": OP10, "op13_fill_in_middle": OP13}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op9_url_filter": OP9, "op10_warc": OP10, "op12_license_scan": OP12, "op13_fill_in_middle": OP13}

@@ -12,6 +12,7 @@ from .decontaminate import contamination, find_overlaps
 from .fim import fill_in_middle, restore
 from .imatch import fingerprints_with_edits
 from .language import identify, learn
+from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -98,6 +99,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "place", "capture")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of each document and their places, and labels of notices that stand in it up to few words."""
+    return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-the-middle form of each document, the digest of its output, and of the text rebuilt from that."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -116,6 +122,7 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
+    "op12_license_scan": op12_license_scan,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
