@@ -79,6 +79,34 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, u.payload_digest
 FROM u LEFT JOIN k ON u.payload_digest = k.payload_digest AND payload_bytes >= 1000
 """
 
+#: The crc32 table, eight halvings of each byte with the polynomial for odd ones.
+_STEPS = ",\n".join(f"c{i + 1} AS (SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM c{i})" for i in range(8))
+_HEX = "hex(encode(doc || ':' || word))"
+_NEXT = "xor(crc // 256, list_extract(tab, 1 + CAST(xor(crc % 256, b) AS BIGINT)))"
+OP11 = f"""
+WITH RECURSIVE c0 AS (SELECT i, CAST(i AS BIGINT) AS v FROM range(256) r(i)),
+{_STEPS},
+t AS (SELECT list(v ORDER BY i) AS tab FROM c8),
+u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+r AS (SELECT doc, {LOWER.format('run')} AS word, count(*) AS n FROM u GROUP BY ALL),
+k AS (SELECT word, n, list_reduce(
+    list_prepend(4294967295, list_transform(range(0, length({_HEX}) // 2), lambda j: ('0x' || substr({_HEX}, 2 * j + 1, 2))::BIGINT)),
+    lambda crc, b: {_NEXT}) AS crc FROM r, t),
+h AS (SELECT word, n, xor(crc, 4294967295) AS h FROM k),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.less = v.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.less = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, struct_pack(a := -near_n, b := encode(near))) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN b USING (word)),
+w AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.next)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN w ON w.word = f.word AND w.next IS NULL
+"""
+
 _TEMPLATES = ", ".join(f"({i}, '{label}', {base}, '{' '.join(w)}')" for i, (label, base, w) in enumerate(pieces(TEMPLATES)))
 _LEADS = ", ".join(f"lead(w0, {i}) OVER p AS w{i}" for i in range(1, GRAM))
 _ROLLED = " UNION ALL ".join(
@@ -121,4 +149,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op9_url_filter": OP9, "op10_warc": OP10, "op12_license_scan": OP12, "op13_fill_in_middle": OP13}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op9_url_filter": OP9, "op10_warc": OP10, "op11_spelling": OP11, "op12_license_scan": OP12, "op13_fill_in_middle": OP13}

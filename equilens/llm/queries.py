@@ -16,6 +16,7 @@ from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .spelling import spelling_variants
 from .text import crc_mod, digest_of, shared_folder
 from .tokens import count_tokens
 from .urls import Rule, host_of, judge_urls
@@ -99,6 +100,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "place", "capture")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, of which one run in 97 loses a letter."""
+    return spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"), drop=97)
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of each document and their places, and labels of notices that stand in it up to few words."""
     return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -122,6 +128,7 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
     "op12_license_scan": op12_license_scan,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
