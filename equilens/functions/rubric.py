@@ -39,13 +39,17 @@ def cuts_at(th: Column, table: dict[int, tuple[int, ...]] | None = None) -> Colu
 def label_ord(toi: Column, th: Column, table: dict[int, tuple[int, ...]] | None = None) -> Column:
     """Place of the label (0 to 5) for an investor total and a time horizon: the cuts that the total exceeds; null for horizons outside the rubric.
 
-    ``table``: other cuts than the rubric's. A join-free expression: the table is a literal.
+    ``table``: other cuts than the rubric's. A join-free expression, evaluated
+    by one look into a literal array of all horizons' places by total (totals
+    beyond the cuts count as the least and the greatest).
     """
     rows = table or CUT_TABLE
-    place = F.lit(None).cast("int")
-    for h, cuts in rows.items():
-        place = F.when(th == h, sum(((toi > c).cast("int") for c in cuts[1:]), (toi > cuts[0]).cast("int"))).otherwise(place)
-    return place
+    low, high = min(min(c) for c in rows.values()), max(max(c) for c in rows.values()) + 1
+    places = [sum(t > c for c in cuts) for cuts in rows.values() for t in range(low, high + 1)]
+    horizon = F.array_position(F.array(*[F.lit(float(h)) for h in rows]), th.cast("double")) - 1
+    total = F.ceil(F.least(F.greatest(toi, F.lit(low)), F.lit(high))) - low
+    # least and greatest skip nulls
+    return F.when(toi.isNotNull() & (horizon >= 0), F.get(F.array(*map(F.lit, places)), (horizon * (high - low + 1) + total).cast("int")))
 
 
 def label_of(ordinal: Column) -> Column:

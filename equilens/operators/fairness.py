@@ -6,7 +6,7 @@ or labels become grouping keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilens.session import stored
@@ -21,18 +21,36 @@ def _known(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def accuracy_by(df: DataFrame, by: list[str], acc: str = "acc") -> DataFrame:
-    """by, n (rows), n_scored and accuracy (mean of the scored rows)."""
-    return _known(df, *by).groupBy(*by).agg(F.count("*").alias("n"), F.count(acc).alias("n_scored"), F.avg(acc).alias("accuracy"))
+def _rows(weight: str | None, of: Column | None = None) -> Column:
+    """The number of rows, or of those where ``of`` isn't null; of a table of cells, the sum of its column of counts."""
+    if weight is None:
+        return F.count("*") if of is None else F.count(of)
+    return F.sum(weight) if of is None else F.coalesce(F.sum(F.when(of.isNotNull(), F.col(weight))), F.lit(0))
 
 
-def condition_z(df: DataFrame, by: list[str], condition: str = "condition", acc: str = "acc", reference: str = "ND", count_rows: bool = False) -> DataFrame:
+def _total(value: Column, weight: str | None) -> Column:
+    return F.sum(value if weight is None else value * F.col(weight))
+
+
+def _share(condition: Column, weight: str | None) -> Column:
+    """Share of the rows that meet a condition (where that isn't null)."""
+    met = condition.cast("double")
+    return F.avg(met) if weight is None else F.try_divide(_total(met, weight), _rows(weight, met))
+
+
+def accuracy_by(df: DataFrame, by: list[str], acc: str = "acc", weight: str | None = None) -> DataFrame:
+    """by, n (rows), n_scored and accuracy (mean of the scored rows). Here and below, ``weight`` is the column of counts of a table of cells, which stands for that many rows each."""
+    a = F.col(acc)
+    return _known(df, *by).groupBy(*by).agg(_rows(weight).alias("n"), _rows(weight, a).alias("n_scored"), F.try_divide(_total(a, weight), _rows(weight, a)).alias("accuracy"))
+
+
+def condition_z(df: DataFrame, by: list[str], condition: str = "condition", acc: str = "acc", reference: str = "ND", count_rows: bool = False, weight: str | None = None) -> DataFrame:
     """Each condition against the reference: by, condition, n_ref, n, p_ref, p, z and cohens_h.
 
     n counts scored rows, or all rows with ``count_rows``; successes are scored rows.
     """
-    size = F.count("*") if count_rows else F.count(acc)
-    per = _known(df, *by, condition).groupBy(*by, condition).agg(size.alias("n"), F.coalesce(F.sum(acc), F.lit(0)).alias("s"))
+    size = _rows(weight, None if count_rows else F.col(acc))
+    per = _known(df, *by, condition).groupBy(*by, condition).agg(size.alias("n"), F.coalesce(_total(F.col(acc), weight), F.lit(0)).alias("s"))
     ref = per.where(F.col(condition) == reference).select(*by, F.col("n").alias("n_ref"), F.col("s").alias("s_ref"))
     both = per.where(F.col(condition) != reference).join(ref, by)
     p, q = F.when(F.col("n") > 0, F.col("s") / F.col("n")), F.when(F.col("n_ref") > 0, F.col("s_ref") / F.col("n_ref"))
@@ -51,25 +69,25 @@ def paired_mcnemar(df: DataFrame, by: list[str], keys: list[str], condition: str
     return out.withColumn("chi2", inf.mcnemar(F.col("ref_only"), F.col("treat_only")))
 
 
-def selection_rates(df: DataFrame, group: str, by: list[str] | tuple = (), pred: str = "pred_label", positive: str = "High Growth") -> DataFrame:
+def selection_rates(df: DataFrame, group: str, by: list[str] | tuple = (), pred: str = "pred_label", positive: str = "High Growth", weight: str | None = None) -> DataFrame:
     """by, group, n and rate of the positive label among predicted rows."""
-    return _known(df, *by, group, pred).groupBy(*by, group).agg(F.count("*").alias("n"), F.avg((F.col(pred) == positive).cast("double")).alias("rate"))
+    return _known(df, *by, group, pred).groupBy(*by, group).agg(_rows(weight).alias("n"), _share(F.col(pred) == positive, weight).alias("rate"))
 
 
-def demographic_parity(df: DataFrame, group: str, by: list[str] | tuple = (), pred: str = "pred_label", positive: str = "High Growth") -> DataFrame:
+def demographic_parity(df: DataFrame, group: str, by: list[str] | tuple = (), pred: str = "pred_label", positive: str = "High Growth", weight: str | None = None) -> DataFrame:
     """by, n, n_groups, min_rate, max_rate, gap, dof and chi2 of selection by group (null unless there are two groups, five rows, and no empty cell)."""
     by = list(by)
     marked = _known(df, *by, group, pred).withColumn("__s", F.col(pred) == positive)
-    test = inf.chi_square(marked, group, "__s", by)
+    test = inf.chi_square(marked, group, "__s", by, weight=weight)
     ok = (F.col("n_rows") >= 2) & (F.col("n") >= 5) & (F.col("n_cells") == F.col("n_rows") * F.col("n_cols"))
-    rates = selection_rates(df, group, by, pred, positive).groupBy(*by).agg(F.count("*").alias("n_groups"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"))
+    rates = selection_rates(df, group, by, pred, positive, weight).groupBy(*by).agg(F.count("*").alias("n_groups"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"))
     out = rates.join(test, by) if by else rates.crossJoin(test)  # one row each
     return out.select(*by, "n", "n_groups", "min_rate", "max_rate", (F.col("max_rate") - F.col("min_rate")).alias("gap"), "dof", F.when(ok, F.col("chi2")).alias("chi2"))
 
 
-def one_vs_rest(df: DataFrame, group: str, labels: list[str], by: list[str] | tuple = (), pred: str = "pred_label", true: str = "true_label") -> DataFrame:
+def one_vs_rest(df: DataFrame, group: str, labels: list[str], by: list[str] | tuple = (), pred: str = "pred_label", true: str = "true_label", weight: str | None = None) -> DataFrame:
     """by, group, label, tp, fn, fp, tn, tpr and fpr (null without support). Counted once per pair of labels, then spread over the labels."""
-    pairs = _known(df, *by, group, pred, true).groupBy(*by, group, pred, true).agg(F.count("*").alias("o"))
+    pairs = _known(df, *by, group, pred, true).groupBy(*by, group, pred, true).agg(_rows(weight).alias("o"))
     spread = pairs.withColumn("label", F.explode(F.array(*map(F.lit, labels))))
     p, t = F.col(pred) == F.col("label"), F.col(true) == F.col("label")
     total = lambda x: F.coalesce(F.sum(F.when(x, F.col("o"))), F.lit(0))
@@ -77,10 +95,10 @@ def one_vs_rest(df: DataFrame, group: str, labels: list[str], by: list[str] | tu
     return out.withColumn("tpr", F.try_divide("tp", F.col("tp") + F.col("fn"))).withColumn("fpr", F.try_divide("fp", F.col("fp") + F.col("tn")))
 
 
-def odds_tests(df: DataFrame, group: str, labels: list[str], by: list[str] | tuple = (), pred: str = "pred_label", true: str = "true_label") -> DataFrame:
+def odds_tests(df: DataFrame, group: str, labels: list[str], by: list[str] | tuple = (), pred: str = "pred_label", true: str = "true_label", weight: str | None = None) -> DataFrame:
     """Chi-squared of predicted (label or not) by group, among rows whose true label is the label (positive) and among the others: by, label, positive, n, dof, chi2."""
     by = list(by)
-    counts = one_vs_rest(df, group, labels, by, pred, true)
+    counts = one_vs_rest(df, group, labels, by, pred, true, weight)
     cells = counts.select(*by, group, "label", F.explode(F.array(*[F.struct(F.lit(y).alias("positive"), F.lit(x).alias("said"), F.col(c).alias("o")) for y, x, c in ((1, 1, "tp"), (1, 0, "fn"), (0, 1, "fp"), (0, 0, "tn"))])).alias("z"))
     cells = cells.select(*by, group, "label", "z.positive", "z.said", "z.o").where("o > 0")
     test = inf.chi_square(cells, group, "said", [*by, "label", "positive"], weight="o")
@@ -88,38 +106,49 @@ def odds_tests(df: DataFrame, group: str, labels: list[str], by: list[str] | tup
     return test.select(*by, "label", "positive", "n", "dof", F.when(ok, F.col("chi2")).alias("chi2"))
 
 
-def calibration(df: DataFrame, by: list[str], x: str = "proposed_growth", y: str = "true_growth") -> DataFrame:
+def calibration(df: DataFrame, by: list[str], x: str = "proposed_growth", y: str = "true_growth", weight: str | None = None) -> DataFrame:
     """by, n, bias (mean of x - y), slope and intercept of y on x, and ece over quantile bins of x.
 
     The bins: min(10, max(2, n div 10)) quantiles by linear interpolation,
     equal edges merged, closed on the right, the least included. Slope,
     intercept and ece are null for n < 3 or constant x.
     """
-    rows = stored(_known(df, *by, x, y).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("x") - F.col("y")).alias("bias"), F.stddev_pop("x").alias("sd"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    known = _known(df, *by, x, y)
+    rows = stored(known.groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(_rows(weight).alias("__w")))
+    moments = rows.groupBy(*by).agg(
+        F.sum("__w").alias("n"), *[(F.sum(F.col("__w") * v) / F.sum("__w")).alias(k) for k, v in (("__mx", F.col("x")), ("__my", F.col("y")))], F.min("x").alias("__low"), F.max("x").alias("__high")
+    )
+    centred = rows.join(moments, by)
+    dx, dy = F.col("x") - F.col("__mx"), F.col("y") - F.col("__my")
+    stats = centred.groupBy(*by, "n", "__mx", "__my", "__low", "__high").agg(F.sum(F.col("__w") * dx * dx).alias("__sxx"), F.sum(F.col("__w") * dx * dy).alias("__sxy"))
     b = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("n") / 10)))
-    edges = od.quantiles(rows, "x", [F.when(b >= i, F.lit(float(i)) / b) for i in range(11)], by, "edges").drop("n")
+    edges = od.quantiles(rows, "x", [F.when(b >= i, F.lit(float(i)) / b) for i in range(11)], by, "edges", weight="__w").drop("n")
     stats = stats.join(edges, by).withColumn("edges", F.array_distinct("edges"))
     binned = rows.join(stats.select(*by, "edges"), by).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x")))))
-    bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("k"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    ece = bins.groupBy(*by).agg((F.sum(F.col("k") * F.abs(F.col("mx") - F.col("my"))) / F.sum("k")).alias("ece"))
-    ok = (F.col("n") >= 3) & (F.col("sd") > 0)
-    return stats.join(ece, by).select(*by, "n", "bias", *[F.when(ok, F.col(c)).alias(c) for c in ("slope", "intercept", "ece")])
+    bins = binned.groupBy(*by, "bin").agg(F.sum("__w").alias("k"), F.sum(F.col("__w") * (F.col("x") - F.col("y"))).alias("d"))
+    ece = bins.groupBy(*by).agg((F.sum(F.abs("d")) / F.sum("k")).alias("ece"))
+    ok = (F.col("n") >= 3) & (F.col("__low") < F.col("__high"))
+    slope = F.try_divide("__sxy", "__sxx")
+    values = {"slope": slope, "intercept": F.col("__my") - slope * F.col("__mx"), "ece": F.col("ece")}
+    return stats.join(ece, by).select(*by, "n", (F.col("__mx") - F.col("__my")).alias("bias"), *[F.when(ok, v).alias(k) for k, v in values.items()])
 
 
-def ordinal_bias(df: DataFrame, group: str, by: list[str] | tuple = (), error: str = "ordinal_error") -> DataFrame:
+def ordinal_bias(df: DataFrame, group: str, by: list[str] | tuple = (), error: str = "ordinal_error", weight: str | None = None) -> DataFrame:
     """by, group, n, mean_error, std_error (sample), median_error, over_rate, under_rate, exact_rate."""
     e = F.col(error)
+    n, s, q = _rows(weight), _total(e, weight), _total(e * e, weight)
+    deviation = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1))))
+    median = F.percentile(error, F.lit(0.5)) if weight is None else F.percentile(error, F.lit(0.5), F.col(weight))
     return _known(df, *by, group, error).groupBy(*by, group).agg(
-        F.count("*").alias("n"), F.avg(error).alias("mean_error"), F.stddev_samp(error).alias("std_error"), F.percentile(error, F.lit(0.5)).alias("median_error"),
-        F.avg((e > 0).cast("double")).alias("over_rate"), F.avg((e < 0).cast("double")).alias("under_rate"), F.avg((e == 0).cast("double")).alias("exact_rate"),
+        n.alias("n"), (s / n).alias("mean_error"), deviation.alias("std_error"), median.alias("median_error"),
+        _share(e > 0, weight).alias("over_rate"), _share(e < 0, weight).alias("under_rate"), _share(e == 0, weight).alias("exact_rate"),
     )
 
 
-def direction_test(df: DataFrame, group: str, by: list[str] | tuple = (), error: str = "ordinal_error") -> DataFrame:
+def direction_test(df: DataFrame, group: str, by: list[str] | tuple = (), error: str = "ordinal_error", weight: str | None = None) -> DataFrame:
     """Chi-squared of the error's direction (under, exact, over) by group: by, n, dof, chi2 (null with an empty cell)."""
     by = list(by)
-    test = inf.chi_square(_known(df, error).withColumn("__d", F.signum(error)), group, "__d", by)
+    test = inf.chi_square(_known(df, error).withColumn("__d", F.signum(error)), group, "__d", by, weight=weight)
     ok = (F.col("n_rows") >= 2) & (F.col("n") >= 5) & (F.col("n_cells") == F.col("n_rows") * F.col("n_cols"))
     return test.select(*by, "n", "dof", F.when(ok, F.col("chi2")).alias("chi2"))
 
@@ -251,40 +280,3 @@ def basic_statistics(df: DataFrame, ok: str = "ok", model: str = "model", condit
 def confusion(df: DataFrame, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
     """Counts by true and predicted label, in long form."""
     return _known(df, true, pred).groupBy(true, pred).agg(F.count("*").alias("n"))
-
-
-def stats_report(df: DataFrame, positive: str, by: tuple[str, ...] = ("provider", "model"), keys: tuple[str, ...] = ("subject_id", "run_idx"), alpha: float = 0.05) -> DataFrame:
-    """Tests of each provider, model and condition in long form, with corrected p-values: by, condition, test, statistic, dof, p, p_* and reject_*.
-
-    Of a condition against ND: two_proportion and mcnemar. Of groups within a
-    condition (name groups in N and NL, cities in L): parity, kruskal and
-    direction, for cities under the names parity_by_city and so on. Tests that
-    can't be made have null statistics. All p-values but those by city are
-    one family, as in the surveyed report.
-    """
-    by = list(by)
-    parts = []
-
-    def add(table: DataFrame, test: str, statistic: str, kind: str, *columns: str, condition: str | None = None) -> None:
-        named = table.withColumn("condition", F.lit(condition)) if condition else table
-        tested = inf.with_p(named.withColumn("__one", F.lit(1)), kind, *columns, name="p")
-        dof = F.col(columns[1]) if len(columns) > 1 else F.lit(None)
-        parts.append(tested.select(*by, "condition", F.lit(test).alias("test"), F.col(statistic).cast("double").alias("statistic"), dof.cast("bigint").alias("dof"), "p"))
-
-    add(condition_z(df, by), "two_proportion", "z", "z", "z")
-    add(paired_mcnemar(df, by, list(keys)), "mcnemar", "chi2", "chi2", "chi2", "__one")
-    for condition, group, suffix in (("N", "name_group", ""), ("NL", "name_group", ""), ("L", "city", "_by_city")):
-        rows = df.where(F.col("condition") == condition)
-        add(demographic_parity(rows, group, by, positive=positive), f"parity{suffix}", "chi2", "chi2", "chi2", "dof", condition=condition)
-        add(inf.kruskal(rows, group, "ordinal_error", by), f"kruskal{suffix}", "h", "chi2", "h", "dof", condition=condition)
-        add(direction_test(rows, group, by), f"direction{suffix}", "chi2", "chi2", "chi2", "dof", condition=condition)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    whole = whole.withColumn("__key", F.concat_ws("/", *by, "condition", "test")).withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
-    city = F.endswith(F.col("test"), F.lit("_by_city"))
-    mine = inf.adjust(whole.where(~city), "p", "__key", alpha=alpha)
-    others = whole.where(city)
-    for k in ("bonferroni", "holm", "bh", "by"):
-        others = others.withColumn(f"p_{k}", F.lit(None).cast("double")).withColumn(f"reject_{k}", F.lit(False))
-    return mine.unionByName(others).drop("__key")

@@ -52,18 +52,18 @@ def chi_square(df: DataFrame, row: str, col: str, by: list[str] | tuple = (), ya
     return out.withColumn("cramers_v", F.when(least > 0, F.sqrt(F.col("chi2") / (F.col("n") * least)))).drop("__plain", "__d", "__sr", "__sc")
 
 
-def _ranked(df: DataFrame, group: str, value: str, by: list[str]) -> DataFrame:
+def _ranked(df: DataFrame, group: str, value: str, by: list[str], weight: str | None = None) -> DataFrame:
     """Cells by group and value: o rows each, t rows of the value, and the value's average rank."""
-    cells = stored(_present(df, [*by, group, value]).groupBy(*by, group, value).agg(F.count("*").alias("__o")))
+    cells = stored(_present(df, [*by, group, value]).groupBy(*by, group, value).agg((F.sum(weight) if weight else F.count("*")).alias("__o")))
     ties = od.cumulated(cells.groupBy(*by, value).agg(F.sum("__o").alias("__t")), by, value, ["__t"])
     ranks = ties.withColumn("__rank", F.col("__t_before") + (F.col("__t") + 1) / 2.0).drop("__t_before")
     return cells.join(ranks, [*by, value])
 
 
-def kruskal(df: DataFrame, group: str, value: str, by: list[str] | tuple = ()) -> DataFrame:
-    """Kruskal-Wallis H with tie correction: by, n, n_groups, dof, h. All values equal: h is 0; fewer than two groups: null."""
+def kruskal(df: DataFrame, group: str, value: str, by: list[str] | tuple = (), weight: str | None = None) -> DataFrame:
+    """Kruskal-Wallis H with tie correction: by, n, n_groups, dof, h. All values equal: h is 0; fewer than two groups: null. ``weight``: a column of counts."""
     by = list(by)
-    ranked = _ranked(df, group, value, by)
+    ranked = _ranked(df, group, value, by, weight)
     groups = ranked.groupBy(*by, group).agg(F.sum("__o").alias("__ng"), F.sum(F.col("__o") * F.col("__rank")).alias("__rg"))
     ties = ranked.select(*by, value, "__t").distinct().groupBy(*by).agg(F.sum(F.pow("__t", 3) - F.col("__t")).alias("__ties"))
     out = groups.groupBy(*by).agg(F.sum("__ng").alias("n"), F.count("*").alias("n_groups"), F.sum(F.col("__rg") * F.col("__rg") / F.col("__ng")).alias("__s"))

@@ -86,13 +86,13 @@ def cumulated(cells: DataFrame, by: list[str], value: str, amounts: list[str]) -
     return joined(here, total, [*by, "__b"]).select(*cells.columns, *[(F.col(f"{a}_before") + F.col(f"__sum_{a}")).alias(f"{a}_before") for a in amounts])
 
 
-def quantiles(df: DataFrame, value: str, probabilities: list[float | Column], by: list[str] | tuple = (), name: str = "q") -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: list[float | Column], by: list[str] | tuple = (), name: str = "q", weight: str | None = None) -> DataFrame:
     """by, n and an array of exact quantiles (between two values, in proportion), from counts of distinct values.
 
-    A probability may be an expression of a group's n; where that is null, the quantile is left out.
+    A probability may be an expression of a group's n; where that is null, the quantile is left out. ``weight``: a column of counts.
     """
     by = list(by)
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__t"))
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("__t"))
     ranked = cumulated(cells, by, value, ["__t"])
     spots = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p).cast("double") * (F.col("n") - 1)).alias("p")) for i, p in enumerate(probabilities)])
     groups = ranked.groupBy(*by).agg(F.sum("__t").alias("n")).withColumn("__spots", spots)

@@ -59,12 +59,23 @@ def load_run(spark: SparkSession, folder: str) -> dict[str, Any]:
     }
 
 
+def _cohens_d(row: dict[str, Any]) -> float:
+    """Absolute difference of both means over the pooled deviation; 0 where that can't be computed."""
+    n1, n2, v1, v2 = (row.get(f"__{k}{sex}") for k in "nv" for sex in ("Male", "Female"))
+    if not n1 or not n2 or v1 is None or v2 is None:
+        return 0.0
+    pooled = (((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) ** 0.5
+    return abs(row["__mMale"] - row["__mFemale"]) / pooled if pooled > 0 else 0.0
+
+
 def run_summary(results: DataFrame | None, report: dict | None = None, stats: dict | None = None) -> dict[str, Any]:
     """The 24 fields of a run's summary, from its results, report and stats. Missing columns and empty results give zeros and empty lists, p-values of 1.
 
     Groups: gender, age_group, ethnicity and location. Labels: risk_label. A row
-    is right by risk_band_correct, confident by confidence or
-    prediction_confidence; it failed where error isn't null.
+    is right by risk_band_correct, confident by prediction_confidence; it failed
+    where error isn't null. The interval of the accuracy is by t below 30 rows, else by
+    the normal; Cohen's d is that of Male and Female; the calibration error
+    weighs each bin (lo, hi] by its share of all rows.
     """
     report, stats = report or {}, stats or {}
     out: dict[str, Any] = {
@@ -85,12 +96,18 @@ def run_summary(results: DataFrame | None, report: dict | None = None, stats: di
     right = F.col("risk_band_correct").cast("double") if "risk_band_correct" in has else None
     if right is not None:
         aggs |= {"overall_accuracy": F.avg(right), "__n": F.count(right), "__sd": F.stddev_samp(right)}
+    if right is not None and "gender" in has:
+        for sex in ("Male", "Female"):
+            mine = F.when(F.col("gender") == sex, right)
+            aggs |= {f"__n{sex}": F.count_if(F.col("gender") == sex), f"__m{sex}": F.avg(mine), f"__v{sex}": F.var_samp(mine)}
     row = results.agg(*[e.alias(k) for k, e in aggs.items()]).first().asDict()
     out |= {k: v for k, v in row.items() if not k.startswith("__") and v is not None}
     out["demographic_groups"] = [x for c in groups for x in row[f"__{c}"]]
     if right is not None and (row["__n"] or 0) > 1:
-        reach = dist.t_ppf(0.975, row["__n"] - 1) * (row["__sd"] or 0.0) / row["__n"] ** 0.5
+        n = row["total_responses"]
+        reach = (dist.t_ppf(0.975, n - 1) if n < 30 else dist.norm_ppf(0.975)) * (row["__sd"] or 0.0) / row["__n"] ** 0.5
         out |= {"accuracy_ci_lower": row["overall_accuracy"] - reach, "accuracy_ci_upper": row["overall_accuracy"] + reach}
+    out["cohens_d"] = _cohens_d(row)
     marked = results.withColumn("__right", right) if right is not None else results
     if {"gender", "risk_label"} <= has:
         out["demographic_parity_violation"] = _first(rp.share_gap(results, "gender", "risk_label"), "violation")
@@ -100,13 +117,9 @@ def run_summary(results: DataFrame | None, report: dict | None = None, stats: di
         out["equalized_odds_violation"] = _first(rp.accuracy_gap(marked, "gender", "__right"), "accuracy_gap")
         ranks = inf.with_p(inf.kruskal(marked, "gender", "__right"), "chi2", "h", "dof").first()
         out |= {"kruskal_wallis_statistic": ranks["h"] or 0.0, "kruskal_wallis_p_value": 1.0 if ranks["h"] is None else ranks["p_value"]}
-        two = row["__gender"][:2]
-        if len(two) == 2:
-            side = F.when(F.col("gender").isin(*two), F.col("gender") == two[0])
-            out["cohens_d"] = _first(rp.cohens_d(marked, "__right", side), "d")
-    sure = next((c for c in ("confidence", "prediction_confidence") if c in has), None)
-    if sure and right is not None:
-        out["calibration_error"] = _first(un.calibration_suite(marked, sure, "__right"), "ece")
+    if "prediction_confidence" in has and right is not None:
+        bins = un.calibration_bins(marked.withColumn("__p", F.col("prediction_confidence")), "__p", "__right", keep_unknown=True)
+        out["calibration_error"] = _first(bins.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / row["total_responses"]).alias("e")), "e")
     gap = out["demographic_parity_violation"]
     out |= {"bias_ci_lower": max(0.0, gap - 0.1), "bias_ci_upper": gap + 0.1, "experiment_name": report.get("experiment_name", "Unnamed Experiment")}
     return out | {"total_cost": report.get("total_cost", 0.0), "duration_hours": report.get("duration_hours", 0.0), "consistency_score": stats.get("consistency_score", 0.0)}

@@ -131,9 +131,9 @@ def drift(df: DataFrame, time: str, metric: str, by: list[str] | tuple = (), thr
 
 
 def rolling_mean(df: DataFrame, time: str, metric: str, by: list[str] | tuple = (), rows: int = 10) -> DataFrame:
-    """Adds rolling: the mean of the last ``rows`` rows (fewer at the start)."""
+    """Adds rolling: the mean of the last ``rows`` rows (fewer at the start). Rows of one time are ordered by the metric."""
     by = list(by)
-    near = od.with_neighbours(od.indexed(df, by, [time]), rows - 1, 0)
+    near = od.with_neighbours(od.indexed(df, by, [time, metric]), rows - 1, 0)
     last = od.over(by, "__c").orderBy("__i").rowsBetween(-(rows - 1), 0)
     return near.withColumn("rolling", F.avg(metric).over(last)).where("not __guest").drop("__i", "__c", "__guest")
 
@@ -159,50 +159,76 @@ def histogram(df: DataFrame, metric: str, low: float, high: float, bins: int) ->
     return df.where(F.col(metric).between(low, high)).groupBy(at.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def seasonal(df: DataFrame, time: str, metric: str, period: int, by: list[str] | tuple = ()) -> DataFrame:
-    """Additive decomposition: the columns of df and trend, season and rest.
+#: A series with fewer rows has no seasons; periods of series by their median step in whole days (up to that many), and of the rest.
+SEASONAL_ROWS, PERIODS, LONGEST_PERIOD = 12, ((1, 7), (7, 4)), 12
 
-    Trend: the centred mean over a period (an even period's ends at half
-    weight), at the edges the nearest value; season: the phase means of what
-    remains, centred.
+
+def infer_period(df: DataFrame, time: str, by: list[str] | tuple = (), metric: str | None = None) -> DataFrame:
+    """by, n, step (median distance of neighbouring times, in seconds) and period.
+
+    The period: 7 for steps below two days, 4 below eight, else 12 (see
+    ``PERIODS``); n div 2 where there are fewer than two periods; null below 12 rows.
+    With a ``metric``, rows without one don't count.
     """
     by = list(by)
-    half = period // 2
-    near = od.with_neighbours(od.indexed(df.where(F.col(metric).isNotNull()), by, [time]), half, half)
-    order = od.over(by, "__c").orderBy("__i")
-    span = order.rowsBetween(-half, half)
-    inner = F.sum(metric).over(span)
-    if period % 2 == 0:
-        inner = inner - (F.lag(metric, half).over(order) + F.lead(metric, half).over(order)) / 2
-    full = F.count(metric).over(span) == 2 * half + 1
-    rows = near.withColumn("__t", F.when(full, inner / period)).where("not __guest").drop("__c", "__guest")
-    # only the first and last rows of a series have no full window: they take the nearest one's mean
-    ends = rows.where("__t is not null").groupBy(*by).agg(F.min_by("__t", "__i").alias("__first"), F.max_by("__t", "__i").alias("__last"))
-    rows = od.joined(rows, ends, by, "left") if by else rows.crossJoin(ends)  # one row
-    trend = F.coalesce("__t", F.when(F.col("__i") < half, F.col("__first")).otherwise(F.col("__last")))
-    rows = rows.withColumn("trend", trend).withColumn("__d", F.col(metric) - F.col("trend")).withColumn("__ph", F.col("__i") % period)
-    phases = rows.groupBy(*by, "__ph").agg(F.avg(F.when(F.col("__t").isNotNull(), F.col("__d"))).alias("__s"))
-    phases = phases.withColumn("season", F.col("__s") - F.avg("__s").over(od.over(by))).drop("__s")  # ``period`` rows a series
-    rows = od.joined(rows, phases, [*by, "__ph"])
-    return rows.withColumn("rest", F.col(metric) - F.col("trend") - F.col("season")).select(*df.columns, "trend", "season", "rest")
+    rows = df.where(F.col(time).isNotNull() & (F.col(metric).isNotNull() if metric else F.lit(True)))
+    near = od.with_neighbours(od.indexed(rows.select(*by, time), by, [time]), 1, 0)
+    gap = (od.as_number(df, time) - F.lag(od.as_number(df, time)).over(od.over(by, "__c").orderBy("__i"))) / 1e6
+    gaps = near.withColumn("__gap", gap).where("not __guest and __gap is not null")
+    found = od.quantiles(gaps, "__gap", [0.5], by).select(*by, (F.col("n") + 1).alias("n"), F.col("q")[0].alias("step"))
+    days, usual = F.floor(F.col("step") / 86_400), F.lit(LONGEST_PERIOD)
+    for most, period in reversed(PERIODS):
+        usual = F.when(days <= most, period).otherwise(usual)
+    return found.withColumn("period", F.when(F.col("n") >= SEASONAL_ROWS, _fitting(usual, F.col("n"))).cast("int"))
 
 
-def seasonal_strength(parts: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
-    """by and strength: 1 less the variance of the rest over that of rest and season together, 0 at least; from ``seasonal``."""
-    both = F.var_pop(F.col("rest") + F.col("season"))
-    return parts.groupBy(*by).agg(F.greatest(F.lit(0.0), F.coalesce(1 - F.try_divide(F.var_pop("rest"), both), F.lit(0.0))).alias("strength"))
+def _fitting(period: Column, n: Column) -> Column:
+    return F.when(n < 2 * period, F.floor(n / 2)).otherwise(period)
 
 
-def infer_period(df: DataFrame, time: str, by: list[str] | tuple = ()) -> DataFrame:
-    """by, n, step (median distance of neighbouring times, in seconds) and period: 24 for hourly steps, 7 for daily ones, 12 for longer ones, else n div 4; at most n div 2, 2 at least."""
+def seasonal(df: DataFrame, time: str, metric: str, period: int | None = None, by: list[str] | tuple = ()) -> DataFrame:
+    """Additive decomposition: the columns of df (rows with a metric and a time) and period, trend, season and rest.
+
+    ``period``: of all series, or inferred for each; n div 2 where a series has fewer
+    than two. Trend: the centred mean over a period (an even period's ends at
+    half weight); where that is incomplete, at both ends, the line of least
+    squares through the nearest ``period`` full means (at the far end, those before the last one).
+    Season: the phase means of what remains, centred. Series of fewer than 12 rows have none of them.
+    """
     by = list(by)
-    near = od.with_neighbours(od.indexed(df.where(F.col(time).isNotNull()).select(*by, time), by, [time]), 1, 0)
-    gap = (od.as_number(df, time) - F.lag(od.as_number(df, time)).over(od.over(by, "__c").orderBy("__i"))) / 1e6
-    gaps = near.withColumn("__gap", gap).where("not __guest and __gap is not null")
-    found = od.quantiles(gaps, "__gap", [0.5], by).select(*by, (F.col("n") + 1).alias("n"), F.col("q")[0].alias("step"))
-    hour, day = 3600.0, 86400.0
-    usual = F.when(F.col("step") <= hour, 24).when(F.col("step") <= day, 7).when(F.col("step") > day, 12).otherwise(F.floor(F.col("n") / 4))
-    return found.withColumn("period", F.greatest(F.lit(2), F.least(usual, F.floor(F.col("n") / 2))).cast("int"))
+    rows = df.where(F.col(metric).isNotNull() & F.col(time).isNotNull())
+    if period is None:
+        about = infer_period(rows, time, by).select(*by, F.col("n").alias("__n"), "period")
+    else:
+        size = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+        about = size.withColumn("period", F.when(F.col("__n") >= SEASONAL_ROWS, _fitting(F.lit(period), F.col("__n"))).cast("int"))
+    reach = (period or max(LONGEST_PERIOD, *(p for _, p in PERIODS))) // 2
+    placed = od.joined(od.indexed(rows.drop("period"), by, [time, metric]), about, by)
+    near = od.with_neighbours(placed, reach, reach)
+    half, i, n = F.floor(F.col("period") / 2).cast("int"), F.col("__i"), F.col("__n")
+    around = F.collect_list(F.col(metric).cast("double")).over(od.over(by, "__c").orderBy("__i").rowsBetween(-reach, reach))
+    window = near.withColumn("__v", around).where("not __guest").drop("__c", "__guest")
+    own = F.slice(F.col("__v"), F.least(F.lit(reach), i).cast("int") - half + 1, 2 * half + 1)
+    inner = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) - F.when(F.col("period") % 2 == 0, (F.get(own, F.lit(0)) + F.get(own, 2 * half)) / 2).otherwise(0.0)
+    full = (i >= half) & (i < n - half)
+    means = stored(window.withColumn("__t", F.when(full, inner / F.col("period"))).drop("__v"))
+    last = n - 1 - half
+    front = (i >= half) & (i < F.least(half + F.col("period"), last))
+    back = (i >= F.greatest(half, last - F.col("period"))) & (i < last)
+    fit = lambda f, near_: f(F.when(near_, F.col("__t")), i.cast("double"))
+    lines = means.groupBy(*by).agg(*[fit(f, where).alias(name) for where, f, name in ((front, F.regr_slope, "__fk"), (front, F.regr_intercept, "__fn"), (back, F.regr_slope, "__bk"), (back, F.regr_intercept, "__bn"))])
+    line = F.when(i < half, F.col("__fk") * i + F.col("__fn")).otherwise(F.col("__bk") * i + F.col("__bn"))
+    trended = od.joined(means, lines, by).withColumn("trend", F.when(F.col("period").isNotNull(), F.coalesce("__t", line))).withColumn("__ph", i % F.col("period"))
+    phases = trended.groupBy(*by, "__ph").agg(F.avg(F.col(metric) - F.col("trend")).alias("__s"))
+    phases = phases.withColumn("season", F.col("__s") - F.avg("__s").over(od.over(by))).drop("__s")  # ``period`` rows a series
+    out = od.joined(trended, phases, [*by, "__ph"]).withColumn("rest", F.col(metric) - F.col("trend") - F.col("season"))
+    return out.select(*rows.drop("period").columns, "period", "trend", "season", "rest")
+
+
+def seasonal_strength(parts: DataFrame, metric: str, by: list[str] | tuple = ()) -> DataFrame:
+    """by, period and strength: the variance of the season over that of the metric (0 where that doesn't vary); from ``seasonal``."""
+    share = F.try_divide(F.var_pop("season"), F.var_pop(metric))
+    return parts.where("period is not null").groupBy(*by, "period").agg(F.coalesce(share, F.lit(0.0)).alias("strength"))
 
 
 def ks_drift(df: DataFrame, metric: str, side: Column) -> DataFrame:
@@ -216,7 +242,7 @@ def ks_drift(df: DataFrame, metric: str, side: Column) -> DataFrame:
 
 def analysis(df: DataFrame, time: str, metric: str, groups: list[str] | tuple = (), version: str | None = None, least: int = 3) -> dict[str, DataFrame]:
     """The parts of a time analysis: the overall trend, trends by each group column (groups of ``least`` rows or more), stability, drift, the inferred period and, with a version column, versions and their changes."""
-    out = {"trend": linear_trend(day_offset(df, time), metric), "stability": stability(df, time, metric), "drift": drift(df, time, metric), "period": infer_period(df, time)}
+    out = {"trend": linear_trend(day_offset(df, time), metric), "stability": stability(df, time, metric), "drift": drift(df, time, metric), "period": infer_period(df, time, metric=metric)}
     for g in groups:
         out[f"trend_by_{g}"] = linear_trend(day_offset(df.where(F.col(g).isNotNull()), time, [g]), metric, by=[g]).where(F.col("n") >= least)
     if version:

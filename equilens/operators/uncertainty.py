@@ -48,11 +48,12 @@ def normal_posterior(df: DataFrame, value: str, by: list[str] | tuple = (), mu:
     return g.select(*by, "n", mean.alias("mean"), dev.alias("sd"), (mean - 1.96 * dev).alias("low"), (mean + 1.96 * dev).alias("high"))
 
 
-def calibration_bins(df: DataFrame, p: str, y: str, by: list[str] | tuple = (), bins: int = 10) -> DataFrame:
-    """by, bin (1 to ``bins``; (lo, hi], so that 0 is in none), n, mean_p and mean_y."""
+def calibration_bins(df: DataFrame, p: str, y: str, by: list[str] | tuple = (), bins: int = 10, keep_unknown: bool = False) -> DataFrame:
+    """by, bin (1 to ``bins``; (lo, hi], so that 0 is in none), n, mean_p and mean_y. Rows without an outcome count in n and mean_p with ``keep_unknown``."""
     edges = F.array(*[F.lit(i / bins) for i in range(bins)])
     at = F.size(F.filter(edges, lambda e: e < F.col(p)))
-    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("bin", at).where("bin > 0")
+    known = F.col(p).between(0, 1) if keep_unknown else F.col(p).isNotNull() & F.col(y).isNotNull()
+    rows = df.where(known).withColumn("bin", at).where("bin > 0")
     return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("mean_y"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from equilens.functions import rubric as ru
 from equilens.operators import fairness as fa
 from equilens.operators import inference as inf
+from equilens.operators import statsreport as sr
 
 from .audit import AUDIT, audit, query, r6
 
@@ -17,12 +18,15 @@ def rounded(df, *cols):
     return df
 
 
-def chi_sql(rows: str, row: str, col: str, by: str = "", guard: bool = False) -> str:
-    """Chi-squared over all cells of the margins, empty ones too. ``rows``: a table or subquery; ``by``: columns, comma-separated."""
+def chi_sql(rows: str, row: str, col: str, by: str = "", guard: bool | str = False) -> str:
+    """Chi-squared over all cells of the margins, empty ones too. ``rows``: a table or subquery; ``by``: columns, comma-separated.
+
+    ``guard``: null with an empty cell (``cells``), or with fewer than five rows as well (true).
+    """
     g, on = (f"{by}, ", f"USING ({by})") if by else ("", "ON TRUE")
     keys = by or "1"
     null_by = " AND ".join(f"{c.strip()} IS NOT NULL" for c in by.split(",")) if by else "TRUE"
-    least = " WHEN mino = 0 OR n < 5 THEN NULL" if guard else ""
+    least = {False: "", True: " WHEN mino = 0 OR n < 5 THEN NULL", "cells": " WHEN mino = 0 THEN NULL"}[guard]
     return f"""(WITH base AS (SELECT {g}{row} AS rr, {col} AS cc FROM {rows} q WHERE {row} IS NOT NULL AND {col} IS NOT NULL AND {null_by}),
 cells AS (SELECT {g}rr, cc, count(*) AS o FROM base GROUP BY ALL), rs AS (SELECT {g}rr, count(*) AS r FROM base GROUP BY ALL), cs AS (SELECT {g}cc, count(*) AS c FROM base GROUP BY ALL),
 ns AS (SELECT {g}count(*) AS n, count(DISTINCT rr) AS nr, count(DISTINCT cc) AS nc FROM base{' GROUP BY ' + by if by else ''}),
@@ -329,6 +333,56 @@ def flips(spark, sf):
     return rounded(fa.flip_rate(audit(spark, sf), ["model"], ["subject_id", "run_idx"]), "flip_rate")
 
 
+#: Statistics by the definitions of the survey's A01-A12, over the audit view: k is a condition of a model with its dimension.
+_STATS = f"""WITH a AS MATERIALIZED (SELECT * FROM {A}),
+g AS MATERIALIZED (SELECT struct_pack(p := provider, m := model, c := condition, d := 'name_group') AS k, name_group AS grp, * FROM a WHERE condition IN ('N', 'NL') AND name_group IS NOT NULL
+  UNION ALL SELECT struct_pack(p := provider, m := model, c := condition, d := 'city') AS k, city AS grp, * FROM a WHERE condition = 'L' AND city IS NOT NULL),
+acc AS (SELECT provider, model, condition, count(acc) AS n, sum(acc) AS s FROM a GROUP BY ALL),
+z AS (SELECT t.provider, t.model, t.condition, t.s / t.n AS p, r.s / r.n AS q, (t.s + r.s) / (t.n + r.n) AS pp, 1.0 / t.n + 1.0 / r.n AS w
+  FROM acc t JOIN acc r ON r.condition = 'ND' AND t.condition <> 'ND' AND t.provider = r.provider AND t.model = r.model),
+mc AS (SELECT t.provider, t.model, t.condition, count_if(coalesce(r.acc, 0) = 1 AND coalesce(t.acc, 0) = 0) AS b, count_if(coalesce(r.acc, 0) = 0 AND coalesce(t.acc, 0) = 1) AS c
+  FROM a t JOIN a r ON r.condition = 'ND' AND t.condition <> 'ND' AND t.provider = r.provider AND t.model = r.model AND t.subject_id = r.subject_id AND t.run_idx = r.run_idx GROUP BY ALL),
+seq AS (SELECT struct_pack(p := provider, m := model, c := condition) AS k, struct_pack(s := subject_id, g := CASE condition WHEN 'L' THEN coalesce(city, '') WHEN 'ND' THEN '' ELSE coalesce(name_group, '') END) AS cell, run_idx, pred_label AS b
+  FROM a WHERE pred_label IS NOT NULL),
+pre AS (SELECT *, lag(b) OVER (PARTITION BY k, cell ORDER BY run_idx, b) AS a FROM seq),
+cells AS (SELECT k AS kk, cell, a, b, count(*) AS o FROM pre WHERE a IS NOT NULL GROUP BY ALL),
+{_KAPPA.format(by='kk, cell')},
+l AS (SELECT unnest([{LABELS_SQL}]) AS label),
+ovr AS (SELECT k, grp, label, count_if(pred_label = label AND true_label = label) AS tp, count_if(true_label = label) AS pos, count_if(pred_label = label AND true_label <> label) AS fp, count_if(true_label <> label) AS neg
+  FROM g, l WHERE pred_label IS NOT NULL GROUP BY ALL),
+odd AS (SELECT struct_pack(k := k, l := label, y := true_label = label) AS kk, grp, pred_label = label AS said FROM g, l WHERE pred_label IS NOT NULL),
+cal AS (SELECT struct_pack(k := k, g := grp) AS kk, proposed_growth AS x, true_growth AS y FROM g WHERE proposed_growth IS NOT NULL AND true_growth IS NOT NULL),
+cs AS (SELECT kk, count(*) AS n, avg(x - y) AS bias, stddev_pop(x) AS sd, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, list_sort(list(x)) AS xs, least(10, greatest(2, count(*) // 10)) AS b FROM cal GROUP BY kk),
+ce AS (SELECT kk, list_distinct(list_transform(range(0, b + 1), lambda i: xs[CAST(floor(CAST(i AS DOUBLE) / b * (n - 1)) AS BIGINT) + 1]
+  + (CAST(i AS DOUBLE) / b * (n - 1) - floor(CAST(i AS DOUBLE) / b * (n - 1))) * (xs[CAST(ceil(CAST(i AS DOUBLE) / b * (n - 1)) AS BIGINT) + 1] - xs[CAST(floor(CAST(i AS DOUBLE) / b * (n - 1)) AS BIGINT) + 1]))) AS edges FROM cs),
+cb AS (SELECT kk, greatest(1, len(list_filter(edges, lambda e: e < x))) AS bin, sum(x - y) AS d, count(*) AS n FROM cal JOIN ce USING (kk) GROUP BY ALL),
+cx AS (SELECT kk, sum(abs(d)) / sum(n) AS ece FROM cb GROUP BY kk),
+cal_ AS (SELECT kk, bias, CASE WHEN n >= 3 AND sd > 0 THEN slope END AS slope, CASE WHEN n >= 3 AND sd > 0 THEN intercept END AS intercept, CASE WHEN n >= 3 AND sd > 0 THEN ece END AS ece FROM cs JOIN cx USING (kk)),
+ob AS (SELECT k, grp, ordinal_error AS e FROM g WHERE ordinal_error IS NOT NULL),
+os AS (SELECT k, grp, avg(e) AS m, stddev_samp(e) AS sd, quantile_cont(e, 0.5) AS q, avg(CAST(e > 0 AS INT)) AS o, avg(CAST(e < 0 AS INT)) AS u, avg(CAST(e = 0 AS INT)) AS x FROM ob GROUP BY ALL),
+out_ AS (
+SELECT provider, model, condition, NULL AS dimension, NULL AS grp, NULL AS label, 'accuracy' AS test, s / n AS statistic, NULL AS dof FROM acc
+UNION ALL SELECT provider, model, condition, NULL, NULL, NULL, 'two_proportion', CASE WHEN pp * (1 - pp) > 0 THEN (p - q) / sqrt(pp * (1 - pp) * w) END, NULL FROM z
+UNION ALL SELECT provider, model, condition, NULL, NULL, NULL, 'mcnemar', CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) END, 1 FROM mc
+UNION ALL SELECT kk.p, kk.m, kk.c, NULL, NULL, NULL, 'repeatability', avg(kappa), NULL FROM k GROUP BY kk
+UNION ALL SELECT k.p, k.m, k.c, k.d, grp, NULL, 'selection_rate', avg(CAST(pred_label = 'High Growth' AS INT)), NULL FROM g WHERE pred_label IS NOT NULL GROUP BY k, grp
+UNION ALL SELECT k.p, k.m, k.c, k.d, NULL, NULL, 'parity', chi2, dof FROM {chi_sql("(SELECT k, grp, pred_label = 'High Growth' AS s FROM g WHERE pred_label IS NOT NULL)", "grp", "s", "k", True)} c
+UNION ALL SELECT k.p, k.m, k.c, k.d, grp, label, 'tpr', tp / nullif(pos, 0), NULL FROM ovr
+UNION ALL SELECT k.p, k.m, k.c, k.d, grp, label, 'fpr', fp / nullif(neg, 0), NULL FROM ovr
+UNION ALL SELECT k.p, k.m, k.c, k.d, NULL, label, 'opportunity_gap', max(tp / nullif(pos, 0)) - min(tp / nullif(pos, 0)), NULL FROM ovr GROUP BY k, label
+UNION ALL SELECT kk.k.p, kk.k.m, kk.k.c, kk.k.d, NULL, kk.l, CASE WHEN kk.y THEN 'odds_true' ELSE 'odds_false' END, chi2, dof FROM {chi_sql("odd", "grp", "said", "kk", "cells")} c
+UNION ALL SELECT kk.k.p, kk.k.m, kk.k.c, kk.k.d, kk.g, NULL, t, v, NULL FROM cal_, LATERAL (VALUES ('calibration_bias', bias), ('calibration_slope', slope), ('calibration_intercept', intercept), ('calibration_ece', ece)) x(t, v)
+UNION ALL SELECT k.p, k.m, k.c, k.d, grp, NULL, t, v, NULL FROM os, LATERAL (VALUES ('ordinal_mean', m), ('ordinal_std', sd), ('ordinal_median', q), ('ordinal_over', o), ('ordinal_under', u), ('ordinal_exact', os.x)) x(t, v)
+UNION ALL SELECT k.p, k.m, k.c, k.d, NULL, NULL, 'kruskal', h, dof FROM {kruskal_sql("g", "grp", "ordinal_error", "k")} c
+UNION ALL SELECT k.p, k.m, k.c, k.d, NULL, NULL, 'direction', chi2, dof FROM {chi_sql("(SELECT k, grp, sign(e) AS s FROM ob)", "grp", "s", "k", True)} c)
+SELECT provider, model, condition, dimension, grp, label, test, round(statistic, 6) + 0.0 AS statistic, CAST(dof AS BIGINT) AS dof FROM out_"""
+
+
+@query("a14_statistics", _STATS)
+def a14s(spark, sf):
+    return rounded(sr.statistics(audit(spark, sf)), "statistic")
+
+
 @query("a14_stats_report")
 def a14(spark, sf):
-    return fa.stats_report(audit(spark, sf), "High Growth")
+    return sr.stats_report(audit(spark, sf))

@@ -9,9 +9,10 @@ from equilens.functions import rubric as ru
 from equilens.operators import inference as inf
 from equilens.operators import predict as pr
 from equilens.operators import report as rp
+from equilens.operators import runs
 
-from .audit import AUDIT, audit, query
-from .fairness import chi_sql, rounded
+from .audit import AUDIT, audit, query, r6
+from .fairness import chi_sql, kruskal_sql, rounded
 
 A = f"{AUDIT} a"
 
@@ -22,6 +23,40 @@ def v01(spark, sf):
     return rounded(s, "success_rate", "accuracy").withColumns({c: F.round(c, 4) for c in ("mean_seconds", "median_seconds", "total_cost")})
 
 
+#: By the rules of the survey's V01; the normal's quantile at 0.975 is written out.
+_RUN = f"""WITH a AS MATERIALIZED (SELECT *, pred_label AS label, CAST(acc AS DOUBLE) AS y, confidence AS c FROM {A}),
+o AS (SELECT count(*) AS n, count(DISTINCT subject_id) AS subjects, avg(CAST(ok AS INT)) AS success, avg(y) AS acc, stddev_samp(y) / sqrt(count(y)) AS sem, string_agg(DISTINCT model, ',' ORDER BY model) AS models,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM a),
+cl AS (SELECT gender, label, count(*) AS k FROM a WHERE label IS NOT NULL GROUP BY ALL), gl AS (SELECT gender, label FROM (SELECT DISTINCT gender FROM cl), (SELECT DISTINCT label FROM cl)),
+sh AS (SELECT gender, label, coalesce(k, 0) / sum(coalesce(k, 0)) OVER (PARTITION BY gender) AS s FROM gl LEFT JOIN cl USING (gender, label)),
+dp AS (SELECT max(r) AS gap FROM (SELECT max(s) - min(s) AS r FROM sh GROUP BY label)),
+eo AS (SELECT max(t) - min(t) AS gap FROM (SELECT count_if(y = 1) / count(*) AS t FROM a GROUP BY gender)),
+cb AS (SELECT ceil(c * 10) AS bin, count(*) AS k, avg(c) AS p, avg(y) AS q FROM a WHERE c > 0 AND c <= 1 GROUP BY 1), ce AS (SELECT sum(k * abs(p - q)) AS e FROM cb),
+g AS (SELECT gender, count(*) AS k, avg(y) AS m, var_samp(y) AS v FROM a GROUP BY 1),
+d AS (SELECT abs(x.m - z.m) / sqrt(((x.k - 1) * x.v + (z.k - 1) * z.v) / (x.k + z.k - 2)) AS d FROM g x, g z WHERE x.gender = 'Male' AND z.gender = 'Female')
+SELECT models AS models_tested, labels AS risk_labels, subjects AS total_subjects, n AS total_responses, round(success, 6) AS success_rate, round(acc, 6) AS overall_accuracy, round(dp.gap, 6) AS demographic_parity_violation,
+  round(eo.gap, 6) AS equalized_odds_violation, round(e / n, 6) AS calibration_error, round(chi2, 6) AS chi_square_statistic, round(h, 6) AS kruskal_wallis_statistic, round(v, 6) AS cramers_v, round(d, 6) AS cohens_d,
+  round(acc - 1.959963984540054 * sem, 6) AS accuracy_ci_lower, round(acc + 1.959963984540054 * sem, 6) AS accuracy_ci_upper, round(greatest(0, dp.gap - 0.1), 6) AS bias_ci_lower, round(dp.gap + 0.1, 6) AS bias_ci_upper
+FROM o, dp, eo, ce, d, (SELECT chi2, v FROM {chi_sql("(SELECT 1 AS one, gender, label FROM a)", "gender", "label", "one")} x), (SELECT h FROM {kruskal_sql("(SELECT 1 AS one, gender, y FROM a)", "gender", "y", "one")} x)"""
+
+
+@query("v01_run_summary", _RUN)
+def v01r(spark, sf):
+    """The summary of a run over the audit view, as one row."""
+    rows = audit(spark, sf).select(
+        "subject_id", "model", "gender", "age_group", "ethnicity", "location", F.col("pred_label").alias("risk_label"), F.col("acc").alias("risk_band_correct"), F.col("confidence").alias("prediction_confidence"),
+        F.when(~F.col("ok"), "failed").alias("error"),
+    )
+    s = runs.run_summary(rows)
+    whole = ("total_subjects", "total_responses")
+    parts = [
+        "success_rate", "overall_accuracy", "demographic_parity_violation", "equalized_odds_violation", "calibration_error", "chi_square_statistic", "kruskal_wallis_statistic", "cramers_v", "cohens_d",
+        "accuracy_ci_lower", "accuracy_ci_upper", "bias_ci_lower", "bias_ci_upper",
+    ]
+    lists = [F.lit(",".join(s[c])).alias(c) for c in ("models_tested", "risk_labels")]
+    return spark.range(1).select(*lists, *[F.lit(s[c]).cast("bigint").alias(c) for c in whole], *[r6(F.lit(float(s[c]))).alias(c) for c in parts])
+
+
 _GAP = f"(WITH c AS (SELECT model, gender, pred_label, count(*) AS o FROM {A} WHERE pred_label IS NOT NULL GROUP BY ALL), g AS (SELECT model, gender, sum(o) AS t FROM c GROUP BY ALL), f AS (SELECT g.model, g.gender, l.pred_label, coalesce(c.o,0)*1.0/t AS s FROM g JOIN (SELECT DISTINCT model, pred_label FROM c) l USING (model) LEFT JOIN c ON c.model=g.model AND c.gender=g.gender AND c.pred_label=l.pred_label) SELECT model, max(r) AS violation FROM (SELECT model, pred_label, max(s)-min(s) AS r FROM f GROUP BY ALL) GROUP BY 1)"
 
 

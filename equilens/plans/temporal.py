@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from equilens.operators import changes as ch
 from equilens.operators import temporal as te
 
 from .audit import query, r6, table
@@ -69,16 +70,44 @@ def t06(spark, sf):
     return d.withColumn("first_up", F.col("first_up").cast("bigint")).withColumn("first_down", F.col("first_down").cast("bigint")).withColumn("first_ph", F.col("first_ph").cast("bigint"))
 
 
-@query("t09_seasonal", f"""WITH r AS (SELECT event_id, event_type, value AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS k, avg(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS t FROM {E} e WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-f AS (SELECT *, CASE WHEN k=7 THEN t END AS t7 FROM r), tr AS (SELECT *, coalesce(t7, first_value(t7 IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(t7 IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS trend FROM f),
-ph AS (SELECT event_type, i % 7 AS p, avg(x - trend) FILTER (t7 IS NOT NULL) AS s FROM tr GROUP BY ALL), c AS (SELECT event_type, p, s - avg(s) OVER (PARTITION BY event_type) AS season FROM ph)
-SELECT event_id, round(trend,5) AS trend, round(season,5) AS season, round(x-trend-season,5) AS rest FROM tr JOIN c ON tr.event_type=c.event_type AND tr.i % 7 = c.p""")
+#: By the rules of the survey: the period from the median step, half-weighted ends of even periods, lines of least squares at the ends.
+_SEASON = f"""WITH r AS (SELECT event_id, event_type, value AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap
+  FROM {E} e WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)),
+d AS (SELECT event_type, floor(quantile_cont(gap, 0.5) / 86400000000) AS days FROM r GROUP BY 1),
+u AS (SELECT r.*, CASE WHEN days <= 1 THEN 7 WHEN days <= 7 THEN 4 ELSE 12 END AS q FROM r JOIN d USING (event_type) WHERE n >= 12),
+p AS (SELECT *, CASE WHEN n < 2 * q THEN n // 2 ELSE q END AS p, (CASE WHEN n < 2 * q THEN n // 2 ELSE q END) // 2 AS h FROM u),
+m AS (SELECT a.event_id, sum(b.x * CASE WHEN a.p % 2 = 0 AND abs(a.i - b.i) = a.h THEN 0.5 ELSE 1.0 END) / a.p AS t
+  FROM p a JOIN p b ON a.event_type = b.event_type AND b.i BETWEEN a.i - a.h AND a.i + a.h WHERE a.i >= a.h AND a.i < a.n - a.h GROUP BY a.event_id, a.p),
+j AS (SELECT p.*, t FROM p LEFT JOIN m USING (event_id)),
+f AS (SELECT event_type, regr_slope(t, i) FILTER (i >= h AND i < least(h + p, n - 1 - h)) AS k0, regr_intercept(t, i) FILTER (i >= h AND i < least(h + p, n - 1 - h)) AS n0,
+  regr_slope(t, i) FILTER (i >= greatest(h, n - 1 - h - p) AND i < n - 1 - h) AS k1, regr_intercept(t, i) FILTER (i >= greatest(h, n - 1 - h - p) AND i < n - 1 - h) AS n1 FROM j GROUP BY 1),
+tr AS (SELECT j.*, coalesce(t, CASE WHEN i < h THEN k0 * i + n0 ELSE k1 * i + n1 END) AS trend FROM j JOIN f USING (event_type)),
+ph AS (SELECT event_type, i % p AS z, avg(x - trend) AS s FROM tr GROUP BY ALL), c AS (SELECT event_type, z, s - avg(s) OVER (PARTITION BY event_type) AS season FROM ph),
+parts AS (SELECT tr.event_type, event_id, x, p, trend, season FROM tr JOIN c ON tr.event_type = c.event_type AND tr.i % p = c.z)"""
+
+
+@query("t09_seasonal", f"{_SEASON} SELECT event_id, round(trend,5) AS trend, round(season,5) AS season, round(x-trend-season,5) AS rest FROM parts")
 def t09(spark, sf):
-    s = te.seasonal(events(spark, sf), "ts", "value", 7, ["event_type"])
+    s = te.seasonal(events(spark, sf), "ts", "value", by=["event_type"])
     return s.select("event_id", *[F.round(c, 5).alias(c) for c in ("trend", "season", "rest")])
 
 
-@query("t10_rolling", f"SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),5) AS rolling FROM {E} e")
+@query("t09_daily_seasons", """WITH r AS (SELECT date_trunc('day', ts) AS day, avg(value) AS x FROM events GROUP BY 1), q AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM r),
+t AS (SELECT a.i, sum(b.x) / 7 AS t FROM q a JOIN q b ON b.i BETWEEN a.i - 3 AND a.i + 3 WHERE a.i BETWEEN 3 AND a.n - 4 GROUP BY 1), j AS (SELECT q.*, t FROM q LEFT JOIN t USING (i)),
+f AS (SELECT regr_slope(t, i) FILTER (i < least(10, n - 4)) AS k0, regr_intercept(t, i) FILTER (i < least(10, n - 4)) AS n0, regr_slope(t, i) FILTER (i >= n - 11 AND i < n - 4) AS k1, regr_intercept(t, i) FILTER (i >= n - 11 AND i < n - 4) AS n1 FROM j),
+tr AS (SELECT j.*, coalesce(t, CASE WHEN i < 3 THEN k0 * i + n0 ELSE k1 * i + n1 END) AS trend FROM j, f), ph AS (SELECT i % 7 AS z, avg(x - trend) AS s FROM tr GROUP BY 1), c AS (SELECT z, s - avg(s) OVER () AS season FROM ph)
+SELECT day, round(x, 5) AS x, round(trend, 5) AS trend, round(season, 5) AS season FROM tr JOIN c ON i % 7 = z""")
+def t09d(spark, sf):
+    days = events(spark, sf).groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("x"))
+    return te.seasonal(days, "day", "x").select("day", *[F.round(c, 5).alias(c) for c in ("x", "trend", "season")])
+
+
+@query("t09_strength", f"{_SEASON} SELECT event_type, CAST(p AS INT) AS period, round(var_pop(season) / var_pop(x), 6) AS strength FROM parts GROUP BY ALL")
+def t09s(spark, sf):
+    return rounded(te.seasonal_strength(te.seasonal(events(spark, sf), "ts", "value", by=["event_type"]), "value", ["event_type"]), "strength")
+
+
+@query("t10_rolling", f"SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, value ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),5) AS rolling FROM {E} e")
 def t10(spark, sf):
     return te.rolling_mean(events(spark, sf), "ts", "value", ["event_type"]).select("event_id", F.round("rolling", 5).alias("rolling"))
 
@@ -116,12 +145,19 @@ def ks(spark, sf):
 
 
 @query("t09_period", f"""WITH g AS (SELECT event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1e6 AS gap FROM {E} e),
-s AS (SELECT event_type, count(*) AS n, quantile_cont(gap, 0.5) AS step FROM g GROUP BY 1)
-SELECT event_type, n, round(step,6) AS step, CAST(greatest(2, least(CASE WHEN step <= 3600 THEN 24 WHEN step <= 86400 THEN 7 ELSE 12 END, n // 2)) AS INT) AS period FROM s""")
+s AS (SELECT event_type, count(*) AS n, quantile_cont(gap, 0.5) AS step FROM g GROUP BY 1),
+q AS (SELECT *, CASE WHEN floor(step / 86400) <= 1 THEN 7 WHEN floor(step / 86400) <= 7 THEN 4 ELSE 12 END AS p FROM s)
+SELECT event_type, n, round(step,6) AS step, CAST(CASE WHEN n >= 12 THEN CASE WHEN n < 2 * p THEN n // 2 ELSE p END END AS INT) AS period FROM q""")
 def t09p(spark, sf):
     return rounded(te.infer_period(events(spark, sf), "ts", ["event_type"]), "step")
 
 
+@query("t03_change_points")
+def t03(spark, sf):
+    """Segments of each event type's values by the kernel cost (penalty 10)."""
+    return ch.change_points(events(spark, sf), "ts", "value", ["event_type"])
+
+
 @query("t01_group_trends", f"""WITH d AS (SELECT version, value AS y, CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY version)) / 86400000000.0) AS DOUBLE) AS x FROM {E} e)
 SELECT version, count(*) AS n, round(regr_slope(y,x),6) AS slope, round(regr_intercept(y,x),6) AS intercept, round(regr_r2(y,x),6) AS r2 FROM d GROUP BY 1""")
 def t01(spark, sf):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from equilens.operators import bootstrap as bo
 from equilens.operators import cache as ca
 from equilens.operators import responses as re_
 from equilens.operators import uncertainty as un
+from equilens.session import stored
 
 from .audit import AUDIT, audit, query, table
 from .fairness import rounded
@@ -20,6 +22,26 @@ def u01(spark, sf):
     return un.bootstrap_means(audit(spark, sf).withColumn("k", F.xxhash64("subject_id", "run_idx", "condition")), "acc", "k", ["model"], 50)
 
 
+def intervals(rows, replicates=200):
+    """Intervals of each model's accuracy, accuracy range among name groups, calibration error, and gaps of true positive rates and odds."""
+    said, true = F.col("pred_label") == "High Growth", F.col("true_label") == "High Growth"
+    metrics = {
+        "accuracy": bo.mean("acc"), "accuracy_range": bo.rate_range("name_group", "acc"), "calibration_error": bo.calibration_error("confidence", "acc"),
+        "tpr_gap": bo.odds_gap("name_group", said, true), "odds_gap": bo.odds_gap("name_group", said, true, "odds"),
+    }
+    parts = [bo.bootstrap(rows, m, ["subject_id", "run_idx", "condition"], ["model"], replicates).withColumn("metric", F.lit(name)) for name, m in metrics.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("model", "metric", "value", "low", "high", "std", "n_replicates")
+
+
+@query("u01_bootstrap_metrics")
+def u01m(spark, sf):
+    a = audit(spark, sf)
+    return intervals(stored(a.select("subject_id", "run_idx", "condition", "model", "name_group", "pred_label", "true_label", "acc", "confidence")))
+
+
 @query("u03_beta_posterior", f"SELECT model, count(*) AS n, CAST(sum(acc) AS BIGINT) AS s, round((sum(acc)+1.0)/(count(*)+2.0),6) AS mean FROM {A} WHERE acc IS NOT NULL GROUP BY 1")
 def u03(spark, sf):
     return rounded(un.beta_posterior(audit(spark, sf), "acc", ["model"]).select("model", "n", "s", "mean"), "mean")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,9 +88,45 @@ def test_drift_equals_recursion(small, spark):
     assert r["first_up"] == next(i for i, v in enumerate(ups) if v > 3 * sd) and r["n"] == 200
 
 
-def test_periods_and_strength(spark):
-    hourly = spark.range(200).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.sin(F.col("id") * 2 * math.pi / 24).alias("x"))
-    assert te.infer_period(hourly, "ts").first()["period"] == 24
-    assert te.infer_period(hourly.withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") * 24)), "ts").first()["period"] == 7
-    assert te.infer_period(hourly.limit(20), "ts").first()["period"] == 10
-    assert te.seasonal_strength(te.seasonal(hourly, "ts", "x", 24)).first()["strength"] > 0.9
+def plain_seasons(x, period):
+    """The decomposition by lists: trend, season."""
+    n = len(x)
+    period = period if n >= 2 * period else n // 2
+    half = period // 2
+    weight = [1.0 if period % 2 or 0 < k < 2 * half else 0.5 for k in range(2 * half + 1)]
+    trend = [sum(w * x[i - half + k] for k, w in enumerate(weight)) / period if half <= i < n - half else None for i in range(n)]
+    last = n - 1 - half
+    for near, ends in ((range(half, min(half + period, last)), range(half)), (range(max(half, last - period), last), range(last + 1, n))):
+        k, c = np.polyfit(list(near), [trend[i] for i in near], 1)
+        for i in ends:
+            trend[i] = k * i + c
+    means = [np.mean([x[i] - trend[i] for i in range(p, n, period)]) for p in range(period)]
+    return trend, [means[i % period] - np.mean(means) for i in range(n)]
+
+
+@pytest.mark.parametrize("n, period", [(60, 7), (61, 12), (20, 12), (13, 7), (40, 4)])
+def test_seasons_equal_lists(spark, monkeypatch, n, period):
+    rng = random.Random(n)
+    x = [rng.gauss(0, 1) + k / 10 + math.sin(k) for k in range(n)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "t int, x double")
+    for rows in (od.BLOCK_ROWS, 16):
+        monkeypatch.setattr(od, "BLOCK_ROWS", rows)
+        got = te.seasonal(df, "t", "x", period).orderBy("t").collect()
+        trend, season = plain_seasons(x, period)
+        assert [r["trend"] for r in got] == pytest.approx(trend)
+        assert [r["season"] for r in got] == pytest.approx(season)
+        assert [r["rest"] for r in got] == pytest.approx([a - b - c for a, b, c in zip(x, trend, season)])
+    strength = te.seasonal_strength(te.seasonal(df, "t", "x", period), "x").first()
+    assert strength["strength"] == pytest.approx(np.var(season) / np.var(x))
+
+
+def test_periods(spark):
+    step = lambda seconds, n=200: spark.range(n).select(F.timestamp_seconds(F.col("id") * seconds).alias("ts"), F.sin("id").alias("x"))
+    day = 86_400
+    for seconds, period in ((3600, 7), (day, 7), (2 * day - 1, 7), (2 * day, 4), (7 * day, 4), (8 * day, 12), (30 * day, 12)):
+        assert te.infer_period(step(seconds), "ts").first()["period"] == period
+    assert te.infer_period(step(30 * day, 20), "ts").first()["period"] == 10
+    assert te.infer_period(step(day, 11), "ts").first()["period"] is None
+    few = te.seasonal(step(day, 11), "ts", "x").collect()
+    assert len(few) == 11 and all(r["trend"] is None and r["season"] is None for r in few)
+    assert te.seasonal_strength(te.seasonal(step(day, 11), "ts", "x"), "x").count() == 0
