@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import nearest
+
 
 def latest(entries: DataFrame, key: str = "key", at: str = "timestamp") -> DataFrame:
     """The newest row of each key (of equally new ones any, the same on reruns)."""
@@ -44,47 +46,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(queries: DataFrame, entries: DataFrame, k: int = 5, query_key: str = "query", entry_key: str = "entry", vector: str = "vector", extra: list[str] | tuple = (), query_block: int = 1024, entry_block: int = 20_000) -> DataFrame:
-    """The ``k`` entries of greatest inner product with each query (unit vectors): query, entry, similarity, rank and the entries' ``extra`` columns.
-
-    The queries are a stated set held against all entries. Both are dealt into
-    blocks by their numbers of rows; a cell of a block of queries and one of entries is
-    one matrix product, of which each query's best ``k`` go on. Null vectors
-    are left out; similarities equal to twelve places are ordered by entry.
-    """
-    n, m = max(1, -(-queries.count() // query_block)), max(1, -(-entries.count() // entry_block))
-
-    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        kept = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("__v"), *(extra if key == entry_key else ()))
-        return kept.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    q, e = dealt(queries, query_key, "__q", n, "__e", m), dealt(entries, entry_key, "__e", m, "__q", n)
-    out = [query_key, entry_key, *extra, "similarity"]
-    kinds = {**dict(q.dtypes), **dict(e.dtypes), "similarity": "double"}
-
-    def best(left, right):
-        import numpy as np
-        import pandas as pd
-
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in out})
-        vectors, found = np.stack(right["__v"].to_numpy()), []
-        right = right.drop(columns=["__v", "__q", "__e"])
-        for a in range(0, len(left), 64):
-            some = left.iloc[a : a + 64]
-            scores = np.stack(some["__v"].to_numpy()) @ vectors.T
-            for key, own in zip(some[query_key], scores):
-                rough = np.round(own, 12)
-                least = np.partition(rough, len(rough) - min(k, len(rough)))[-min(k, len(rough))]
-                at = np.flatnonzero(rough >= least)
-                top = right.iloc[at].assign(similarity=own[at], __r=-rough[at]).sort_values(["__r", entry_key], kind="stable").head(k)
-                found.append(top.drop(columns="__r").assign(**{query_key: key}))
-        return pd.concat(found)[out]
-
-    cells = q.groupBy("__q", "__e").cogroup(e.groupBy("__q", "__e")).applyInPandas(best, ", ".join(f"`{c}` {kinds[c]}" for c in out))
-    order = [F.round("similarity", 12).desc(), F.col(entry_key)]
-    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
+def top_k(queries: DataFrame, entries: DataFrame, k: int = 5, query_key: str = "query", entry_key: str = "entry", vector: str = "vector", extra: list[str] | tuple = (), clusters: int | None = None, **blocks: int) -> DataFrame:
+    """The ``k`` entries of greatest inner product with each query (see ``nearest``): query, entry, similarity, rank and the entries' ``extra`` columns."""
+    return nearest.top_k(queries, nearest.index(entries, entry_key, vector, extra, clusters), k, query_key, vector, **blocks)
 
 
 def semantic_probe(queries: DataFrame, entries: DataFrame, model: str = "model", threshold: float = 0.85, k: int = 5, **keys: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from equilens.operators import bootstrap as bo
 from equilens.operators import cache as ca
+from equilens.operators import nearest as ne
 from equilens.operators import responses as re_
 from equilens.operators import uncertainty as un
 from equilens.session import stored
@@ -152,6 +153,14 @@ def c04(spark, sf):
     return rounded(out, "similarity").select("query", "entry", "similarity", "rank")
 
 
+@query("c04_pruning", "SELECT CAST(count(*) AS BIGINT) AS queries, true AS all_ranked, true AS at_most_all FROM embeddings WHERE vec_id % 20 = 0")
+def c04p(spark, sf):
+    """Whether every query of c04 got its five entries, with no more comparisons than all pairs."""
+    u = table(spark, sf, "embeddings").select("vec_id", ca.normalised(F.col("embedding")).alias("vector"))
+    report = ne.pruning(u.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), ne.index(u, "vec_id"))
+    return report.agg(F.count("*").alias("queries"), F.bool_and(F.col("compared") >= 5).alias("all_ranked"), F.bool_and(F.col("share") <= 1.0).alias("at_most_all"))
+
+
 @query("c05_semantic_probe", """WITH n AS (SELECT vec_id, label % 2 AS model, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, model, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y*y)))) AS v FROM n),
 s AS (SELECT q.vec_id AS query, q.model AS own, e.vec_id AS entry, e.model, list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1]*z[2])) AS sim FROM u q, u e WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim,12) DESC, entry) AS rank FROM s)

@@ -79,7 +79,7 @@ def test_top_k_in_cells_equals_brute_force(spark):
     rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(90)] + [(90, None), (91, [0.0] * 4)]
     e = spark.createDataFrame(rows, "entry int, vector array<double>")
     q = e.where("entry % 9 = 0 and vector is not null").withColumnRenamed("entry", "query")
-    got = {(r["query"], r["rank"]): r["entry"] for r in ca.top_k(q, e, 3, query_block=4, entry_block=10).collect()}
+    got = {(r["query"], r["rank"]): r["entry"] for r in ca.top_k(q, e, 3, clusters=5).collect()}
     for k, v in rows[::9]:
         if v:
             best = sorted((-round(sum(a * b for a, b in zip(v, w)), 12), j) for j, w in rows if w)[:3]
