@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import inference as inf
+from . import ordered as od
 
 Z95, Z99 = 1.96, 2.58
 
@@ -124,8 +125,8 @@ def leave_one_out(df: DataFrame, study: str, effect: str = "effect", se: str = "
     """study, estimate without it, influence (absolute change of the estimate) and influential (over twice the influences' population deviation).
 
     The totals less a study's own terms give the rest's tau2; only the weighted
-    sums under that tau2 need the other studies, as one join on nothing: a
-    study list is small and bounded by the number of experiments.
+    sums under that tau2 need the other studies: each block of studies meets
+    each other one in a cell, and two sums a study leave it.
     """
     w, y = 1 / (F.col(se) * F.col(se)), F.col(effect)
     all_ = Window.partitionBy(F.lit(0))
@@ -135,7 +136,11 @@ def leave_one_out(df: DataFrame, study: str, effect: str = "effect", se: str = "
     taus = rest.select("study", t.alias("tau2"))
     others = df.select(F.col(study).alias("other"), F.col(effect).alias("y"), F.col(se).alias("s"))
     wr = 1 / (F.col("s") * F.col("s") + F.col("tau2"))
-    est = taus.join(F.broadcast(others), F.col("study") != F.col("other")).groupBy("study").agg((F.sum(wr * F.col("y")) / F.sum(wr)).alias("estimate"))
+    n = od.blocks(df.count(), 4096)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = taus.withColumn("__x", F.pmod(F.xxhash64("study"), F.lit(n)).cast("int")).withColumn("__y", every)
+    right = others.withColumn("__y", F.pmod(F.xxhash64("other"), F.lit(n)).cast("int")).withColumn("__x", every)
+    est = left.join(right, ["__x", "__y"]).where(F.col("study") != F.col("other")).groupBy("study").agg((F.sum(wr * F.col("y")) / F.sum(wr)).alias("estimate"))
     full = random_effects(df, (), effect, se).select(F.col("estimate").alias("__all"))
     out = est.crossJoin(full).withColumn("influence", F.abs(F.col("estimate") - F.col("__all")))  # one row
     return out.withColumn("influential", F.col("influence") > 2 * F.stddev_pop("influence").over(all_)).select(F.col("study").alias(study), "estimate", "influence", "influential")

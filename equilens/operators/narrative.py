@@ -19,11 +19,15 @@ def interventions(spans: DataFrame, kind: str = "kind", value: str = "range", li
     return spans.select(kind, value, limit.alias("limit"), action.alias("action"))
 
 
+#: Sample sizes from which advice and factors change.
+SIZES = (100,)
+
+
 def factors(importances: Mapping[str, float], n: int, family: str, least: float = 0.1) -> list[str]:
     """The three most important features over ``least``, and what the family and a small sample add."""
     top = sorted(importances.items(), key=lambda kv: (-kv[1], kv[0]))[:3]
     out = [f"{k} ({v:.2f})" for k, v in top if v > least]
-    return out + ([f"model family {family}"] if family != "other" else []) + (["small sample"] if n < 100 else [])
+    return out + ([f"model family {family}"] if family != "other" else []) + (["small sample"] if n < SIZES[0] else [])
 
 
 def mitigations(level: str, n: int) -> list[str]:
@@ -32,7 +36,7 @@ def mitigations(level: str, n: int) -> list[str]:
         "critical": ["do not deploy", "audit every demographic", "retrain or replace the model"], "high": ["review by people", "larger sample before use"],
         "moderate": ["monitor group accuracy"], "low": ["keep the regular audit"],
     }
-    return by_level[level] + (["collect at least 100 rows"] if n < 100 else [])
+    return by_level[level] + ([f"collect at least {SIZES[0]} rows"] if n < SIZES[0] else [])
 
 
 def markdown_table(df: DataFrame, most: int = 50) -> str:

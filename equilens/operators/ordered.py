@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilens.session import stored
+
 #: Rows of a block, about, and blocks at most (their bounds are part of the plan).
 BLOCK_ROWS, MOST_BLOCKS = 250_000, 1024
 
@@ -21,6 +23,11 @@ def over(by: list[str], *more: str):
     return Window.partitionBy(*by, *more) if by or more else Window.partitionBy(F.lit(0))
 
 
+def blocks(rows: int, size: int) -> int:
+    """Blocks of about ``size`` rows, one at least."""
+    return max(1, -(-rows // size))
+
+
 def as_number(df: DataFrame, column: str) -> Column:
     """A column's order as a double (times in microseconds); not always strict, never reversed."""
     kind = df.schema[column].dataType.simpleString()
@@ -106,6 +113,14 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float | Column], by
     return found.groupBy(*by, "n").agg(F.transform(listed, lambda r: r["q"]).alias(name))
 
 
+def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
+    """``values`` (one row for each value of any orderable column) with their number in order, from 0: ranges of values are numbered apart, after the sizes of those before."""
+    ranges = stored(values.repartitionByRange(column).withColumn("__p", F.spark_partition_id()))
+    before = ranges.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
+    return ranges.withColumn("__own", own).join(before.drop("__n"), "__p").withColumn(name, F.col("__own") + F.col("__before")).drop("__p", "__own", "__before")
+
+
 def running_sum(df: DataFrame, by: list[str], order: list[str], amount: str, name: str) -> DataFrame:
     """Adds the sum of ``amount`` up to and with the row, in ``order`` (the first column is a number or a time; rows equal in it have the same sum)."""
     dealt = in_blocks(df, order[0])

@@ -160,15 +160,60 @@ def risk_level(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     return df.withColumn("level", F.when(x < 0.05, "low").when(x < 0.1, "moderate").when(x < 0.2, "high").otherwise("critical"))
 
 
-def risk_profiles(model, df: DataFrame, importances: dict[str, float], family: str = "other", alpha: float = 0.05) -> DataFrame:
-    """Predictions of a forest pipeline with low, high, level, factors and mitigations (arrays of text)."""
+def held_out(df: DataFrame, key: list[str], texts: list[str], numbers: list[str], label: str, settings: dict[str, dict], folds: int = 5) -> DataFrame:
+    """``df`` with kind and prediction: each row once for each of ``settings`` ({name: {"kind": .., parameters}}), predicted by a model that was fitted without the row's fold.
+
+    A row's fold is the hash of its key, so that reruns and all settings have the same folds. Rows without a label are predicted and not fitted on.
+    """
+    from functools import reduce
+
+    marked = df.withColumn("__fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
+    parts = []
+    for name, setting in settings.items():
+        rest = {k: v for k, v in setting.items() if k != "kind"}
+        for fold in range(folds):
+            model = pipeline(texts, numbers, label, setting["kind"], **rest).fit(marked.where((F.col("__fold") != fold) & F.col(label).isNotNull()))
+            own = model.transform(marked.where(F.col("__fold") == fold))
+            parts.append(own.select(*df.columns, F.lit(name).alias("kind"), F.col("__fold").cast("int").alias("fold"), "prediction"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fold_errors(predicted: DataFrame, label: str) -> DataFrame:
+    """From ``held_out``: kind, n, r2, mae, rmse over all rows with a label, fold_rmse (mean of the folds' rmse) and best (the greatest r2; ties to the first by name)."""
+    from pyspark.sql import Window
+
+    y, e = F.col(label), F.col(label) - F.col("prediction")
+    by_fold = predicted.where(y.isNotNull()).groupBy("kind", "fold").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("ss"))
+    total = by_fold.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("a").alias("a"), F.sum("ss").alias("ss"), F.avg(F.sqrt(F.col("ss") / F.col("n"))).alias("fold_rmse"))
+    r2 = 1 - F.try_divide("ss", F.col("q") - F.col("s") * F.col("s") / F.col("n"))
+    out = total.select("kind", "n", r2.alias("r2"), (F.col("a") / F.col("n")).alias("mae"), F.sqrt(F.col("ss") / F.col("n")).alias("rmse"), "fold_rmse")
+    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("r2").desc_nulls_last(), "kind"))  # a row for each kind
+    return out.withColumn("best", first == 1)
+
+
+def risk_profiles(predicted: DataFrame, errors: DataFrame, sample_size: str, importances: dict[str, float], family: str = "other", alpha: float = 0.05) -> DataFrame:
+    """Profiles of the best kind's predictions: the rows' columns, prediction, low, high, level, factors, mitigations (arrays of text), power and required_n.
+
+    ``predicted`` and ``errors`` come from ``held_out`` and ``fold_errors``. low
+    and high: prediction and normal quantile times the kind's held-out rmse.
+    power: that of a two-sample t test of the predicted effect with the row's ``sample_size``; required_n by the
+    predicted effect; advice goes by the row's own sample size.
+    """
+    from equilens.functions.dist import norm_ppf
+
     from . import narrative
 
-    n = df.count()
-    advice = F.create_map(*[x for level in ("low", "moderate", "high", "critical") for x in (F.lit(level), F.array(*map(F.lit, narrative.mitigations(level, n))))])
-    why = narrative.factors(importances, n, family)
-    told = risk_level(intervals(model, df, alpha))
-    return told.withColumn("factors", F.array(*map(F.lit, why)) if why else F.array().cast("array<string>")).withColumn("mitigations", advice[F.col("level")])
+    best = predicted.join(F.broadcast(errors.where("best").select("kind", "rmse")), "kind")  # one row
+    reach = norm_ppf(1 - alpha / 2) * F.col("rmse")
+    told = risk_level(best.withColumn("low", F.col("prediction") - reach).withColumn("high", F.col("prediction") + reach))
+    told = required_n(with_power(told, "prediction", sample_size), "prediction")
+    n = F.col(sample_size)
+    texts = lambda some: F.array(*map(F.lit, some)) if some else F.array().cast("array<string>")
+    why, advice = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")
+    for least in sorted({0, *narrative.SIZES}):  # what is said changes at these sample sizes only
+        said = F.create_map(*[x for level in ("low", "moderate", "high", "critical") for x in (F.lit(level), texts(narrative.mitigations(level, least)))])
+        why, advice = F.when(n >= least, texts(narrative.factors(importances, least, family))).otherwise(why), F.when(n >= least, said[F.col("level")]).otherwise(advice)
+    return told.withColumn("factors", why).withColumn("mitigations", advice).drop("rmse")
 
 
 def required_n(df: DataFrame, effect: str) -> DataFrame:
@@ -196,10 +241,17 @@ def recommend_design(risks: DataFrame, combination: str, effect: str, budget: fl
 
 
 def contrasts(risks: DataFrame, combination: str, effect: str, least: float = 0.02) -> DataFrame:
-    """Pairs of combinations whose effects differ by more than ``least``."""
-    a = risks.select(F.col(combination).alias("a"), F.col(effect).alias("ea"))
-    b = risks.select(F.col(combination).alias("b"), F.col(effect).alias("eb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).where(F.abs(F.col("ea") - F.col("eb")) > least).withColumn("difference", F.abs(F.col("ea") - F.col("eb")))
+    """Pairs of combinations whose effects differ by more than ``least``: all pairs are the result that is asked for, so each block of combinations meets each other one in cells."""
+    from . import ordered as od
+
+    n = od.blocks(risks.count(), 4096)
+    kept = risks.select(F.col(combination).alias("c"), F.col(effect).alias("e"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = F.pmod(F.xxhash64("c"), F.lit(n)).cast("int")
+    a = kept.select(F.col("c").alias("a"), F.col("e").alias("ea"), own.alias("x"), every.alias("y"))
+    b = kept.select(F.col("c").alias("b"), F.col("e").alias("eb"), own.alias("y"), every.alias("x"))
+    pairs = a.join(b, ["x", "y"]).where(F.col("a") < F.col("b")).drop("x", "y")
+    return pairs.withColumn("difference", F.abs(F.col("ea") - F.col("eb"))).where(F.col("difference") > least)
 
 
 def n_for_proportions(df: DataFrame, p1: str, p2: str, z_alpha: float = 1.959964, z_beta: float = 0.841621) -> DataFrame:

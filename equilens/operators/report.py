@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import inference as inf
+from . import ordered as od
 
 #: Words in column names that mark bias metrics and demographic columns.
 METRIC_WORDS = ("bias", "fairness", "parity", "odds", "impact", "accuracy", "difference")
@@ -162,7 +167,7 @@ def influence(df: DataFrame, demographics: list[str], metrics: list[str], least:
     """Correlations of demographic codes (rank of the value, by name; null is -1) with metrics: demographic, metric, n, r and t, where |r| exceeds ``least``."""
     coded = df
     for d in demographics:
-        codes = df.select(d).distinct().where(F.col(d).isNotNull()).withColumn(f"__{d}", F.dense_rank().over(Window.orderBy(d)) - 1)  # one row for each value
+        codes = od.numbered(df.select(d).distinct().where(F.col(d).isNotNull()), d, f"__{d}")
         coded = coded.join(codes.withColumnRenamed(d, f"__k{d}"), F.col(d) == F.col(f"__k{d}"), "left").withColumn(f"__{d}", F.coalesce(f"__{d}", F.lit(-1)))
     pairs = [(d, m) for d in demographics for m in metrics]
     one = coded.agg(*[F.struct(F.lit(d).alias("demographic"), F.lit(m).alias("metric"), F.count(m).alias("n"), F.corr(F.when(F.col(m).isNotNull(), F.col(f"__{d}")), m).alias("r")).alias(f"c{i}") for i, (d, m) in enumerate(pairs)])
@@ -181,6 +186,30 @@ def quartiles(df: DataFrame, by: str, metric: str) -> DataFrame:
     return g.select(by, *[F.col("q")[i].alias(f"q{i}") for i in range(5)])
 
 
+@F.pandas_udf(DoubleType())
+def _normal_quantile(p: pd.Series) -> pd.Series:
+    return p.map(NormalDist().inv_cdf)
+
+
+def qq(df: DataFrame, value: str, by: list[str] | tuple = ()) -> DataFrame:
+    """Points of a Q-Q plot against the normal: by, i (from 1), theoretical and value, for each row with a value.
+
+    theoretical: the normal's quantile at the median of the i-th order statistic,
+    (i - 0.3175) / (n + 0.365), of the last 0.5 ** (1 / n), of the first what that leaves of 1. Ranks come from blocks, not from a task with all rows.
+    """
+    by = list(by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"))
+    placed = od.joined(od.indexed(rows, by, ["value"], "__i"), rows.groupBy(*by).agg(F.count("*").alias("__n")), by).withColumn("i", F.col("__i") + 1)
+    n, last = F.col("__n"), F.pow(F.lit(0.5), 1 / F.col("__n"))
+    p = F.when(F.col("i") == n, last).when(F.col("i") == 1, 1 - last).otherwise((F.col("i") - 0.3175) / (n + 0.365))
+    return placed.select(*by, "i", _normal_quantile(p).alias("theoretical"), "value")
+
+
+def qq_fit(points: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+    """The line of least squares through the points of ``qq``: by, n, slope, intercept and r."""
+    return points.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("value", "theoretical").alias("slope"), F.regr_intercept("value", "theoretical").alias("intercept"), F.corr("value", "theoretical").alias("r"))
+
+
 def trapezoid(points: DataFrame, x: str = "fpr", y: str = "tpr") -> DataFrame:
     """Area under points sorted by x: auc."""
     w = Window.partitionBy(F.lit(0)).orderBy(x, y)

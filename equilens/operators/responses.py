@@ -30,6 +30,48 @@ def consistency(df: DataFrame, case: str, response: str) -> DataFrame:
     ).withColumn("stable", F.col("distinct") == 1)
 
 
+#: Classes of a response's difference from its case's modal one, by the first that holds.
+DIFFERENCES = ("error", "spelling", "order", "numbers", "shortened", "extended", "wording")
+
+
+def differences(df: DataFrame, case: str, response: str) -> DataFrame:
+    """Each distinct response of a case against the case's modal one (most frequent; ties to the least by text): case, response, n, modal (whether it is that one), added, dropped and difference.
+
+    Tokens are runs without white space. added and dropped: numbers of distinct tokens that
+    only the response, or only the modal one, has. difference, null for the
+    modal one: error (the text has the word error, in any case), spelling (equal but for case, punctuation and white
+    space), order (the same tokens), numbers (only tokens with digits
+    differ), shortened or extended (nothing is added, or nothing dropped), else wording. Null responses are left out.
+    """
+    cells = df.where(F.col(case).isNotNull() & F.col(response).isNotNull()).groupBy(case, response).agg(F.count("*").alias("n"))
+    modal = cells.groupBy(case).agg(F.min(F.struct((-F.col("n")).alias("o"), F.col(response).alias("__modal"))).alias("z")).select(case, "z.__modal")
+    tokens = lambda c: F.array_distinct(F.array_remove(F.split(F.col(c), r"\s+"), ""))
+    both = cells.join(modal, case).withColumn("__a", tokens(response)).withColumn("__b", tokens("__modal"))
+    added, dropped = F.array_except("__a", "__b"), F.array_except("__b", "__a")
+    plain = lambda c: F.regexp_replace(F.lower(F.col(c)), r"[\p{Punct}\s]+", "")
+    told = both.withColumn("__x", added).withColumn("__y", dropped).withColumn("modal", F.col(response) == F.col("__modal"))
+    none = lambda c: F.size(c) == 0
+    kind = (
+        F.when(F.col("modal"), None).when(F.lower(response).contains("error"), "error").when(plain(response) == plain("__modal"), "spelling").when(none("__x") & none("__y"), "order")
+        .when(F.forall(F.concat("__x", "__y"), lambda t: t.rlike("[0-9]")), "numbers").when(none("__x"), "shortened").when(none("__y"), "extended").otherwise("wording")
+    )
+    return told.select(case, response, "n", "modal", F.size("__x").cast("bigint").alias("added"), F.size("__y").cast("bigint").alias("dropped"), kind.alias("difference"))
+
+
+def instability(df: DataFrame, case: str, response: str) -> DataFrame:
+    """case, n, distinct, modal_share, sources and counts of responses by difference (see ``differences``).
+
+    sources, of a case with several distinct responses: non_deterministic_sampling, api_errors if
+    one has the word error, variable_response_length if their lengths differ; of others empty.
+    """
+    told = differences(df, case, response)
+    text = F.col(response)
+    several = F.count("*") > 1
+    sources = F.array_compact(F.array(F.when(several, "non_deterministic_sampling"), F.when(several & F.bool_or(F.lower(text).contains("error")), "api_errors"), F.when(several & (F.min(F.length(text)) != F.max(F.length(text))), "variable_response_length")))
+    by_kind = [F.coalesce(F.sum(F.when(F.col("difference") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in DIFFERENCES]
+    return told.groupBy(case).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), (F.max("n") / F.sum("n")).alias("modal_share"), sources.alias("sources"), *by_kind)
+
+
 def mode_summary(df: DataFrame, by: list[str], ok: Column, seconds: Column, correct: Column, error: Column, refused: Column) -> DataFrame:
     """by, attempts, success_rate, and means over successes: seconds, accuracy, calibration_error and refusal_rate."""
     of = lambda x: F.avg(F.when(ok, x.cast("double")))

@@ -10,6 +10,7 @@ from equilens.operators import inference as inf
 from equilens.operators import predict as pr
 from equilens.operators import report as rp
 from equilens.operators import runs
+from equilens.session import stored
 
 from .audit import AUDIT, audit, query, r6
 from .fairness import chi_sql, kruskal_sql, rounded
@@ -165,6 +166,44 @@ def v26(spark, sf):
     return rp.trapezoid(points).withColumn("auc", F.round("auc", 9))
 
 
+#: Coefficients of a published rational approximation of the normal's quantile (numerator and denominator by rising power; middle, near and far tail).
+_PROBIT = {
+    "middle": ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+               (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610)),
+    "near": ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+             (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9)),
+    "far": ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 0.0000271155556874348757815, 2.01033439929228813265e-7),
+            (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 0.000786869131145613259100, 0.0000184631831751005468180, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+}
+
+
+def _ratio_sql(part: str, x: str) -> str:
+    def horner(c):
+        out = f"{c[-1]!r}::DOUBLE"
+        for k in reversed(c[:-1]):
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    return f"{horner(_PROBIT[part][0])} / {horner(_PROBIT[part][1])}"
+
+
+_QQ = f"""WITH r AS (SELECT model, latency_s AS value, row_number() OVER (PARTITION BY model ORDER BY latency_s) AS i, count(*) OVER (PARTITION BY model) AS n FROM {A}),
+p AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM r),
+q AS (SELECT *, 0.180625 - (p - 0.5) * (p - 0.5) AS m, sqrt(-ln(least(p, 1 - p))) AS t FROM p),
+t AS (SELECT model, i, value, CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_ratio_sql("middle", "m")} WHEN t <= 5 THEN sign(p - 0.5) * {_ratio_sql("near", "(t - 1.6)")} ELSE sign(p - 0.5) * {_ratio_sql("far", "(t - 5)")} END AS theoretical FROM q)"""
+
+
+@query("v26_qq", f"{_QQ} SELECT model, i, round(theoretical, 6) AS theoretical, value FROM t")
+def v26q(spark, sf):
+    return rounded(rp.qq(audit(spark, sf), "latency_s", ["model"]), "theoretical")
+
+
+@query("v26_qq_fit", f"{_QQ} SELECT model, count(*) AS n, round(regr_slope(value, theoretical), 4) AS slope, round(regr_intercept(value, theoretical), 4) AS intercept, round(corr(value, theoretical), 6) AS r FROM t GROUP BY 1")
+def v26f(spark, sf):
+    fit = rp.qq_fit(rp.qq(audit(spark, sf), "latency_s", ["model"]), ["model"])
+    return rounded(fit, "r").withColumns({c: F.round(c, 4) for c in ("slope", "intercept")})
+
+
 @query("v27_stars", f"WITH g AS (SELECT location, count(*) AS n FROM {A} GROUP BY 1) SELECT location, n, CASE WHEN n>0.8*max(n) OVER () THEN '***' WHEN n>0.6*max(n) OVER () THEN '**' WHEN n>0.4*max(n) OVER () THEN '*' ELSE '' END AS stars FROM g")
 def v27(spark, sf):
     return rp.stars(audit(spark, sf).groupBy("location").agg(F.count("*").alias("n")), "n")
@@ -212,6 +251,28 @@ def d03(spark, sf):
     return pr.risk_level(pr.intervals(model, rows)).select("provider", "model", "facet", "prediction", "low", "high", "level")
 
 
+_KINDS = {"linear": {"kind": "linear"}, "forest": {"kind": "forest", "numTrees": 10}, "boosted": {"kind": "boosted", "maxIter": 5}}
+
+
+def _held_out(spark, sf):
+    rows = stored(pr.features(_risks(spark, sf)))
+    return stored(pr.held_out(rows, ["provider", "model", "facet"], ["model", "facet"], ["n", "n_groups", "log_n"], "bias", _KINDS, folds=3))
+
+
+@query("d06_fold_errors")
+def d06(spark, sf):
+    """Errors of each kind of model on rows that it didn't see, and which kind is best."""
+    return pr.fold_errors(_held_out(spark, sf), "bias")
+
+
+@query("d09_profiles")
+def d09p(spark, sf):
+    """Risk profiles of all combinations by the best kind, each row predicted by a model that didn't see it."""
+    predicted = _held_out(spark, sf)
+    told = pr.risk_profiles(predicted, pr.fold_errors(predicted, "bias"), "n", {})
+    return told.select("provider", "model", "facet", "kind", "prediction", "low", "high", "level", "power", "required_n", F.array_join("mitigations", "; ").alias("mitigations"))
+
+
 @query("d09_d12_required_n", f"SELECT provider, model, facet, CASE WHEN bias<0.05 THEN 'low' WHEN bias<0.1 THEN 'moderate' WHEN bias<0.2 THEN 'high' ELSE 'critical' END AS level, CAST(greatest(50, floor((CASE WHEN bias<0.05 THEN 1000 WHEN bias<0.1 THEN 500 WHEN bias<0.2 THEN 200 ELSE 100 END)*ln(3))) AS INT) AS required_n FROM {_D01} d")
 def d09(spark, sf):
     return pr.required_n(pr.risk_level(_risks(spark, sf), "bias"), "bias").select("provider", "model", "facet", "level", "required_n")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from equilens.operators import bootstrap as bo
 from equilens.operators import cache as ca
+from equilens.operators import isotonic as iso
 from equilens.operators import nearest as ne
 from equilens.operators import responses as re_
+from equilens.operators import store as st
 from equilens.operators import uncertainty as un
-from equilens.session import stored
+from equilens.session import shared_folder, stored
 
 from .audit import AUDIT, audit, query, table
 from .fairness import rounded
@@ -113,6 +117,74 @@ def p14(spark, sf):
     return re_.refusal(c, "x").select("conv_id", "turn", "is_refusal", "refusal_type", "demographic_sensitivity")
 
 
+#: The fit at each value by its minimax formula: the greatest, over begins up to it, of the least mean, over ends from it.
+_ISO = f"""WITH c AS (SELECT model, confidence AS p, count(*) AS n, sum(acc) AS s FROM {A} WHERE acc IS NOT NULL GROUP BY ALL),
+i AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM c WINDOW w AS (PARTITION BY model ORDER BY p)),
+ab AS (SELECT a.model, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM i a JOIN i b ON a.model = b.model AND a.i <= b.i),
+lo AS (SELECT x.model, x.i, ab.a, min(m) AS m FROM i x JOIN ab ON x.model = ab.model AND ab.a <= x.i AND ab.b >= x.i GROUP BY ALL),
+f AS (SELECT model, i, max(m) AS value FROM lo GROUP BY ALL)"""
+
+
+@query("u04_isotonic", f"{_ISO} SELECT i.model, i.p, round(f.value, 6) AS calibrated FROM f JOIN i USING (model, i)")
+def u04i(spark, sf):
+    """The calibrated value of each confidence of each model."""
+    known = audit(spark, sf).where("acc is not null").select("model", F.col("confidence").alias("p"), "acc")
+    fit = iso.pools(known, "p", "acc", ["model"])
+    return rounded(iso.calibrated(known.select("model", "p").distinct(), fit, "p", ["model"]), "calibrated")
+
+
+@query("u04_isotonic_pools", f"{_ISO} SELECT model, min(p) AS low, max(p) AS high, CAST(sum(n) AS BIGINT) AS n, round(any_value(value), 6) AS value FROM f JOIN i USING (model, i) GROUP BY model, round(value, 12)")
+def u04p(spark, sf):
+    return rounded(iso.pools(audit(spark, sf), "confidence", "acc", ["model"]), "value")
+
+
+_SAID = "(SELECT c.conv_id % 50 AS case_, CASE WHEN turn % 9 = 8 THEN 'ERROR: no answer' WHEN turn % 9 = 7 THEN upper(x) WHEN turn % 9 = 6 THEN x || ' more' WHEN turn % 9 = 5 THEN x || ' ' || turn ELSE x END AS r FROM (SELECT *, 'plan ' || (conv_id % 50) || ' with ' || length(role) || ' units' AS x FROM conversations) c)"
+
+
+@query("e03_instability", f"""WITH c AS (SELECT case_, r, count(*) AS n FROM {_SAID} s GROUP BY ALL), m AS (SELECT case_, arg_min(r, struct_pack(a := -n, b := encode(r))) AS modal FROM c GROUP BY 1),
+t AS (SELECT c.*, modal, list_distinct(list_filter(string_split_regex(r, '\\s+'), lambda t: t <> '')) AS a, list_distinct(list_filter(string_split_regex(modal, '\\s+'), lambda t: t <> '')) AS b FROM c JOIN m USING (case_)),
+d AS (SELECT *, list_filter(a, lambda t: NOT list_contains(b, t)) AS x, list_filter(b, lambda t: NOT list_contains(a, t)) AS y FROM t),
+k AS (SELECT *, CASE WHEN r = modal THEN NULL WHEN contains(lower(r), 'error') THEN 'error' WHEN regexp_replace(lower(r), '[[:punct:][:space:]]+', '', 'g') = regexp_replace(lower(modal), '[[:punct:][:space:]]+', '', 'g') THEN 'spelling'
+  WHEN len(x) = 0 AND len(y) = 0 THEN 'order' WHEN len(list_filter(list_concat(x, y), lambda t: NOT regexp_matches(t, '[0-9]'))) = 0 THEN 'numbers' WHEN len(x) = 0 THEN 'shortened' WHEN len(y) = 0 THEN 'extended' ELSE 'wording' END AS kind FROM d)
+SELECT case_, CAST(sum(n) AS BIGINT) AS n, count(*) AS "distinct", round(max(n) / sum(n), 6) AS modal_share,
+  concat_ws(',', CASE WHEN count(*) > 1 THEN 'non_deterministic_sampling' END, CASE WHEN count(*) > 1 AND bool_or(contains(lower(r), 'error')) THEN 'api_errors' END, CASE WHEN count(*) > 1 AND min(length(r)) <> max(length(r)) THEN 'variable_response_length' END) AS sources,
+  {", ".join(f"CAST(coalesce(sum(n) FILTER (kind = '{k}'), 0) AS BIGINT) AS n_{k}" for k in re_.DIFFERENCES)} FROM k GROUP BY case_""")
+def e03i(spark, sf):
+    """Sources of instability among the responses to fifty prompts, made from the conversations' turns."""
+    x = F.concat(F.lit("plan "), (F.col("conv_id") % 50).cast("string"), F.lit(" with "), F.length("role").cast("string"), F.lit(" units"))
+    k = F.col("turn") % 9
+    said = F.when(k == 8, "ERROR: no answer").when(k == 7, F.upper(x)).when(k == 6, F.concat(x, F.lit(" more"))).when(k == 5, F.concat(x, F.lit(" "), F.col("turn").cast("string"))).otherwise(x)
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") % 50).alias("case_"), said.alias("r"))
+    out = re_.instability(rows, "case_", "r").withColumn("sources", F.array_join("sources", ","))
+    return rounded(out, "modal_share")
+
+
+def _store(spark, sf):
+    """An entry store of the embeddings: two versions, the second with new payloads for even keys and none for multiples of seven."""
+    folder = f"{shared_folder(spark)}/entries-{uuid.uuid4().hex}"
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("payload"), ca.normalised(F.col("embedding")).alias("vector"))
+    st.publish(e, folder)
+    st.replace(e.where("key % 2 = 0").withColumn("payload", F.when(F.col("key") % 7 != 0, "new")), folder)
+    return folder
+
+
+@query("c17_entry_store", "SELECT CASE WHEN vec_id % 2 = 1 THEN 'label ' || label WHEN vec_id % 7 <> 0 THEN 'new' END AS payload, count(*) AS n, CAST(2 AS BIGINT) AS version FROM embeddings GROUP BY 1")
+def c17(spark, sf):
+    """Payloads of the newest version of an entry store, counted."""
+    folder = _store(spark, sf)
+    return st.current(spark, folder).groupBy("payload").agg(F.count("*").alias("n")).withColumn("version", F.lit(st.newest(spark, folder)[0]).cast("bigint"))
+
+
+@query("c19_rebuilt_index", """WITH n AS (SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN 'label ' || label ELSE 'new' END AS payload, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, payload, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y*y)))) AS v FROM n),
+s AS (SELECT q.vec_id AS query, e.vec_id AS key, e.payload, list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1]*z[2])) AS sim FROM u q, u e WHERE q.vec_id % 20 = 0 AND (e.vec_id % 2 = 1 OR e.vec_id % 7 <> 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 12) DESC, key) AS rank FROM s) SELECT query, key, payload, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
+def c19(spark, sf):
+    """Nearest entries with a payload, by the index rebuilt from the store's newest version."""
+    u = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), ca.normalised(F.col("embedding")).alias("vector"))
+    return rounded(ne.top_k(u, st.rebuilt_index(spark, _store(spark, sf)), 3), "similarity")
+
+
 @query("e03_consistency", f"""WITH c AS (SELECT model || '/' || th AS case_, pred_label, count(*) AS o FROM {A} WHERE pred_label IS NOT NULL GROUP BY ALL)
 SELECT case_, CAST(sum(o) AS BIGINT) AS n, count(*) AS "distinct", round(max(o)/sum(o),6) AS modal_share, count(DISTINCT length(pred_label)) AS lengths, count(*)=1 AS stable FROM c GROUP BY 1""")
 def e03(spark, sf):
