@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learned from the labels of the documents that aren't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
     labels = read(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.train(docs.where(~F.col("held_out")).withColumn("digest", digest_of("text")).join(labels, "doc_id"), digest="digest")
+    model = toxicity.train(docs.where(~F.col("held_out")).withColumn("digest", digest_of("text")).join(labels, "doc_id", "left"), digest="digest")
     return toxicity.score(docs.select("doc_id", "held_out", "text"), model)
 
 

@@ -8,7 +8,8 @@ The patterns are fixed forms of address and emphasis. A voter says toxic (1),
 not toxic (-1), or abstains (0).
 
 A generative label model (two classes, accuracies per voter and class) is
-fitted on the votes by EM. The given label is one more voter, of unknown accuracy.
+fitted by EM on the votes of documents with and without a label. The given
+label is one more voter, of unknown accuracy, which abstains where there is none.
 Accuracies are estimated on the documents that didn't make the lexicons.
 Correlations: the residual agreement of each pair of voters beyond what the
 classes explain, estimated anew in each round; a voter's evidence is divided by
@@ -17,7 +18,7 @@ once. A linear classifier on the chosen words and beginnings is trained on the
 posterior labels.
 
 Predictions read whole texts: words and beginnings are hashed and looked up
-among at most ``max_features`` hashes.
+among the chosen ones' hashes, which come from a sample of bounded size.
 """
 
 from __future__ import annotations
@@ -96,11 +97,13 @@ def posteriors(votes: np.ndarray, prior: float, table: np.ndarray, correlations:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, start: np.ndarray | None = None, balance: float | None = None, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Posterior of toxic for each row, accuracies (voter x class x vote), residual correlations of the voters, and the prior.
 
     ``labels``: 1, 0, or -1 for unknown. Labelled rows hold their class in
     each step of EM; the others take their posterior, from ``start`` on (the prior where it isn't given).
+    ``balance``: the share of toxic documents, where it is known: without labels that hold, votes alone don't tell it.
+    ``before``: counts by voter, class and vote that are added to the rows' own (0.5 each where they aren't given).
     """
     n, m = votes.shape
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # n x m x 3
@@ -108,10 +111,12 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, start:
     p = (labels[known].sum() + 1) / (known.sum() + 2) if known.any() else 0.1
     q = np.where(known, labels, p if start is None else start).astype(float)
     table, corr = np.zeros((m, 2, 3)), np.eye(m)
+    before = np.full((m, 2, 3), 0.5) if before is None else before
     for step in range(rounds):
         for c, w in enumerate((1 - q, q)):
-            table[:, c] = (np.einsum("n,nmv->mv", w, onehot) + 0.5) / (w.sum() + 1.5)
-        p = float(min(max(q.mean(), 1e-4), 1 - 1e-4))
+            counts = np.einsum("n,nmv->mv", w, onehot) + before[:, c]
+            table[:, c] = counts / counts.sum(1, keepdims=True)
+        p = float(min(max(q.mean() if balance is None else balance, 1e-4), 1 - 1e-4))
         if step >= 2 and m:
             # residual agreement: votes less what the classes expect of them
             expect = q[:, None] * (table[:, 1, 2] - table[:, 1, 0]) + (1 - q)[:, None] * (table[:, 0, 2] - table[:, 0, 0])
@@ -143,25 +148,28 @@ def train_linear(row: np.ndarray, number: np.ndarray, n: int, target: np.ndarray
     return w, b
 
 
-def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_rows: int = 8_000, max_features: int = 10_000, digest: str | None = None) -> Model:
-    """Fit voters, label model and classifier on a bounded sample of labelled texts.
+def train(documents: DataFrame, text: str = "text", toxic: str = "toxic", max_rows: int = 8_000, max_unlabelled: int = 8_000, digest: str | None = None) -> Model:
+    """Fit voters, label model and classifier on a bounded sample of texts, with and without a label (null).
 
-    The sample: about ``max_rows`` distinct texts with a label, by hash, read
-    whole; copies of a text with one label are one row of it. Rows without
-    label or text are left out. Without labels of both kinds the model is a
-    constant (0 without any label). ``digest``: a column with the xxhash64 of the
-    text (null for no text). Where ``labelled`` is a join, one made before it
+    The sample: about ``max_rows`` distinct labelled texts and
+    ``max_unlabelled`` others, by hash, read whole; copies of a text with one
+    label, or without, are one row of it. Rows without text are left out. Without labels of both
+    kinds the model is a constant (0 without any label). ``digest``: a column with the xxhash64 of the
+    text (null for no text). Where ``documents`` is a join, one made before it
     lets the texts be counted and sampled without all of them being shuffled.
     """
-    h = F.pmod(F.col(digest) if digest else F.xxhash64(text), F.lit(1 << 30))
-    usable = labelled.where(F.col(toxic).isNotNull() & F.col(digest or text).isNotNull())
-    n_texts, n_bad, n_good = usable.agg(F.approx_count_distinct(h), *[F.sum((F.col(toxic) == 1).cast("int") if y else (F.col(toxic) != 1).cast("int")) for y in (1, 0)]).first()
+    h = F.shiftrightunsigned(F.col(digest) if digest else F.xxhash64(text), 1)  # 63 bits
+    usable = documents.where(F.col(digest or text).isNotNull())
+    given = F.col(toxic).isNotNull()
+    n_texts, n_others, n_bad, n_good = usable.agg(*[F.approx_count_distinct(F.when(x, h)) for x in (given, ~given)], *[F.sum((F.col(toxic) == 1).cast("int") if y else (F.col(toxic) != 1).cast("int")) for y in (1, 0)]).first()
     if not n_bad or not n_good:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 4.0 if n_bad else -4.0)
-    chance = min(1.0, max_rows / max(1, n_texts))
+    labelled_to, others_to = (min((1 << 63) - 1, (1 << 63) * most // max(1, n)) for most, n in ((max_rows, n_texts), (max_unlabelled, n_others)))
     hits = F.array(*[F.coalesce(F.col("t").rlike(p), F.lit(False)) for p, _ in PATTERNS])
-    distinct = usable.where(h < int(chance * (1 << 30)) + 1).groupBy(h.alias("h"), (F.col(toxic) == 1).cast("int").alias("y")).agg(F.min(text).alias("t"))
-    sample = tx.stored(distinct.select("t", "y", (F.col("h") % 2 == 0).cast("int").alias("half"), "h"))
+    taken = usable.where(h <= max(labelled_to, others_to)).where(h <= F.when(given, labelled_to).otherwise(others_to))
+    distinct = taken.groupBy(h.alias("h"), F.when(given, (F.col(toxic) == 1).cast("int")).otherwise(-1).alias("y")).agg(F.min(text).alias("t"))
+    whole = tx.stored(distinct.select("t", "y", (F.col("h") % 2 == 0).cast("int").alias("half"), "h"))
+    sample = whole.where("y >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +196,7 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_row
     every = lambda y: sum(n for (_, k), n in totals.items() if k == y)
     low, high = ends(F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2"), every(1), every(0))
     own_low, own_high = ends(mine(1), mine(0), of(1), of(0))
-    chosen = table.select("f", low.alias("low"), high.alias("high"), own_low.alias("own_low"), own_high.alias("own_high")).where(f"low > {LEAST_ODDS} or high < -0.7").orderBy(F.greatest("low", -F.col("high")).desc(), "f").limit(max_features).toPandas()
+    chosen = table.select("f", low.alias("low"), high.alias("high"), own_low.alias("own_low"), own_high.alias("own_high")).where(f"low > {LEAST_ODDS} or high < -0.7").toPandas()  # of the sample's words
     hashes = chosen["f"].to_numpy(np.int64).view(np.uint64)
     chosen, hashes = chosen.iloc[np.argsort(hashes)], np.sort(hashes)
     known = tx.KnownHashes(hashes)
@@ -203,32 +211,43 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", max_row
                 lists = tx.list_array(pa.array(number.astype(np.int32)), np.bincount(row, minlength=b - a))
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), lists], names=["y", "half", "h", "hits", "found"])
 
-    got = sample.select("t", "y", "half", "h", hits.alias("hits")).mapInArrow(look, "y int, half int, h bigint, hits array<boolean>, found array<int>").toPandas().sort_values(["h", "y"], kind="stable")
+    got = whole.select("t", "y", "half", "h", hits.alias("hits")).mapInArrow(look, "y int, half int, h bigint, hits array<boolean>, found array<int>").toPandas().sort_values(["h", "y"], kind="stable")
     y, half = got["y"].to_numpy(), got["half"].to_numpy()
     row = np.repeat(np.arange(len(got)), [len(s) for s in got["found"]])
     number = np.concatenate([np.zeros(0, np.int64), *got["found"]]).astype(np.int64)
     voters = lexicon_voters(chosen["own_low"].to_numpy(), chosen["own_high"].to_numpy())
     fixed = np.array([[v if hit else 0 for hit, (_, v) in zip(hits_, PATTERNS)] for hits_ in got["hits"]], np.int8)
     votes = np.concatenate([lexicon_votes(row, number, len(got), len(hashes), voters), fixed], 1)
-    # accuracies are estimated on the half that didn't make the lexicons: on their own half, votes look better than they are
-    judge = half == 1 if split else np.ones(len(y), bool)
-    posterior, accuracies, correlations, prior = label_model(votes[judge], y[judge])
-    # the given label is one more voter, as accurate as the posterior finds it: where the others speak against it, the target does
-    given = np.stack([y == 0, np.zeros(len(y), bool), y == 1], 1).astype(float)
-    votes, correlations = np.concatenate([votes, (2 * y - 1)[:, None]], 1), np.pad(correlations, (0, 1))
-    correlations[-1, -1] = 1
-    for _ in range(3):
-        own = np.stack([(w @ given[judge] + 0.5) / (w.sum() + 1.5) for w in (1 - posterior, posterior)])
-        target = posteriors(votes, prior, np.concatenate([accuracies, own[None]]), correlations)
-        posterior = target[judge]
-    accuracies = np.concatenate([accuracies, own[None]])
-    weight = np.abs(2 * target - 1)
+    # accuracies are estimated on documents that didn't make the lexicons: on their own half, votes look better than they are
+    judge = (half == 1) | (y < 0) if split else np.ones(len(y), bool)
+    target, accuracies, correlations = weak_labels(votes, y, judge)
+    # the rows without a label shape the label model; learning from their posteriors too found fewer of the toxic documents
+    weight = np.abs(2 * target - 1) * (y >= 0)
     # words against toxicity only vote: in a long text there are always many of them
     speaks = (chosen["low"] > LEAST_ODDS).to_numpy()[number]
     w, b = train_linear(row[speaks], number[speaks], len(got), target, weight, len(hashes))
     return Model(hashes, w, b, accuracies, correlations)
 
 
+def weak_labels(votes: np.ndarray, given: np.ndarray, judge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic for each row, accuracies and correlations of the voters, of which the last is the given label (-1: it abstains).
+
+    EM starts from the labels and from what the voters' agreement with them says of the
+    rows without one; from there on every row's posterior is free to move, so that a label
+    that the others speak against is outvoted. The share of toxic documents stays that of the labels. ``judge``: the rows that are estimated on.
+    """
+    known = judge & (given >= 0)
+    _, table, correlations, prior = label_model(votes[known], given[known], rounds=3)
+    start = np.where(given >= 0, given, posteriors(votes, prior, table, correlations))
+    every = np.concatenate([votes, np.where(given < 0, 0, 2 * given - 1)[:, None].astype(votes.dtype)], 1)
+    nobody = np.full(int(judge.sum()), -1)
+    # what the labels said of the other voters stays as counts beside those of all rows
+    share = np.array([1 - prior, prior])[None, :, None]
+    before = np.concatenate([0.5 + known.sum() * share * table, np.full((1, 2, 3), 0.5)])
+    _, table, correlations, prior = label_model(every[judge], nobody, start=start[judge], balance=prior, before=before)
+    return posteriors(every, prior, table, correlations), table, correlations
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.7) -> DataFrame:
     """``docs`` without its text, with score (0 to 1, higher: toxic likelier) and predicted (1 if score >= ``limit``).
 
@@ -239,7 +258,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.7)
     made = ["score", "predicted"]
     kept = [c for c in tx.others(docs, made) if c != text]
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "score double"])
-    shared = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.bias))  # at most max_features
+    shared = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.bias))  # features of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights, bias = shared.value

@@ -230,6 +230,21 @@ def test_label_model_discounts_copies():
     assert abs(table[0, 1, 2] - 0.9) < 0.05
 
 
+def test_wrong_labels_are_outvoted_and_unlabelled_rows_count():
+    rng = np.random.default_rng(4)
+    n = 4000
+    truth = (rng.random(n) < 0.2).astype(int)
+    votes = np.stack([np.where(rng.random(n) < 0.6, np.where(rng.random(n) < 0.92, 2 * truth - 1, 1 - 2 * truth), 0) for _ in range(8)], 1).astype(np.int8)
+    given = np.where(rng.random(n) < 0.5, np.where(rng.random(n) < 0.85, truth, 1 - truth), -1)  # half have a label, of which one in seven is wrong
+    posterior, table, _ = toxicity.weak_labels(votes, given, np.ones(n, bool))
+    wrong = (given >= 0) & (given != truth)
+    assert ((posterior[wrong] > 0.5) == truth[wrong]).mean() > 0.9
+    assert ((posterior > 0.5) == truth).mean() > 0.97
+    assert abs(table[-1, 1, 2] / (table[-1, 1, 0] + table[-1, 1, 2]) - 0.85) < 0.06  # the label's own accuracy on toxic documents is found
+    alone, _, _ = toxicity.weak_labels(votes[given >= 0], given[given >= 0], np.ones((given >= 0).sum(), bool))
+    assert not np.allclose(alone, posterior[given >= 0])  # rows without a label take part
+
+
 def test_label_model_equals_brute_force():
     """One voter at a time, one row at a time: EM with abstentions as no evidence and shared evidence divided."""
     import math
