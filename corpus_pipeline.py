@@ -25,10 +25,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.7 or more go. The classifier learns from the labelled documents that op5 doesn't hold out."""
+    """Documents with a toxicity score of 0.7 or more go. The classifier learns from the documents that op5 doesn't hold out, with and without a label."""
     labels = read(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mine = docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False))).select("doc_id", "text", digest_of("text").alias("digest"))
-    model = toxicity.train(mine.join(labels, "doc_id"), digest="digest")
+    model = toxicity.train(mine.join(labels, "doc_id", "left"), digest="digest")
     scored = toxicity.score(docs.select(*COLUMNS, F.col("text").alias("scored_text")), model, text="scored_text")
     return scored.where("predicted = 0").select(*COLUMNS)
 
