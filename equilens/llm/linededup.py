@@ -38,6 +38,8 @@ from . import text as tx
 
 #: The most frequent words, whose order is broadcast (a bound on the table, not on the words that are joined).
 KNOWN_WORDS = 1 << 18
+#: Words at most that are in the broadcast table because they are split.
+MOST_KNOWN = 1 << 20
 #: Candidates by each shared word with which a class leaves the first round.
 FIRST_CANDIDATES = 6
 #: Lines of a word from which its rows are split into cells of about that many.
@@ -264,9 +266,14 @@ def _highest(table: DataFrame, most: int) -> float:
 
 
 def known_words(counts: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words by rising count (ties by hash), and into how many cells a side each is split."""
+    """The most frequent words by rising count (ties by hash), and into how many cells a side each is split.
+
+    The table has every word that is split: beyond ``hot`` lines, or, of very many words, beyond a 2^20th of all words' lines, so that there are at most MOST_KNOWN of them.
+    """
+    n_hot, total = counts.agg(F.count_if(F.col("n") > hot), F.sum("n")).first()
+    hot = max(hot, -(-(total or 0) // MOST_KNOWN)) if n_hot > KNOWN_WORDS else hot
     least = _highest(counts, KNOWN_WORDS)
-    got = counts.where(F.floor(F.log2("n") * 16) >= least).toPandas()  # at most KNOWN_WORDS rows
+    got = counts.where((F.floor(F.log2("n") * 16) >= least) | (F.col("n") > hot)).toPandas()  # at most KNOWN_WORDS and MOST_KNOWN rows
     word, n = got["word"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     order = np.lexsort((word, n))
     return word[order], np.maximum(1, -(-n[order] // hot)).astype(np.int32)
@@ -345,7 +352,7 @@ def entries_of(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: i
 
     ``wanted``: a bit map of the words that are wanted (all where it isn't given).
     """
-    shared = docs.sparkSession.sparkContext.broadcast((*known, wanted))  # KNOWN_WORDS ranks, MAP_BITS bits
+    shared = docs.sparkSession.sparkContext.broadcast((*known, wanted))  # KNOWN_WORDS and MOST_KNOWN ranks, MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, cells, wanted = shared.value
@@ -625,9 +632,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     kept = tx.others(docs, ["n_lines", "n_removed"])
     marked = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__k", F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))).withColumn("__h", F.xxhash64(text))
     joined = marked.join(gone, (F.col("__k") == F.col("__gk")) & (F.col("__h") == F.col("__gh")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    # the stretches between the lines that go: one pass over the lines, however many go
+    begins, ends = F.concat(F.array(F.lit(-1)), F.col("__gone")), lambda lines: F.concat(F.col("__gone"), F.array(F.size(lines)))
+    stretches = lambda lines: F.flatten(F.zip_with(begins, ends(lines), lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+    left = F.transform(F.array(F.split(F.col(text), "\n", -1)), lambda lines: F.array_join(stretches(lines), "\n"))[0]
+    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     n = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
     counted = joined.withColumn("n_lines", n.cast("bigint")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"))
     return counted.withColumn(text, new).select(*kept, "n_lines", "n_removed")
