@@ -5,9 +5,8 @@ case), as 64-bit hashes. Every term is counted by document frequency over all
 documents. The lexicon is the terms whose inverse document frequency is at least a
 share ``low`` of the highest there is (a term of one document). The terms
 outside it are few: there are at most (terms a document) x documents ** low of them.
-They are told by a bit map of fixed size, at two places each, so that a term is
-also left out where frequent ones share both its places: the same rule for every
-document. REPEATS chains of randomised subsets of the lexicon are drawn by hash: the
+They are told exactly, by a bit map sized by their number and the terms
+themselves behind it. REPEATS chains of randomised subsets of the lexicon are drawn by hash: the
 whole lexicon, a quarter of it, a quarter of that, and so on, so that long and
 short documents have some in which few of their terms fall. For each subset the
 document's terms in it, distinct and sorted, are hashed: one part of the
@@ -19,11 +18,12 @@ with a term of either document has the same hash for both.
 
 from __future__ import annotations
 
+from itertools import accumulate
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of the map of terms outside the lexicon.
-MAP_BITS = 1 << 18
 #: Chains of subsets of the lexicon, and subsets in each besides the whole.
 REPEATS, LEVELS = 6, 6
 
@@ -39,39 +39,58 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _places(term: Column) -> list[Column]:
-    """Two places of a term in the map."""
-    return [F.shiftright(term, by).bitwiseAND(F.lit(MAP_BITS - 1).cast("bigint")).cast("int") for by in (0, 24)]
-
-
 def frequent_terms(frequencies: DataFrame, n_docs: int, low: float) -> list[int]:
-    """The terms whose inverse document frequency ln(n_docs / df) is below a share ``low`` of ln(n_docs), as 64-bit words of a bit map."""
+    """The terms whose inverse document frequency ln(n_docs / df) is below a share ``low`` of ln(n_docs).
+
+    A term of them is in more than n_docs ** (1 - low) documents, so there are at
+    most (terms a document) x n_docs ** low: with 400 and a quarter, 150,000 of 2e10 documents.
+    """
     whole = F.log(F.lit(float(max(2, n_docs))))
     frequent = frequencies.where(F.log(F.lit(float(max(2, n_docs))) / F.col("df")) / whole < low)
-    place = frequent.select(F.explode(F.array(*_places(F.col("term")))).alias("place"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(63))
-    bits = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    words = [0] * (MAP_BITS // 64)
-    for r in bits.collect():  # at most MAP_BITS / 64 rows
-        words[r["word"]] = r["bits"]
-    return words
+    return sorted(r["term"] for r in frequent.select("term").collect())
+
 
+class Frequent(NamedTuple):
+    """The frequent terms as literals: a bit map by a term's low ``width`` bits, and the terms themselves in buckets by four bits less, from ``starts`` on."""
 
-def as_array(words: list[int]) -> Column:
-    """The map's words as one literal (folded once, instead of a node for each)."""
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    width: int
+    bits: Column
+    starts: Column
+    terms: Column
 
+    def has(self, term: Column) -> Column:
+        """Whether a term is frequent: the map tells most others, and the bucket's terms (one on average) decide."""
+        one = F.lit(1).cast("bigint")
+        place = term.bitwiseAND(F.lit((1 << self.width) - 1).cast("bigint")).cast("int")
+        bit = F.call_function("shiftright", F.get(self.bits, F.shiftright(place, 6)), place.bitwiseAND(63)).bitwiseAND(one)
+        bucket = place.bitwiseAND((1 << self.width - 4) - 1)
+        begin, end = F.get(self.starts, bucket), F.get(self.starts, bucket + 1)
+        return F.when(bit == 1, F.array_contains(F.slice(self.terms, begin + 1, end - begin), term)).otherwise(False)
 
-def fingerprint(text: Column, frequent: Column) -> Column:
+
+def frequent_table(terms: list[int]) -> Frequent:
+    """``terms`` as a table that has 16 bits or more for each."""
+    width = max(10, (16 * len(terms)).bit_length())
+    words, buckets = [0] * ((1 << width) // 64), [[] for _ in range(1 << width - 4)]
+    for t in terms:
+        place = t % (1 << width)
+        words[place // 64] |= 1 << place % 64
+        buckets[place % len(buckets)].append(t)
+    starts = list(accumulate(map(len, buckets), initial=0))
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    return Frequent(width, _literal(signed, "bigint"), _literal(starts, "int"), _literal([t for b in buckets for t in b], "bigint"))
+
+
+def _literal(values: list[int], kind: str) -> Column:
+    """One array literal (folded once, instead of a node for each value)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def fingerprint(text: Column, frequent: Frequent) -> Column:
     """Parts of the fingerprint, chains apart by spaces and subsets by commas: a 64-bit hash (hex) of the text's sorted terms in the subset, or '-' if it has none.
 
-    ``frequent``: array of the bit map's words.
+    ``frequent``: the terms outside the lexicon.
     """
-    one = F.lit(1).cast("bigint")
-
-    def known(t: Column) -> Column:
-        a, b = (F.call_function("shiftright", F.get(frequent, F.shiftright(p, 6)), p.bitwiseAND(63)).bitwiseAND(one) == 1 for p in _places(t))
-        return ~(a & b)
 
     def part(kept: Column) -> Column:
         return F.when(F.size(kept) == 0, "-").otherwise(F.lpad(F.lower(F.hex(F.xxhash64(kept))), 16, "0"))
@@ -90,7 +109,7 @@ def fingerprint(text: Column, frequent: Column) -> Column:
         return F.aggregate(F.array(*[F.lit(k) for k in range(LEVELS)]), start, step, lambda state: state["out"])
 
     turns = F.array(*[F.lit(k) for k in range(REPEATS)])
-    own = F.array_sort(F.filter(terms(text), known))
+    own = F.array_sort(F.filter(terms(text), lambda t: ~frequent.has(t)))
     return F.transform(F.array(own), lambda kept: F.array_join(F.transform(turns, lambda turn: chain(kept, turn)), " "))[0]
 
 
@@ -162,7 +181,7 @@ def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "t
     wanted = max(1, min(MOST_RANGES, (chars or 0) // RANGE_CHARS))
     step = -(-MOST_RANGES // wanted)
     starts = ranges((cuts or [])[::step], (n_docs - n_keys) * wanted // max(1, n_docs))
-    frequent = as_array(frequent_terms(document_frequencies(body), n_docs, low))
+    frequent = frequent_table(frequent_terms(document_frequencies(body), n_docs, low))
     printed = body.withColumn("fingerprint", fingerprint(F.col("text"), frequent))
     follow = with_next(printed, starts, "key", "text", ["fingerprint", "text"])
     n = F.length("text")
