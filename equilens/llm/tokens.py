@@ -26,8 +26,8 @@ from .text import others
 
 #: Bytes of text in one encoder call.
 CALL_BYTES = 1 << 18
-#: Lengths that a task remembers before it starts anew.
-MEMO_ENTRIES = 300_000
+#: Lengths that a task remembers before it starts anew, and characters of a part up to which its length is remembered: some 60 MB at most.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 32
 MARK = "▁"
 
 
@@ -109,11 +109,13 @@ def _by_parts(encode: Callable, joined: set[str]) -> Callable[[list[str]], list[
         parts = [split_safely(t.replace(MARK, " ")) for t in texts]
         fresh = {p for some in parts for p in some if p not in memo}
         long = {p for p in fresh if len(p) > CALL_BYTES}
-        short = list(fresh - long)
-        lengths = dict(zip(long, map(length_of_long, long)))  # long parts aren't remembered
+        rare = [p for p in fresh if MEMO_CHARS < len(p) <= CALL_BYTES]
+        short = [p for p in fresh if len(p) <= MEMO_CHARS]
+        lengths = dict(zip(long, map(length_of_long, long)))
+        lengths.update(zip(rare, _by_bytes(rare, encode)))  # these and the long ones aren't remembered
         memo.update(zip(short, _by_bytes(short, encode)))
         get = memo.__getitem__
-        return [sum(lengths[p] if p in lengths else get(p) for p in some) for some in parts] if long else [sum(map(get, some)) for some in parts]
+        return [sum(lengths[p] if p in lengths else get(p) for p in some) for some in parts] if lengths else [sum(map(get, some)) for some in parts]
 
     return count
 
