@@ -95,24 +95,27 @@ class RecordStream:
     def feed(self, chunk: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         self.chunks.append(chunk)
         self.size += len(chunk)
-        while self.size >= self.need:
-            data = self.chunks[0] if len(self.chunks) == 1 else b"".join(self.chunks)
-            self.chunks = [data]
-            head = data.find(b"\r\n\r\n")
+        if self.size < self.need:
+            return
+        data = self.chunks[0] if len(self.chunks) == 1 else b"".join(self.chunks)
+        at, self.need = 0, 4
+        while len(data) - at >= self.need:
+            head = data.find(b"\r\n\r\n", at)
             if head < 0:
-                self.need = self.size + 1
-                return
-            if data[:5] != b"WARC/":
+                self.need = len(data) - at + 1
+                break
+            if not data.startswith(b"WARC/", at):
                 raise ValueError(f"no WARC record at byte {self.begin}")
-            lines = data[:head].decode("utf-8", "replace").split(CRLF)[1:]
+            lines = data[at:head].decode("utf-8", "replace").split(CRLF)[1:]
             headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
             end = head + 4 + int(headers["content-length"])
-            self.need = end + 4
-            if self.size < self.need:
-                return
+            if len(data) < end + 4:
+                self.need = end + 4 - at
+                break
             yield headers, data[head + 4 : end], self.begin
-            self.begin += end + 4
-            self.chunks, self.size, self.need = [data[end + 4 :]], self.size - end - 4, 4
+            self.begin += end + 4 - at
+            at = end + 4
+        self.chunks, self.size = [data[at:] if at else data], len(data) - at  # what is left is copied once a chunk
 
     def close(self) -> None:
         if self.size:
@@ -206,18 +209,20 @@ def url_key(uri: Column) -> Column:
 INDEX = "range bigint, place bigint, urlkey string, at string, id string, file string, start bigint, digest string, record_type string, refers_to string, length bigint, own string, capture bigint, edge boolean"
 
 
-def merge_indexes(records: DataFrame, per_range: int = 20_000) -> DataFrame:
+def merge_indexes(records: DataFrame, per_range: int | None = None) -> DataFrame:
     """All captures in global order: place (from 0), urlkey, at, id, file, start, digest, record_type, refers_to, length, own, capture (its number among those of the url, from 1) and range.
 
     ``records``: rows as ``read_warc`` gives them. A file's captures, sorted,
-    are a run. Ranges hold about ``per_range`` captures: they are cut by url
+    are a run. Ranges hold about ``per_range`` captures (by default 20,000, and in archives of more than 80 million
+    captures as many as make 4096 ranges, up to half a million): they are cut by url
     key, time, file and start together, so that one url's captures can span
     ranges. Equal captures keep the order of file and start.
     """
     order = ["urlkey", "at", "file", "start"]
     fields = ["id", "digest", "record_type", "refers_to", "length", "own"]
     runs = tx.stored(records.select(url_key(F.col("uri")).alias("urlkey"), "at", "file", "start", *fields).sortWithinPartitions("file", *order))
-    ranges = max(1, -(-runs.count() // per_range))
+    n = runs.count()
+    ranges = max(1, -(-n // (per_range or min(500_000, max(20_000, n // 4096)))))
     # repartitionByRange samples keys and cuts; sorting by file puts each run's slice together again
     dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", *order)
 
