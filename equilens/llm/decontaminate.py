@@ -28,8 +28,8 @@ from . import text as tx
 LANE = 64
 #: Pairs of positions and patterns compared at once.
 COMPARE = 1 << 18
-#: Slots of a shift table.
-SLOTS = 1 << 18
+#: Slots of a shift table for each distinct block of words, about, and bits of their number at least and at most.
+SLOTS_A_BLOCK, LEAST_BITS, MOST_BITS = 16, 12, 24
 BLOCK = 3
 MULTIPLIER = 0x9E3779B1
 
@@ -45,6 +45,7 @@ class PatternTable:
     members: np.ndarray
     item_from: np.ndarray  # first entry by pattern, in ``items``
     items: np.ndarray
+    bits: int  # of a slot's number
 
 
 @dataclass
@@ -66,13 +67,18 @@ class Patterns:
         return out
 
 
-def _slot(ids: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+def _block(ids: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the blocks of ``width`` words that end at ``end``."""
     key = ids[end].astype(np.uint64)
     for back in range(1, width):
         key = key * np.uint64(MULTIPLIER) + ids[end - back].astype(np.uint64)
     key ^= key >> np.uint64(23)
     key *= np.uint64(0x2545F4914F6CDD1D)
-    return (key >> np.uint64(64 - 18)).astype(np.int64)
+    return key
+
+
+def _slot(ids: np.ndarray, end: np.ndarray, width: int, bits: int) -> np.ndarray:
+    return (_block(ids, end, width) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _table(m: int, windows: np.ndarray, owner: np.ndarray) -> PatternTable:
@@ -82,12 +88,16 @@ def _table(m: int, windows: np.ndarray, owner: np.ndarray) -> PatternTable:
     width = min(BLOCK, m)
     flat = np.ascontiguousarray(patterns).reshape(-1)
     first = np.arange(len(patterns)) * m
-    shift = np.full(SLOTS, m - width + 1, np.int32)
-    for at in range(width - 1, m):
-        np.minimum.at(shift, _slot(flat, first + at, width), m - 1 - at)
-    slot = _slot(flat, first + m - 1, width)
+    blocks = len(np.unique(np.concatenate([_block(flat, first + at, width) for at in range(width - 1, m)])))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(SLOTS_A_BLOCK * blocks)))))
+    shift = np.full(1 << bits, m - width + 1, np.int8 if m < 128 else np.int32)
+    for at in range(width - 1, m):  # from the greatest shift to the least, which stays
+        shift[_slot(flat, first + at, width, bits)] = m - 1 - at
+    slot = _slot(flat, first + m - 1, width, bits)
     members = np.argsort(slot, kind="stable")
-    return PatternTable(m, patterns, shift, np.searchsorted(slot[members], np.arange(SLOTS + 1)), members, np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1])
+    bucket = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount(slot, minlength=1 << bits), out=bucket[1:])
+    return PatternTable(m, patterns, shift, bucket, members, np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1], bits)
 
 
 def build_patterns(rows: list[tuple[str, str | None]], window: int) -> Patterns:
@@ -120,13 +130,13 @@ def search(table: PatternTable, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     limit = np.minimum(at + LANE, len(ids))
     stops = []
     while len(at):
-        shift = table.shift[_slot(ids, at, width)]
+        shift = table.shift[_slot(ids, at, width, table.bits)]
         stops.append(at[shift == 0])
         at = at + np.maximum(shift, 1)
         go = at < limit
         at, limit = at[go], limit[go]
     stop = np.concatenate(stops)
-    slot = _slot(ids, stop, width)
+    slot = _slot(ids, stop, width, table.bits)
     low = table.bucket[slot]
     many = table.bucket[slot + 1] - low
     ends, found = [none], [none]

@@ -276,3 +276,29 @@ def test_reputation_equals_brute_force(spark):
     want = level(count(lambda h: h), domain_of, by_domain)
     assert set(want) == set(got) and all(abs(got[h]["rate"] - want[h]) < 1e-9 for h in want)
     assert urls.judge_urls(spark.createDataFrame([], "page_id bigint, url string"), spark.createDataFrame(rows, "host string, bad int"), []).count() == 0
+
+
+def test_plain_warc_files_are_read_in_linear_time():
+    import time
+
+    from equilens.llm import warc
+
+    def record(i):
+        body = b"x" * 900
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:row:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    one = b"".join(record(i) for i in range(8000))
+    times = []
+    for data in (one, one * 8):
+        began = time.time()
+        found = [(h["warc-record-id"], len(b), s) for h, b, s in warc.parse(data)]
+        times.append(time.time() - began)
+        assert len(found) == 8000 * len(data) // len(one) and found[1][2] == len(record(0))
+    assert times[1] < 20 * times[0] + 0.5
+    stream = warc.RecordStream()  # the same in pieces of all sizes
+    pieces, at = [], 0
+    while at < 60_000:
+        pieces.append(one[at : at + 1 + at % 777])
+        at += len(pieces[-1])
+    got = [(h["warc-record-id"], s) for p in pieces for h, _, s in stream.feed(p)]
+    assert got == [(r, s) for r, _, s in found[: len(got)]] and len(got) >= 55

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from equilens.llm import imatch, linededup, toxicity
 
@@ -79,6 +80,30 @@ def test_rest_pass_meets_all_that_the_first_pass_left(spark):
     assert got == want
 
 
+def test_a_document_of_a_million_lines(spark):
+    """Marking is linear in lines, however many go."""
+    import time
+
+    began = time.time()
+    text = "one and the same line of seven words\n" * 1_000_000 + "another line of quite other words here"
+    got = linededup.dedup_lines(spark.createDataFrame([(1, text), (2, "x\none and the same line of seven words\ny")], "doc_id bigint, text string")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["text"] == "one and the same line of seven words\nanother line of quite other words here"
+    assert (by[1]["n_lines"], by[1]["n_removed"]) == (1_000_001, 999_999)
+    assert (by[2]["text"], by[2]["n_removed"]) == ("x\ny", 1)
+    assert time.time() - began < 120
+
+
+def test_words_of_many_lines_are_split_beyond_the_table(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "KNOWN_WORDS", 4)
+    counts = spark.createDataFrame([(k, 1000 - k) for k in range(60)], "word bigint, n bigint")
+    words, cells = linededup.known_words(counts, 100)
+    assert len(words) >= 60 and (cells > 1).all()
+    monkeypatch.setattr(linededup, "MOST_KNOWN", 20)  # the bound rises with all words' lines, so that the table stays small
+    words, cells = linededup.known_words(counts, 100)
+    assert len(words) <= 24
+
+
 def test_equal_lines_of_few_words_go(spark):
     chinese, thai, few = "本网站所有内容版权归本公司所有，未经许可不得转载", "สงวนลิขสิทธิ์ตามกฎหมายห้ามทำซ้ำ", "Alpha_bravo charlie delta " * 4
     rows = [(1, f"{chinese}\nhome\n{few}"), (2, f"x\n{chinese}\n{thai}"), (3, f"{thai}\nhome\n{few.lower()}.\n{chinese[1:]}"), (4, "-" * 80 + "\n" + "-" * 80)]
@@ -139,9 +164,8 @@ def brute_frequent(texts, low):
         for x in brute_terms(t):
             df[x] = df.get(x, 0) + 1
     n = max(2, len(texts))
-    places = lambda x: [x % imatch.MAP_BITS, (x >> 24) % imatch.MAP_BITS]
-    full = {p for x, c in df.items() if np.log(n / c) / np.log(n) < low for p in places(x)}
-    return lambda x: all(p in full for p in places(x))
+    full = {x for x, c in df.items() if np.log(n / c) / np.log(n) < low}
+    return lambda x: x in full
 
 
 def brute_fingerprint(text, frequent):
@@ -210,10 +234,21 @@ def test_imatch_terms_and_lexicon(spark):
         for x in brute_terms(t):
             want[x] = want.get(x, 0) + 1
     assert df == want
-    words = imatch.frequent_terms(imatch.document_frequencies(docs), len(texts), 0.3)
+    found = imatch.frequent_terms(imatch.document_frequencies(docs), len(texts), 0.3)
     outside = brute_frequent(texts, 0.3)
-    in_map = lambda p: words[p // 64] >> p % 64 & 1
-    assert all((in_map(x % imatch.MAP_BITS) and in_map((x >> 24) % imatch.MAP_BITS)) == outside(x) for x in want)
+    assert {x % (1 << 64) for x in found} == {x for x in want if outside(x)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 5000])
+def test_imatch_table_of_frequent_terms_is_exact(spark, n):
+    """Terms that share all low bits with frequent ones stay rare, however full the map is."""
+    rng = random.Random(n)
+    frequent = [signed(rng.getrandbits(64)) for _ in range(n)]
+    others = [signed((x ^ (1 << 40 + k % 20)) % (1 << 64)) for k, x in enumerate(frequent)] + [signed(rng.getrandbits(64)) for _ in range(500)]
+    table = imatch.frequent_table(sorted(frequent))
+    rows = spark.createDataFrame([(x, k < n) for k, x in enumerate(frequent + others)], "t bigint, want boolean")
+    got = rows.select("want", F.filter(F.array("t"), lambda t: table.has(t)).alias("f")).selectExpr("want", "size(f) = 1 as got").collect()
+    assert all(r["got"] == r["want"] for r in got) and len(got) == 2 * n + 500
 
 
 def test_label_model_discounts_copies():

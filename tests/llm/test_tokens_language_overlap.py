@@ -211,3 +211,23 @@ def test_language_held_out(spark):
         pytest.skip("no tables")
     got = queries.op2_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+
+
+def test_memo_has_short_parts_only():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    count = tk._sentencepiece(model_path())
+    memo = next(c.cell_contents for c in count.__closure__ if isinstance(c.cell_contents, dict))
+    texts = ["日本語" * 40 + " short words " + "x" * 33, "short " * 9, "ü" * 32]
+    assert count(texts) == count(texts) == [len(sp.encode(t)) for t in texts]
+    assert max(map(len, memo)) <= tk.MEMO_CHARS and "日本語" * 40 not in memo
+
+
+def test_shift_table_grows_with_the_block():
+    rng = random.Random(1)
+    for n in (50, 20_000):
+        text = " ".join(f"w{rng.randrange(n)}" for _ in range(n))
+        table = de.build_patterns([("a", text)], 13).tables[0]
+        assert len(table.shift) >= 16 * n / 2
+        assert (table.shift == table.shift.max()).mean() > 0.9  # most slots let the search skip a whole window
