@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from equilens.functions import rubric as ru
 
+from . import ordered as od
+
 #: Item keys of the questionnaire, investor items and horizon items.
 TOI_ITEMS = ("1.1", "1.2", "1.3", "1.4", "1.5", "1.6", "1.7", "1.8")
 TH_ITEMS = ("2.1", "2.2")
@@ -31,16 +33,20 @@ def pick(values, *parts: Column) -> Column:
 
 
 def random_subjects(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """subject_id, answers (items 1 to 5 by a rounded normal around 3), toi, th and true_label."""
+    """``n`` subjects by number: see ``random_answers``."""
+    return random_answers(spark.range(1, n + 1).select(F.col("id").alias("subject_id")), seed=seed)
+
+
+def random_answers(subjects: DataFrame, key: str = "subject_id", seed: int = 42) -> DataFrame:
+    """``subjects`` with answers (items 1 to 5 by a rounded normal around 3, drawn by the hash of the key), toi, th and true_label."""
     items = [*TOI_ITEMS, *TH_ITEMS]
 
     def draw(k: int) -> Column:  # Box-Muller on two hashes
-        u, v = chance(F.col("id"), F.lit(k), F.lit(seed)), chance(F.col("id"), F.lit(k), F.lit(seed + 1))
+        u, v = chance(F.col(key), F.lit(k), F.lit(seed)), chance(F.col(key), F.lit(k), F.lit(seed + 1))
         z = F.sqrt(-2 * F.log(F.lit(1.0) - u)) * F.cos(2 * F.pi() * v)
         return F.greatest(F.lit(1), F.least(F.lit(5), F.rint(3 + z).cast("int")))
 
-    df = spark.range(1, n + 1).select(F.col("id").alias("subject_id"), F.map_from_arrays(F.array(*map(F.lit, items)), F.array(*[draw(k) for k in range(len(items))])).alias("answers"))
-    return scored(df)
+    return scored(subjects.withColumn("answers", F.map_from_arrays(F.array(*map(F.lit, items)), F.array(*[draw(k) for k in range(len(items))]))))
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -61,15 +67,22 @@ def answers_for(toi: Column, th: Column, *parts: Column) -> Column:
 
 
 def stratified_subjects(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """``n`` subjects, spread evenly over the labels (the first ones get the remainder), in hashed order.
+    """``n`` subjects by number: see ``stratified_answers``."""
+    return stratified_answers(spark.range(1, n + 1).select(F.col("id").alias("subject_id")), seed=seed)
+
+
+def stratified_answers(subjects: DataFrame, key: str = "subject_id", seed: int = 42) -> DataFrame:
+    """``subjects`` (distinct keys) with answers, toi, th and true_label, spread evenly over the labels (the first ones get the remainder).
 
-    A label's target is the middle of its band at one of its horizons; the
-    investor total may move by one where the label stays.
+    Labels are dealt out in the order of the keys' hashes. A label's target is the middle of its band at
+    one of its horizons; the investor total may move by one where the label stays.
     """
     k = len(ru.LABELS)
-    labels = spark.createDataFrame([(i, x, n // k + (i < n % k), *TARGET_HORIZONS[i]) for i, x in enumerate(ru.LABELS)], "label_ord int, true_label string, many int, th_from int, th_to int")
-    rows = labels.where("many > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("many"))))
-    th = (F.col("th_from") + F.pmod(F.xxhash64("label_ord", "j", F.lit(seed)), F.col("th_to") - F.col("th_from") + 1)).cast("int")
+    hashed = subjects.withColumn("__h", F.xxhash64(key, F.lit(seed + 2)).cast("double"))
+    placed = od.indexed(hashed, [], ["__h", key], "__i").drop("__h")
+    rows = placed.withColumn("label_ord", (F.col("__i") % k).cast("int")).withColumn("j", (F.floor(F.col("__i") / k) + 1).cast("int"))
+    ranges = [F.get(F.array(*[F.lit(r[i]) for r in TARGET_HORIZONS]), F.col("label_ord")) for i in (0, 1)]
+    th = (ranges[0] + F.pmod(F.xxhash64("label_ord", "j", F.lit(seed)), ranges[1] - ranges[0] + 1)).cast("int")
     cuts = ru.cuts_at(F.col("th"))
     middle = F.get(cuts, F.col("label_ord")) - 2
     lowest, highest = F.greatest(F.lit(ru.TOI_RANGE[0]), F.get(cuts, F.lit(0)) - 4), F.least(F.lit(ru.TOI_RANGE[1]), F.get(cuts, F.lit(k - 2)) + 4)
@@ -78,10 +91,7 @@ def stratified_subjects(spark: SparkSession, n: int, seed: int = 42) -> DataFram
     toi = F.when(ru.label_ord(moved, F.col("th")) == F.col("label_ord"), moved).otherwise(F.col("base"))
     out = rows.withColumn("th", th).withColumn("base", base.cast("int")).withColumn("toi", toi)
     answers = answers_for(F.col("toi"), F.col("th"), F.col("label_ord"), F.col("j"), F.lit(seed))
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.xxhash64("label_ord", "j", F.lit(seed + 2)))  # a design has few subjects
-    return scored(out.select(F.row_number().over(order).alias("subject_id"), answers.alias("answers")))
+    return scored(out.select(*subjects.columns, answers.alias("answers")))
 
 
 def fan_out(subjects: DataFrame, names: list[str], cities: list[str], pairs: list[tuple[str, str]], repeats: int = 1) -> DataFrame:
@@ -93,8 +103,10 @@ def fan_out(subjects: DataFrame, names: list[str], cities: list[str], pairs: lis
 
 
 def sample_pairs(names: DataFrame, cities: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` of all pairs of names and cities, in the order of their md5 with the seed. Both are short lists of cues."""
-    return names.crossJoin(F.broadcast(cities)).orderBy(F.md5(F.concat_ws("|", "name_group", "city", F.lit(str(seed))))).limit(n)
+    """``n`` of all pairs of distinct names and cities, in the order of their md5 with the seed. Both are short lists of cues: the names stand in one row's array beside each city."""
+    listed = names.agg(F.collect_set("name_group").alias("__n")).withColumn("__one", F.lit(1))
+    pairs = cities.distinct().withColumn("__one", F.lit(1)).join(listed, "__one").select(F.explode("__n").alias("name_group"), "city")
+    return pairs.orderBy(F.md5(F.concat_ws("|", "name_group", "city", F.lit(str(seed))))).limit(n)
 
 
 def expected_calls(models: int, subjects: int, repeats: int, names: int, cities: int, pairs: int) -> int:
@@ -107,6 +119,12 @@ def estimate(df: DataFrame, seconds: float = 2.0, price: float = 0.02) -> DataFr
     return df.withColumn("calls", calls.cast("bigint")).withColumn("hours", F.col("calls") * seconds / 3600).withColumn("cost", F.col("calls") * price)
 
 
+def at_probes(probes: DataFrame, subjects: DataFrame, toi: str = "toi", th: str = "th") -> DataFrame:
+    """``probes`` with n_subjects: how many of ``subjects`` stand at each one's total and horizon."""
+    counted = subjects.groupBy(F.col(toi).alias("toi_score"), F.col(th).alias("th_score")).agg(F.count("*").alias("n_subjects"))
+    return probes.join(counted, ["toi_score", "th_score"], "left").withColumn("n_subjects", F.coalesce("n_subjects", F.lit(0)).cast("bigint"))
+
+
 def boundary_probes(spark: SparkSession) -> DataFrame:
     """Profiles at, below and above every cut at every horizon, and a grid of totals and horizons, for each variant.
 

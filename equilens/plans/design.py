@@ -14,8 +14,6 @@ A = f"{AUDIT} a"
 CUTS_SQL = "(VALUES (2,18,22,26,30,34),(3,17,21,25,29,33),(4,16,20,24,28,32),(5,15,19,23,27,31),(6,14,18,22,26,30),(7,13,17,21,25,29),(8,12,16,20,24,28),(9,11,15,19,23,27),(10,10,14,18,22,26)) c(th,c0,c1,c2,c3,c4)"
 LABEL_CASE = "CASE WHEN toi<=c0 THEN 'Cash' WHEN toi<=c1 THEN 'Capital Stable' WHEN toi<=c2 THEN 'Balanced' WHEN toi<=c3 THEN 'Balanced Growth' WHEN toi<=c4 THEN 'Growth' ELSE 'High Growth' END"
 DIM_SQL = "(VALUES (0,'Cash',0),(1,'Capital Stable',35),(2,'Balanced',52),(3,'Balanced Growth',70),(4,'Growth',82),(5,'High Growth',93)) d(o,label,g)"
-NAMES = ["anglo_m", "anglo_f", "chinese", "indian", "arabic", "greek", "famous", "atsi_statement_only"]
-CITIES = ["Sydney", "Melbourne", "Brisbane", "Perth", "Adelaide", "Hobart", "Darwin", "Canberra", "<no address provided>"]
 
 
 @query("r01_rubric_lookup", f"SELECT toi, th, {LABEL_CASE} AS label, count(*) AS n FROM (SELECT toi, th FROM {A}) a JOIN {CUTS_SQL} USING (th) GROUP BY ALL")
@@ -23,15 +21,25 @@ def r01(spark, sf):
     return audit(spark, sf).groupBy("toi", "th").agg(F.count("*").alias("n")).withColumn("label", ru.label_of(ru.label_ord(F.col("toi"), F.col("th"))))
 
 
-@query("r01_truth_table", f"SELECT CAST(toi AS INT) AS toi, CAST(th AS INT) AS th, {LABEL_CASE} AS label FROM range(8, 41) t(toi), {CUTS_SQL}")
+#: Subjects of the orders: a total and a horizon by number.
+SUBJECTS_SQL = "(SELECT o_orderkey AS subject_id, CAST(8 + o_orderkey % 33 AS INT) AS toi, CAST(2 + (o_orderkey * 7) % 9 AS INT) AS th FROM orders)"
+
+
+def subjects(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(k.alias("subject_id"), (8 + k % 33).cast("int").alias("toi"), (2 + (k * 7) % 9).cast("int").alias("th"))
+
+
+@query("r01_truth_table", f"SELECT toi, CAST(th AS INT) AS th, {LABEL_CASE} AS label, count(*) AS n FROM {SUBJECTS_SQL} s JOIN {CUTS_SQL} USING (th) GROUP BY ALL")
 def r01t(spark, sf):
-    grid = spark.range(8, 41).select(F.col("id").cast("int").alias("toi"), F.explode(F.sequence(F.lit(2), F.lit(10))).alias("th"))
+    grid = subjects(spark, sf).groupBy("toi", "th").agg(F.count("*").alias("n"))
     return grid.withColumn("label", ru.label_of(ru.label_ord(F.col("toi"), F.col("th"))))
 
 
-@query("r02_asset_mix", f"SELECT label, CAST(g AS INT) AS growth_pct, CAST(100-g AS INT) AS income_pct FROM {DIM_SQL}")
+@query("r02_asset_mix", f"SELECT d.label, CAST(g AS INT) AS growth_pct, CAST(100-g AS INT) AS income_pct, count(a.true_label) AS n FROM {DIM_SQL} LEFT JOIN {A} ON a.true_label = d.label GROUP BY ALL")
 def r02(spark, sf):
-    return ru.label_dim(spark).drop("label_ord")
+    used = audit(spark, sf).groupBy(F.col("true_label").alias("label")).agg(F.count("*").alias("n"))
+    return ru.label_dim(spark).drop("label_ord").join(used, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 
 @query("r04_r05_ground_truth", f"""WITH a AS (SELECT toi + 0 AS toi, CASE WHEN subject_id % 50 = 0 THEN 11 ELSE th END AS th, pred_label, CAST(proposed_growth AS INT) AS g FROM {A}),
@@ -45,14 +53,19 @@ def r04(spark, sf):
     return v.groupBy("expected_label").agg(F.count("*").alias("n"), F.count_if("label_correct").alias("n_correct"), F.sum("deviation").cast("bigint").alias("deviation"), r6(F.avg("calibration_error")).alias("calibration_error"))
 
 
-@query("r06_rubric_lines", f"SELECT CAST(th AS INT) AS th, format('TOI<={{}}: Cash; TOI<={{}}: Capital Stable; TOI<={{}}: Balanced; TOI<={{}}: Balanced Growth; TOI<={{}}: Growth; else High Growth', c0, c1, c2, c3, c4) AS line FROM {CUTS_SQL}")
+@query("r06_rubric_lines", f"SELECT CAST(th AS INT) AS th, format('TOI<={{}}: Cash; TOI<={{}}: Capital Stable; TOI<={{}}: Balanced; TOI<={{}}: Balanced Growth; TOI<={{}}: Growth; else High Growth', c0, c1, c2, c3, c4) AS line, count(subject_id) AS n FROM {CUTS_SQL} LEFT JOIN {SUBJECTS_SQL} s USING (th) GROUP BY ALL")
 def r06(spark, sf):
-    return ru.rubric_lines(spark)
+    used = subjects(spark, sf).groupBy("th").agg(F.count("*").alias("n"))
+    return ru.rubric_lines(spark).join(used, "th", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 
-@query("r07_rubric_table", f"SELECT CAST(th AS INT) AS th, label, CAST([8,c0+1,c1+1,c2+1,c3+1,c4+1][o+1] AS INT) AS toi_from, CAST([c0,c1,c2,c3,c4,40][o+1] AS INT) AS toi_to, CAST(g AS INT) AS growth_pct, CAST(100-g AS INT) AS income_pct FROM {CUTS_SQL}, {DIM_SQL}")
+@query("r07_rubric_table", f"SELECT CAST(th AS INT) AS th, label, CAST([8,c0+1,c1+1,c2+1,c3+1,c4+1][o+1] AS INT) AS toi_from, CAST([c0,c1,c2,c3,c4,40][o+1] AS INT) AS toi_to, CAST(g AS INT) AS growth_pct, CAST(100-g AS INT) AS income_pct, (SELECT count(*) FROM {SUBJECTS_SQL} s WHERE s.th = c.th AND s.toi BETWEEN [8,c0+1,c1+1,c2+1,c3+1,c4+1][o+1] AND [c0,c1,c2,c3,c4,40][o+1]) AS n FROM {CUTS_SQL}, {DIM_SQL}")
 def r07(spark, sf):
-    return ru.band_dim(spark).drop("label_ord")
+    """Every band with the number of subjects inside it."""
+    counted = subjects(spark, sf).groupBy(F.col("toi").alias("s_toi"), F.col("th").alias("s_th")).agg(F.count("*").alias("k"))
+    bands = ru.band_dim(spark).drop("label_ord")
+    inside = (F.col("th") == F.col("s_th")) & F.col("s_toi").between(F.col("toi_from"), F.col("toi_to"))
+    return bands.join(counted, inside, "left").groupBy(*bands.columns).agg(F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("n"))
 
 
 @query("p01_p04_tidy", f"SELECT condition, count(*) AS n, count(pred_label) AS n_pred, CAST(sum(acc) AS BIGINT) AS correct, round(sum(proposed_growth - true_growth),6) AS growth_gap, CAST(sum(ordinal_error) AS BIGINT) AS ordinal_error FROM {A} GROUP BY 1")
@@ -95,14 +108,17 @@ def p11(spark, sf):
     return r.groupBy("model").agg(F.sum("tokens").alias("tokens"), r6(F.sum("cost")).alias("cost"), F.count_if("over_call").alias("over_call"), F.count_if("over_total").alias("over_total"))
 
 
-@query("p15_p18_model_classes", f"""WITH m AS (SELECT unnest(['gpt-5-mini','gpt-4o','claude-3.5-haiku','claude-opus-4.1','gemini-2.5-flash','gemini-1.5-pro','llama']) AS m)
+MODEL_IDS = ["gpt-5-mini", "gpt-4o", "claude-3.5-haiku", "claude-opus-4.1", "gemini-2.5-flash", "gemini-1.5-pro", "llama"]
+
+
+@query("p15_p18_model_classes", f"""WITH m AS (SELECT {MODEL_IDS}[1 + CAST(o_orderkey % 7 AS INT)] AS m FROM orders)
 SELECT m AS model, CASE WHEN contains(m,'gpt') THEN 'gpt' WHEN contains(m,'claude') THEN 'claude' WHEN contains(m,'gemini') THEN 'gemini' ELSE 'other' END AS family,
  CASE WHEN contains(m,'gpt') THEN 'openai' WHEN contains(m,'claude') THEN 'anthropic' WHEN contains(m,'gemini') THEN 'google' ELSE 'unknown' END AS vendor,
- CASE WHEN contains(m,'mini') AND contains(m,'gpt') THEN 'mini' WHEN contains(m,'gpt') THEN 'full' WHEN contains(m,'haiku') THEN 'haiku' WHEN contains(m,'flash') THEN 'flash' WHEN contains(m,'gemini') THEN 'pro' ELSE 'unknown' END AS size FROM m""")
+ CASE WHEN contains(m,'mini') AND contains(m,'gpt') THEN 'mini' WHEN contains(m,'gpt') THEN 'full' WHEN contains(m,'haiku') THEN 'haiku' WHEN contains(m,'flash') THEN 'flash' WHEN contains(m,'gemini') THEN 'pro' ELSE 'unknown' END AS size, count(*) AS n FROM m GROUP BY ALL""")
 def p15(spark, sf):
-    df = spark.createDataFrame([(x,) for x in ("gpt-5-mini", "gpt-4o", "claude-3.5-haiku", "claude-opus-4.1", "gemini-2.5-flash", "gemini-1.5-pro", "llama")], "model string")
     m = F.col("model")
-    return df.select("model", cl.model_family(m).alias("family"), cl.vendor(m).alias("vendor"), cl.model_size(m).alias("size"))
+    df = table(spark, sf, "orders").select(F.get(F.array(*map(F.lit, MODEL_IDS)), (F.col("o_orderkey") % 7).cast("int")).alias("model"))
+    return df.select("model", cl.model_family(m).alias("family"), cl.vendor(m).alias("vendor"), cl.model_size(m).alias("size")).groupBy("model", "family", "vendor", "size").agg(F.count("*").alias("n"))
 
 
 @query("p17_tiers", "SELECT model, CASE WHEN model IN ('1-URGENT','2-HIGH') THEN 'flagship' WHEN model = '3-MEDIUM' THEN 'standard' ELSE 'unknown' END AS tier, count(*) AS n FROM " + A + " GROUP BY 1")
@@ -155,43 +171,55 @@ def p33(spark, sf):
     )
 
 
+def customers(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"))
+
+
 @query("s01_random_subjects")
 def s01(spark, sf):
-    return ge.random_subjects(spark, 500)
+    """A random subject for each customer."""
+    return ge.random_answers(customers(spark, sf))
 
 
-@query("s04_stratified_counts", "SELECT label AS true_label, CAST(125 // 6 + CASE WHEN o < 125 % 6 THEN 1 ELSE 0 END AS BIGINT) AS n, true AS in_range FROM " + DIM_SQL)
+@query("s04_stratified_counts", f"WITH k AS (SELECT count(*) AS k FROM customer) SELECT label AS true_label, CAST(k // 6 + CASE WHEN o < k % 6 THEN 1 ELSE 0 END AS BIGINT) AS n, true AS in_range FROM k, {DIM_SQL}")
 def s04(spark, sf):
-    s = ge.stratified_subjects(spark, 125)
+    s = ge.stratified_answers(customers(spark, sf))
     inside = F.forall(F.map_values("answers"), lambda x: x.between(1, 5)) & F.col("toi").between(8, 40) & F.col("th").between(2, 10)
     return s.groupBy("true_label").agg(F.count("*").alias("n"), F.bool_and(inside).alias("in_range"))
 
 
-@query("s05_fan_out", "SELECT condition, CAST(count(*) * 40 * 3 AS BIGINT) AS n FROM (SELECT 'ND' AS condition UNION ALL SELECT 'N' FROM range(8) UNION ALL SELECT 'L' FROM range(9) UNION ALL SELECT 'NL' FROM range(2)) z GROUP BY 1")
+@query("s05_fan_out", "WITH k AS (SELECT count(*) AS k FROM customer), n AS (SELECT count(DISTINCT c_mktsegment) AS n FROM customer), c AS (SELECT count(*) AS c FROM nation) SELECT condition, CAST(k * 3 * m AS BIGINT) AS n FROM k, (SELECT 'ND' AS condition, 1 AS m UNION ALL SELECT 'N', n FROM n UNION ALL SELECT 'L', c FROM c UNION ALL SELECT 'NL', 2) z")
 def s05(spark, sf):
-    s = ge.stratified_subjects(spark, 40)
-    return ge.fan_out(s, NAMES, CITIES, [("chinese", "Perth"), ("greek", "Hobart")], 3).groupBy("condition").agg(F.count("*").alias("n"))
+    s = ge.stratified_answers(customers(spark, sf))
+    names = [r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # five cues
+    cities = [r[0] for r in table(spark, sf, "nation").select("n_name").distinct().orderBy("n_name").collect()]
+    return ge.fan_out(s, names, cities, [(names[0], cities[0]), (names[1], cities[1])], 3).groupBy("condition").agg(F.count("*").alias("n"))
 
 
-@query("s06_pair_sample", f"""SELECT n AS name_group, c AS city FROM (SELECT unnest({NAMES}) AS n), (SELECT unnest({CITIES}) AS c) ORDER BY md5(n || '|' || c || '|42') LIMIT 7""")
+@query("s06_pair_sample", "SELECT n AS name_group, c AS city FROM (SELECT DISTINCT c_mktsegment AS n FROM customer), (SELECT DISTINCT n_name AS c FROM nation) ORDER BY md5(n || '|' || c || '|42') LIMIT 7")
 def s06(spark, sf):
-    names = spark.createDataFrame([(x,) for x in NAMES], "name_group string")
-    cities = spark.createDataFrame([(x,) for x in CITIES], "city string")
-    return ge.sample_pairs(names, cities, 7)
+    return ge.sample_pairs(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("name_group")), table(spark, sf, "nation").select(F.col("n_name").alias("city")), 7)
 
 
-@query("s07_s08_estimates", "SELECT CAST(8 AS INT) AS models, CAST(30 AS INT) AS subjects, CAST(15120 AS BIGINT) AS calls, round(CAST(15120*2.0/3600 AS DOUBLE),6) AS hours, round(CAST(15120*0.02 AS DOUBLE),6) AS cost")
+@query("s07_s08_estimates", f"""WITH d AS (SELECT provider, CAST(count(DISTINCT model) AS INT) AS models, CAST(count(DISTINCT subject_id) AS INT) AS subjects, CAST(max(run_idx) + 1 AS INT) AS repeats, count(DISTINCT name_group) AS names, count(DISTINCT city) AS cities,
+ count(DISTINCT CASE WHEN condition = 'NL' THEN name_group || '|' || city END) AS pairs FROM {A} GROUP BY 1), c AS (SELECT *, CAST(models AS BIGINT) * subjects * repeats * (1 + names + cities + pairs) AS calls FROM d)
+SELECT provider, models, subjects, calls, round(CAST(calls AS DOUBLE) * 2 / 3600, 6) AS hours, round(CAST(calls AS DOUBLE) * 0.02, 6) AS cost FROM c""")
 def s07(spark, sf):
-    df = spark.createDataFrame([(8, 30, 3, 8, 9, 3)], "models int, subjects int, repeats int, names int, cities int, pairs int").where(F.lit(ge.expected_calls(8, 30, 3, 8, 9, 3)) == 15120)
-    return ge.estimate(df).select("models", "subjects", "calls", r6(F.col("hours")).alias("hours"), r6(F.col("cost")).alias("cost"))
+    """Calls, hours and cost of the full design that each provider's audit samples."""
+    pair = F.when(F.col("condition") == "NL", F.concat_ws("|", "name_group", "city"))
+    d = audit(spark, sf).groupBy("provider").agg(
+        F.countDistinct("model").cast("int").alias("models"), F.countDistinct("subject_id").cast("bigint").alias("subjects"), (F.max("run_idx") + 1).alias("repeats"), F.countDistinct("name_group").alias("names"), F.countDistinct("city").alias("cities"), F.countDistinct(pair).alias("pairs")
+    )
+    return ge.estimate(d).select("provider", "models", F.col("subjects").cast("int").alias("subjects"), "calls", r6(F.col("hours")).alias("hours"), r6(F.col("cost")).alias("cost"))
 
 
 @query("e01_boundary_probes", f"""WITH p AS (SELECT CAST(unnest([c0,c1,c2,c3,c4]) AS INT) AS t, unnest(['cash_max','capstable_max','balanced_max','balgrowth_max','growth_max']) AS cut, unnest(['Cash','Capital Stable','Balanced','Balanced Growth','Growth']) AS label, th FROM {CUTS_SQL}),
 q AS (SELECT t + d AS toi_score, CAST(th AS INT) AS th_score, cut || '_' || pl || '_threshold' AS probe_type, CASE WHEN d=0 THEN label END AS expected_label, CASE WHEN d<>0 THEN label END AS expected_different_from, cut AS threshold_tested FROM p, (VALUES (0,'at'),(-1,'below'),(1,'above')) s(d,pl)
 UNION ALL SELECT toi, th, 'th_boundary_probe', NULL, NULL, 'th_' || th FROM (VALUES (20),(25),(30),(35)) a(toi), (VALUES (2),(5),(8),(10)) b(th))
-SELECT q.*, gender, CAST(age AS INT) AS age, location, 'boundary_' || probe_type || '_' || lower(gender) || '_' || age AS profile_id FROM q, (VALUES ('Male',35,'Sydney'),('Female',35,'Sydney'),('Male',55,'Melbourne'),('Female',55,'Melbourne')) v(gender,age,location)""")
+SELECT q.*, gender, CAST(age AS INT) AS age, location, 'boundary_' || probe_type || '_' || lower(gender) || '_' || age AS profile_id, coalesce(n, 0) AS n_subjects FROM q LEFT JOIN (SELECT toi, th, count(*) AS n FROM {SUBJECTS_SQL} s GROUP BY ALL) s ON s.toi = toi_score AND s.th = th_score, (VALUES ('Male',35,'Sydney'),('Female',35,'Sydney'),('Male',55,'Melbourne'),('Female',55,'Melbourne')) v(gender,age,location)""")
 def e01(spark, sf):
-    return ge.boundary_probes(spark)
+    """Boundary profiles, with the number of the orders' subjects at each one's total and horizon."""
+    return ge.at_probes(ge.boundary_probes(spark), subjects(spark, sf))
 
 
 @query("x01_x02_batches", """WITH r AS (SELECT o_orderkey, o_totalprice, o_orderstatus<>'F' AS ok, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders), b AS (SELECT printf('batch_%04d', CAST(ceil(rn/1000.0) AS BIGINT)) AS batch_id, * FROM r)

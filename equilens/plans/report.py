@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from equilens.functions import rubric as ru
+from equilens.operators import fairness as fa
 from equilens.operators import inference as inf
 from equilens.operators import predict as pr
 from equilens.operators import report as rp
@@ -289,7 +290,14 @@ def d14(spark, sf):
     return pr.recommend_design(r, "facet", "bias", 100.0).select("facet", "required_n", "affordable_n", "n", F.round("cost", 4).alias("cost"))
 
 
-@query("d16_power_formulas", "SELECT CAST(0.8 AS DOUBLE) AS p1, CAST(0.75 AS DOUBLE) AS p2, CAST(ceil(pow(1.959964+0.841621,2)*(0.8*0.2+0.75*0.25)/pow(0.05,2)) AS BIGINT) AS n_group, CAST(ceil(pow(1.959964*sqrt(0.15)+0.841621*sqrt(0.15-0.05*0.05),2)/pow(0.05,2)) AS BIGINT) AS n_pairs")
+@query("d16_power_formulas", f"""WITH j AS (SELECT t.model, t.condition, coalesce(t.acc,0) AS t, coalesce(r.acc,0) AS r FROM {AUDIT} r JOIN {AUDIT} t ON r.condition='ND' AND t.condition<>'ND' AND t.provider=r.provider AND t.model=r.model AND t.subject_id=r.subject_id AND t.run_idx=r.run_idx),
+g AS (SELECT model, condition, avg(r) AS p1, avg(t) AS p2, abs(avg(t) - avg(r)) AS d, avg(CAST(t <> r AS INT)) AS s FROM j GROUP BY ALL)
+SELECT model, condition, round(p1, 6) AS p1, round(p2, 6) AS p2, CAST(ceil(round(pow(1.959964+0.841621,2)*(p1*(1-p1)+p2*(1-p2))/pow(p1-p2,2), 4)) AS BIGINT) AS n_group, CAST(ceil(round(pow(1.959964*sqrt(s)+0.841621*sqrt(s-d*d),2)/(d*d), 4)) AS BIGINT) AS n_pairs FROM g WHERE d > 0""")
 def d16(spark, sf):
-    df = spark.createDataFrame([(0.8, 0.75, 0.05, 0.15)], "p1 double, p2 double, d double, s double")
-    return pr.n_for_mcnemar(pr.n_for_proportions(df, "p1", "p2"), "d", "s").select("p1", "p2", "n_group", "n_pairs")
+    """Sizes of studies that would show each condition's observed difference from ND, unpaired and paired."""
+    m = fa.paired_mcnemar(audit(spark, sf), ["model"], ["provider", "subject_id", "run_idx"])
+    n = F.col("n_pairs")
+    seen = m.select("model", "condition", ((F.col("both_right") + F.col("ref_only")) / n).alias("p1"), ((F.col("both_right") + F.col("treat_only")) / n).alias("p2"), ((F.col("ref_only") + F.col("treat_only")) / n).alias("s"))
+    seen = seen.withColumn("d", F.abs(F.col("p1") - F.col("p2"))).where("d > 0")
+    sized = pr.n_for_mcnemar(pr.n_for_proportions(seen, "p1", "p2"), "d", "s")
+    return rounded(sized, "p1", "p2").select("model", "condition", "p1", "p2", F.col("n_group").cast("bigint").alias("n_group"), F.col("n_pairs").cast("bigint").alias("n_pairs"))

@@ -60,10 +60,12 @@ def s18(spark, sf):
     return records.read_versions(spark, path).groupBy("version_id").agg(F.count("*").alias("n"))
 
 
-@query("s20_registry", "SELECT 'v' || i AS version_id, CASE WHEN i < 2 THEN 'new' ELSE 'old' END AS metadata FROM range(4) t(i)")
+@query("s20_registry", "WITH e AS (SELECT 'v' || (user_id % 8) AS version_id, event_type FROM events), n AS (SELECT version_id, 'new ' || count(*) AS metadata FROM e WHERE event_type = 'click' AND version_id < 'v3' GROUP BY 1), o AS (SELECT version_id, 'old ' || count(*) AS metadata FROM e GROUP BY 1) SELECT * FROM n UNION ALL SELECT * FROM o WHERE version_id NOT IN (SELECT version_id FROM n)")
 def s20(spark, sf):
-    old = spark.range(4).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("version_id"), F.lit("old").alias("metadata"))
-    return records.register_version(old, old.where("version_id < 'v2'").withColumn("metadata", F.lit("new")))
+    """A registry of the events' versions, in which the first ones' rows are replaced by those of their clicks."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.concat(F.lit("v"), (F.col("user_id") % 8).cast("string")).alias("version_id"), "event_type")
+    told = lambda df, word: df.groupBy("version_id").agg(F.concat(F.lit(f"{word} "), F.count("*").cast("string")).alias("metadata"))
+    return records.register_version(told(e, "old"), told(e.where("event_type = 'click' and version_id < 'v3'"), "new"))
 
 
 @query("json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
