@@ -228,6 +228,34 @@ def dashboard(df: DataFrame, model: str, models: list[str], time: str, low, high
     return df.where(F.col(model).isin(models) & F.col(time).between(F.lit(low), F.lit(high))).orderBy(*order).limit(rows)
 
 
+def refreshed(
+    df: DataFrame, metric: str, demographics: list[str] | tuple = (), models: list[str] | tuple = (), low=None, high=None, model: str = "model", time: str | None = "timestamp",
+    metrics: list[str] | tuple = (), order: list[str] | tuple = (), bins: int = 20, rows: int = 100,
+) -> dict[str, DataFrame]:
+    """The frames of a dashboard under its filters, each lazy: main, network, temporal, distribution and table.
+
+    Filters: ``models`` (all where none is given) and the time from ``low`` to ``high``
+    (both or neither). main: the mean of the metric and n by ``demographics``, or without any the histogram of distribution;
+    network: correlated ``metrics`` (numeric columns where none are given); temporal: the mean by time, or
+    without a time column its quartiles; distribution: ``bins`` equal bins from the least to the greatest value (bin, from, n);
+    table: the first ``rows`` rows in ``order``. Columns that ``df`` doesn't have don't filter.
+    """
+    kept = df
+    if models and model in df.columns:
+        kept = kept.where(F.col(model).isin(list(models)))
+    if low is not None and high is not None and time in df.columns:
+        kept = kept.where(F.col(time).between(F.lit(low), F.lit(high)))
+    known = kept.where(F.col(metric).isNotNull()).withColumn("__m", F.col(metric).cast("double"))
+    span = known.agg(F.min("__m").alias("__low"), F.max("__m").alias("__high"))
+    width = (F.col("__high") - F.col("__low")) / bins
+    at = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("__m") - F.col("__low"), width)), F.lit(0))).cast("int")  # of one value: the first
+    dealt = known.crossJoin(F.broadcast(span))  # one row
+    distribution = dealt.groupBy(at.alias("bin"), (F.col("__low") + at * width).alias("from")).agg(F.count("*").alias("n"))
+    main = kept.groupBy(*demographics).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n")) if demographics else distribution
+    temporal = kept.where(F.col(time).isNotNull()).groupBy(time).agg(F.avg(metric).alias("mean")) if time in df.columns else quartiles(kept.withColumn("all", F.lit("all")), "all", metric)
+    return {"main": main, "network": network(kept, list(metrics) or metric_columns(kept)), "temporal": temporal, "distribution": distribution, "table": (kept.orderBy(*order) if order else kept).limit(rows)}
+
+
 def recommendations(df: DataFrame, n: int, metrics: list[str], demographics: list[str], models: int, timed: bool) -> list[str]:
     """What a table of ``n`` rows supports, as short advice."""
     rules = (
@@ -238,27 +266,69 @@ def recommendations(df: DataFrame, n: int, metrics: list[str], demographics: lis
 
 
 class Chart:
-    """A chart description built step by step; ``data`` gives the grouped frame that a renderer would draw."""
+    """A chart description built step by step; ``data`` gives the grouped frame that a renderer would draw, ``build`` all that it needs besides."""
 
-    def __init__(self, df: DataFrame):
-        self.df, self.x, self.y, self.color, self.layers, self.titles = df, None, None, None, [], {}
+    #: Geometries, and functions that a scale puts a continuous axis through.
+    LAYERS = ("point", "line", "bar")
+    SCALES = {"linear": lambda c: c, "log10": lambda c: F.when(c > 0, F.log10(c)), "sqrt": lambda c: F.when(c >= 0, F.sqrt(c)), "reverse": lambda c: -c}
 
-    def aes(self, x: str, y: str, color: str | None = None) -> "Chart":
-        self.x, self.y, self.color = x, y, color
+    def __init__(self, df: DataFrame):
+        self.df, self.x, self.y, self.color, self.size, self.layers, self.titles = df, None, None, None, None, [], {}
+        self.facets: list[str] = []
+        self.scales: dict[str, str] = {}
+        self.limits: dict[str, tuple[float, float]] = {}
+        self.style: dict[str, str] = {}
+
+    def aes(self, x: str, y: str, color: str | None = None, size: str | None = None) -> "Chart":
+        self.x, self.y, self.color, self.size = x, y, color, size
         return self
 
     def layer(self, kind: str) -> "Chart":
-        if kind not in ("point", "line", "bar"):
+        if kind not in self.LAYERS:
             raise ValueError(kind)
         self.layers.append(kind)
         return self
 
+    def facet(self, *columns: str) -> "Chart":
+        """One panel for each value of the columns."""
+        self.facets += columns
+        return self
+
+    def scale(self, axis: str, kind: str = "linear", limits: tuple[float, float] | None = None) -> "Chart":
+        """Put x or y through a function; rows whose value is outside ``limits``, before that, are left out."""
+        if axis not in ("x", "y") or kind not in self.SCALES:
+            raise ValueError(f"{axis}: {kind}")
+        self.scales[axis] = kind
+        if limits:
+            self.limits[axis] = limits
+        return self
+
+    def theme(self, **style: str) -> "Chart":
+        self.style |= style
+        return self
+
     def labs(self, **titles: str) -> "Chart":
         self.titles |= titles
         return self
 
     def data(self) -> DataFrame:
-        keys = [c for c in (self.x, self.color) if c]
+        """Rows for points, else the mean of y by x, color and facets; y is averaged before its scale."""
+        if self.x is None or self.y is None:
+            raise ValueError("aes comes first")
+        column = {"x": self.x, "y": self.y}
+        df = self.df
+        for axis, (low, high) in self.limits.items():
+            df = df.where(F.col(column[axis]).between(low, high))
+        keys = [c for c in dict.fromkeys((self.x, self.color, *self.facets)) if c]
         if "point" in self.layers:
-            return self.df.select(*keys, self.y)
-        return self.df.groupBy(*keys).agg(F.avg(self.y).alias(self.y)).orderBy(*keys)
+            out = df.select(*dict.fromkeys([*keys, self.y, *([self.size] if self.size else [])]))
+        else:
+            out = df.groupBy(*keys).agg(F.avg(self.y).alias(self.y), *([F.avg(self.size).alias(self.size)] if self.size else []))
+        for axis, kind in self.scales.items():
+            out = out.withColumn(column[axis], self.SCALES[kind](F.col(column[axis])))
+        return out if "point" in self.layers else out.orderBy(*self.facets, *[c for c in keys if c not in self.facets])
+
+    def build(self) -> dict:
+        """The description: aesthetics, layers, facets, scales, limits, theme and titles, and data."""
+        aes = {k: v for k, v in (("x", self.x), ("y", self.y), ("color", self.color), ("size", self.size)) if v}
+        return {"aes": aes, "layers": list(self.layers), "facets": list(self.facets), "scales": dict(self.scales), "limits": dict(self.limits), "theme": dict(self.style), "labs": dict(self.titles), "data": self.data()}

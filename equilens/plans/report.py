@@ -215,6 +215,33 @@ def v28(spark, sf):
     return rounded(rp.Chart(audit(spark, sf)).aes("model", "acc", "condition").layer("bar").labs(title="accuracy").data(), "acc")
 
 
+@query("v28_facets", f"SELECT gender, model, condition, round(log10(avg(latency_s)),6) AS latency_s FROM {A} WHERE latency_s BETWEEN 1000 AND 50000 GROUP BY ALL")
+def v28f(spark, sf):
+    chart = rp.Chart(audit(spark, sf)).aes("model", "latency_s", "condition").layer("bar").facet("gender").scale("y", "log10", (1000.0, 50000.0)).theme(palette="muted").labs(title="latency")
+    return rounded(chart.build()["data"], "latency_s")
+
+
+@query("v42_dashboard", f"""WITH k AS (SELECT * FROM {A} WHERE model IN ('1-URGENT','2-HIGH') AND ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1997-01-01'),
+s AS (SELECT min(latency_s) AS lo, max(latency_s) AS hi FROM k), b AS (SELECT CAST(least(19, floor((latency_s - lo) / ((hi - lo) / 20))) AS INT) AS bin FROM k, s)
+SELECT 'main' AS part, gender || '|' || age_group AS key, round(avg(latency_s), 4) AS value, count(*) AS n FROM k GROUP BY 1, 2 UNION ALL SELECT 'distribution', CAST(bin AS VARCHAR), NULL, count(*) FROM b GROUP BY 2
+UNION ALL SELECT 'temporal', CAST(CAST(ts AS DATE) AS VARCHAR), round(avg(latency_s), 4), NULL FROM k GROUP BY 2 UNION ALL SELECT 'table', 'rows', NULL, least(100, count(*)) FROM k""")
+def v42(spark, sf):
+    """The parts of a dashboard under its filters, in long form."""
+    a = audit(spark, sf).withColumn("ts", F.date_trunc("day", "ts"))
+    p = rp.refreshed(a, "latency_s", ["gender", "age_group"], ["1-URGENT", "2-HIGH"], "1995-01-01", "1997-01-01", time="ts", metrics=_METRICS, order=["subject_id"])
+    none = F.lit(None).cast("bigint").alias("n")
+    parts = [
+        p["main"].select(F.lit("main").alias("part"), F.concat_ws("|", "gender", "age_group").alias("key"), F.round("mean", 4).alias("value"), "n"),
+        p["distribution"].select(F.lit("distribution").alias("part"), F.col("bin").cast("string").alias("key"), F.lit(None).cast("double").alias("value"), "n"),
+        p["temporal"].select(F.lit("temporal").alias("part"), F.to_date("ts").cast("string").alias("key"), F.round("mean", 4).alias("value"), none),
+        p["table"].agg(F.count("*").alias("n")).select(F.lit("table").alias("part"), F.lit("rows").alias("key"), F.lit(None).cast("double").alias("value"), "n"),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 @query("v29_v36_dashboard", f"SELECT subject_id, run_idx, condition, model FROM {A} WHERE model IN ('1-URGENT','2-HIGH') AND ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1997-01-01' ORDER BY subject_id, run_idx, condition, model LIMIT 100")
 def v29(spark, sf):
     d = rp.dashboard(audit(spark, sf), "model", ["1-URGENT", "2-HIGH"], "ts", "1995-01-01", "1997-01-01", ["subject_id", "run_idx", "condition", "model"])

@@ -64,3 +64,30 @@ def test_statistics_of_no_rows(spark):
     from equilens.plans.audit import audit
 
     assert sr.statistics(audit(spark, "/root/testdata/sf0.001").where(F.lit(False))).count() == 0
+
+
+def test_charts_with_facets_scales_and_themes(spark):
+    from equilens.operators import report as rp
+
+    df = spark.createDataFrame([("a", "u", 1.0, 1.0), ("a", "u", 99.0, 3.0), ("a", "v", 1000.0, 1.0), ("b", "v", 5000.0, 1.0)], "g string, panel string, y double, s double")
+    made = rp.Chart(df).aes("g", "y", size="s").layer("line").facet("panel").scale("y", "log10", (1.0, 2000.0)).theme(font="serif").labs(title="t").build()
+    assert made["facets"] == ["panel"] and made["scales"] == {"y": "log10"} and made["theme"] == {"font": "serif"} and made["labs"] == {"title": "t"} and made["aes"] == {"x": "g", "y": "y", "size": "s"}
+    got = {(r["panel"], r["g"]): (r["y"], r["s"]) for r in made["data"].collect()}
+    assert got == {("u", "a"): (pytest.approx(math.log10(50)), 2.0), ("v", "a"): (3.0, 1.0)}
+    points = rp.Chart(df).aes("s", "y").layer("point").scale("y", "reverse").data().collect()
+    assert sorted(r["y"] for r in points) == [-5000.0, -1000.0, -99.0, -1.0]
+    for wrong in (lambda: rp.Chart(df).scale("z"), lambda: rp.Chart(df).scale("x", "cube"), lambda: rp.Chart(df).layer("bar").data()):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_dashboard_without_filters_and_times(spark):
+    from equilens.operators import report as rp
+
+    df = spark.createDataFrame([(k, float(k % 10), float(k)) for k in range(100)] + [(200, None, 1.0)], "k int, bias double, other double")
+    parts = rp.refreshed(df, "bias", models=["x"], low=1, high=2, time="timestamp", bins=5, order=["k"], rows=7)
+    assert {r["bin"]: r["n"] for r in parts["main"].collect()} == {b: 20 for b in range(5)} == {r["bin"]: r["n"] for r in parts["distribution"].collect()}
+    assert parts["temporal"].first()["q2"] == 4.5 and [r["k"] for r in parts["table"].collect()] == list(range(7)) and parts["network"].count() == 0
+    same = rp.refreshed(df.where("k < 1"), "bias", bins=5)
+    assert [(r["bin"], r["n"]) for r in same["distribution"].collect()] == [(0, 1)]
+    assert rp.refreshed(df.limit(0), "bias")["distribution"].count() == 0
