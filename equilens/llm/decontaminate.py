@@ -211,7 +211,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Words are runs of digits, letters A-Z (lower-cased) and characters beyond
     ASCII. Null and empty texts have no words and so no spans. Items without
     words match nothing; repeated items and equal windows count for each item
-    id once. An empty benchmark leaves every document without spans. Rows are
+    id once. An empty benchmark leaves every document without spans. Texts and
+    words of any length are read whole, a slice of rows at a time. Rows are
     independent: repeated rows get equal results. Columns of ``docs`` named
     like a result column are replaced by it.
     """

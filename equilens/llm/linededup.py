@@ -626,7 +626,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     matches a line of the same words, both with ``min_bytes`` (1 or more) bytes
     of words; without any word it stays. Null texts stay null (0 lines); an empty text has
     one line, which stays. The kept lines are joined by line feeds as before.
-    Columns of ``docs`` named like a result column are replaced.
+    Lines and texts of any length, and of any number of lines, are read whole. The key is a
+    whole number (null counts as the least); rows of one key and text lose the
+    same lines. An empty table gives an empty one. Columns of ``docs`` named like a result column are replaced.
     """
     gone = removals(docs, key, text, percent, min_words, min_bytes).select(F.col("k").alias("__gk"), F.col("h").alias("__gh"), F.col("gone").alias("__gone"))
     kept = tx.others(docs, ["n_lines", "n_removed"])

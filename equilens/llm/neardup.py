@@ -239,7 +239,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     always link. Texts without words have fingerprint 0 and link like others.
     Fewer words than a shingle make one shingle of the whole sequence. Rows
     with a null key belong to components, but a component's id is its smallest
-    non-null key (null if it has none). Repeated rows stay, with equal results.
+    non-null key (null if it has none). The key is any type with an order. Texts of any length are
+    read whole. Repeated rows stay, with equal results. An empty table gives an empty one; columns
+    of ``docs`` named like a result column are replaced.
     """
     marked = tx.checkpointed(simhash(docs.select(*[F.col(f"`{c}`") for c in tx.others(docs, ["fp", "component_id"])]), text, shingle))
     nodes = tx.checkpointed(marked.groupBy("fp").agg(F.min(key).alias("least")))

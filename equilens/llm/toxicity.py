@@ -251,7 +251,8 @@ def weak_labels(votes: np.ndarray, given: np.ndarray, judge: np.ndarray) -> tupl
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.7) -> DataFrame:
     """``docs`` without its text, with score (0 to 1, higher: toxic likelier) and predicted (1 if score >= ``limit``).
 
-    Null and empty texts have the score of a text without words. Rows are
+    Null and empty texts have the score of a text without words. Texts of any
+    length are read whole. An empty table gives an empty one. Rows are
     independent: repeated rows get equal scores. Columns of ``docs`` named like
     a result column are replaced.
     """

@@ -141,7 +141,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], url: st
     A rule that fits decides; else a host is blocked whose posterior bad rate
     exceeds ``limit`` at its lower bound; hosts without outcomes (and urls
     without a host) are allowed, with null rate and lower. Null urls, and urls without ``://``, have an
-    empty host and path. Repeated pages are judged alike. Columns of ``pages``
+    empty host and path; urls of any length are read whole. Repeated pages are judged alike, and an
+    empty table gives an empty one. Columns of ``pages``
     named like a result column are replaced.
     """
     made = ["host", "path", "rule", "rate", "lower", "verdict"]

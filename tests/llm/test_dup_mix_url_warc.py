@@ -302,3 +302,23 @@ def test_plain_warc_files_are_read_in_linear_time():
         at += len(pieces[-1])
     got = [(h["warc-record-id"], s) for p in pieces for h, _, s in stream.feed(p)]
     assert got == [(r, s) for r, _, s in found[: len(got)]] and len(got) >= 55
+
+
+def test_near_duplicates_of_long_texts_with_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [("k1", long, 1), ("k2", long + " more", 2), ("k3", "x" * 1_000_000, 3), ("k4", None, 4), ("k5", " ", 5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, FP int").selectExpr("*", "0 as Component_Id", "FP as extra")
+    made = neardup.near_duplicates(docs)
+    assert sorted(made.columns) == ["component_id", "doc_id", "extra", "fp"]
+    assert {r["doc_id"]: r["component_id"] for r in made.collect()} == {"k1": "k1", "k2": "k1", "k3": "k3", "k4": "k4", "k5": "k4"}
+    assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_urls_and_empty_tables(spark):
+    far = "http://" + "a." * 50_000 + "example.net/" + "p" * 100_000
+    pages = spark.createDataFrame([(1, far, 9), (2, None, 9)], "page_id int, url string, VERDICT int")
+    outcomes = spark.createDataFrame([("x.org", 1)], "host string, bad int")
+    rules = [urls.Rule("block", "example.net", "/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"])) for r in urls.judge_urls(pages, outcomes, rules).collect()}
+    assert got == {1: ("example.net/", "block", 100_011), 2: (None, "allow", 0)}
+    assert urls.judge_urls(pages.limit(0), outcomes.limit(0), rules).count() == 0
