@@ -142,14 +142,16 @@ def kappa_of_cells(cells: DataFrame, a: str, b: str, by: list[str] | tuple = ())
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | tuple = ()) -> DataFrame:
-    """Spearman's correlation (average ranks): by, n, rho."""
+    """Spearman's correlation (average ranks): by, n, rho (NaN where all values of a side are equal)."""
     by = list(by)
     rows = stored(_present(df, [*by, x, y]).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")))
     for c in ("__x", "__y"):
         ties = od.cumulated(rows.groupBy(*by, c).agg(F.count("*").alias("__t")), by, c, ["__t"])
         rank = ties.select(*by, c, (F.col("__t_before") + (F.col("__t") + 1) / 2.0).alias(f"{c}r"))
         rows = rows.join(rank, [*by, c])
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__xr", "__yr").alias("rho"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.regr_sxy("__yr", "__xr").alias("xy"), F.regr_sxx("__yr", "__xr").alias("xx"), F.regr_syy("__yr", "__xr").alias("yy"))
+    scale = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select(*by, "n", F.when(scale > 0, F.try_divide("xy", scale)).when(F.col("n") > 0, float("nan")).alias("rho"))
 
 
 def adjust(df: DataFrame, p: str, key: str, family: list[str] | tuple = (), alpha: float = 0.05) -> DataFrame:

@@ -101,7 +101,7 @@ def egger(df: DataFrame, effect: str = "effect", se: str = "se", textbook: bool
 
 
 def begg(df: DataFrame, effect: str = "effect", se: str = "se") -> DataFrame:
-    """Spearman's correlation of effect and variance: n, rho."""
+    """Spearman's correlation of effect and variance: n, rho (NaN where all effects or all variances are equal)."""
     return inf.spearman(df.select(F.col(effect).alias("e"), (F.col(se) * F.col(se)).alias("v")), "e", "v")
 
 
