@@ -88,16 +88,23 @@ def heterogeneity(df: DataFrame, by: list[str] | tuple = (), effect: str = "effe
 
 
 def egger(df: DataFrame, effect: str = "effect", se: str = "se", textbook: bool = False) -> DataFrame:
-    """Regression of effect / se on 1 / se: k, intercept, slope, se, t and dof (null below three studies).
+    """Regression of effect / se on 1 / se: k, intercept, slope, se, t and dof.
 
     se: of the slope, as the report that this reproduces has it; with ``textbook`` that of the intercept.
+    Null below three studies. Where all studies have one se there is no line: intercept and t are null, slope and se NaN.
+    An exact line has se 0 and t infinite, or NaN for an intercept of 0.
     """
     d = df.select((1 / F.col(se)).alias("x"), (F.col(effect) / F.col(se)).alias("y"))
     a = d.agg(F.count("*").alias("k"), F.regr_intercept("y", "x").alias("a"), F.regr_slope("y", "x").alias("b"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"), F.avg("x").alias("mx"))
-    s2 = (F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("k") - 2)
-    err = F.sqrt(s2 * (1 / F.col("k") + F.col("mx") * F.col("mx") / F.col("sxx"))) if textbook else F.sqrt(s2 / F.col("sxx"))
-    ok = (F.col("k") >= 3) & (F.col("sxx") > 0)
-    return a.select("k", F.when(ok, F.col("a")).alias("intercept"), F.when(ok, F.col("b")).alias("slope"), F.when(ok, err).alias("se"), F.when(ok, F.col("a") / err).alias("t"), F.when(ok, F.col("k") - 2).alias("dof"))
+    enough, line, nan = F.col("k") >= 3, F.col("sxx") > 0, F.lit(float("nan"))
+    s2 = F.try_divide(F.greatest(F.lit(0.0), F.col("syy") - F.col("b") * F.col("sxy")), F.col("k") - 2)
+    mean = F.try_divide(F.col("mx") * F.col("mx"), F.col("sxx"))
+    err = F.sqrt(s2 * (F.try_divide(F.lit(1.0), F.col("k")) + mean)) if textbook else F.sqrt(F.try_divide(s2, F.col("sxx")))
+    t = F.when(err > 0, F.try_divide(F.col("a"), err)).otherwise(F.when(F.col("a") == 0, nan).otherwise(F.signum("a") * F.lit(float("inf"))))
+    return a.select(
+        "k", F.when(enough & line, F.col("a")).alias("intercept"), F.when(enough, F.when(line, F.col("b")).otherwise(nan)).alias("slope"), F.when(enough, F.when(line, err).otherwise(nan)).alias("se"),
+        F.when(enough & line, t).alias("t"), F.when(enough, F.col("k") - 2).alias("dof"),
+    )
 
 
 def begg(df: DataFrame, effect: str = "effect", se: str = "se") -> DataFrame:

@@ -21,3 +21,17 @@ def test_spearman_by_group(spark):
     assert got["up"] == (3, 1.0) and got["flat"][0] == 2 and math.isnan(got["flat"][1]) and math.isnan(got["one"][1])
     assert math.isclose(got["mixed"][1], -math.sqrt(3) / 2)
     assert inf.spearman(spark.createDataFrame([], "x double, y double"), "x", "y").first() == (0, None)
+
+
+def test_egger_without_a_line(spark):
+    r = me.egger(flat(spark)).first()
+    assert (r["k"], r["dof"], r["intercept"], r["t"]) == (3, 1, None, None) and math.isnan(r["slope"]) and math.isnan(r["se"])
+
+
+def test_egger_on_an_exact_line(spark):
+    # effect / se = 1 + 2 / se
+    exact = spark.createDataFrame([(2.0 + s, s) for s in (1.0, 0.5, 0.25)], "effect double, se double")
+    r = me.egger(exact).first()
+    assert (r["intercept"], r["slope"], r["se"], r["t"]) == (1.0, 2.0, 0.0, math.inf)
+    few = me.egger(exact.limit(2)).first()
+    assert few[1:] == (None,) * 5 and few["k"] == 2
