@@ -135,9 +135,10 @@ def kappa_of_cells(cells: DataFrame, a: str, b: str, by: list[str] | tuple = ())
     total = marked.groupBy(*by).agg(F.sum("o").alias("n"), (F.sum("__same") / F.sum("o")).alias("agreement"))
     pa = cells.groupBy(*by, F.col(a).alias("label")).agg(F.sum("o").alias("na"))
     pb = cells.groupBy(*by, F.col(b).alias("label")).agg(F.sum("o").alias("nb"))
-    chance = pa.join(pb, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("na") * F.col("nb")).cast("double").alias("e"))
+    # squares of counts of pairs are beyond 64 bits
+    chance = pa.join(pb, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("e"))
     out = total.join(chance, by, "left") if by else total.crossJoin(chance)  # one row each
-    e = F.coalesce("e", F.lit(0.0)) / (F.col("n") * F.col("n")).cast("double")
+    e = F.coalesce("e", F.lit(0.0)) / (F.col("n").cast("double") * F.col("n"))
     return out.withColumn("expected", e).withColumn("kappa", F.when(e < 1 - 1e-12, (F.col("agreement") - e) / (1 - e))).drop("e")
 
 
