@@ -178,14 +178,8 @@ def minimal_prompt(toi: Column, th: Column) -> Column:
 
 def batches(df: DataFrame, order: list[str], size: int = 10) -> DataFrame:
     """Adds batch_id (batch_0001, ...) by rank in ``order``, from ranks within ranges: no single task orders all rows."""
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").count()
-    ahead = counts.withColumn("__ahead", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order))).join(F.broadcast(ahead), "__p")
-    number = F.ceil((F.col("__r") + F.col("__ahead")) / size)
-    return ranked.withColumn("batch_id", F.format_string("batch_%04d", number.cast("bigint"))).drop("__p", "__r", "__ahead")
+    ranked = od.numbered(df, order, "__n")
+    return ranked.withColumn("batch_id", F.format_string("batch_%04d", F.floor(F.col("__n") / size).cast("bigint") + 1)).drop("__n")
 
 
 def batch_summary(df: DataFrame, ok: str, seconds: str) -> DataFrame:

@@ -113,11 +113,15 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float | Column], by
     return found.groupBy(*by, "n").agg(F.transform(listed, lambda r: r["q"]).alias(name))
 
 
-def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
-    """``values`` (one row for each value of any orderable column) with their number in order, from 0: ranges of values are numbered apart, after the sizes of those before."""
-    ranges = stored(values.repartitionByRange(column).withColumn("__p", F.spark_partition_id()))
+def numbered(values: DataFrame, column: str | list[str], name: str) -> DataFrame:
+    """``values`` (one row for each value of any orderable column or columns) with their number in order, from 0: ranges of values are numbered apart, after the sizes of those before.
+
+    The ranges are written down, as another run of the same plan may cut them elsewhere.
+    """
+    columns = [column] if isinstance(column, str) else column
+    ranges = stored(values.repartitionByRange(*columns).withColumn("__p", F.spark_partition_id()))
     before = ranges.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*columns)) - 1
     return ranges.withColumn("__own", own).join(before.drop("__n"), "__p").withColumn(name, F.col("__own") + F.col("__before")).drop("__p", "__own", "__before")
 
 
