@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,47 +83,98 @@ def individual_fairness(df: DataFrame, key: str, vector: str, prediction: str, g
     """Per row: lipschitz (greatest |difference of predictions| / distance; 0 at distance 0), disparity (mean difference to its own group, itself included, by 1 / (distance + 1e-8)) and consistency (1 - disparity).
 
     ``distance``: euclidean, manhattan or cosine. Every row against every row,
-    as the measure asks: rows are dealt into blocks by their number, and each two
-    blocks are compared in a task of their own; what leaves it is a maximum and two sums a row.
+    as the measure asks: rows are dealt into blocks of ``block`` (up to four times as many where there are over 32 blocks),
+    and each two blocks are compared once, for both, in a task of their own; what leaves it is a maximum and two sums a row.
     """
-    n = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(prediction).cast("double").alias("p"), F.col(group).cast("string").alias("g"))
+    total = df.count()
+    n = max(1, -(-total // max(block, min(4 * block, total // 32))))
+    vectors = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+    rows = df.select(F.col(key).alias("k"), vectors.alias("v"), F.col(prediction).cast("double").alias("p"), F.col(group).cast("string").alias("g"))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = rows.withColumnRenamed("b", "x").withColumn("y", every), rows.withColumnRenamed("b", "y").withColumn("x", every)
+    cells = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x", F.least("b", "o")).withColumn("y", F.greatest("b", "o")).drop("o")
 
-    def compare(one, two):
-        import numpy as np
+    def compare(cell):
         import pandas as pd
 
-        out: dict[str, list] = {"k": [], "lipschitz": [], "sw": [], "swd": []}
-        if not one.empty and not two.empty:
-            w, q, g = np.stack(two["v"].to_numpy()), two["p"].to_numpy(), two["g"].to_numpy()
-            size = np.sqrt((w * w).sum(1))
-            for k, v, p, own in zip(one["k"], one["v"], one["p"], one["g"]):
-                if distance == "euclidean":
-                    d = np.sqrt(((w - v) ** 2).sum(1))
-                elif distance == "manhattan":
-                    d = np.abs(w - v).sum(1)
-                else:
-                    d = np.maximum(0.0, 1 - w @ v / np.maximum(size * np.sqrt(v @ v), 1e-300))
-                gap = np.abs(q - p)
-                weight = np.where(g == own, 1 / (d + 1e-8), 0.0) if own is not None else np.zeros(len(d))
-                apart = d > 0
-                out["k"].append(k)
-                out["lipschitz"].append(float((gap[apart] / d[apart]).max(initial=0.0)))
-                out["sw"].append(float(weight.sum()))
-                out["swd"].append(float(weight @ gap))
-        return pd.DataFrame(out)
+        cell = cell.sort_values("g", kind="stable")
+        first = cell["x"].iloc[0]
+        sides = [part for _, part in cell.groupby(cell["b"] != first)]
+        if cell["y"].iloc[0] != first and len(sides) < 2:  # an empty block
+            return pd.DataFrame({"k": cell["k"][:0], "lipschitz": [], "sw": [], "swd": []})
+        codes, _ = pd.factorize(cell["g"])  # null: -1
+        held = [(np.stack(part["v"].to_numpy()).astype(np.float64), part["p"].to_numpy(), codes[(cell["b"] != first) == far]) for far, part in zip((False, True), sides)]
+        found = _compared(held[0], held[1] if len(held) > 1 else None, distance)
+        return pd.concat([pd.DataFrame({"k": part["k"], "lipschitz": f[0], "sw": f[1], "swd": f[2]}) for part, f in zip(sides, found)])
 
     if distance not in ("euclidean", "manhattan", "cosine"):
         raise ValueError(f"unknown distance {distance}")
     kind = df.schema[key].dataType.simpleString()
-    parts = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(compare, f"k {kind}, lipschitz double, sw double, swd double")
+    tasks = min(n * (n + 1) // 2, 4096)  # by comparisons, and not by bytes, which are few
+    parts = cells.repartition(tasks, "x", "y").groupBy("x", "y").applyInPandas(compare, f"k {kind}, lipschitz double, sw double, swd double")
     out = parts.groupBy("k").agg(F.max("lipschitz").alias("lipschitz"), F.try_divide(F.sum("swd"), F.sum("sw")).alias("disparity"))
     return out.withColumn("consistency", 1 - F.col("disparity")).withColumnRenamed("k", key)
 
 
+#: Rows a side that are compared at once.
+TILE = 512
+#: Squared distances below this share of the vectors' squared sizes are computed from differences, as products would lose their digits.
+CLOSE = 1e-3
+
+
+def _distances(a: np.ndarray, b: np.ndarray, centre: np.ndarray, distance: str) -> np.ndarray:
+    """Distances of all rows of ``a`` from all of ``b``."""
+    if distance == "manhattan":
+        return np.stack([np.abs(b - v).sum(1) for v in a])
+    if distance == "cosine":
+        size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
+        return np.maximum(0.0, 1 - a @ b.T / np.maximum(size, 1e-300))
+    u, w = a - centre, b - centre
+    size = (u * u).sum(1)[:, None] + (w * w).sum(1)
+    d = u @ w.T
+    d *= -2
+    d += size
+    size *= CLOSE
+    i, j = np.nonzero(d < size)
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        d[x, y] = ((a[x] - b[y]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
+
+
+def _compared(one, two, distance: str) -> list[np.ndarray]:
+    """Of rows (vectors, predictions, codes of groups in runs) against ``two``, or against themselves: greatest ratio, sum of weights and of weighted differences, for each side."""
+    same = two is None
+    two = one if same else two
+    out = [np.zeros((3, len(one[1])))] if same else [np.zeros((3, len(one[1]))), np.zeros((3, len(two[1])))]
+    centre = one[0].mean(0)
+    for r in range(0, len(one[1]), TILE):
+        a, p, g = (c[r : r + TILE] for c in one)
+        for s in range(r if same else 0, len(two[1]), TILE):
+            b, q, h = (c[s : s + TILE] for c in two)
+            d = _distances(a, b, centre, distance)
+            gap = np.abs(p[:, None] - q)
+            left = out[0][:, r : r + TILE]
+            right = None if same and r == s else out[-1][:, s : s + TILE]
+            for code in np.intersect1d(g[g >= 0], h[h >= 0]):
+                (x0, x1), (y0, y1) = ((at[0], at[-1] + 1) for at in (np.flatnonzero(g == code), np.flatnonzero(h == code)))
+                weight = 1 / (d[x0:x1, y0:y1] + 1e-8)
+                left[1, x0:x1] += weight.sum(1)
+                if right is not None:
+                    right[1, y0:y1] += weight.sum(0)
+                weight *= gap[x0:x1, y0:y1]
+                left[2, x0:x1] += weight.sum(1)
+                if right is not None:
+                    right[2, y0:y1] += weight.sum(0)
+            apart = d > 0
+            if not apart.all():
+                d[~apart], gap[~apart] = 1.0, 0.0
+            gap /= d
+            np.maximum(left[0], gap.max(1), out=left[0])
+            if right is not None:
+                np.maximum(right[0], gap.max(0), out=right[0])
+    return out
+
+
 def intersections(df: DataFrame, columns: list[str], pred: str, true: str, positive: str, least: int = 5, most: int = 3) -> DataFrame:
     """All combinations of up to ``most`` columns in one pass: level, columns (names, by comma), values, n, accuracy, predicted_rate and true_rate.
 
