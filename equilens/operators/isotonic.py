@@ -38,15 +38,16 @@ def merged(n: list[float], s: list[float]) -> list[int]:
     return begins
 
 
-def pools(df: DataFrame, p: str, y: str, by: list[str] | tuple = ()) -> DataFrame:
+def pools(df: DataFrame, p: str, y: str, by: list[str] | tuple = (), weight: str | None = None) -> DataFrame:
     """Pools of the isotonic fit of ``y`` on ``p``, by least squares: by, low and high (least and greatest p), n and value (mean of y), which rises from pool to pool.
 
-    Rows with a null are left out; rows of equal p are together; neighbours of equal means are one pool.
+    Rows with a null are left out; rows of equal p are together; neighbours of equal means are one pool. ``weight``: a column of counts.
+    The input is read once: its cells are written down.
     """
     by = list(by)
     names = [f"__by{i}" for i in range(len(by))]
     known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-    cells = known.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col(p).cast("double").alias("low")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    cells = known.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col(p).cast("double").alias("low")).agg((F.sum(weight) if weight else F.count("*")).cast("double").alias("n"), F.sum(F.col(y).cast("double") * (F.col(weight) if weight else 1)).alias("s"))
     kinds = ", ".join([*(f"{n} {df.schema[b].dataType.simpleString()}" for b, n in zip(by, names)), "low double, high double, n double, s double"])
     columns = [*names, "low", "high", "n", "s"]
 
@@ -61,7 +62,7 @@ def pools(df: DataFrame, p: str, y: str, by: list[str] | tuple = ()) -> DataFram
             out[c] = [total[e - 1] - (total[b - 1] if b else 0.0) for b, e in zip(begins, ends)]
         return out[columns]
 
-    found, level = cells.withColumn("high", F.col("low")).select(*columns), 0
+    found, level = stored(cells.withColumn("high", F.col("low")).select(*columns)), 0
     while True:
         dealt = od.indexed(found, names, ["low"]).withColumn("__c", F.floor((F.col("__i") + (level % 2) * (CHUNK // 2)) / CHUNK))
         found = stored(dealt.groupBy(*names, "__c").applyInPandas(run, kinds))
@@ -88,7 +89,7 @@ def calibrated(df: DataFrame, fit: DataFrame, p: str, by: list[str] | tuple = ()
     marks = fit.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)], F.explode(F.array(F.struct(F.col("low").alias("x")), F.struct(F.col("high").alias("x")))).alias("m"), "value").select(*[f"__k{i}" for i in range(len(by))], "m.x", "value").distinct()
     keys = [f"__k{i}" for i in range(len(by))]
     asked = df.where(F.col(p).isNotNull()).groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(p).cast("double").alias("x")).agg(F.count("*").alias("__n")).drop("__n")
-    both = asked.withColumn("value", F.lit(None).cast("double")).unionByName(marks).groupBy(*keys, "x").agg(F.max("value").alias("value"))
+    both = stored(asked.withColumn("value", F.lit(None).cast("double")).unionByName(marks).groupBy(*keys, "x").agg(F.max("value").alias("value")))
     placed = od.in_blocks(both, "x")
     point = F.when(F.col("value").isNotNull(), F.struct("x", "value"))
     ends = placed.groupBy(*keys, "__b").agg(F.min(point).alias("__first"), F.max(point).alias("__last"))

@@ -128,8 +128,8 @@ f AS (SELECT model, i, max(m) AS value FROM lo GROUP BY ALL)"""
 @query("u04_isotonic", f"{_ISO} SELECT i.model, i.p, round(f.value, 6) AS calibrated FROM f JOIN i USING (model, i)")
 def u04i(spark, sf):
     """The calibrated value of each confidence of each model."""
-    known = audit(spark, sf).where("acc is not null").select("model", F.col("confidence").alias("p"), "acc")
-    fit = iso.pools(known, "p", "acc", ["model"])
+    known = stored(audit(spark, sf).where("acc is not null").groupBy("model", F.col("confidence").alias("p"), "acc").agg(F.count("*").alias("n")))
+    fit = iso.pools(known, "p", "acc", ["model"], weight="n")
     return rounded(iso.calibrated(known.select("model", "p").distinct(), fit, "p", ["model"]), "calibrated")
 
 
