@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from equilens.session import stored
+
 from . import inference as inf
 from . import ordered as od
 
@@ -46,12 +48,21 @@ def accuracy_gap(df: DataFrame, group: str, correct: str) -> DataFrame:
 
 
 def summary(df: DataFrame, subject: str, model: str, ok: str, correct: str, seconds: str, cost: str) -> DataFrame:
-    """One row: n, subjects, models, success_rate, accuracy, mean and median seconds, and total cost; zeros when empty."""
+    """One row: n, subjects, models, success_rate, accuracy, mean and median seconds, and total cost; zeros when empty.
+
+    Distinct subjects and models are counted, and the median is found, from tables that are dealt out by value: no task gets all values.
+    """
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.agg(
-        F.count("*").alias("n"), F.countDistinct(subject).alias("subjects"), F.countDistinct(model).alias("models"), z(F.avg(F.col(ok).cast("double"))).alias("success_rate"), z(F.avg(correct)).alias("accuracy"),
-        z(F.avg(seconds)).alias("mean_seconds"), z(F.percentile(seconds, F.lit(0.5))).alias("median_seconds"), z(F.sum(cost)).alias("total_cost"),
-    )
+    rows = stored(df.select(F.col(subject).alias("s"), F.col(model).alias("m"), F.col(ok).cast("double").alias("k"), F.col(correct).alias("c"), F.col(seconds).alias("t"), F.col(cost).alias("x")))
+    totals = rows.agg(F.count("*").alias("n"), z(F.avg("k")).alias("success_rate"), z(F.avg("c")).alias("accuracy"), z(F.avg("t")).alias("mean_seconds"), z(F.sum("x")).alias("total_cost"))
+    values = stored(rows.where("t is not null").groupBy("t").agg(F.count("*").alias("o")))
+    one_row = [
+        rows.select("s").distinct().agg(F.count("s").alias("subjects")), rows.select("m").distinct().agg(F.count("m").alias("models")),
+        od.quantiles(values, "t", [0.5], weight="o").agg(z(F.max(F.col("q")[0])).alias("median_seconds")),
+    ]
+    for part in one_row:
+        totals = totals.crossJoin(part)
+    return totals.select("n", "subjects", "models", "success_rate", "accuracy", "mean_seconds", "median_seconds", "total_cost")
 
 
 def cohens_d(df: DataFrame, value: str, side: Column, by: list[str] | tuple = ()) -> DataFrame:

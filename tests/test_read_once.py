@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from equilens.operators import isotonic as iso
+from equilens.operators import report as rp
 
 
 def counted(spark, df):
@@ -24,3 +25,16 @@ def test_isotonic_pools_read_once_and_weighted(spark):
     assert seen.value == 400
     cells = rows.groupBy("g", "p", "y").agg(F.count("*").alias("w"))
     assert fit == sorted(iso.pools(cells, "p", "y", ["g"], weight="w").collect())
+
+
+def test_summary_without_a_task_of_all_values(spark):
+    rows = spark.range(101).select((F.col("id") % 10).alias("s"), F.when(F.col("id") > 0, F.concat(F.lit("m"), F.col("id") % 2)).alias("m"), (F.col("id") % 4 > 0).alias("ok"), (F.col("id") % 2).cast("int").alias("c"), (F.col("id") * 1.5).alias("t"), F.lit(0.5).alias("x"))
+    df, seen = counted(spark, rows)
+    out = rp.summary(df, "s", "m", "ok", "c", "t", "x")
+    assert out.first().asDict() == {"n": 101, "subjects": 10, "models": 2, "success_rate": 75 / 101, "accuracy": 50 / 101, "mean_seconds": 75.0, "median_seconds": 75.0, "total_cost": 50.5}
+    assert seen.value == 101
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    even = rp.summary(rows.where("id > 0"), "s", "m", "ok", "c", "t", "x").first()
+    assert even["median_seconds"] == 75.75
+    none = rp.summary(rows.withColumn("t", F.lit(None).cast("double")), "s", "m", "ok", "c", "t", "x").first()
+    assert (none["n"], none["mean_seconds"], none["median_seconds"]) == (101, 0.0, 0.0)
