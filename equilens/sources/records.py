@@ -46,7 +46,8 @@ def assumption_rate(results: DataFrame, by: list[str], column: str = "assumed_de
 
 
 def append_calls(calls: DataFrame, path: str) -> None:
-    calls.write.mode("append").json(path)
+    """Append the calls as JSON lines, gzipped: records repeat their field names and labels."""
+    calls.write.mode("append").option("compression", "gzip").json(path)
 
 
 def write_csv(results: DataFrame, path: str) -> None:

@@ -1,9 +1,15 @@
 """Inputs are read once, however many steps use them."""
 
+import glob
+import gzip
+import json
+
 from pyspark.sql import functions as F
 
 from equilens.operators import isotonic as iso
 from equilens.operators import report as rp
+from equilens.plans import tables
+from equilens.sources import records
 
 
 def counted(spark, df):
@@ -38,3 +44,25 @@ def test_summary_without_a_task_of_all_values(spark):
     assert even["median_seconds"] == 75.75
     none = rp.summary(rows.withColumn("t", F.lit(None).cast("double")), "s", "m", "ok", "c", "t", "x").first()
     assert (none["n"], none["mean_seconds"], none["median_seconds"]) == (101, 0.0, 0.0)
+
+
+def test_catalogue_reads_the_calls_once(spark, monkeypatch):
+    calls = tables._calls
+    seen = []
+
+    def once(spark, sf):
+        df, n = counted(spark, calls(spark, sf))
+        seen.append(n)
+        return df
+
+    monkeypatch.setattr(tables, "_calls", once)
+    runs = {r["run"]: r["n"] for r in tables.s15(spark, "/root/testdata/sf0.001").collect()}
+    assert set(runs) == {"run_F", "run_O", "run_P"} and sum(n.value for n in seen) == sum(runs.values())
+
+
+def test_calls_are_gzipped_lines(spark, tmp_path):
+    path = str(tmp_path / "calls")
+    records.append_calls(tables._calls(spark, "/root/testdata/sf0.001").limit(50), path)
+    lines = [json.loads(x) for f in glob.glob(f"{path}/part-*.json.gz") for x in gzip.open(f, "rt")]
+    good, bad = records.read_calls(spark, path)
+    assert len(lines) == good.count() == 50 and bad.isEmpty()
