@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from equilens.session import stored
 from equilens.sources import records
 
 from .audit import AUDIT, audit, query
@@ -45,9 +46,9 @@ def s11(spark, sf):
 
 @query("s15_catalogue", f"SELECT 'run_' || provider AS run, count(*) AS n, CAST(count_if(ok) AS BIGINT) AS n_ok, round(100.0*count_if(ok)/count(*),6) AS success_pct, count(DISTINCT model) AS n_models FROM {AUDIT} a GROUP BY 1")
 def s15(spark, sf):
-    path = scratch(spark)
+    path, calls = scratch(spark), stored(_calls(spark, sf))
     for p in ("F", "O", "P"):
-        records.append_calls(_calls(spark, sf).where(F.col("provider") == p), f"{path}/run_{p}/results.jsonl")
+        records.append_calls(calls.where(F.col("provider") == p), f"{path}/run_{p}/results.jsonl")
     runs = records.catalogue(spark, path)
     return runs.select("run", "n", "n_ok", F.round("success_pct", 6).alias("success_pct"), F.size("models").cast("bigint").alias("n_models"))
 
