@@ -66,8 +66,11 @@ def write_summary(metrics: DataFrame, path: str) -> None:
 def catalogue(spark: SparkSession, root: str) -> DataFrame:
     """Runs under ``root`` (a folder each, with results.jsonl, a file or a folder of part files): run, n, n_ok, success_pct, models and changed; newest first."""
     lines = spark.read.option("recursiveFileLookup", True).text(f"{root}/*/results.jsonl").select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t"))
-    z = lines.withColumn("run", F.regexp_extract("f", "([^/]+)/results[.]jsonl(?:/[^/]*)?$", 1)).withColumn("z", F.from_json("value", "ok boolean, model string"))
-    g = z.groupBy("run").agg(F.count("*").alias("n"), F.count_if("z.ok").alias("n_ok"), F.array_sort(F.collect_set("z.model")).alias("models"), F.max("t").alias("changed"))
+    # by file first: the run's name is taken from a path once, and not from every line
+    z = lines.withColumn("z", F.from_json("value", "ok boolean, model string"))
+    files = z.groupBy("f").agg(F.count("*").alias("n"), F.count_if("z.ok").alias("n_ok"), F.collect_set("z.model").alias("models"), F.max("t").alias("t"))
+    named = files.withColumn("run", F.regexp_extract("f", "([^/]+)/results[.]jsonl(?:/[^/]*)?$", 1))
+    g = named.groupBy("run").agg(F.sum("n").alias("n"), F.sum("n_ok").alias("n_ok"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("models")))).alias("models"), F.max("t").alias("changed"))
     return g.withColumn("success_pct", 100 * F.col("n_ok") / F.col("n")).orderBy(F.col("changed").desc(), "run")
 
 
