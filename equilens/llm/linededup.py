@@ -28,6 +28,7 @@ costs a comparison).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +77,22 @@ def _line_offsets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([begins, at[-1:]]), counts
 
 
-def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line: line of each word, its hash (of WORD_BITS; sorted by line and hash), lines per row, and by line the sets' two hashes and the bytes of all words."""
+def _picked(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the lines with those that aren't wanted empty."""
+    some = np.flatnonzero(wanted)
+    lines = [data[a:b] for a, b in zip(offsets[some], offsets[some + 1])]
+    return np.concatenate([data[:0], *lines]), np.append(0, np.cumsum(np.where(wanted, np.diff(offsets), 0)))
+
+
+def line_sets(data: np.ndarray, at: np.ndarray, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each line: line of each word, its hash (of WORD_BITS; sorted by line and hash), lines per row, and by line the sets' two hashes and the bytes of all words.
+
+    ``wanted`` tells of which lines, from the lines per row; the others' words aren't read.
+    """
     offsets, counts = _line_offsets(data, at)
-    _, length, hashes, before = tx.words(data, offsets, tx.ALNUM)
+    if wanted is not None:
+        data, offsets = _picked(data, offsets, wanted(counts))
+    _, length, hashes, before = tx.words_by_blocks(data, offsets, tx.ALNUM)
     lines = len(offsets) - 1
     line = np.repeat(np.arange(lines), np.diff(before))
     size = np.bincount(line, weights=length, minlength=lines)
@@ -110,10 +123,12 @@ def _sorted_distinct(line: np.ndarray, value: np.ndarray, lines: int) -> tuple[n
     return line[new], value[new]
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, at: np.ndarray, wanted=None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``line_sets``, with each whole row as one line and its shingles (runs of ``shingle`` words between white space; all words where there are fewer) as its words."""
-    _, length, words, before = tx.words(data, at, tx.SOLID)
     rows = len(at) - 1
+    if wanted is not None:
+        data, at = _picked(data, at, wanted(np.ones(rows, np.int64)))
+    _, length, words, before = tx.words_by_blocks(data, at, tx.SOLID)
     row = np.repeat(np.arange(rows), np.diff(before))
     size = np.bincount(row, weights=length, minlength=rows)
     place, end = np.arange(len(words)), before[1:][row]
@@ -126,11 +141,23 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = 5) -> tuple[np
     return row, hashes, np.ones(rows, np.int64), _set_hashes(row, hashes, rows), size
 
 
-def _rows(batches: Iterator[pa.RecordBatch], sets_of):
+def _rows(batches: Iterator[pa.RecordBatch], sets_of, wanted=None):
+    """The batches by slices of rows, with the sets of their lines (of those that ``wanted`` tells from keys and numbers)."""
     for batch in batches:
         data, at = tx.text_buffers(batch.column(batch.num_columns - 1))
+        k = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b in tx.slices(at):
-            yield batch, a, b, sets_of(data, at[a : b + 1])
+            yield batch, a, b, sets_of(data, at[a : b + 1], wanted and partial(_wanted, wanted, k, a, b))
+
+
+def _wanted(wanted, k: np.ndarray, a: int, b: int, counts: np.ndarray) -> np.ndarray:
+    owner, number = _owners(a, b, counts)
+    return wanted(k[owner], number)
+
+
+def _places(k: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Hashes of lines' keys and numbers."""
+    return tx.mix64(k.view(np.uint64)) + line.astype(np.uint64)
 
 
 def _owners(a: int, b: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,15 +374,12 @@ def bitmap(values: DataFrame) -> np.ndarray:
     return table
 
 
-def entries_of(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int, least: int, buckets: int, sets_of=line_sets, wanted: np.ndarray | None = None) -> DataFrame:
-    """(bucket, rows): for each prefix word of each distinct set within a slice of rows a row (ENTRY), packed by bucket of words.
-
-    ``wanted``: a bit map of the words that are wanted (all where it isn't given).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((*known, wanted))  # KNOWN_WORDS and MOST_KNOWN ranks, MAP_BITS bits
+def entries_of(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int, least: int, buckets: int, sets_of=line_sets) -> DataFrame:
+    """(bucket, rows): for each prefix word of each distinct set within a slice of rows a row (ENTRY), packed by bucket of words."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # KNOWN_WORDS and MOST_KNOWN ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, cells, wanted = shared.value
+        ranked, cells = shared.value
         prefixes = _Prefixes(ranked, cells, percent)
         held, size = [], 0
 
@@ -388,9 +412,6 @@ def entries_of(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: i
             hot = np.flatnonzero((rank >= 0) & (cells[rank] > 1)) if len(cells) else np.zeros(0, np.int64)
             if len(hot):
                 at, word, place, role = _dealt(hot, cells[rank[hot]], at, word, place, role, sets[chosen, 0])
-            if wanted is not None:
-                hit = in_bitmap(wanted, word.astype(np.uint64))
-                at, word, place, role = at[hit], word[hit], place[hit], role[hit]
             of = chosen[at]
             held.append({"word": word, "set": sets[of, 0], "n": n[at].astype(np.uint32), "place": place.astype(np.uint32), "role": role, "k": k[of], "line": number[of].astype(np.int32), "s0": sig[at, 0], "s1": sig[at, 1]})
             size += len(word)
@@ -439,7 +460,7 @@ def _meet(cols: list[np.ndarray], percent: int, most: int | None, only: np.ndarr
     word, sets, k, line = (cols[i][order] for i in (0, 1, 5, 6))
     order = order[np.lexsort((line, k, sets, word))]
     if not len(order):
-        return none, none, none, none, (cols[0], cols[1], cols[5])
+        return none, none, none, none, (cols[0], cols[1], _places(cols[5], cols[6]))
     word, sets = cols[0][order], cols[1][order]
     first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (sets[1:] != sets[:-1])))
     role = np.bitwise_or.reduceat(cols[4][order], first)  # of equal sets the earliest speaks for all
@@ -505,48 +526,64 @@ def _meet(cols: list[np.ndarray], percent: int, most: int | None, only: np.ndarr
             go = (low < high) & ~more[row]
             row, low, high = row[go], low[go], high[go]
             width = min(2 * width, PAIR_BLOCK)
-    return np.concatenate(later), np.concatenate(earlier), np.concatenate(off), np.flatnonzero(more), (word, sets, k)
+    return np.concatenate(later), np.concatenate(earlier), np.concatenate(off), np.flatnonzero(more), (word, sets, _places(k, line))
+
 
+def candidates(entries: DataFrame, percent: int, most: int | None, only: np.ndarray | None = None, words: np.ndarray | None = None) -> DataFrame:
+    """(later, earlier, later_at, earlier_at, off): candidate pairs of sets, with hashed places of lines that have them; and rows with a word, for sets with more candidates by it than ``most``.
 
-def candidates(entries: DataFrame, percent: int, most: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """(later, earlier, later_k, earlier_k, off): candidate pairs of sets, with the keys of rows that have them; and rows with a word, for sets with more candidates by it than ``most``."""
-    shared = entries.sparkSession.sparkContext.broadcast(only)
+    For these there are also rows with a bucket, which have all rows of their words
+    (packed as ``entries``), so that the texts needn't be read again. ``only`` and
+    ``words``: bit maps of the later sets and of the words that are wanted.
+    """
+    shared = entries.sparkSession.sparkContext.broadcast((only, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only, words = shared.value
         for blobs in _grouped(batches):
-            i, j, off, more, (word, sets, k) = _meet(unpack(blobs, list(ENTRY.values())), percent, most, shared.value)
+            cols = unpack(blobs, list(ENTRY.values()))
+            if words is not None:
+                hit = in_bitmap(words, cols[0].astype(np.uint64))
+                cols = [c[hit] for c in cols]
+            i, j, off, more, (word, sets, place) = _meet(cols, percent, most, only)
             some = np.unique(sets[i] ^ tx.mix64(sets[j]), return_index=True)[1]
             i, j, off = i[some], j[some], off[some]
             own = np.concatenate([i, more])
             nulls = len(more)
             pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(nulls, t)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets[own].view(np.int64)), pad(sets[j].view(np.int64), pa.int64()), pa.array(k[own]), pad(k[j], pa.int64()), pad(off.astype(np.int32), pa.int32()), pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(word[more].astype(np.int64))])],
-                names=["later", "earlier", "later_k", "earlier_k", "off", "word"],
+                [pa.array(sets[own].view(np.int64)), pad(sets[j].view(np.int64), pa.int64()), pa.array(place[own].view(np.int64)), pad(place[j].view(np.int64), pa.int64()), pad(off.astype(np.int32), pa.int32()), pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(word[more].astype(np.int64))]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary())],
+                names=names,
             )
+            if nulls:
+                again = np.flatnonzero(np.isin(cols[0], word[more]))
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+                for a in range(0, len(again), GATHER):
+                    own = again[a : a + GATHER]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(word[more[:1]].astype(np.int64)), pa.array([pack([c[own] for c in cols])], pa.binary())], names=names)
 
-    dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "later bigint, earlier bigint, later_k bigint, earlier_k bigint, off int, word bigint")
+    names = ["later", "earlier", "later_at", "earlier_at", "off", "word", "bucket", "rows"]
+    dealt = entries.select("bucket", "rows").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "later bigint, earlier bigint, later_at bigint, earlier_at bigint, off int, word bigint, bucket bigint, rows binary")
 
 
 def sets_among(docs: DataFrame, pairs: DataFrame, sets_of=line_sets) -> DataFrame:
     """(set, set2, words): the words of the sets in ``pairs``, one row each.
 
-    Bit maps of the sets and of the rows that have them, of fixed size, go to
-    all tasks, so that few texts are cut into lines and few lines are shuffled.
+    Bit maps of the sets and of the lines that have them, of fixed size, go to
+    all tasks, so that few lines are cut into words and shuffled.
     """
-    chosen = pairs.select(F.explode(F.array(F.struct(F.col("later").alias("set"), F.col("later_k").alias("k")), F.struct(F.col("earlier").alias("set"), F.col("earlier_k").alias("k"))))).select("col.*").distinct()
+    chosen = pairs.select(F.explode(F.array(F.struct(F.col("later").alias("set"), F.col("later_at").alias("at")), F.struct(F.col("earlier").alias("set"), F.col("earlier_at").alias("at"))))).select("col.*").distinct()
     chosen = tx.stored(chosen)
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap(chosen.select("set")), bitmap(chosen.select("k"))))
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(chosen.select("set")), bitmap(chosen.select("at"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, rows = shared.value
-        some = (b.filter(pa.array(in_bitmap(rows, b.column(0).to_numpy().view(np.uint64)))) for b in batches)
-        for _, _, _, (line, hashes, _, sets, _) in _rows(some, sets_of):
+        table, places = shared.value
+        for _, _, _, (line, hashes, _, sets, _) in _rows(batches, sets_of, lambda k, number: in_bitmap(places, _places(k, number))):
             size = np.bincount(line, minlength=len(sets))
-            once = np.zeros(len(sets), bool)
-            once[np.unique(sets, axis=0, return_index=True)[1]] = True
-            hit = in_bitmap(table, sets[:, 0]) & once
+            some = np.flatnonzero((size > 0) & in_bitmap(table, sets[:, 0]))
+            hit = np.zeros(len(sets), bool)
+            hit[some[np.unique(sets[some], axis=0, return_index=True)[1]]] = True
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(sets[hit, w]).view(np.int64)) for w in (0, 1)), tx.list_array(pa.array(hashes[hit[line]].view(np.int64)), size[hit])], names=["set", "set2", "words"])
 
     found = docs.select("k", "t").mapInArrow(run, "set bigint, set2 bigint, words array<bigint>")
@@ -581,13 +618,13 @@ def matched_sets(docs: DataFrame, found: DataFrame, percent: int, least: int, se
 
     first = tx.stored(candidates(entries_of(docs, known, percent, least, buckets, sets_of), percent, FIRST_CANDIDATES))
     tx.release(docs)  # the words' rows, by far the largest shuffle
-    matched = matched_of(first.where("word is null"))
-    # those that have more candidates and no match yet meet all of them; only their words' rows are dealt out again
+    matched = matched_of(first.where("word is null and bucket is null"))
+    # those that have more candidates and no match yet meet all of them; only their words' rows are dealt out again, as the first round left them
     rest = tx.stored(first.where("word is not null").select(F.col("later").alias("set"), "word").join(matched, "set", "left_anti").distinct())
     if rest.isEmpty():
         return matched
-    again = entries_of(docs, known, percent, least, buckets, sets_of, bitmap(rest.select("word")))
-    more = candidates(again, percent, None, bitmap(rest.select("set"))).join(rest.select(F.col("set").alias("later")).distinct(), "later", "left_semi")
+    again = candidates(first.where("bucket is not null"), percent, None, bitmap(rest.select("set")), bitmap(rest.select("word")))
+    more = again.join(rest.select(F.col("set").alias("later")).distinct(), "later", "left_semi")
     return tx.stored(matched.unionByName(matched_of(tx.stored(more))).distinct())
 
 
@@ -605,6 +642,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     matched = matched_sets(body, found, percent, min_words, sets_of)
     lines = found.where("set is not null").select("k", "h", "line", "set", "set2")
     firsts = lines.groupBy("set", "set2").agg(F.min(F.struct("k", "line")).alias("first"), F.count("*").alias("n"))
+    tx.release(docs)
     later = tx.stored(firsts.join(matched.withColumn("also", F.lit(True)), ["set", "set2"], "left").where("n > 1 or also"))
     # the classes of the most lines are broadcast: what is left has few lines a class
     level = F.floor(F.log2("n") * 16)

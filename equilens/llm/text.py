@@ -20,6 +20,10 @@ from equilens.session import shared_folder, stored  # noqa: F401 (the modules he
 
 #: Bytes of text that one numpy pass holds at once (a longer text is a pass of its own).
 SLICE_BYTES = 1 << 20
+#: Bytes of a word up to which it is hashed by blocks of eight.
+BLOCK_BYTES = 64
+#: By number of bytes, the mask of a block's first ones.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -110,19 +114,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the rows within ``offsets``: begin, length, hash (uint64), and the number of words before each row (n + 1 values).
-
-    ``begin`` counts from offsets[0]. A word never crosses the end of a row.
-    """
+def _runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the rows within ``offsets`` as ``table`` has them, begin and length of the words, and the rows' offsets, all counted from offsets[0]."""
     base = int(offsets[0])
-    low = table[data[base : int(offsets[-1])]]
+    low = np.frombuffer(data[base : int(offsets[-1])].tobytes().translate(table.tobytes()), np.uint8)
     at = offsets - base
     solid = low != 0
     n = len(low)
-    if not solid.any():
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -130,8 +128,51 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     starts[inner] = solid[inner]
     ends[inner - 1] = solid[inner - 1]
     begin = np.flatnonzero(starts)
-    length = np.flatnonzero(ends) + 1 - begin
-    return begin, length, hash_runs(low[solid], length), np.searchsorted(begin, at)
+    return low, begin, np.flatnonzero(ends) + 1 - begin, at
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the rows within ``offsets``: begin, length, hash (uint64), and the number of words before each row (n + 1 values).
+
+    ``begin`` counts from offsets[0]. A word never crosses the end of a row.
+    """
+    low, begin, length, at = _runs(data, offsets, table)
+    if not len(begin):
+        return begin, length, np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    return begin, length, hash_runs(low[low != 0], length), np.searchsorted(begin, at)
+
+
+def words_by_blocks(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, with other hashes, which take eight bytes at a time: steps for each word instead of each byte."""
+    low, begin, length, at = _runs(data, offsets, table)
+    if not len(begin):
+        return begin, length, np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    return begin, length, hash_blocks(low, begin, length), np.searchsorted(begin, at)
+
+
+def hash_blocks(low: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``low`` at ``begin`` (bytes other than 0, all of length 1 at least). Runs of up to eight bytes all differ; those of over BLOCK_BYTES have hashes of ``hash_runs``."""
+    padded = np.zeros((len(low) + 23) // 8 * 8, np.uint8)
+    padded[: len(low)] = low
+    blocks = padded.view("<u8")
+
+    def block(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        got = blocks[place] >> shift
+        got |= (blocks[place + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        got &= _MASKS[np.minimum(left, 8)]
+        return got
+
+    out = mix64(block(begin, length))
+    todo, done = np.flatnonzero((length > 8) & (length <= BLOCK_BYTES)), 8
+    while len(todo):
+        out[todo] = mix64((out[todo] + np.uint64(0x9E3779B97F4A7C15)) ^ block(begin[todo] + done, length[todo] - done))
+        done += 8
+        todo = todo[length[todo] > done]
+    rest = np.flatnonzero(length > BLOCK_BYTES)
+    if len(rest):
+        out[rest] = hash_runs(np.concatenate([low[a : a + n] for a, n in zip(begin[rest], length[rest])]), length[rest])
+    return out
 
 
 def hash_runs(packed: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -80,6 +80,47 @@ def test_rest_pass_meets_all_that_the_first_pass_left(spark):
     assert got == want
 
 
+def test_rest_pass_takes_the_rows_of_the_first_pass(spark, monkeypatch):
+    """All texts are cut into prefix words once, also where a second round is needed."""
+    made, real = [], linededup.entries_of
+    monkeypatch.setattr(linededup, "entries_of", lambda *a, **b: made.append(1) or real(*a, **b))
+    monkeypatch.setattr(linededup, "FIRST_CANDIDATES", 0)
+    monkeypatch.setattr(linededup, "GATHER", 3)  # the rows of a word come in several pieces
+    rows = [(k, f"one two three four five six seven eight nine n{k % 3}\nmark{k} is a line that no other line is like {k}") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(str((r["doc_id"], r["text"], r["n_lines"], r["n_removed"])) for r in linededup.dedup_lines(docs).collect())
+    assert got == brute_lines(rows)
+    assert len(made) == 1
+
+
+def test_lines_that_are_not_wanted_are_not_read():
+    texts = ["Alpha b\nc d e\n", "", "c d e", "f" * 100 + "\n" + "é g"]
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    for sets_of, lines in ((linededup.line_sets, 7), (linededup.shingle_sets, 4)):
+        line, hashes, counts, sets, size = sets_of(data, at)
+        assert counts.sum() == lines == len(sets)
+        for some in range(1 << lines):
+            wanted = (some >> np.arange(lines)) & 1 == 1
+            line2, hashes2, counts2, sets2, size2 = sets_of(data, at, lambda c: wanted)
+            assert (line2 == line[wanted[line]]).all() and (hashes2 == hashes[wanted[line]]).all() and (counts2 == counts).all()
+            assert (sets2 == np.where(wanted[:, None], sets, 0)).all() and (size2 == np.where(wanted, size, 0)).all()
+
+
+def test_hashes_by_blocks_tell_words_apart():
+    """The words are those that are hashed by bytes; equal words have equal hashes wherever they stand, others have others."""
+    rng = random.Random(4)
+    seen = {}
+    for _ in range(150):
+        rows = ["".join(rng.choice(["a", "b", "Z", "é", "0", " ", "\n", "日", "-"]) for _ in range(rng.randrange(90))) + "x" * rng.choice([0, 0, 7, 8, 9, 63, 64, 65, 150]) for _ in range(8)]
+        data, at = np.frombuffer(("qqq" + "".join(rows) + "zz").encode(), np.uint8), np.cumsum([3] + [len(r.encode()) for r in rows])
+        plain, blocks = (f(data, at, linededup.tx.ALNUM) for f in (linededup.tx.words, linededup.tx.words_by_blocks))
+        assert all((plain[i] == blocks[i]).all() for i in (0, 1, 3))
+        for begin, length, value in zip(*blocks[:3]):
+            assert seen.setdefault(bytes(data[3 + begin : 3 + begin + length]).lower(), value) == value
+    apart = {int(value) >> 21 for value in seen.values()}
+    assert len(apart) == len(seen) > 3000
+
+
 def test_a_document_of_a_million_lines(spark):
     """Marking is linear in lines, however many go."""
     import time
