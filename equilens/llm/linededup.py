@@ -361,11 +361,12 @@ def in_bitmap(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
-    """A bit map of the hashed values of the one column of ``values`` (long): MAP_BITS wide, whatever their number. Where it is full, it tells nothing apart, and more rows are looked at."""
+    """A bit map of the hashed values of all columns of ``values`` (long): MAP_BITS wide, whatever their number. Where it is full, it tells nothing apart, and more rows are looked at."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = np.unique(tx.mix64(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - (MAP_BITS.bit_length() - 1)))
+            value = np.concatenate([c.to_numpy().view(np.uint64) for c in batch.columns])
+            slot = np.unique(tx.mix64(value) >> np.uint64(64 - (MAP_BITS.bit_length() - 1)))
             yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["w", "b"])
 
     got = values.mapInArrow(slots, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most MAP_BITS / 64 rows
@@ -573,9 +574,8 @@ def sets_among(docs: DataFrame, pairs: DataFrame, sets_of=line_sets) -> DataFram
     Bit maps of the sets and of the lines that have them, of fixed size, go to
     all tasks, so that few lines are cut into words and shuffled.
     """
-    chosen = pairs.select(F.explode(F.array(F.struct(F.col("later").alias("set"), F.col("later_at").alias("at")), F.struct(F.col("earlier").alias("set"), F.col("earlier_at").alias("at"))))).select("col.*").distinct()
-    chosen = tx.stored(chosen)
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap(chosen.select("set")), bitmap(chosen.select("at"))))
+    chosen = pairs.select(F.explode(F.array("later", "earlier")).alias("set")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(pairs.select("later", "earlier")), bitmap(pairs.select("later_at", "earlier_at"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, places = shared.value
@@ -587,7 +587,7 @@ def sets_among(docs: DataFrame, pairs: DataFrame, sets_of=line_sets) -> DataFram
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(sets[hit, w]).view(np.int64)) for w in (0, 1)), tx.list_array(pa.array(hashes[hit[line]].view(np.int64)), size[hit])], names=["set", "set2", "words"])
 
     found = docs.select("k", "t").mapInArrow(run, "set bigint, set2 bigint, words array<bigint>")
-    return found.join(chosen.select("set").distinct(), "set", "left_semi").groupBy("set", "set2").agg(F.first("words").alias("words"))
+    return found.join(chosen, "set", "left_semi").groupBy("set", "set2").agg(F.first("words").alias("words"))
 
 
 def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
@@ -604,6 +604,7 @@ def matched_sets(docs: DataFrame, found: DataFrame, percent: int, least: int, se
 
     In turn, on whole sets: of each set its likeliest candidate; of those
     without a match, their other first candidates; of those still without, all the rest.
+    Only what is used several times is written down: each file costs an executor on a local disk some processes (chmod).
     """
     known = known_words(tx.stored(word_counts(found)), HOT_ROWS)
     entries = found.agg(F.sum("entries")).first()[0] or 0
@@ -613,8 +614,8 @@ def matched_sets(docs: DataFrame, found: DataFrame, percent: int, least: int, se
         sets = tx.stored(sets_among(docs, pairs, sets_of))
         best = pairs.groupBy("later").agg(F.min_by("earlier", F.struct("off", "earlier")).alias("earlier"))
         matched = tx.stored(_verified(best, sets, percent))
-        others = tx.stored(pairs.join(matched.select(F.col("set").alias("later")), "later", "left_anti").select("later", "earlier").distinct())
-        return matched if others.isEmpty() else tx.stored(matched.unionByName(_verified(others, sets, percent)).distinct())
+        others = pairs.join(matched.select(F.col("set").alias("later")), "later", "left_anti").select("later", "earlier").distinct()
+        return matched.unionByName(tx.stored(_verified(others, sets, percent)))  # no set is in both
 
     first = tx.stored(candidates(entries_of(docs, known, percent, least, buckets, sets_of), percent, FIRST_CANDIDATES))
     tx.release(docs)  # the words' rows, by far the largest shuffle
@@ -625,7 +626,7 @@ def matched_sets(docs: DataFrame, found: DataFrame, percent: int, least: int, se
         return matched
     again = candidates(first.where("bucket is not null"), percent, None, bitmap(rest.select("set")), bitmap(rest.select("word")))
     more = again.join(rest.select(F.col("set").alias("later")).distinct(), "later", "left_semi")
-    return tx.stored(matched.unionByName(matched_of(tx.stored(more))).distinct())
+    return matched.unionByName(matched_of(tx.stored(more)))  # no set is in both
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, min_bytes: int = 30, sets_of=line_sets, seldom: int = 1) -> DataFrame:

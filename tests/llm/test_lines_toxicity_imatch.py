@@ -93,6 +93,26 @@ def test_rest_pass_takes_the_rows_of_the_first_pass(spark, monkeypatch):
     assert len(made) == 1
 
 
+def test_few_tables_are_written_down(spark, monkeypatch):
+    """Each file of a scratch table costs processes, so that only what is used several times is written down."""
+    written, store = [], linededup.tx.stored
+    monkeypatch.setattr(linededup.tx, "stored", lambda df: written.append(df) or store(df))
+    monkeypatch.setattr(linededup, "FIRST_CANDIDATES", 0)  # a second round is needed
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(60)}" for _ in range(14)] for _ in range(8)]
+    rows = [(k, " ".join(w if rng.random() > 0.1 else "x" for w in base[k % 8])) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = linededup.dedup_lines(docs).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_lines(rows)
+    assert len(written) == 12
+
+
+def test_bitmap_has_the_values_of_all_columns(spark):
+    table = linededup.bitmap(spark.createDataFrame([(1, -5), (2, 7)], "a bigint, b bigint"))
+    assert linededup.in_bitmap(table, np.array([1, 2, -5, 7], np.int64).view(np.uint64)).all()
+    assert not linededup.in_bitmap(table, np.array([3, 5, -7], np.int64).view(np.uint64)).any()
+
+
 def test_lines_that_are_not_wanted_are_not_read():
     texts = ["Alpha b\nc d e\n", "", "c d e", "f" * 100 + "\n" + "é g"]
     data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
